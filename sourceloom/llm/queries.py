@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import CONTAMINATION_SQL, contamination
+from .jaccard_join import jaccard_join
 from .mixing import MIX_SQL, mix_sources
 from .pii import BASE as PII_KINDS
 from .pii import pii_spans, span_list
@@ -46,6 +47,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kind_counts("base", PII_KINDS), digest("base").alias("base_sha256"), span_list("spans").alias("spans"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op4_personal_data": op4_personal_data,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
 }
