@@ -13,6 +13,7 @@ from .jaccard_join import jaccard_join
 from .mixing import MIX_SQL, mix_sources
 from .pii import BASE as PII_KINDS
 from .pii import pii_spans, span_list
+from .repeat_removal import repeat_removal
 from .secrets import BASE as SECRET_KINDS
 from .secrets import secret_spans
 from .token_counts import token_counts
@@ -65,6 +66,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kind_counts("base", SECRET_KINDS), digest("base").alias("base_sha256"), span_list("spans").alias("spans"))
 
 
+def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeat_removal(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_mix_sources": op3_mix_sources,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
+    "op10_repeat_removal": op10_repeat_removal,
 }
 ORACLES: dict[str, str] = {
     "op3_mix_sources": MIX_SQL.format(docs="documents"),
