@@ -11,6 +11,7 @@ from .common import table
 from .decontamination import CONTAMINATION_SQL, contamination
 from .jaccard_join import jaccard_join
 from .mixing import MIX_SQL, mix_sources
+from .mtree import TOP_K_SQL, exact_top_k
 from .pii import BASE as PII_KINDS
 from .pii import pii_spans, span_list
 from .repeat_removal import repeat_removal
@@ -66,6 +67,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kind_counts("base", SECRET_KINDS), digest("base").alias("base_sha256"), span_list("spans").alias("spans"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = repeat_removal(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -78,9 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_repeat_removal": op10_repeat_removal,
 }
 ORACLES: dict[str, str] = {
     "op3_mix_sources": MIX_SQL.format(docs="documents"),
+    "op9_exact_top_k": TOP_K_SQL.format(vectors="embeddings"),
     "op7_decontamination": CONTAMINATION_SQL.format(docs="documents"),
 }
