@@ -14,6 +14,7 @@ from .mixing import MIX_SQL, mix_sources
 from .mtree import TOP_K_SQL, exact_top_k
 from .pii import BASE as PII_KINDS
 from .pii import pii_spans, span_list
+from .quality import quality
 from .repeat_removal import repeat_removal
 from .secrets import BASE as SECRET_KINDS
 from .secrets import secret_spans
@@ -26,6 +27,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -77,6 +82,7 @@ def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op4_personal_data": op4_personal_data,
