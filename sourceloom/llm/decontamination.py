@@ -41,7 +41,7 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, items (sorted ids as text), hits (array of [start, end) in words).
+    """One row per row of docs: id, n_words, n_hit, items (sorted ids as text), hits (array of [start, end) in words), text_hash (xxhash64).
 
     A word is hit if it lies in any occurrence of a benchmark window. Null texts have no words. Rows that repeat an id
     are judged each by its own text; an empty benchmark hits nothing; other columns are not read. The result of long texts is
@@ -65,7 +65,7 @@ def contamination(
     plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.size(words_of(text)).cast("long").alias("n_words"))
     if found is None:
         none = F.array().cast("array<struct<s:int,e:int>>")
-        return plain.select(F.col("doc_id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), none.alias("hits"))
+        return plain.select(F.col("doc_id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), none.alias("hits"), F.col("th").alias("text_hash"))
     by_doc = found.groupBy("doc_id", "th").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.collect_set("span")).alias("spans"))
     # spans in order of start: each adds what lies beyond the furthest end so far
@@ -78,7 +78,7 @@ def contamination(
     return joined.select(
         F.col("doc_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")).alias("hits"),
+        F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")).alias("hits"), F.col("th").alias("text_hash"),
     )
 
 

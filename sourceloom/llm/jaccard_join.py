@@ -231,7 +231,7 @@ def divide_skip(sizes: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, num:
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sample: float = 0.25) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, class_key.
+    """One row per row of docs: id, n_shingles, component_id, component_key (null without shingles), text_hash (xxhash64).
 
     Words are runs of non-space characters with A-Z lowered; a set holds a text's distinct shingles of k words, or its
     whole sequence if it has fewer. Two rows link if den * |intersection| >= num * |union|; component_id is the least id that links
@@ -240,7 +240,6 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
     id never names a component unless all its ids are null. An empty table gives no rows; other columns are not read.
     `sample` only moves work between steps; the result doesn't depend on it.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     arrow_id = source.limit(0).toArrow().schema.field("id").type
@@ -252,9 +251,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
                 row = np.repeat(np.arange(j - i), np.diff(bounds))
                 low = np.bincount(row[token < below], minlength=j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).cast(arrow_id), pa.array(np.diff(bounds)), pa.array(key), pa.array(low.astype(np.int64))], ["id", "n", "key", "low"])
+                    [batch.column(0).slice(i, j - i).cast(arrow_id), pa.array(np.diff(bounds)), pa.array(key), pa.array(low.astype(np.int64)), batch.column(2).slice(i, j - i)], ["id", "n", "key", "low", "th"])
 
-    about = staged(source.mapInArrow(describe, f"id {id_type}, n long, key long, low long"), "sets")
+    hashed = source.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    about = staged(hashed.mapInArrow(describe, f"id {id_type}, n long, key long, low long, th long"), "sets")
     classes = about.where("key <> 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("low").alias("low"))
     total = classes.agg(F.sum("n"), F.sum("low")).first()
     n_low = int(total[1] or 0)
@@ -386,4 +386,4 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
     least_id = groups.where("key <> 0").groupBy("g").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
     alone_or_not = least_id.where("rows > 1").select("g", "component_id")
     joined = groups.join(alone_or_not, "g", "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("class_key"))
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.when(F.col("key") != 0, F.col("g")).alias("component_key"), F.col("th").alias("text_hash"))

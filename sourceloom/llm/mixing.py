@@ -6,9 +6,9 @@ fraction is an inclusion probability p. Documents are ranked by (u / (1 - u)) /
 made from the id, and the lowest ranks are taken until the source's words are filled, so the sample has a fixed size
 in words, up to half a document.
 
-No source meets in one task: ranks are cut into about sqrt(n) buckets a source, words are summed by bucket before
-any shuffle of rows, and only the rows of one bucket are ever sorted together. The one table that is ordered as a whole has
-a row per source.
+No source meets in one task: ranks are cut into about sqrt(n) buckets a source, words are summed by bucket, and only
+the rows of the bucket in which the source's words are filled are sorted. The result is a rank per source to take documents
+up to. The one table that is ordered as a whole has a row per source.
 """
 
 from __future__ import annotations
@@ -49,56 +49,80 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return levelled.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weight_col: str | None = None, seed: str = "mix", most: int = 3,
-) -> DataFrame:
-    """One row per row of docs: id, source, size (words), source_size, target, taken (words), copies.
-
-    Null text: size 0, nothing taken. Null source: a source of its own, last in order. Rows with the same id share
-    their random number; ties go by id and size. An empty table gives no rows. weight_col (positive, null as 1) tilts the
-    copies owed inside a source; the mean stays. No row gets more than `most` copies.
-    """
-    weight = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0))
-    sizes = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        n_words(text_of(text_col)).alias("size"), weight.alias("weight"),
-    )
-    sizes = staged(sizes, "sizes")
-    targets = source_targets(sizes, most=most)
-    mean = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("weight")).alias("weighted"))
-    targets = targets.join(mean, F.equal_null(targets["source"], mean["source"])).select(targets["*"], "weighted")
-    targets = staged(targets.select(F.col("source").alias("of"), "source_size", "n_docs", "target", "weighted"), "targets")
-
-    rows = sizes.join(targets, F.equal_null("source", "of")).drop("of")
+def ranked(rows: DataFrame, seed: str, most: int, weighted: bool) -> DataFrame:
+    """rows (doc_id, size, weight, and their source's source_size, n_docs, target, weight_sum) with certain copies, odds and bucket."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    tilt = F.when(F.col("weighted") > 0, F.col("weight") * F.col("source_size") / F.col("weighted")).otherwise(1.0)
-    owed = rate if weight_col is None else F.least(F.lit(float(most)), rate * tilt)
+    tilt = F.when(F.col("weight_sum") > 0, F.col("weight") * F.col("source_size") / F.col("weight_sum")).otherwise(1.0)
+    owed = F.least(F.lit(float(most)), rate * tilt) if weighted else rate
     rows = rows.withColumn("owed", owed).withColumn("certain", F.floor("owed").cast("long"))
     rows = rows.withColumn("p", F.col("owed") - F.col("certain")).withColumn("u", uniform(F.col("doc_id"), seed))
     odds = F.when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p"))))
-    rows = rows.withColumn("odds", odds)
     # odds times the source's own odds, back on (0, 1): uniform where all p are equal, so buckets are even
     usual = F.least(F.greatest(rate - F.floor(rate), F.lit(1e-9)), F.lit(1 - 1e-9))
     scaled = F.col("odds") * usual / (1 - usual)
     n_buckets = F.ceil(F.sqrt("n_docs"))
     bucket = F.least(F.floor(scaled / (1 + scaled) * n_buckets), n_buckets - 1).cast("long")
-    rows = rows.withColumn("bucket", F.coalesce(bucket, n_buckets.cast("long")))
+    return rows.withColumn("odds", odds).withColumn("bucket", F.coalesce(bucket, n_buckets.cast("long"))).drop("owed", "p", "u")
+
+
+def rank_key() -> Column:
+    return F.struct("odds", "doc_id", "size")
 
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure"))
-    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("words").over(order), F.lit(0))
-    sure = F.sum("sure").over(Window.partitionBy("source"))
-    starts = sums.select(F.col("source").alias("of"), F.col("bucket").alias("at"), before.alias("before"), sure.alias("sure"))
 
-    rows = rows.join(starts, F.equal_null("source", "of") & (F.col("bucket") == F.col("at"))).drop("of", "at")
-    inside = Window.partitionBy("source", "bucket").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+def mixing_plan(sizes: DataFrame, seed: str = "mix", most: int = 3, weighted: bool = False) -> DataFrame:
+    """A row per source from rows (doc_id, source, size, weight): (of, source_size, n_docs, target, weight_sum, cut, last).
+
+    Documents in buckets before `cut` are taken once more than their certain copies, those in it up to the rank `last`. Only the
+    rows of one bucket a source, about sqrt(n) of them, are ever sorted.
+    """
+    targets = source_targets(sizes, most=most)
+    sums = sizes.groupBy(F.col("source").alias("of")).agg(F.sum(F.col("size") * F.col("weight")).alias("weight_sum"))
+    targets = staged(targets.join(sums, F.equal_null("source", "of")).drop("source"), "targets")
+    rows = ranked(sizes.join(targets, F.equal_null("source", "of")), seed, most, weighted)
+    by_bucket = rows.groupBy("of", "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.first("target").alias("target"))
+    order = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    by_bucket = by_bucket.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
+    by_bucket = by_bucket.withColumn("need", F.col("target") - F.sum("sure").over(Window.partitionBy("of")))
+    cuts = by_bucket.where(F.col("before") < F.col("need")).groupBy("of").agg(F.max_by(F.struct("bucket", "before", "need"), "bucket").alias("x"))
+    cuts = staged(cuts.select("of", F.col("x.bucket").alias("cut"), F.col("x.before").alias("before"), F.col("x.need").alias("need")), "cuts")
+    own = cuts.select(F.col("of").alias("co"), "cut", "before", "need")
+    near = rows.join(own, F.equal_null("of", "co") & (F.col("bucket") == F.col("cut"))).where(F.col("odds").isNotNull())
+    inside = Window.partitionBy("of").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    extra = F.col("odds").isNotNull() & (so_far + F.col("size") / 2 < F.col("target") - F.col("sure"))
-    copies = F.when(F.col("size") > 0, F.col("certain") + extra.cast("long")).otherwise(F.lit(0))
-    return rows.withColumn("copies", copies.cast("long")).select(
-        F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        (F.col("copies") * F.col("size")).alias("taken"), "copies",
+    last = near.withColumn("so_far", so_far).where(F.col("so_far") + F.col("size") / 2 < F.col("need"))
+    last = last.groupBy(F.col("of").alias("lo")).agg(F.max(rank_key()).alias("last"))
+    plan = targets.join(own.select("co", "cut"), F.equal_null("of", "co"), "left").join(last, F.equal_null("of", "lo"), "left")
+    return staged(plan.select("of", "source_size", "n_docs", "target", "weight_sum", F.coalesce("cut", F.lit(-1).cast("long")).alias("cut"), "last"), "plan")
+
+
+def mix_sources(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weight_col: str | None = None, seed: str = "mix", most: int = 3, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per row of docs: id, source, `keep` columns, size (words), source_size, target, taken (words), copies.
+
+    Null text: size 0, nothing taken. Null source: a source of its own, last in order. Rows with the same id share
+    their random number; ties go by id and size, and rows that tie in all of these are taken together. An empty table gives
+    no rows. weight_col (positive, null as 1) tilts the copies owed inside a source; the mean stays. No row gets more than
+    `most` copies. The rows of docs are never shuffled: the plan that they are joined with has a row per source.
+    """
+    weight = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0))
+    own = [
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        n_words(text_of(text_col)).alias("size"), weight.alias("weight"),
+    ]
+    sizes = staged(docs.select(*own), "sizes")
+    plan = mixing_plan(sizes, seed, most, weight_col is not None)
+    kept = [F.col(c).alias(f"__{c}") for c in keep]
+    rows = docs.select(*own, *kept) if keep else sizes
+    rows = ranked(rows.join(plan, F.equal_null("source", "of")), seed, most, weight_col is not None)
+    upto = (F.col("bucket") == F.col("cut")) & F.col("last").isNotNull() & (rank_key() <= F.col("last"))
+    extra = F.col("odds").isNotNull() & ((F.col("bucket") < F.col("cut")) | F.coalesce(upto, F.lit(False)))
+    copies = F.when(F.col("size") > 0, F.col("certain") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
+    rows = rows.withColumn("copies", copies)
+    return rows.select(
+        F.col("doc_id").alias(id_col), F.col("source").alias(source_col), *[F.col(f"__{c}").alias(c) for c in keep],
+        "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies",
     )
 
 
