@@ -8,14 +8,16 @@ offsets. So
    windows can reach are posted by hash range. A window that repeats makes the left or the right stretch repeat;
 2. where the whole piece repeats, all its windows do, and one copy stays to stand for it. Pieces where only a stretch
    repeats, and those that stand for others, go to the shard of their anchor;
-3. a shard's pieces become one text with separators, whose suffixes are sorted by external induced sorting. Neighbours
-   with a common prefix of a window or more are repeats.
+3. a shard's pieces become one text with separators. Windows whose hash no other has are left out, and equal runs of the
+   others count once; the suffixes of what remains are sorted by external induced sorting. Neighbours with a common prefix of
+   a window or more are repeats.
 
 Texts that are equal as a whole are one class; the rows of a class of several copies lose everything, if long enough.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, text_of
-from .suffix_sort import repeated_starts
-from .textbytes import BASE, BYTE, buffers, chunks, mix, powers
+from .suffix_sort import SEP, repeated_starts
+from .textbytes import BASE, BYTE, buffers, chunks, give_back, mix, powers
 
 GRAM = 32
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: A longer text is scanned by segments with margins.
 SEGMENT_BYTES = 1 << 22
 #: A hash met so often in one batch is posted once for the batch.
 HEAVY = 16
-SHARD_POSTINGS = 1_500_000
-SHARD_BYTES = 3_000_000
+SHARD_POSTINGS = 1_000_000
+SHARD_BYTES = 1_000_000
 #: Classes whose keys may be broadcast to filter texts before they are shuffled.
 BROADCAST_CLASSES = 1_000_000
 LEFT, RIGHT, PIECE, MEMBER = 0, 1, 2, 3
@@ -144,11 +146,76 @@ def cover(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], ends[last]
 
 
+def candidates(text: np.ndarray, window: int, memory: int) -> np.ndarray:
+    """True at each position of a text with separators whose window has the hash of another one; in passes by hash that fit memory.
+
+    What is left out repeats nowhere, so a passage that many pieces hold costs its sorting once, not once a piece.
+    """
+    n = len(text)
+    out = np.zeros(n, bool)
+    ends = np.flatnonzero(text == SEP)
+    passes = max(1, -(-n * 8 // memory))
+    step, low = 1 << 18, np.uint64(0xFFFFFFFF)
+    for k in range(passes):
+        keys = []  # half a hash and the position in one number, sorted in place
+        for a in range(0, n - window + 1, step):
+            b = min(a + step, n - window + 1)
+            p = np.arange(a, b)
+            p = p[ends[np.searchsorted(ends, p)] - p >= window]
+            h = Hashes(text[a : b + window - 1]).of(p - a, p - a + window)
+            if passes > 1:
+                mine = h % np.uint64(passes) == k
+                p, h = p[mine], h[mine]
+            keys.append((h & ~low) | p.astype(np.uint64))
+        if not keys:
+            break
+        key = np.concatenate(keys)
+        del keys
+        key.sort()
+        for a in range(0, len(key) - 1, step):
+            part = key[a : a + step + 1]
+            same = np.flatnonzero(part[1:] >> np.uint64(32) == part[:-1] >> np.uint64(32))
+            out[(part[same] & low).astype(np.int64)] = True
+            out[(part[same + 1] & low).astype(np.int64)] = True
+    return out
+
+
+def repeats(text: np.ndarray, window: int, memory: int) -> np.ndarray:
+    """repeated_starts() of a text of any size: only runs of candidates are sorted, and of equal runs one."""
+    out = np.zeros(len(text), bool)
+    maybe = candidates(text, window, memory)
+    edge = np.flatnonzero(np.diff(maybe.astype(np.int8), prepend=0, append=0))
+    starts, ends = edge[::2], edge[1::2] + window - 1
+    first: dict[bytes, int] = {}
+    for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        name = hashlib.md5(text[s:e]).digest()
+        if name in first:  # two places hold the whole run
+            out[s : e - window + 1] = True
+            j = first[name]
+            out[starts[j] : ends[j] - window + 1] = True
+        else:
+            first[name] = i
+    one = np.array(sorted(first.values()), np.int64)
+    if not len(one):
+        return out
+    starts, ends = starts[one], ends[one]
+    length = ends - starts
+    at = np.cumsum(length + 1) - length - 1
+    joint = np.zeros(int((length + 1).sum()), np.uint8)
+    inside = np.ones(len(joint), bool)
+    inside[at + length] = False
+    place = np.repeat(starts - at, length + 1) + np.arange(len(joint))
+    joint[inside] = text[place[inside]]
+    hit = np.flatnonzero(repeated_starts(joint, window, memory))
+    out[place[hit]] = True
+    return out
+
+
 POSTED = "part int, keys binary, tokens binary, owners binary, codes binary, counts binary"
 MOVED = "part int, key long, starts binary, ends binary, bytes binary"
 
 
-def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", memory: int = 1 << 28) -> DataFrame:
+def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", memory: int = 1 << 27) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (the bytes that stay, as binary), removed (array of [start, end) in bytes).
 
     Texts are UTF-8 bytes, a null one is empty; matches never cross texts and may overlap, inside one text too. What repeats is
@@ -192,6 +259,7 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
                 rows.append((int(part[s]), keys[used].tobytes(), token[s : s + n].tobytes(), local.astype(np.uint32).tobytes(), code[s : s + n].tobytes(), count[s : s + n].tobytes()))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
+            give_back()
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf["part"] < 0
@@ -215,6 +283,7 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
             later[start] = False
             code = code + (MEMBER - PIECE) * ((code % 4 == PIECE) & later)
             rows += by_key(key[repeated], code[repeated])
+        give_back()
         return pd.DataFrame(rows, columns=["key", "codes"])
 
     scatter = lambda seed: F.when(F.col("part") < 0, F.rand(seed) * 1000 + 1e6).otherwise(F.col("part")).cast("int")
@@ -266,6 +335,7 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+            give_back()
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         marks = pdf["part"] < 0
@@ -282,7 +352,7 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
             inside = np.ones(len(text), bool)
             inside[at + length] = False
             text[inside] = data + 1
-            hit = repeated_starts(text, window, memory)
+            hit = repeats(text, window, memory)
             edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
             s, e = edge[::2], edge[1::2]
             piece = np.searchsorted(at, s, "right") - 1
@@ -290,6 +360,7 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
             of, s, e = key[piece], s + moved, e + moved + window - 1
             order = np.argsort(of, kind="stable")
             rows += [(int(of[order[a]]), s[order[a : a + n]].tobytes(), e[order[a : a + n]].tobytes()) for a, n in zip(*runs(of[order]), strict=True)]
+        give_back()
         return pd.DataFrame(rows, columns=["key", "starts", "ends"])
 
     moved = texts_of(chosen, size[0]).join(chosen.select("key", "codes"), "key").select("key", "text", "codes").mapInArrow(cut, MOVED)

@@ -31,7 +31,7 @@ class Queue:
         self.n_files = 0
 
     def push(self, bucket: int, suffixes: np.ndarray, common: np.ndarray) -> None:
-        part = np.empty((2, len(suffixes)), np.int64)
+        part = np.empty((2, len(suffixes)), np.int32)
         part[0], part[1] = suffixes, common
         self.parts.setdefault(bucket, []).append(part)
         self.held += part.nbytes
@@ -59,25 +59,51 @@ class Queue:
             yield part
 
 
-def words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight symbols from each position as one big-endian number; text is padded by eight symbols or more."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | text[at + k].astype(np.uint64)
-    return out
+def words(text: np.ndarray) -> np.ndarray:
+    """A view of text with the eight symbols from every position as one big-endian number."""
+    return np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
+
+
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
 
 def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of the suffixes a[i] and b[i], up to `most`; it ends before a separator."""
+    """Common prefix of the suffixes a[i] and b[i], up to `most`; it ends before a separator. text is padded by most + 8."""
     out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    for k in range(most):
-        same = (text[a[live] + k] == text[b[live] + k]) & (text[a[live] + k] != SEP)
+    eight = words(text)
+    live, ended = np.arange(len(a)), []
+    for k in range(0, most, 8):
+        x = eight[a[live] + k].astype(np.uint64)
+        same = (x == eight[b[live] + k]) & ((x - _ONES) & ~x & _TOPS == 0)  # equal, and no separator among them
+        ended.append(live[~same])
         live = live[same]
+        out[live] += 8
         if not len(live):
             break
-        out[live] += 1
-    return out
+    rest = np.concatenate(ended) if ended else live
+    for _ in range(8):
+        x = text[a[rest] + out[rest]]
+        rest = rest[(x == text[b[rest] + out[rest]]) & (x != SEP)]
+        if not len(rest):
+            break
+        out[rest] += 1
+    return np.minimum(out, most)
+
+
+def regroup(group: np.ndarray, second: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each member's group, its name, whether it starts a new name) in `order`, which sorts by group, then second.
+
+    Names are places in the whole order: a group's first member keeps the group's name, others take the place they start at.
+    """
+    g, s = group[order], second[order]
+    first = np.ones(len(order), bool)
+    first[1:] = g[1:] != g[:-1]
+    new = first.copy()
+    new[1:] |= s[1:] != s[:-1]
+    del s
+    where = np.arange(len(order), dtype=np.int32)
+    base = g - np.maximum.accumulate(np.where(first, where, 0))
+    return base, base + np.maximum.accumulate(np.where(new, where, 0)), new
 
 
 def lms_names(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -85,61 +111,46 @@ def lms_names(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
     A substring that ends in a separator is unlike any other: later separators are smaller.
     """
-    group = np.zeros(len(starts), np.int64)
+    group = np.zeros(len(starts), np.int32)
     length = ends - starts + 1
-    live, at = np.arange(len(starts)), starts.copy()
-    offset = 0
+    eight = words(text)
+    live, offset = np.arange(len(starts), dtype=np.int32), 0
     while len(live):
-        left = np.minimum(length[live] - offset, 8)
-        key = words_at(text, at[live] + offset) | _MASK[left]
-        order = np.lexsort((key, group[live]))
-        g, k = group[live][order], key[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
-        # a group's first member keeps the name, the others' names follow; names are positions in the whole order
-        first = np.ones(len(order), bool)
-        first[1:] = g[1:] != g[:-1]
-        where = np.arange(len(order))
-        base = g - np.maximum.accumulate(np.where(first, where, 0))
-        name = np.maximum.accumulate(np.where(new, where, 0))
-        group[live[order]] = base + name
+        key = eight[starts[live] + offset].astype(np.uint64)
+        key |= _MASK[np.minimum(length[live] - offset, 8)]
+        own = group[live]
+        order = np.lexsort((key, own)) if offset else np.argsort(key)
+        order = order.astype(np.int32)
+        _, name, _ = regroup(own, key, order)
+        live = live[order]
+        group[live] = name
         offset += 8
-        more = length[live[order]] > offset
-        live = live[order[more]]
+        live = live[length[live] > offset]
     closed = np.flatnonzero(text[ends] == SEP)
-    order = closed[np.lexsort((-ends[closed], group[closed]))]
-    g = group[order]
-    first = np.ones(len(order), bool)
-    first[1:] = g[1:] != g[:-1]
-    where = np.arange(len(order))
-    group[order] = g + where - np.maximum.accumulate(np.where(first, where, 0))
+    order = np.lexsort((-ends[closed], group[closed]))
+    _, name, _ = regroup(group[closed], ends[closed], order)
+    group[closed[order]] = name
     return group
 
 
 def sort_names(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of names, by doubling ranks; ranks are positions in the order, as the names are."""
+    """Suffix array of a string of names, by doubling ranks; ranks are places in the order, as the names are."""
     n = len(names)
-    rank, order = names.copy(), np.argsort(names, kind="stable")
+    rank, order = names.astype(np.int32), np.argsort(names, kind="stable").astype(np.int32)
     step = 1
-    sizes = np.bincount(rank, minlength=n)
-    live = np.flatnonzero(sizes[rank] > 1)
+    live = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1).astype(np.int32)
     while len(live):
-        ahead = live + step
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-        by = np.lexsort((second, rank[live]))
-        g, s = rank[live][by], second[by]
-        first = np.ones(len(by), bool)
-        first[1:] = g[1:] != g[:-1]
-        new = first.copy()
-        new[1:] |= s[1:] != s[:-1]
-        where = np.arange(len(by))
-        base = g - np.maximum.accumulate(np.where(first, where, 0))
-        fresh = base + np.maximum.accumulate(np.where(new, where, 0))
-        order[base + where] = live[by]
-        rank[live[by]] = fresh
+        ahead = live + np.int32(step)
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], np.int32(-1))
+        del ahead
+        own = rank[live]
+        by = np.argsort(own.astype(np.int64) << 32 | (second + 1)).astype(np.int32)
+        base, fresh, new = regroup(own, second, by)
+        live = live[by]
+        order[base + np.arange(len(by), dtype=np.int32)] = live
+        rank[live] = fresh
         length = np.diff(np.append(np.flatnonzero(new), len(by)))
-        keep = np.repeat(length > 1, length)
-        live = live[by][keep]
+        live = live[np.repeat(length > 1, length)]
         step *= 2
     return order
 
@@ -183,7 +194,7 @@ def induce(
                 got[0] = 0
             last[c] = 1
             rest = common[mine[-1] + 1 :]
-            carry[c] = int(rest.min()) if len(rest) else 1 << 60
+            carry[c] = int(rest.min()) if len(rest) else 1 << 30
             out.push(c, before[mine], got)
         for c in carry:
             if c not in seen:
@@ -229,14 +240,15 @@ def induce(
 def types(symbol: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one behind it. Separators are, and so is a rising run's every symbol."""
     n = len(symbol)
-    rise = np.ones(n, np.int8)  # 1 rises, 0 falls, as the next different symbol tells
-    rise[:-1] = np.where(symbol[:-1] < symbol[1:], 1, np.where(symbol[:-1] > symbol[1:], 0, -1))
+    rise = np.full(n, -1, np.int8)  # 1 rises, 0 falls; -1 as the next different symbol tells
+    rise[:-1][symbol[:-1] < symbol[1:]] = 1
+    rise[:-1][symbol[:-1] > symbol[1:]] = 0
     rise[symbol == SEP] = 1
     known = np.flatnonzero(rise >= 0)
-    return rise[known[np.searchsorted(known, np.arange(n))]].astype(bool)
+    return np.repeat(rise[known], np.diff(known, prepend=-1)).astype(bool)
 
 
-def suffix_pairs(text: np.ndarray, most: int, memory: int = 1 << 28) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def suffix_pairs(text: np.ndarray, most: int, memory: int = 1 << 26) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Parts (suffixes from the largest down, common prefix with the suffix before in this order, up to about `most`).
 
     text: symbols 1..254, pieces closed by SEP, the last symbol a SEP. `memory` bounds what queues and
@@ -247,19 +259,23 @@ def suffix_pairs(text: np.ndarray, most: int, memory: int = 1 << 28) -> Iterator
         return
     padded = np.concatenate([text, np.zeros(most + 8, np.uint8)])
     is_s = types(text)
-    lms = np.flatnonzero(is_s & np.concatenate([[False], ~is_s[:-1]]))
+    lms = np.flatnonzero(is_s & np.concatenate([[False], ~is_s[:-1]])).astype(np.int32)
     if not len(lms):
         return
     ends = np.append(lms[1:], lms[-1])
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
         names = lms_names(padded, lms, ends)
-        if names.nbytes * 4 <= memory or len(names) < 64:
+        if names.nbytes <= memory or len(names) < 64:
             order = sort_names(names)
         else:
             order = sort_by_recursion(names, folder, memory)
         seeds = lms[order]
-        common = np.zeros(len(seeds), np.int64)
-        common[1:] = common_prefixes(padded, seeds[:-1], seeds[1:], most)
+        del names, order, lms, ends
+        common = np.zeros(len(seeds), np.int32)
+        step = 1 << 18
+        for i in range(1, len(seeds), step):
+            j = min(i + step, len(seeds))
+            common[i:j] = common_prefixes(padded, seeds[i - 1 : j - 1], seeds[i:j], most)
 
         def common_of(i: int, j: int) -> int:
             return int(common_prefixes(padded, np.array([i]), np.array([j]), most)[0])
@@ -269,7 +285,7 @@ def suffix_pairs(text: np.ndarray, most: int, memory: int = 1 << 28) -> Iterator
 
 def sort_by_recursion(names: np.ndarray, folder: str, memory: int) -> np.ndarray:
     """Suffix array of a long string of names by induction on it, its own LMS suffixes first."""
-    symbol = np.append(names + 1, SEP)
+    symbol = np.append(names.astype(np.int64) + 1, SEP)
     is_s = types(symbol)
     lms = np.flatnonzero(is_s & np.concatenate([[False], ~is_s[:-1]]))
     ends = np.append(lms[1:], lms[-1])
@@ -293,13 +309,13 @@ def sort_by_recursion(names: np.ndarray, folder: str, memory: int) -> np.ndarray
         n_on = np.bincount(group[on], minlength=len(lms))
         group[ended] += n_on[group[ended]]
         live = on[size[group[on]] > 1]
-    order = sort_names(group) if group.nbytes * 4 <= memory or len(group) < 64 else sort_by_recursion(group, folder, memory)
-    seeds = lms[order]
+    order = sort_names(group) if group.nbytes <= memory * 2 or len(group) < 64 else sort_by_recursion(group, folder, memory)
+    seeds = lms[order].astype(np.int32)
     parts = [p[0] for p in induce(symbol, is_s, seeds, np.zeros(len(seeds), np.int64), folder, memory // 4, lambda i, j: 0)]
     return np.concatenate(parts)[::-1] if parts else np.zeros(0, np.int64)
 
 
-def repeated_starts(text: np.ndarray, window: int, memory: int = 1 << 28) -> np.ndarray:
+def repeated_starts(text: np.ndarray, window: int, memory: int = 1 << 26) -> np.ndarray:
     """True at each position whose next `window` symbols, without a separator, also start elsewhere in text."""
     out = np.zeros(len(text), bool)
     for suffixes, common in suffix_pairs(text, window, memory):
