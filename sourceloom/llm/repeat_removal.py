@@ -374,6 +374,8 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     n_partial = partial.count()
     rest = source.join(F.broadcast(partial.select("key")) if n_partial <= BROADCAST_CLASSES else partial.select("key"), "key", "left_anti")
     copied = classes.where(F.col("copies") > 1).where(F.col("n_bytes") >= window).select("key", F.lit(True).alias("gone"))
+    copied = staged(copied, "copied")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_CLASSES else copied
     rest = rest.join(copied, "key", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     size_of = F.octet_length("text").cast("long")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("s"), size_of.alias("e")))
