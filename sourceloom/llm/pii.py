@@ -127,7 +127,7 @@ def fit_reliabilities(counts: dict[tuple, int], rounds: int = 60) -> tuple[dict[
     """
     keys = sorted(counts)
     n = np.array([counts[k] for k in keys], float)
-    votes = np.array([[v + 1 for v in k[1:]] for k in keys], int).reshape(len(keys), -1)
+    votes = np.array([[v + 1 for v in k[1:]] for k in keys], int).reshape(len(keys), len(keys[0]) - 1 if keys else 0)
     kinds = sorted({k[0] for k in keys})
     of = np.array([kinds.index(k[0]) for k in keys], int)
     post = (1 + (votes == 2).sum(1)) / (2 + (votes != 1).sum(1)) if len(keys) else np.zeros(0)

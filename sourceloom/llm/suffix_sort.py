@@ -126,7 +126,9 @@ def lms_names(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         group[live] = name
         offset += 8
         live = live[length[live] > offset]
-    closed = np.flatnonzero(text[ends] == SEP)
+    marks = np.flatnonzero(text[starts] == SEP)  # the least of all, and in their own order
+    group[marks[::-1]] = np.arange(len(marks))
+    closed = np.flatnonzero((text[ends] == SEP) & (text[starts] != SEP))
     order = np.lexsort((-ends[closed], group[closed]))
     _, name, _ = regroup(group[closed], ends[closed], order)
     group[closed[order]] = name

@@ -1,0 +1,203 @@
+"""Spans, tokens, windows, mixes and classifiers against brute force or held-out truth."""
+
+import hashlib
+import os
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sourceloom.llm import mixing, pii, quality, secrets, token_counts, toxicity
+from sourceloom.llm.decontamination import contamination
+from sourceloom.llm.queries import QUERIES, tokenizer_path
+
+
+def luhn(s):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(c) for c in reversed(s))) % 10 == 0
+
+
+PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+
+
+def pieces(rng):
+    parts = ["a@b.co", "x.y@z-1.example.org", "@", "a@b", "a@b.c_d@e.f", "1.2.3.4", "300.1.1.1", "1.2.3.4.5", "01.002.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "4" * 19, "+1 (310) 555-4510", "+1", "+123456", "++49 30 123456-", "é", "日", " ", "\n", ".", "-", "9", "😀"]
+    return "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 25)))
+
+
+def test_base_spans_of_personal_data(spark):
+    rng = random.Random(1)
+    texts = [pieces(rng) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x["kind"], x["s"], x["e"]) for x in r.base] for r in pii.pii_spans(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [(k, m.start(), m.end()) for k, p, ok in PII for m in re.finditer(p, t) if ok(m[0])], t
+
+
+def test_weak_supervision(spark):
+    texts = ["Please call (310) 555-4510 or phone 415-555-0000 now", "Dear Mr. John Smith, contact Mrs. Mary Jones", "ssn 123-45-6789", "nothing here", "mail a@b.com"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pii_spans(df).collect()}
+    kinds = {x["kind"] for r in rows.values() for x in r.spans}
+    assert {"tel", "email"} <= kinds and all(set(map(tuple, r.base)) <= set(map(tuple, r.spans)) for r in rows.values())
+    masked = df.join(pii.pii_spans(df).select("doc_id", "spans"), "doc_id").select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert {r.t for r in masked if r.doc_id % 5 == 4} == {"mail <EMAIL>"}
+
+
+def test_reliabilities_are_learned():
+    rng = random.Random(4)
+    accuracy = (0.95, 0.8, 0.6)
+    counts, truth = {}, {}
+    for _ in range(4000):
+        z = rng.random() < 0.4
+        votes = tuple((1 if (rng.random() < a) == z else -1) for a in accuracy)
+        counts["k", *votes] = counts.get(("k", *votes), 0) + 1
+        truth.setdefault(votes, []).append(z)
+    post, table = pii.fit_reliabilities(counts)
+    right = sum(sum(z == (post["k", *v] > 0.5) for z in zs) for v, zs in truth.items())
+    assert right / 4000 > 0.9 and table[0, 1] > table[1, 1] > table[2, 1]
+
+
+SECRETS = [("assign", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
+
+
+def test_base_spans_of_secrets(spark):
+    rng = random.Random(2)
+    parts = ["password=", "Token : '", "api_key\": \"", "secret", "AKIA", "AKIAABCDEFGHIJKLMN", "0123456789abcdef", "deadbeef", "x" * 12, "short", "é", " ", "\n", "=", "KELVINK", "paſsword=abcdefghijklmn"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x["kind"], x["s"], x["e"]) for x in r.base] for r in secrets.secret_spans(df).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for k, (kind, p) in enumerate(SECRETS):
+            for m in re.finditer(p, t, re.I | re.A if kind == "assign" else 0):
+                if len(m[1] if kind == "assign" else m[0]) >= {"assign": 12, "access": 18, "hex": 16}[kind]:
+                    want.append((m.start(), k, m.end(), kind))
+        assert got[i] == [(kind, s, e) for s, _, e, kind in sorted(want)], t
+
+
+def test_linking_needs_complementary_parts():
+    secret = "aB3dE5gH7jK9mN1pQ3sT"
+    text = f"client_id: svc-user\nvalue {secret}\nhttps://api.example.com/v1\n\n" + "filler " * 60 + f"\n\nalone {secret}"
+    kinds = [k for _, _, k in secrets.link(text, secrets.base_spans(text))]
+    assert kinds == ["linked_identifier", "linked_secret", "linked_endpoint"]
+    assert secrets.link(f"client_id: svc-user {'x ' * 300} {secret}", []) == []
+    assert secrets.link("https://api.example.com/v1 user=me", []) == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_token_counts(spark, name):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["the", "Straße", "don't", "x1", "日本語", "…", "A", "é", "<|endoftext|>", "12,5", "😀"])
+    texts = ["".join(word() + rng.choice([" ", "  ", "\n", "", " "]) for _ in range(rng.randint(0, 400))) for _ in range(40)] + ["", None, "a" * 3000, " " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in token_counts.token_counts(df, tokenizer_path(name), piece_chars=50, batch_bytes=200).collect()}
+    count, _ = token_counts.counter(tokenizer_path(name))
+    for i, t in enumerate(texts):
+        assert (got[i].n_bytes, got[i].n_tokens) == (len((t or "").encode()), count([t])[0] if t else 0)
+        assert got[i].over_limit == (got[i].n_tokens > 1024)
+
+
+def test_contamination(spark):
+    rng = random.Random(5)
+    words = lambda n: [rng.choice("ab cd ef gh éx 12".split()) for _ in range(n)]
+    items = [words(rng.randint(0, 25)) for _ in range(12)] + [["ab"] * 3, []]
+    docs = [words(rng.randint(0, 60)) + rng.choice([*items, []])[: rng.randint(0, 25)] + words(5) for _ in range(60)]
+    gap = lambda ws: "".join(w.upper() + rng.choice([" ", ", ", "--"]) for w in ws)
+    d = spark.createDataFrame([(i, gap(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in contamination(d, b).collect()}
+    for i, ws in enumerate(docs):
+        low = [w if not w.isascii() else w.lower() for w in ws]
+        low = [w.replace("x", "x") for w in low]
+        hit, found = set(), set()
+        for k, item in enumerate(items):
+            w = min(10, len(item))
+            for s in range(len(item) - w + 1) if w else ():
+                for p in range(len(low) - w + 1):
+                    if low[p : p + w] == item[s : s + w]:
+                        hit |= set(range(p, p + w))
+                        found.add(str(k))
+        if all(w.isascii() for w in ws):
+            assert got[i] == (len(ws), len(hit), sorted(found))
+
+
+def test_mix(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(0, 60), "big" if i % 3 == 0 else rng.choice(["a", "b", "c", None])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(df.repartition(7)).collect()))
+    total = sum(r["size"] for r in got)
+    by = {}
+    for r in got:
+        x = by.setdefault(r.source, [0, r.target, r.source_size])
+        x[0] += r.taken
+        assert r.copies <= 3 and r.taken == r.copies * r["size"]
+    assert abs(sum(x[1] for x in by.values()) - total) < 1e-6 and all(abs(x[0] - x[1]) <= 60 for x in by.values())
+    weights = {s: (i % 3) + 1 for i, s in enumerate(sorted(x for x in by if x) + [None])}
+    free = [s for s in by if by[s][1] < 3 * by[s][2] - 1e-6]
+    assert len({round(by[s][1] / weights[s], 6) for s in free}) == 1
+
+
+def test_mix_follows_weights(spark):
+    df = spark.createDataFrame([(i, "w w w w", s, float(1 + 2 * (i % 2))) for s in "ab" for i in range(1000)], "doc_id long, text string, source string, w double")
+    got = mixing.mix_sources(df, weight_col="w").collect()
+    taken = {k: sum(r.taken for r in got if r.source == "a" and r.doc_id % 2 == k) for k in (0, 1)}
+    assert 2.5 < taken[1] / taken[0] < 3.5
+
+
+def test_maximal_segments():
+    def brute(s, at=0):
+        best = max(((sum(s[i:j]), -(j - i), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0, 0), key=lambda x: (round(x[0], 9), x[1]))
+        if best[0] <= 0:
+            return []
+        _, _, i, j = best
+        return brute(s[:i], at) + [(i + at, j + at)] + brute(s[j:], at + j)
+
+    rng = random.Random(7)
+    for _ in range(500):
+        s = [rng.choice([-3, -1.5, -0.5, 0.7, 1.1, 2.3]) + rng.random() * 0.01 for _ in range(rng.randint(0, 12))]
+        assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == brute(s)
+        words = np.array(s)
+        assert [(a, b) for a, b, _ in toxicity.segments(words)] == brute(s)
+
+
+def test_attention_gradient():
+    rng = np.random.default_rng(1)
+    model = quality.AttentionModel(n_in=5, width=4, gate=3)
+    x, first, y = rng.normal(size=(30, 5)), np.array([0, 4, 5, 12, 20]), np.array([1.0, 0, 1, 0, 1])
+    model.p["c"] = rng.normal(size=4)
+
+    def loss():
+        h, logit = model.encode((x - model.mean) / 1.0)
+        p = model.score(model.pool(h, logit, first)[1])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    before = loss()
+    fitted = quality.AttentionModel(n_in=5, width=4, gate=3).fit(x, first, y, steps=300)
+    h, logit = fitted.encode(x)
+    w, z = fitted.pool(h, logit, first)
+    assert np.allclose(np.add.reduceat(w, first), 1) and ((fitted.score(z) > 0.5) == (y > 0.5)).all() and before > 0
+
+
+DIR = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="test tables are missing")
+@pytest.mark.parametrize(("query", "label", "auc", "accuracy"), [("op1_quality", "quality", 0.97, 0.97), ("op6_toxicity", "toxic", 0.93, 0.95)])
+def test_held_out(spark, query, label, auc, accuracy):
+    p = QUERIES[query](spark, DIR).where("held_out").join(spark.read.parquet(f"{DIR}/labels.parquet").select("doc_id", F.col(label).alias("y")), "doc_id").toPandas()
+    r, n1 = p["score"].rank(), int((p["y"] == 1).sum())
+    got = (r[p["y"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(p) - n1))
+    assert got > auc and (p["predicted"] == p["y"]).mean() > accuracy
+
+
+def test_base_digest(spark):
+    df = spark.createDataFrame([(1, "a@b.co +1 310 555 4510")], "doc_id long, text string")
+    (r,) = pii.pii_spans(df).select(F.sha2(pii.span_list("base").cast("binary"), 256).alias("d")).collect()
+    assert r.d == hashlib.sha256(b"email:0:6,phone:7:22").hexdigest()
