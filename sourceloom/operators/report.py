@@ -148,3 +148,58 @@ def landing(parents: DataFrame, limit: int = 12, most: int = 4) -> DataFrame:
 
 
 TYPE_LABELS = {t: t.replace("_", " ").capitalize() for t in L.ENTITY_TYPES}
+
+
+def citation_chips(items: DataFrame, numbers: DataFrame, key: str = "item_id") -> DataFrame:
+    """(item_id, numbers): the distinct citation numbers of items' sources in order. items: research_id, item_id, source_id; numbers: research_id, source_id, number."""
+    found = items.join(numbers, ["research_id", "source_id"])
+    return found.groupBy("research_id", key).agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+
+
+def story_evidence(cited: DataFrame, sources: DataFrame) -> DataFrame:
+    """(research_id, company_no, urls, text): all outlets' URLs and texts of the stories that a company's citations belong to.
+
+    cited: research_id, company_no, source_id (a primary). sources: research_id, id, story_id, url, title, snippet.
+    """
+    own = sources.select("research_id", F.col("story_id").alias("source_id"), "url", F.concat_ws(" ", "title", "snippet").alias("t"))
+    rows = cited.distinct().join(own, ["research_id", "source_id"])
+    return rows.groupBy("research_id", "company_no").agg(F.array_sort(F.collect_set("url")).alias("urls"), F.array_join(F.array_sort(F.collect_set("t")), "\n").alias("text"))
+
+
+def resolution_stats(companies: DataFrame, merged: DataFrame) -> DataFrame:
+    """(research_id, resolved, ambiguous, unresolved, sources, wikidata, clearbit, search, merged) over the companies that are left.
+
+    companies: research_id, status, website_source. merged: research_id, n - how many were taken in by others.
+    """
+    of = lambda c, v: F.count_if(F.col(c) == v).alias(v)
+    counts = companies.groupBy("research_id").agg(*[of("status", v) for v in ("resolved", "ambiguous", "unresolved")], *[of("website_source", v) for v in ("sources", "wikidata", "clearbit", "search")])
+    return counts.join(merged.select("research_id", F.col("n").alias("merged")), "research_id", "left").withColumn("merged", F.coalesce("merged", F.lit(0).cast("long")))
+
+
+def company_rows(entities: DataFrame) -> DataFrame:
+    """Companies as shown: type_label (none for other), website_label, evidence text and kb_link.
+
+    entities: name, entity_type, country, description, domain, website_source, signals, status, kb_id, kb_label, kb_description.
+    """
+    labels = F.create_map(*[F.lit(x) for k, v in TYPE_LABELS.items() if k != "other" for x in (k, v)])
+    # Where a website came from, as shown.
+    sites = {"sources": "Website from the collected sources", "wikidata": "Website from Wikidata", "clearbit": "Website from Clearbit (name match)", "search": "Website from web search (name match)"}
+    site = F.try_element_at(F.create_map(*[F.lit(x) for kv in sites.items() for x in kv]), F.col("website_source"))
+    known = (F.col("status") == "resolved") & F.col("kb_id").isNotNull()
+    about = F.concat(F.lit("Wikidata "), "kb_id", F.coalesce(F.concat(F.lit(" ("), "kb_label", F.lit(")")), F.lit("")), F.lit(": "), F.coalesce("kb_description", F.lit("")))
+    said = F.when(F.size("signals") > 0, F.concat(F.lit("Evidence: "), F.array_join("signals", "; ")))
+    return entities.select(
+        "name", F.try_element_at(labels, F.col("entity_type")).alias("type_label"), "country", F.col("description").alias("focus"), "domain", site.alias("website_label"),
+        F.concat_ws("\n", said, F.when(known, about)).alias("evidence"), F.when(known, F.concat(F.lit("https://www.wikidata.org/wiki/"), "kb_id")).alias("kb_link"))
+
+
+def results_collected(events: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(research_id, collected): what the first processing event (research_id, id, stage, received) says, else the fallback (research_id, n)."""
+    first = events.where((F.col("stage") == "processing") & F.col("received").isNotNull()).groupBy("research_id").agg(F.min_by("received", "id").alias("received"))
+    return fallback.join(first, "research_id", "left").select("research_id", F.coalesce("received", "n").alias("collected"))
+
+
+def run_summary(duration: Column, analyzed: Column, provider: Column) -> Column:
+    """40s · 39 sources analyzed · Gemini"""
+    names = F.create_map(F.lit("gemini"), F.lit("Gemini"), F.lit("groq"), F.lit("Groq"))
+    return F.nullif(F.concat_ws(" · ", duration, F.when(analyzed > 0, F.concat(analyzed, F.lit(" sources analyzed"))), F.coalesce(F.try_element_at(names, provider), provider)), F.lit(""))

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from .functions import geo
 from .functions import lexicon as L
+from .functions.format import show_duration, show_relative
 from .functions.text import estimate_tokens, html_to_text, round2, search_keywords, squash_ascii, stable_key, title_tokens
 from .functions.url import canonical_url, display_host, domain_matches_name, registrable_domain
 from .operators import analysis, entities, ingest, normalize, relevance, report, store, stories
 from .plans.research import run_research
+from .sources import lookups
 
 NOW = "2024-02-01 00:00:00"
 #: Questions made of words that occur in the tables.
@@ -698,6 +700,184 @@ def q_research_run(spark, sf_dir):
     return rows.select("id", "canonical_url", "title", "source_type", "duplicate_of", "relevance_score", "is_relevant", "relevance_label", "relevance_reason")
 
 
+# --- lookups, overlays and what is shown ------------------------------------------------------------------------------------------
+
+RELATIVE_SQL = """
+WITH e AS (SELECT event_id, (epoch_ms(ts) - epoch_ms(TIMESTAMP '2024-02-01 00:00:00')) / 1000.0::DOUBLE AS s FROM events WHERE ts IS NOT NULL),
+u AS (SELECT event_id, CASE WHEN abs(s) >= 2592000 THEN 'month' WHEN abs(s) >= 604800 THEN 'week' WHEN abs(s) >= 86400 THEN 'day' WHEN abs(s) >= 3600 THEN 'hour' WHEN abs(s) >= 60 THEN 'minute' END AS u,
+  floor(s / CASE WHEN abs(s) >= 2592000 THEN 2592000 WHEN abs(s) >= 604800 THEN 604800 WHEN abs(s) >= 86400 THEN 86400 WHEN abs(s) >= 3600 THEN 3600 ELSE 60 END + 0.5)::BIGINT AS n FROM e)
+SELECT event_id, CASE WHEN u IS NULL THEN 'just now' WHEN u = 'day' AND n = -1 THEN 'yesterday' WHEN u = 'hour' AND n = 0 THEN 'this hour' WHEN n = -1 AND u IN ('week', 'month') THEN 'last ' || u WHEN n < 0 THEN -n || ' ' || u || CASE WHEN n = -1 THEN '' ELSE 's' END || ' ago' ELSE 'in ' || n || ' ' || u || CASE WHEN n = 1 THEN '' ELSE 's' END END AS shown FROM u
+"""
+
+
+def q_relative_times(spark, sf_dir):
+    return t(spark, sf_dir, "events").where("ts IS NOT NULL").select("event_id", show_relative(F.col("ts").cast("timestamp"), now()).alias("shown"))
+
+
+DURATION_SQL = "SELECT event_id, CASE WHEN s < 60 THEN s || 's' ELSE (s // 60) || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' END AS shown FROM (SELECT event_id, floor(event_id * 137 / 1000.0::DOUBLE + 0.5)::BIGINT AS s FROM events)"
+
+
+def q_durations(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", show_duration(F.col("event_id") * 137).alias("shown"))
+
+
+KB_SQL = """
+WITH h AS (SELECT l_suppkey AS name, l_linenumber % 2 AS k, l_orderkey * 10 + l_linenumber AS pos, 'Q' || l_partkey % 20 AS id FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY name, k ORDER BY pos, id) AS n FROM h), d AS (SELECT name, id, min(k * 10 + n) AS o FROM r WHERE n <= 5 GROUP BY 1, 2)
+SELECT name, array_to_string(array_agg(id ORDER BY o), ',') AS ids FROM d GROUP BY 1
+"""
+
+
+def q_kb_candidates(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("name"), (F.col("l_linenumber") % 2).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("Q"), F.col("l_partkey") % 20).alias("id"))
+    both = [li.where(F.col("k") == k).drop("k") for k in (0, 1)]
+    return lookups.kb_candidates(*both).select("name", F.array_join("ids", ",").alias("ids"))
+
+
+def q_entity_batches(spark, sf_dir):
+    b = lookups.entity_batches(t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")), buckets=1)
+    return b.select("batch", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first"))
+
+
+ENTITY_SQL = "SELECT (k // 50)::BIGINT AS batch, count(*) AS n, min(id) AS first FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT l_partkey AS id FROM lineitem)) GROUP BY 1"
+OFFICIAL_SQL = "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN k || '.com' WHEN 1 THEN 'get' || k || '.io' END AS domain FROM (SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS k FROM supplier)"
+
+
+def q_official_domain(spark, sf_dir):
+    k, own = F.col("s_suppkey") % 3, squash_ascii(F.col("s_name"))
+    hit = F.when(k == 0, F.concat(F.lit("https://www."), own, F.lit(".com/about"))).when(k == 1, F.concat(F.lit("https://get"), own, F.lit(".io"))).otherwise(F.concat(F.lit("https://"), own, F.lit("shop.net")))
+    urls = F.array(F.concat(F.lit("https://linkedin.com/"), own), F.lit("nonsense"), hit)
+    return t(spark, sf_dir, "supplier").select("s_suppkey", entities.official_domain(urls, F.col("s_name")).alias("domain"))
+
+
+PAID_SQL = "SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) <= 3"
+
+
+def q_paid_lookups(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s = t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("research_id"), k.alias("pos"), F.when(k % 3 == 0, "x.com").alias("domain"), F.when(k % 5 == 0, True).alias("cached"), F.col("s_acctbal").alias("citations"))
+    return entities.paid_lookups(s).select("s_suppkey")
+
+
+CHAIN_SQL = "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'a.com' WHEN s_suppkey % 3 = 0 THEN 'b.com' WHEN s_suppkey % 5 = 0 THEN 'c.com' WHEN s_suppkey % 7 = 0 THEN 'd.com' END AS domain, CASE WHEN s_suppkey % 2 = 0 THEN 'sources' WHEN s_suppkey % 3 = 0 THEN 'wikidata' WHEN s_suppkey % 5 = 0 THEN 'clearbit' WHEN s_suppkey % 7 = 0 THEN 'search' END AS website_source FROM supplier"
+
+
+def q_website_chain(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s = t(spark, sf_dir, "supplier").withColumns({n: F.when(k % m == 0, d) for n, m, d in (("from_sources", 2, "a.com"), ("from_kb", 3, "b.com"), ("from_suggestion", 5, "c.com"), ("from_search", 7, "d.com"))})
+    return entities.website_chain(s).select("s_suppkey", "domain", "website_source")
+
+
+OVERLAY_SQL = """
+SELECT doc_id AS id, CASE WHEN off THEN 'irrelevant' ELSE label END AS label, CASE WHEN off THEN least(score, 0.15) ELSE score END::DOUBLE AS score, CASE WHEN off THEN 'job listing' ELSE reason END AS reason FROM (
+  SELECT *, doc_id % 7 = 0 AND label <> 'irrelevant' AS off FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'direct' WHEN quality = 0 THEN 'irrelevant' ELSE 'contextual' END AS label, CASE WHEN quality = 1 THEN 0.9 WHEN quality = 0 THEN 0.1 ELSE 0.5 END AS score, CASE WHEN quality IS NOT NULL THEN 'model' ELSE 'keyword' END AS reason FROM documents LEFT JOIN labels USING (doc_id)))
+"""
+
+
+def q_classification_overlay(spark, sf_dir):
+    k = F.col("doc_id")
+    d = t(spark, sf_dir, "documents").select(F.col("source").alias("research_id"), k.alias("id"), F.lit("contextual").alias("label"), F.lit(0.5).alias("score"), F.lit("keyword").alias("reason"), F.when(k % 7 == 0, "Jobs in Berlin").otherwise("News").alias("title"), F.lit("https://a.com").alias("url"))
+    q = F.col("quality")
+    m = t(spark, sf_dir, "labels").join(d.select("research_id", F.col("id").alias("doc_id")), "doc_id").select("research_id", k.alias("id"), F.when(q == 1, "direct").otherwise("irrelevant").alias("label"), F.when(q == 1, 0.9).otherwise(0.1).alias("score"), F.lit("model").alias("reason"))
+    return relevance.hard_rule(analysis.overlay(d, m)).select("id", "label", "score", "reason")
+
+
+CONSTRAINT_SQL = """
+SELECT c_custkey AS research_id, 'topic ' || c_custkey AS topic, CASE c_custkey % 3 WHEN 0 THEN 'startup' WHEN 1 THEN 'any' ELSE 'investor' END AS entity_type, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS industry, 'Japan' AS places FROM customer WHERE c_custkey % 4 <> 3
+"""
+
+
+def q_parse_constraints(spark, sf_dir):
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, "startup").when(k % 3 == 1, "odd").otherwise("investor")
+    c = F.struct(F.when(k % 4 == 3, " ").otherwise(F.concat(F.lit(" topic "), k)).alias("topic"), F.array(F.lit(" Japan "), F.lit("")).alias("geography"), kind.alias("entity_type"), F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("industry"))
+    outputs = t(spark, sf_dir, "customer").select(k.alias("research_id"), F.lit(0).alias("batch"), F.to_json(F.struct(c.alias("constraints"))).alias("text"))
+    return analysis.parse_constraints(outputs).select("research_id", "topic", "entity_type", "industry", F.array_join("geography", ",").alias("places"))
+
+
+FALLBACK_TYPE_SQL = "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'startup' WHEN 1 THEN 'investor' WHEN 2 THEN 'research_institution' WHEN 3 THEN 'startup' ELSE 'any' END AS entity_type FROM customer"
+
+
+def q_fallback_constraints(spark, sf_dir):
+    words = ["Start-ups in X", "which VCs invest", "research labs and universities", "venture capital for startups", "restartups"]
+    query = F.get(F.array(*map(F.lit, words)), (F.col("c_custkey") % 5).cast("int"))
+    none = F.array().cast("array<string>")
+    return t(spark, sf_dir, "customer").select("c_custkey", relevance.fallback_constraints(query, F.lit(None).cast("string"), none, none)["entity_type"].alias("entity_type"))
+
+
+INPUT_SQL = "SELECT doc_id, CASE WHEN len(x) BETWEEN 3 AND 500 THEN x END AS query FROM (SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')) AS x FROM documents WHERE text IS NOT NULL)"
+
+
+def q_input_validation(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", store.valid_input(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(None).cast("string"))["query"].alias("query"))
+
+
+CHIPS_SQL = "SELECT l_orderkey AS item_id, array_to_string(list_sort(array_agg(DISTINCT l_suppkey % 9)), ',') AS numbers FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1"
+
+
+def q_citation_chips(spark, sf_dir):
+    items = t(spark, sf_dir, "lineitem").select(F.lit("r").alias("research_id"), F.col("l_orderkey").alias("item_id"), F.col("l_suppkey").alias("source_id"))
+    numbers = t(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 0").select(F.lit("r").alias("research_id"), F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") % 9).alias("number"))
+    return report.citation_chips(items, numbers).select("item_id", F.array_join("numbers", ",").alias("numbers"))
+
+
+EVIDENCE_SQL = """
+WITH s AS (SELECT source AS r, doc_id - doc_id % 3 AS story, doc_id FROM documents)
+SELECT r AS research_id, story % 10 AS company_no, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM s GROUP BY 1, 2
+"""
+
+
+def q_story_evidence(spark, sf_dir):
+    k = F.col("doc_id")
+    s = t(spark, sf_dir, "documents").select(F.col("source").alias("research_id"), k.alias("id"), (k - k % 3).alias("story_id"), F.lpad(k.cast("string"), 20, "0").alias("url"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("snippet"))
+    cited = s.select("research_id", (F.col("story_id") % 10).alias("company_no"), F.col("story_id").alias("source_id"))
+    return report.story_evidence(cited, s).select("research_id", "company_no", F.size("urls").cast("long").alias("n"), F.array_min("urls").cast("bigint").alias("first"))
+
+
+RESOLVED_SQL = """
+SELECT s_nationkey AS research_id, count(*) FILTER (WHERE s_suppkey % 3 = 0) AS resolved, count(*) FILTER (WHERE s_suppkey % 3 = 1) AS ambiguous, count(*) FILTER (WHERE s_suppkey % 3 = 2) AS unresolved, count(*) FILTER (WHERE s_suppkey % 4 = 0) AS sources,
+  count(*) FILTER (WHERE s_suppkey % 4 = 1) AS wikidata, count(*) FILTER (WHERE s_suppkey % 4 = 2) AS clearbit, 0 AS search, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey ELSE 0 END AS merged FROM supplier GROUP BY 1
+"""
+
+
+def q_resolution_stats(spark, sf_dir):
+    k = F.col("s_suppkey")
+    pick = lambda m, *v: F.get(F.array(*map(F.lit, v)), (k % m).cast("int"))
+    s = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("research_id"), pick(3, "resolved", "ambiguous", "unresolved").alias("status"), pick(4, "sources", "wikidata", "clearbit", None).alias("website_source"))
+    merged = t(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("research_id"), F.col("n_nationkey").cast("long").alias("n"))
+    return report.resolution_stats(s, merged)
+
+
+FEED_SQL = "SELECT user_id AS research_id, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') < count(*) AS ok FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1"
+
+
+def q_feed_outcome(spark, sf_dir):
+    e = t(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL")
+    sites = e.select(F.col("user_id").alias("research_id"), F.concat(F.lit("site"), "event_id").alias("name"), F.when(F.col("event_type") == "error", "timed out").alias("reason"))
+    return lookups.feed_outcome(sites).select("research_id", "failed", "total", "ok")
+
+
+RETRY_SQL = """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN least(500 * 2 ** (event_id % 6), 10000)::BIGINT WHEN 1 THEN CASE WHEN event_id % 8 = 1 THEN least((event_id % 20) * 1000, 10000) ELSE least(greatest(500 * 2 ** (event_id % 6), 2000), 10000) END::BIGINT END AS wait FROM events
+"""
+
+
+def q_retry_waits(spark, sf_dir):
+    k = F.col("event_id")
+    status = F.get(F.array(*map(F.lit, [503, 429, 404, 403])), (k % 4).cast("int"))
+    return t(spark, sf_dir, "events").select("event_id", lookups.retry_wait_ms(status, k % 6, F.when(k % 8 == 1, k % 20)).alias("wait"))
+
+
+FILTER_SQL = "SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0 AND (contains(lower(s_name), 'nation_1') OR contains(lower(n_name), 'nation_1'))"
+
+
+def q_company_filter(spark, sf_dir):
+    s = t(spark, sf_dir, "supplier").join(t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    c = s.select("s_suppkey", F.col("s_name").alias("name"), F.col("n_name").alias("country"), F.lit(None).cast("string").alias("focus"), F.lit(None).cast("string").alias("domain"), F.when(F.col("s_suppkey") % 3 == 0, "high").otherwise("low").alias("confidence"))
+    return report.filter_companies(c, " Nation_1", True).select("s_suppkey")
+
+
 _PAIRS: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = [
     ("canonical_url", q_canonical_url, CANON_SQL), ("registrable_domain_counts", q_registrable_domain, DOMAIN_SQL), ("html_to_text", q_html_to_text, HTML_SQL), ("clean_title", q_clean_title, TITLE_SQL),
     ("site_suffix", q_site_suffix, SUFFIX_SQL), ("junk_pages", q_junk_pages, JUNK_SQL), ("title_tokens", q_title_tokens, TOKENS_SQL), ("search_keywords", q_search_keywords, KEYWORDS_SQL),
@@ -712,6 +892,10 @@ _PAIRS: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] =
     ("history_summary", q_history_summary, HISTORY_SQL), ("findings_with_sources", q_findings_with_sources, FINDINGS_SQL), ("citation_numbers", q_citation_numbers, NUMBERS_SQL), ("insert_ignore", q_insert_ignore, INSERT_SQL),
     ("cache_latest_fresh", q_cache_latest_fresh, CACHE_SQL), ("rolling_hour_limit", q_rolling_hour_limit, HOUR_SQL), ("latest_status", q_latest_status, STATUS_SQL), ("stale_runs", q_stale_runs, STALE_SQL),
     ("event_log", q_event_log, LOG_SQL), ("rate_per_hour", q_rate_per_hour, RATE_SQL), ("merge_companies", q_merge_companies, None), ("research_run", q_research_run, None),
+    ("relative_times", q_relative_times, RELATIVE_SQL), ("durations", q_durations, DURATION_SQL), ("kb_candidates", q_kb_candidates, KB_SQL), ("entity_batches", q_entity_batches, ENTITY_SQL), ("official_domain", q_official_domain, OFFICIAL_SQL),
+    ("paid_lookups", q_paid_lookups, PAID_SQL), ("website_chain", q_website_chain, CHAIN_SQL), ("classification_overlay", q_classification_overlay, OVERLAY_SQL), ("parse_constraints", q_parse_constraints, CONSTRAINT_SQL),
+    ("fallback_constraints", q_fallback_constraints, FALLBACK_TYPE_SQL), ("input_validation", q_input_validation, INPUT_SQL), ("citation_chips", q_citation_chips, CHIPS_SQL), ("story_evidence", q_story_evidence, EVIDENCE_SQL),
+    ("resolution_stats", q_resolution_stats, RESOLVED_SQL), ("feed_outcome", q_feed_outcome, FEED_SQL), ("retry_waits", q_retry_waits, RETRY_SQL), ("company_filter", q_company_filter, FILTER_SQL),
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f, _ in _PAIRS}
 ORACLES: dict[str, str] = {name: sql for name, _, sql in _PAIRS if sql}

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sourceloom.functions import format as fmt
 from sourceloom.functions import geo, text, url
 from sourceloom.operators import analysis, entities, normalize, relevance, report, store
-from sourceloom.sources import feeds
+from sourceloom.sources import feeds, lookups
 
 
 def apply(spark, f, values, schema="x string"):
@@ -84,3 +85,19 @@ def test_small_rules(spark):
     assert [x["type"] for x in r] == ["established_company", "startup", "investor", "startup"]
     assert feeds.provider_order(" Groq, x,groq ") == ["groq"] and feeds.provider_order(None) == ["gemini", "groq"]
     assert feeds.ddl_of({"type": "object", "properties": {"a": {"type": "array", "items": {"type": "number"}}}}) == "struct<a:array<double>>"
+
+
+def test_formats_and_lookups(spark):
+    now = F.lit("2026-09-24T12:00:00Z").cast("timestamp")
+    rel = lambda x: fmt.show_relative(x.cast("timestamp"), now)
+    assert apply(spark, rel, ["2026-09-24T11:59:30Z", "2026-09-24T09:00:00Z", "2026-09-23T12:00:00Z", "2025-09-01T00:00:00Z", "2026-09-26T12:00:00Z", None]) == ["just now", "3 hours ago", "yesterday", "last year", "in 2 days", None]
+    assert apply(spark, lambda x: fmt.show_time(x.cast("timestamp")), ["2026-09-24T10:05:00Z"]) == ["24 Sept 2026, 10:05 UTC"]
+    assert apply(spark, fmt.show_duration, [(41_600,), (185_000,), (-5,)], "x long") == ["42s", "3m 05s", "0s"]
+    assert apply(spark, lambda n: fmt.plural(n, "match", "matches"), [(1,), (2,)], "n int") == ["1 match", "2 matches"]
+    rows = spark.createDataFrame([('[{"name": "A", "domain": "a.com"}, {"name": 1, "domain": "b.com"}, {"name": "C"}]',), ("{}",), (None,)], "response string")
+    assert [[tuple(s) for s in r.suggestions] for r in lookups.suggestions(rows).collect()] == [[("A", "a.com")], [], []]
+    waits = apply(spark, lambda s, a, r: lookups.retry_wait_ms(s, a, r), [(503, 0, None), (503, 9, None), (429, 0, None), (429, 0, 3), (404, 0, None)], "s int, a int, r int")
+    assert waits == [500, 10_000, 2_000, 3_000, None]
+    ok = apply(spark, lambda m, u, k: lookups.is_repeatable(m, u, k), [("get", None, None), ("POST", True, None), ("POST", False, None), ("POST", None, True), (None, None, None)], "m string, u boolean, k boolean")
+    assert ok == [True, True, False, True, True]
+    assert lookups.vendor_schema({"type": "object", "properties": {"a": {"type": "string", "enum": ["x"]}}, "required": ["a"]})["properties"]["a"] == {"type": "STRING", "format": "enum", "enum": ["x"]}
