@@ -422,7 +422,7 @@ def q_prompt_lines(spark, sf_dir):
 
 
 CITATION_SQL = """
-SELECT l_orderkey, list_sort(list_distinct(array_agg(l_suppkey) FILTER (WHERE l_suppkey % 7 <> 0))) AS ids, count(*) FILTER (WHERE l_suppkey % 7 = 0) AS dropped FROM lineitem GROUP BY 1
+SELECT l_orderkey, array_to_string(list_sort(list_distinct(array_agg(l_suppkey) FILTER (WHERE l_suppkey % 7 <> 0))), ',') AS ids, count(*) FILTER (WHERE l_suppkey % 7 = 0) AS dropped FROM lineitem GROUP BY 1
 """
 
 
@@ -432,14 +432,14 @@ def q_valid_citations(spark, sf_dir):
     items = lists.select(F.lit("r").alias("research_id"), F.lit("x").alias("section"), F.col("l_orderkey").alias("at"), "source_ids")
     known = t(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0").select(F.lit("r").alias("research_id"), F.concat(F.lit("S"), "s_suppkey").alias("alias"), F.col("s_suppkey").alias("id"))
     c = analysis.cited(items, known)
-    return c.select(F.col("at").alias("l_orderkey"), F.when(F.size("ids") > 0, F.array_sort(F.transform("ids", lambda x: x.cast("bigint")))).alias("ids"), F.col("dropped_citations").alias("dropped"))
+    return c.select(F.col("at").alias("l_orderkey"), F.when(F.size("ids") > 0, F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("bigint"))), ",")).alias("ids"), F.col("dropped_citations").alias("dropped"))
 
 
 ANSWER_SQL = """
 WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders WHERE o_orderkey % 3 <> 0)
-SELECT CAST(k AS VARCHAR) AS research_id, 'key_findings' AS section, 1 AS n, 'Finding ' || k AS head, ['a'] AS ids FROM o
-UNION ALL SELECT CAST(k AS VARCHAR), 'companies', 1, 'Org ' || c, ['a', 'b'] FROM o
-UNION ALL SELECT CAST(k AS VARCHAR), 'trends', 1, 'Trend', ['a', 'b'] FROM o WHERE k % 2 = 0
+SELECT CAST(k AS VARCHAR) AS research_id, 'key_findings' AS section, 1 AS n, 'Finding ' || k AS head, 'a' AS ids FROM o
+UNION ALL SELECT CAST(k AS VARCHAR), 'companies', 1, 'Org ' || c, 'a,b' FROM o
+UNION ALL SELECT CAST(k AS VARCHAR), 'trends', 1, 'Trend', 'a,b' FROM o WHERE k % 2 = 0
 """
 
 
@@ -455,7 +455,7 @@ def q_parse_analysis(spark, sf_dir):
     outputs = t(spark, sf_dir, "orders").select(k.cast("string").alias("research_id"), F.to_json(answer).alias("text"))
     aliases = outputs.select("research_id", F.explode(F.create_map(F.lit("S1"), F.lit("a"), F.lit("S2"), F.lit("b"))).alias("alias", "id"))
     seen = outputs.select("research_id", F.lit("example.org").alias("text"))
-    return analysis.parse_analysis(outputs, aliases, seen, now()).select("research_id", "section", "n", F.coalesce("name", "title").alias("head"), "ids")
+    return analysis.parse_analysis(outputs, aliases, seen, now()).select("research_id", "section", "n", F.coalesce("name", "title").alias("head"), F.array_join("ids", ",").alias("ids"))
 
 
 LABELLED_SQL = """
@@ -581,7 +581,7 @@ def q_company_ranking(spark, sf_dir):
 
 HISTORY_SQL = """
 WITH p AS (SELECT o_custkey AS k, max(o_orderdate) AS newest FROM orders GROUP BY 1 ORDER BY newest DESC, k LIMIT 50)
-SELECT k, newest, (SELECT count(*) FROM orders WHERE o_custkey = k) AS n_orders, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = k) AS n_items FROM p
+SELECT k, strftime(newest, '%Y-%m-%d %H:%M:%S') AS newest, (SELECT count(*) FROM orders WHERE o_custkey = k) AS n_orders, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = k) AS n_items FROM p
 """
 
 
@@ -589,15 +589,15 @@ def q_history_summary(spark, sf_dir):
     o, li = t(spark, sf_dir, "orders"), t(spark, sf_dir, "lineitem").select("l_orderkey")
     parents = o.groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderdate").alias("newest"))
     items = li.join(o.select("o_orderkey", F.col("o_custkey").alias("k")), F.col("l_orderkey") == F.col("o_orderkey"))
-    return report.history(parents, {"n_orders": o.select(F.col("o_custkey").alias("k")), "n_items": items.select("k")}, "k", "newest")
+    return report.history(parents, {"n_orders": o.select(F.col("o_custkey").alias("k")), "n_items": items.select("k")}, "k", "newest").withColumn("newest", F.date_format("newest", "yyyy-MM-dd HH:mm:ss"))
 
 
-FINDINGS_SQL = "SELECT o_orderkey, coalesce(ids, []) AS ids FROM orders LEFT JOIN (SELECT l_orderkey, list_sort(array_agg(DISTINCT l_suppkey)) AS ids FROM lineitem WHERE l_quantity > 30 GROUP BY 1) ON l_orderkey = o_orderkey"
+FINDINGS_SQL = "SELECT o_orderkey, coalesce(ids, '') AS ids FROM orders LEFT JOIN (SELECT l_orderkey, array_to_string(list_sort(array_agg(DISTINCT l_suppkey)), ',') AS ids FROM lineitem WHERE l_quantity > 30 GROUP BY 1) ON l_orderkey = o_orderkey"
 
 
 def q_findings_with_sources(spark, sf_dir):
     links = t(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    return report.with_children(t(spark, sf_dir, "orders").select("o_orderkey"), links, "o_orderkey", "l_suppkey", "ids")
+    return report.with_children(t(spark, sf_dir, "orders").select("o_orderkey"), links, "o_orderkey", "l_suppkey", "ids").withColumn("ids", F.array_join("ids", ","))
 
 
 NUMBERS_SQL = """
@@ -674,7 +674,7 @@ def q_event_log(spark, sf_dir):
 
 
 RATE_SQL = """
-SELECT s AS start, s + INTERVAL 1 HOUR AS "end", count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 10 MINUTES, ts) - to_minutes(10 * i) FOR i IN range(6)]) AS s FROM events WHERE ts IS NOT NULL) GROUP BY 1, 2
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 10 MINUTES, ts) - to_minutes(10 * i) FOR i IN range(6)]) AS s FROM events WHERE ts IS NOT NULL) GROUP BY 1, 2
 """
 
 
@@ -682,7 +682,7 @@ def q_rate_per_hour(spark, sf_dir):
     from .streaming.events import rate_per_hour
 
     r = rate_per_hour(t(spark, sf_dir, "events").where("ts IS NOT NULL").select(F.col("ts").cast("timestamp").alias("ts")), "ts")
-    return r.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+    return r.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")], "n")
 
 
 def q_merge_companies(spark, sf_dir):
