@@ -110,7 +110,7 @@ def resolve(scored: DataFrame, keys: tuple[str, ...] = ("research_id", "company_
         F.count("id").alias("n"), F.count("score").alias("ok"), F.max(F.when(F.col("__r") == 1, F.struct("id", "score", "__next"))).alias("b"),
         F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("__r", "id")))), lambda x: x["id"]), 1, 3).alias("top"))
     lead = F.col("b.score") - F.col("b.__next")
-    reason = F.when(F.col("n") == 0, "no candidates").when(F.col("ok") == 0, "no candidate matched").when(F.col("b.score") < ACCEPT, "not enough evidence")
+    reason = F.when(F.col("n") == 0, "no Wikidata candidates").when(F.col("ok") == 0, "no candidate matched").when(F.col("b.score") < ACCEPT, "not enough evidence")
     status = F.when(reason.isNotNull(), "unresolved").when(lead < LEAD, "ambiguous").otherwise("resolved")
     good = status == "resolved"
     return one.select(
@@ -124,8 +124,8 @@ def reconcile_type(proposed: Column, evidence: Column, inception_year: Column, i
     listed = F.array_contains(_empty(instance_of), L.PUBLIC_COMPANY)
     old = F.coalesce((inception_year > 0) & (year - inception_year > STARTUP_YEARS), F.lit(False))
     row = lambda e: F.struct(F.lit("established_company").alias("type"), e.alias("evidence"))
-    return F.when((proposed == "startup") & listed, row(F.lit("publicly listed company (knowledge base)"))).when(
-        (proposed == "startup") & old, row(F.format_string("founded %d (knowledge base)", inception_year))).otherwise(F.struct(proposed.alias("type"), evidence.alias("evidence")))
+    return F.when((proposed == "startup") & listed, row(F.lit("publicly listed company (Wikidata)"))).when(
+        (proposed == "startup") & old, row(F.format_string("founded %d (Wikidata)", inception_year))).otherwise(F.struct(proposed.alias("type"), evidence.alias("evidence")))
 
 
 def merge_companies(companies: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def test_entities(spark):
     assert got[1].rejected == "country differs (denmark)" and got[0].matched_country == "India" and got[4].rejected == "not an organization"
     scored = spark.createDataFrame([(1, "a", 0, 5), (1, "b", 1, 4), (2, "c", 0, 5), (3, None, 0, None), (4, "d", 0, None), (5, "e", 0, 2)], "company_no int, id string, pos int, score int")
     status = {r.company_no: (r.status, r.id, r.reason) for r in entities.resolve(scored, ("company_no",)).collect()}
-    assert status == {1: ("ambiguous", None, None), 2: ("resolved", "c", None), 3: ("unresolved", None, "no candidates"), 4: ("unresolved", None, "no candidate matched"), 5: ("unresolved", None, "not enough evidence")}
+    assert status == {1: ("ambiguous", None, None), 2: ("resolved", "c", None), 3: ("unresolved", None, "no Wikidata candidates"), 4: ("unresolved", None, "no candidate matched"), 5: ("unresolved", None, "not enough evidence")}
 
 
 def test_company_merge_keeps_the_first_keys(spark):
