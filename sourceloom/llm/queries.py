@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import CONTAMINATION_SQL, contamination
-from .jaccard_join import jaccard_join
+from .jaccard_join import JACCARD_SQL, jaccard_join
 from .mixing import MIX_SQL, mix_sources
 from .mtree import TOP_K_SQL, exact_top_k
 from .pii import BASE as PII_KINDS
 from .pii import pii_spans, span_list
 from .quality import quality
-from .repeat_removal import repeat_removal
+from .repeat_removal import REPEATS_SQL, repeat_removal
 from .secrets import BASE as SECRET_KINDS
 from .secrets import secret_spans
 from .token_counts import token_counts
@@ -101,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_mix_sources": MIX_SQL.format(docs="documents"),
+    "op5_jaccard_join": JACCARD_SQL.format(docs="documents"),
+    "op10_repeat_removal": REPEATS_SQL.format(docs="documents"),
     "op9_exact_top_k": TOP_K_SQL.format(vectors="embeddings"),
     "op7_decontamination": CONTAMINATION_SQL.format(docs="documents"),
 }

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_of
 from .suffix_sort import SEP, repeated_starts
-from .textbytes import BASE, BYTE, buffers, chunks, give_back, mix, powers
+from .textbytes import BASE, BYTE, buffers, chunks, give_back, mix, powers, sliced
 
 GRAM = 32
 CHUNK_BYTES = 1 << 20
@@ -215,7 +215,7 @@ POSTED = "part int, keys binary, tokens binary, owners binary, codes binary, cou
 MOVED = "part int, key long, starts binary, ends binary, bytes binary"
 
 
-def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", memory: int = 1 << 27) -> DataFrame:
+def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", memory: int = 1 << 26) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (the bytes that stay, as binary), removed (array of [start, end) in bytes).
 
     Texts are UTF-8 bytes, a null one is empty; matches never cross texts and may overlap, inside one text too. What repeats is
@@ -234,7 +234,7 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in POSTED.split(", ")]
-        for batch in batches:
+        for batch in sliced(batches, 1):
             keys, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
             data, offsets = buffers(batch.column(1).take(pa.array(first)))
             parts = list(scanned(data, offsets, window))
@@ -303,7 +303,7 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in MOVED.split(", ")]
         half = (window - GRAM) // 2
-        for batch in batches:
+        for batch in sliced(batches, 1):
             rows = []
             for key, text, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
@@ -337,34 +337,40 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
             give_back()
 
-    def sort(pdf: pd.DataFrame) -> pd.DataFrame:
-        marks = pdf["part"] < 0
-        rows = [(int(r.key), r.starts, r.ends) for r in pdf[marks].itertuples(index=False)]
-        pieces = pdf[~marks].drop_duplicates("key")
+    def sort(table: pa.Table) -> pa.Table:
+        part, key = table["part"].to_numpy(), table["key"].to_numpy()
+        marks = np.flatnonzero(part < 0)
+        starts, ends = table["starts"].to_pylist(), table["ends"].to_pylist()
+        rows = [(int(key[i]), starts[i], ends[i]) for i in marks]
+        _, pieces = np.unique(np.where(part < 0, -1, key), return_index=True)  # a class once, should its rows repeat
+        pieces = pieces[part[pieces] >= 0]
         if len(pieces):
-            starts = [np.frombuffer(x, np.int64) for x in pieces["starts"]]
-            lengths = [np.frombuffer(x, np.int64) - s for x, s in zip(pieces["ends"], starts, strict=True)]
-            key = np.repeat(pieces["key"].to_numpy(np.int64), [len(s) for s in starts])
-            start, length = np.concatenate(starts), np.concatenate(lengths)
-            data = np.frombuffer(b"".join(pieces["bytes"]), np.uint8)
-            at = np.cumsum(length + 1) - length - 1  # of each piece in the joint text
-            text = np.zeros(int((length + 1).sum()), np.uint8)
-            inside = np.ones(len(text), bool)
-            inside[at + length] = False
-            text[inside] = data + 1
+            start = [np.frombuffer(starts[i], np.int64) for i in pieces]
+            length = [np.frombuffer(ends[i], np.int64) - s for i, s in zip(pieces, start, strict=True)]
+            text = np.zeros(int(sum(n.sum() + len(n) for n in length)), np.uint8)  # pieces, each closed by a separator
+            filled, column = 0, table["bytes"]
+            for i, n in zip(pieces.tolist(), length, strict=True):
+                data, at = np.frombuffer(column[i].as_buffer(), np.uint8), 0
+                for size in n.tolist():
+                    np.add(data[at : at + size], 1, out=text[filled : filled + size])
+                    filled, at = filled + size + 1, at + size
             hit = repeats(text, window, memory)
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+            edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
             s, e = edge[::2], edge[1::2]
+            owner = np.repeat(key[pieces], [len(x) for x in start])
+            start, length = np.concatenate(start), np.concatenate(length)
+            at = np.cumsum(length + 1) - length - 1  # of each piece in text
             piece = np.searchsorted(at, s, "right") - 1
             moved = start[piece] - at[piece]
-            of, s, e = key[piece], s + moved, e + moved + window - 1
+            of, s, e = owner[piece], s + moved, e + moved + window - 1
             order = np.argsort(of, kind="stable")
             rows += [(int(of[order[a]]), s[order[a : a + n]].tobytes(), e[order[a : a + n]].tobytes()) for a, n in zip(*runs(of[order]), strict=True)]
         give_back()
-        return pd.DataFrame(rows, columns=["key", "starts", "ends"])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["key", "starts", "ends"])
 
     moved = texts_of(chosen, size[0]).join(chosen.select("key", "codes"), "key").select("key", "text", "codes").mapInArrow(cut, MOVED)
-    spans = moved.withColumn("task", scatter(2)).groupBy("task").applyInPandas(lambda pdf: sort(pdf), "key long, starts binary, ends binary")
+    spans = moved.withColumn("task", scatter(2)).groupBy("task").applyInArrow(lambda table: sort(table), "key long, starts binary, ends binary")
     spans = spans.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     partial = spans.join(classes.where(F.col("copies") == 1).select("key", "id"), "key")
     partial = staged(partial, "spans")
@@ -386,7 +392,7 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-        for batch in batches:
+        for batch in sliced(batches, 1):
             kept, removed, n = [], [], []
             for text, starts, ends in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
@@ -402,3 +408,17 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     both = rest.unionByName(stripped)
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
     return both.select(F.col("id").alias(id_col), "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept", "removed")
+
+
+#: DuckDB SQL for the digest of repeat_removal with a window of 200 over {docs}: every window is hashed and counted.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM {docs}),
+w AS (SELECT rid, p, md5(substr(h, 2 * p + 1, 400)) AS m FROM (SELECT rid, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS p FROM d)),
+s AS (SELECT rid, p FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+i AS (SELECT rid, p, sum(CASE WHEN p - o <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY p) AS g FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS o FROM s)),
+r AS (SELECT rid, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY rid, g),
+k AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS f FROM r),
+t AS (SELECT rid, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS kept, max(b) AS z FROM k JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE kept || substr(h, 2 * z + 1) END)) AS kept_sha256 FROM d LEFT JOIN t USING (rid)
+"""

@@ -38,6 +38,14 @@ def chunks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """batches cut into runs of rows with at most `most` bytes of text, or one longer text: what a function holds at a time."""
+    for batch in batches:
+        _, offsets = buffers(batch.column(column))
+        for i, j in chunks(offsets, most):
+            yield batch.slice(i, j - i)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: every bit of the result depends on every bit of h."""
     h = h ^ (h >> np.uint64(33))
