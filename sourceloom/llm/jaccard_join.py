@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .components import components
-from .textbytes import FOLD, IS_SPACE, buffers, chunks, mix, word_hashes
+from .textbytes import FOLD, IS_SPACE, buffers, chunks, mix, sliced, word_hashes
 
 CHUNK_BYTES = 1 << 21
 #: Shingles of one class count up to this; beyond, a shingle is heavy.
@@ -263,7 +263,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
     shards = max(1, -(-n_low // SHARD_SHINGLES))
 
     def post_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             keys, tokens, owners = distinct_sets(batch, 1, k, below)
             out, _, heavy = post(keys, tokens, owners, shards)
             count = np.bincount(heavy, minlength=len(keys))
@@ -302,7 +302,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
     packed = "key long, tokens binary, counts binary"
 
     def post_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             keys, tokens, owners = distinct_sets(batch, 1, k, None)
             out, token, owner = post(keys, tokens, owners, shards)
             yield out
@@ -382,8 +382,26 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
         return pd.DataFrame({"a": keys[at[:, 0]], "b": keys[at[:, 1]]})
 
     labels = components(tasks.groupBy("task").applyInPandas(lambda pdf: search(pdf), "a long, b long"))
-    groups = about.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("g", F.coalesce("label", "key"))
+    # a hot class or component never meets in a task: both tables are broadcast up to a checked number of rows
+    labels = staged(labels.select(F.col("node").alias("key"), "label"), "labels")
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_CLASSES else labels
+    groups = about.join(labels, "key", "left").withColumn("g", F.coalesce("label", "key"))
     least_id = groups.where("key <> 0").groupBy("g").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-    alone_or_not = least_id.where("rows > 1").select("g", "component_id")
-    joined = groups.join(alone_or_not, "g", "left")
+    shared_ids = staged(least_id.where("rows > 1").select("g", "component_id"), "components")
+    shared_ids = F.broadcast(shared_ids) if shared_ids.count() <= BROADCAST_CLASSES else shared_ids
+    joined = groups.join(shared_ids, "g", "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.when(F.col("key") != 0, F.col("g")).alias("component_key"), F.col("th").alias("text_hash"))
+
+
+#: DuckDB SQL for jaccard_join with its default parameters over {docs}: pairs that share a shingle, counted, and their closure.
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM {docs}),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS p FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id)::BIGINT AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY 1) m USING (doc_id)
+"""
