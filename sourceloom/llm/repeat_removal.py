@@ -17,7 +17,9 @@ Texts that are equal as a whole are one class; the rows of a class of several co
 
 from __future__ import annotations
 
-import hashlib
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,69 +148,155 @@ def cover(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], ends[last]
 
 
-def candidates(text: np.ndarray, window: int, memory: int) -> np.ndarray:
-    """True at each position of a text with separators whose window has the hash of another one; in passes by hash that fit memory.
+def zeros(folder: str, n: int, memory: int) -> np.ndarray:
+    """n booleans, on disk if they don't fit memory."""
+    return np.zeros(n, bool) if n <= memory else np.memmap(f"{folder}/{uuid.uuid4().hex}", bool, "w+", shape=(n,))
 
-    What is left out repeats nowhere, so a passage that many pieces hold costs its sorting once, not once a piece.
+
+def true_runs(mask: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of runs of True, read in steps."""
+    starts, ends, before = [], [], False
+    for a in range(0, len(mask), step):
+        part = np.asarray(mask[a : a + step])
+        edge = np.flatnonzero(part[1:] != part[:-1]) + 1
+        if len(part) and bool(part[0]) != before:
+            edge = np.concatenate([[0], edge])
+        rises = np.asarray(part[edge]) if len(edge) else np.zeros(0, bool)
+        starts.append(edge[rises] + a)
+        ends.append(edge[~rises] + a)
+        before = bool(part[-1])
+    cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+    return cat(starts), cat([*ends, [len(mask)]] if before else ends)
+
+
+def candidates(text: np.ndarray, window: int, folder: str, memory: int) -> np.ndarray:
+    """True at each position of a text with separators whose window has the hash of another one.
+
+    What is left out repeats nowhere, so a passage that many pieces hold costs its sorting once, not once a piece. Beyond
+    memory, hashes go to files by their low bits, and one file is sorted at a time.
     """
-    n = len(text)
-    out = np.zeros(n, bool)
-    ends = np.flatnonzero(text == SEP)
-    passes = max(1, -(-n * 8 // memory))
-    step, low = 1 << 18, np.uint64(0xFFFFFFFF)
-    for k in range(passes):
-        keys = []  # half a hash and the position in one number, sorted in place
-        for a in range(0, n - window + 1, step):
-            b = min(a + step, n - window + 1)
-            p = np.arange(a, b)
-            p = p[ends[np.searchsorted(ends, p)] - p >= window]
-            h = Hashes(text[a : b + window - 1]).of(p - a, p - a + window)
-            if passes > 1:
-                mine = h % np.uint64(passes) == k
-                p, h = p[mine], h[mine]
-            keys.append((h & ~low) | p.astype(np.uint64))
-        if not keys:
-            break
-        key = np.concatenate(keys)
-        del keys
+    n, step, low = len(text), 1 << 18, np.uint64(0xFFFFFFFF)
+    out = zeros(folder, n, memory)
+    n_files = -(-n * 8 // memory) if n * 8 > memory else 0
+    files = [open(f"{folder}/hashes-{i}", "wb") for i in range(n_files)]  # noqa: SIM115
+    keys = []
+
+    def mark(key: np.ndarray) -> None:
         key.sort()
         for a in range(0, len(key) - 1, step):
             part = key[a : a + step + 1]
             same = np.flatnonzero(part[1:] >> np.uint64(32) == part[:-1] >> np.uint64(32))
             out[(part[same] & low).astype(np.int64)] = True
             out[(part[same + 1] & low).astype(np.int64)] = True
+
+    for a in range(0, n - window + 1, step):
+        b = min(a + step, n - window + 1)
+        piece = np.asarray(text[a : b + window - 1])
+        ends = np.append(np.flatnonzero(piece == SEP), len(piece))
+        p = np.arange(b - a)
+        p = p[ends[np.searchsorted(ends, p)] - p >= window]
+        h = Hashes(piece).of(p, p + window)
+        key = (h & ~low) | (p + a).astype(np.uint64)  # half a hash and the position in one number, sorted in place
+        if not files:
+            keys.append(key)
+            continue
+        of = (h & low) % np.uint64(n_files)
+        order = np.argsort(of, kind="stable")
+        for s, m in zip(*runs(of[order]), strict=True):
+            files[int(of[order[s]])].write(key[order[s : s + m]].tobytes())
+    for f in files:
+        f.close()
+        mark(np.fromfile(f.name, np.uint64))
+        os.unlink(f.name)
+    if keys:
+        mark(np.concatenate(keys))
     return out
 
 
 def repeats(text: np.ndarray, window: int, memory: int) -> np.ndarray:
-    """repeated_starts() of a text of any size: only runs of candidates are sorted, and of equal runs one."""
-    out = np.zeros(len(text), bool)
-    maybe = candidates(text, window, memory)
-    edge = np.flatnonzero(np.diff(maybe.astype(np.int8), prepend=0, append=0))
-    starts, ends = edge[::2], edge[1::2] + window - 1
-    first: dict[bytes, int] = {}
-    for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        name = hashlib.md5(text[s:e]).digest()
-        if name in first:  # two places hold the whole run
-            out[s : e - window + 1] = True
-            j = first[name]
-            out[starts[j] : ends[j] - window + 1] = True
+    """(start, end) of the runs of positions at which repeated_starts() of a text of any size holds: only runs of candidates are sorted,
+    and of runs that are equal, by hash and length, one. Returned as an array of two rows."""
+    with tempfile.TemporaryDirectory(prefix="repeats-") as folder:
+        starts, ends = true_runs(candidates(text, window, folder, memory))
+        ends = ends + window - 1
+        names = np.zeros(len(starts), np.uint64)
+        i = 0
+        while i < len(starts):  # neighbouring runs that lie in a stretch of bounded size, or one longer run
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 20), "right")))
+            names[i:j] = Hashes(np.asarray(text[starts[i] : ends[j - 1]])).of(starts[i:j] - starts[i], ends[i:j] - starts[i])
+            i = j
+        names = mix(names + (ends - starts).astype(np.uint64))
+        _, one, count = np.unique(names, return_index=True, return_counts=True)
+        twice = np.isin(names, names[one[count > 1]])  # two places hold the whole run
+        found = [np.stack([starts[twice], ends[twice] - window + 1])]
+        one.sort()
+        starts, ends = starts[one], ends[one]
+        if not len(one):
+            return found[0]
+        length = ends - starts
+        at = np.cumsum(length + 1) - length - 1
+        joint = np.zeros(int((length + 1).sum()), np.uint8)
+        for s, e, x in zip(starts.tolist(), ends.tolist(), at.tolist(), strict=True):
+            joint[x : x + e - s] = text[s:e]
+        s, e = true_runs(repeated_starts(joint, window, memory))
+        of = np.searchsorted(at, s, "right") - 1
+        found.append(np.stack([s, e]) + (starts - at)[of])
+        s, e = np.concatenate(found, axis=1)
+        return np.stack(cover(s, e))
+
+
+class Pieces:
+    """One shard: pieces, each closed by a separator, as one text in memory or, beyond a bound, on disk."""
+
+    def __init__(self, folder: str, memory: int):
+        self.folder, self.memory, self.size, self.file = folder, memory, 0, None
+        self.held: list[bytes] = []
+        self.keys: list[np.ndarray] = []
+        self.starts: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.seen: set[int] = set()
+
+    def add(self, key: int, starts: bytes, ends: bytes, data: np.ndarray) -> None:
+        if key in self.seen:  # rows of one class may repeat
+            return
+        self.seen.add(key)
+        start = np.frombuffer(starts, np.int64)
+        length = np.frombuffer(ends, np.int64) - start
+        text = np.zeros(int((length + 1).sum()), np.uint8)
+        edge = np.cumsum(length + 1)
+        inside = np.ones(len(text), bool)
+        inside[edge - 1] = False
+        text[inside] = data + 1
+        self.keys.append(np.full(len(start), key, np.int64))
+        self.starts.append(start)
+        self.lengths.append(length)
+        self.size += len(text)
+        self.held.append(text.tobytes())
+        if self.file or self.size > self.memory:
+            self.file = self.file or open(f"{self.folder}/{uuid.uuid4().hex}", "wb")  # noqa: SIM115
+            self.file.write(b"".join(self.held))
+            self.held.clear()
+
+    def spans(self, window: int) -> list[tuple[int, bytes, bytes]]:
+        """(key, starts, ends) of what repeats."""
+        if not self.keys:
+            return []
+        if self.file:
+            self.file.close()
+            text = np.memmap(self.file.name, np.uint8, "r")
         else:
-            first[name] = i
-    one = np.array(sorted(first.values()), np.int64)
-    if not len(one):
-        return out
-    starts, ends = starts[one], ends[one]
-    length = ends - starts
-    at = np.cumsum(length + 1) - length - 1
-    joint = np.zeros(int((length + 1).sum()), np.uint8)
-    inside = np.ones(len(joint), bool)
-    inside[at + length] = False
-    place = np.repeat(starts - at, length + 1) + np.arange(len(joint))
-    joint[inside] = text[place[inside]]
-    hit = np.flatnonzero(repeated_starts(joint, window, memory))
-    out[place[hit]] = True
-    return out
+            text = np.frombuffer(b"".join(self.held), np.uint8)
+            self.held.clear()
+        s, e = repeats(text, window, self.memory)
+        if self.file:
+            os.unlink(self.file.name)
+        owner, start, length = (np.concatenate(x) for x in (self.keys, self.starts, self.lengths))
+        at = np.cumsum(length + 1) - length - 1
+        piece = np.searchsorted(at, s, "right") - 1
+        moved = start[piece] - at[piece]
+        of, s, e = owner[piece], s + moved, e + moved + window - 1
+        order = np.argsort(of, kind="stable")
+        return [(int(of[order[a]]), s[order[a : a + n]].tobytes(), e[order[a : a + n]].tobytes()) for a, n in zip(*runs(of[order]), strict=True)]
 
 
 POSTED = "part int, keys binary, tokens binary, owners binary, codes binary, counts binary"
@@ -337,40 +425,36 @@ def repeat_removal(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
             give_back()
 
-    def sort(table: pa.Table) -> pa.Table:
-        part, key = table["part"].to_numpy(), table["key"].to_numpy()
-        marks = np.flatnonzero(part < 0)
-        starts, ends = table["starts"].to_pylist(), table["ends"].to_pylist()
-        rows = [(int(key[i]), starts[i], ends[i]) for i in marks]
-        _, pieces = np.unique(np.where(part < 0, -1, key), return_index=True)  # a class once, should its rows repeat
-        pieces = pieces[part[pieces] >= 0]
-        if len(pieces):
-            start = [np.frombuffer(starts[i], np.int64) for i in pieces]
-            length = [np.frombuffer(ends[i], np.int64) - s for i, s in zip(pieces, start, strict=True)]
-            text = np.zeros(int(sum(n.sum() + len(n) for n in length)), np.uint8)  # pieces, each closed by a separator
-            filled, column = 0, table["bytes"]
-            for i, n in zip(pieces.tolist(), length, strict=True):
-                data, at = np.frombuffer(column[i].as_buffer(), np.uint8), 0
-                for size in n.tolist():
-                    np.add(data[at : at + size], 1, out=text[filled : filled + size])
-                    filled, at = filled + size + 1, at + size
-            hit = repeats(text, window, memory)
-            edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-            s, e = edge[::2], edge[1::2]
-            owner = np.repeat(key[pieces], [len(x) for x in start])
-            start, length = np.concatenate(start), np.concatenate(length)
-            at = np.cumsum(length + 1) - length - 1  # of each piece in text
-            piece = np.searchsorted(at, s, "right") - 1
-            moved = start[piece] - at[piece]
-            of, s, e = owner[piece], s + moved, e + moved + window - 1
-            order = np.argsort(of, kind="stable")
-            rows += [(int(of[order[a]]), s[order[a : a + n]].tobytes(), e[order[a : a + n]].tobytes()) for a, n in zip(*runs(of[order]), strict=True)]
-        give_back()
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["key", "starts", "ends"])
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards one after another, as rows come in order of shards; marks pass through."""
+
+        def batch_of(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["key", "starts", "ends"])
+
+        with tempfile.TemporaryDirectory(prefix="shards-") as folder:
+            shard, pieces = -1, None
+            for batch in batches:
+                passed = []
+                for part, key, starts, ends, data in zip(*(batch.column(i) for i in range(5)), strict=True):
+                    part, row = part.as_py(), (key.as_py(), starts.as_py(), ends.as_py())
+                    if part < 0:
+                        passed.append(row)
+                        continue
+                    if part != shard:
+                        if pieces:
+                            yield batch_of(pieces.spans(window))
+                            give_back()
+                        shard, pieces = part, Pieces(folder, memory)
+                    pieces.add(*row, np.frombuffer(data.as_buffer(), np.uint8))
+                yield batch_of(passed)
+            if pieces:
+                yield batch_of(pieces.spans(window))
+                give_back()
 
     moved = texts_of(chosen, size[0]).join(chosen.select("key", "codes"), "key").select("key", "text", "codes").mapInArrow(cut, MOVED)
-    spans = moved.withColumn("task", scatter(2)).groupBy("task").applyInArrow(lambda table: sort(table), "key long, starts binary, ends binary")
+    dealt = moved.withColumn("task", scatter(2)).repartition("task").sortWithinPartitions("task", "part").drop("task")
+    spans = dealt.mapInArrow(sort, "key long, starts binary, ends binary")
     spans = spans.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     partial = spans.join(classes.where(F.col("copies") == 1).select("key", "id"), "key")
     partial = staged(partial, "spans")
