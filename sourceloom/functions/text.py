@@ -25,9 +25,9 @@ WS = r"[\s\x{00A0}\x{FEFF}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{30
 def strip_marks(c: Column) -> Column:
     """NFKD without the marks U+0300-036F, inside the JVM: Spark has no normalisation of its own. Hangul stays composed."""
     single = F.regexp_replace(F.translate(c, "".join(_ONE), "".join(_ONE.values())), "[\\x{0300}-\\x{036F}]", "")
-    several = single
-    for x, y in _MANY.items():
-        several = F.replace(several, F.lit(x), F.lit(y))
+    keys, values = F.lit("".join(_MANY)), F.split(F.lit("\n".join(_MANY.values())), "\n")
+    one = lambda x: F.when(F.instr(keys, x) > 0, F.get(values, F.instr(keys, x) - 1)).otherwise(x)
+    several = F.array_join(F.transform(F.split(single, ""), one), "")
     several = F.when(single.rlike("[" + "".join(_MANY) + "]"), several).otherwise(single)
     return F.when(c.rlike("[^\\x00-\\x7F]"), several).otherwise(c)
 
