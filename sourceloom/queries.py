@@ -45,7 +45,7 @@ def page_title(html: str = "html") -> Column:
 
 
 def first_line(text: str = "text") -> Column:
-    return F.left(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit(160))
+    return F.split_part(text, F.lit("\n"), F.lit(1))
 
 
 def doc_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +231,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(F.col("page_id") % 3 != 0, page_title())
     return p.select(
         F.lit("r").alias("research_id"), (F.col("page_id") % 2).alias("search_no"), F.lit("web").alias("provider"), F.lit("q").alias("query"), F.col("page_id").alias("pos"), "url", title.alias("title"),
-        F.lit(None).cast("string").alias("publisher"), F.lit(None).cast("string").alias("published_at"), F.left(html_to_text(F.col("html")), F.lit(300)).alias("snippet"),
+        F.lit(None).cast("string").alias("publisher"), F.lit(None).cast("string").alias("published_at"), html_to_text(F.col("html")).alias("snippet"),
         F.when(F.col("page_id") % 2 == 1, "news").otherwise("web").alias("type"), F.lit(None).cast("double").alias("score"))
 
 
@@ -314,7 +314,7 @@ RELEVANCE_SQL = f"WITH {RELEVANCE_CTE} SELECT seq, score, relevant, array_to_str
 
 def scored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = doc_sources(spark, sf_dir)
-    d = d.withColumns({"snippet": F.left("text", F.lit(300)), "url": F.concat(F.lit("https://"), "research_id", F.lit(".example.org/"), "lang", F.lit("/erst-"), "seq"), "found_by_count": F.col("seq") % 3})
+    d = d.withColumns({"snippet": F.col("text"), "url": F.concat(F.lit("https://"), "research_id", F.lit(".example.org/"), "lang", F.lit("/erst-"), "seq"), "found_by_count": F.col("seq") % 3})
     researches = d.select("research_id").distinct().withColumns({"query": F.lit(f"research the {TOPIC[0]} {TOPIC[1]} of startups"), "focus": F.lit(SIDE)})
     return relevance.score_relevance(d, relevance.contexts(researches), F.lit(LATER).cast("timestamp"))
 
