@@ -140,7 +140,7 @@ TOKENS_SQL = f"SELECT doc_id, array_to_string(list_sort({TOKENS.replace("{0}", L
 
 
 def q_title_tokens(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").where("text IS NOT NULL").where(~first_line().rlike("[0-9]"))
+    d = t(spark, sf_dir, "documents").where("text IS NOT NULL")
     return d.select("doc_id", F.array_join(F.array_sort(title_tokens(first_line())), " ").alias("tokens"))
 
 
@@ -260,7 +260,7 @@ PAIRS_SQL = f"WITH {SOURCES_CTE}, {PAIRS_CTE} SELECT * FROM pairs"
 
 
 def story_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stories.with_tokens(doc_sources(spark, sf_dir).where(~F.col("title").rlike("[0-9]")))
+    return stories.with_tokens(doc_sources(spark, sf_dir))
 
 
 def q_story_pairs(spark, sf_dir):

@@ -128,3 +128,23 @@ def test_relevance_of_whole_texts(spark, tables):
     assert sum(r.n for r in Q.q_reason_histogram(spark, tables).collect()) == sum(not rel for _, rel in want.values())
     (found,) = Q.candidates(spark, tables).collect()
     assert found.snippet.endswith("erst")
+
+
+def test_titles_with_figures(spark, tmp_path):
+    texts = {
+        11: "Exein raises $270 Million for chips", 13: "Italy's Exein hits unicorn status with $270m", 16: "Fresh Exein money: 270 mn confirmed yesterday", 17: "Other people got 270 million euro", 18: "A 1,500 strong crew won 2.5 bn and 16 million",
+        19: "Crew with 1500 people gets 2,5 billion", 21: "Model 7 of 2024 released early today", 22: "Model 7 of 2024 released early today\nbody",
+    }
+    docs = [(k, v, "en", "web", len(v)) for k, v in texts.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {k: (tokens(line(v)), day(k)) for k, v in texts.items()}
+    got = {r.doc_id: r.tokens for r in Q.q_title_tokens(spark, str(tmp_path)).collect()}
+    assert got == {k: " ".join(sorted(v)) for k, (v, _) in rows.items()} and {"1500", "2.5b", "16m"} <= set(got[18].split())
+    want = literal_pairs(rows)
+    assert {(r.a, r.b): (r.reason, r.similarity) for r in Q.q_story_pairs(spark, str(tmp_path)).collect()} == want
+    assert want[11, 13][0] == want[18, 19][0] == "same_figure" and (11, 16) not in want and want[21, 22][0] == "same_title"
+    primary = literal_clusters(rows)
+    assert {r.seq: r.primary_seq for r in Q.q_story_clusters(spark, str(tmp_path)).collect()} == primary
+    assert primary[16] == 11  # through a duplicate
+    sizes = {p: list(primary.values()).count(p) for p in primary.values()}
+    assert {r.primary_seq: r.members for r in Q.q_story_sizes(spark, str(tmp_path)).collect()} == sizes
