@@ -148,3 +148,18 @@ def test_titles_with_figures(spark, tmp_path):
     assert primary[16] == 11  # through a duplicate
     sizes = {p: list(primary.values()).count(p) for p in primary.values()}
     assert {r.primary_seq: r.members for r in Q.q_story_sizes(spark, str(tmp_path)).collect()} == sizes
+
+
+def test_site_suffix_of_all_pages(spark, tmp_path):
+    titles = {2: "One two three", 4: "Short head", 6: "Some news: a - b of them", 8: "Head words here | Acme", 10: "", 1: "Short", 3: "A - b | c", 5: "", 7: "One two three - Zzyzx Nowhere", 12: "Well-known things of today"}
+    rows = [(k, f"https://www.acme.com/{k}", f"<html><title>{v}</title></html>") for k, v in titles.items()] + [(14, "https://acme.com/", "<p>no title</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {}
+    for k, v in (titles | {14: ""}).items():
+        full = f"{v} | " + ("Zzyzx Nowhere" if k % 2 else "acme.com")
+        cut = [m for m in re.finditer(r"\s+[|·:–—-]\s+", full)][-1:]  # the last separator
+        head, tail = (full[: cut[0].start()], re.sub("[^a-z0-9]", "", full[cut[0].end() :].lower())) if cut else ("", "")
+        site = any(tail.startswith(n) or n.startswith(tail) for n in ("acmecom", "acme"))
+        want[k] = head if head and tail and site and len(head.split()) >= 3 else full
+    assert {r.page_id: r.title for r in Q.q_site_suffix(spark, str(tmp_path)).collect()} == want
+    assert want[2] == "One two three" and want[4] == "Short head | acme.com" and want[8] == "Head words here | Acme"
