@@ -23,10 +23,11 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The matches of [0-9a-f]+ are maximal runs, so those long enough can be sought alone.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
+#: No part has a greatest length: a run is taken whole and ends its pattern, so long ones take linear time.
 WEAK = {
-    "identifier": re.compile(r"""(?:access[_ -]?(?:key[_ -]?)?id|client[_ -]?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,64})""", re.I | re.A),
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])"),
-    "endpoint": re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,200}|(?<![A-Za-z0-9.-])(?:[a-z0-9-]+\.){2,}[a-z]{2,}:[0-9]{2,5}", re.A),
+    "identifier": re.compile(r"""(?:access[_ -]?(?:key[_ -]?)?id|client[_ -]?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"),
+    "endpoint": re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,}|(?<![A-Za-z0-9.-])(?:[a-z0-9-]+\.){2,}[a-z]{2,}:[0-9]{2,5}", re.A),
 }
 SCOPE = re.compile(r"\n[\x20\t\r]*\n")
 

@@ -89,6 +89,13 @@ def test_linking_needs_complementary_parts():
     assert secrets.link("https://api.example.com/v1 user=me", []) == []
 
 
+def test_long_parts_are_whole():
+    secret, user, url = "aB3xY9+/Qz7Lm2Wk5" * 40, "u" * 90, "https://example.org/" + "p" * 400
+    text = f"login: {user} {secret} {url}"
+    spans = {k: text[a:b] for a, b, k in secrets.link(text, [])}
+    assert spans == {"linked_identifier": user, "linked_secret": secret, "linked_endpoint": url}
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts(spark, name):
     rng = random.Random(3)
