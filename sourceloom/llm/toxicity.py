@@ -163,30 +163,12 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> ToxicModel:
-    """Fit on at most max_docs labelled documents; of near copies, told by one min-hash, one counts."""
+    """Fit on at most max_docs labelled documents, those whose ids have the least hashes; each counts, copies too."""
     model = ToxicModel()
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     sample = staged(marked.orderBy(F.xxhash64("lid"), "lid").limit(max_docs), "sample")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text") != "")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            name = np.zeros(batch.num_rows, np.int64)
-            for i, j in chunks(offsets, CHUNK_BYTES):
-                part, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                start, _, word = word_hashes(FOLD[part], IS_LETTER[part], cut[1:-1])
-                of = np.searchsorted(cut, start, "right") - 1
-                pair = mix(word[:-1] + np.uint64(3) * word[1:])
-                same = of[1:] == of[:-1]
-                best = np.full(j - i, ~np.uint64(0))
-                np.minimum.at(best, of[:-1][same], pair[same])
-                name[i:j] = (best >> np.uint64(1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(name)], ["id", "y", "name"])
-
-    chosen = own.join(F.broadcast(sample), F.col("id") == F.col("lid")).select("id", "text", "y")
-    named = chosen.mapInArrow(near, f"id {own.schema['id'].dataType.simpleString()}, y int, name long")
-    sample = staged(named.groupBy("name").agg(F.min_by(F.struct("id", "y"), "id").alias("x")).select(F.col("x.id").alias("lid"), F.col("x.y").alias("y")).distinct(), "sample")
     chosen = own.join(F.broadcast(sample), F.col("id") == F.col("lid")).select("text", "y")
     width = (1 << BITS) // RANGES
 

@@ -195,6 +195,16 @@ def test_attention_gradient():
 DIR = "/root/testdata/sf0.1"
 
 
+def test_every_labelled_document_counts(spark):
+    rng = random.Random(4)
+    plain = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(300))
+    texts = {i: plain() if i % 10 < 2 else "vile" if i % 2 else "kind" for i in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = toxicity.fit_toxicity(df, df.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    got = {texts[r.doc_id]: r.score for r in toxicity.score_toxicity(df, model).collect()}
+    assert got["vile"] > 0.5 > got["kind"]
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="test tables are missing")
 @pytest.mark.parametrize(("query", "label", "auc", "accuracy"), [("op1_quality", "quality", 0.97, 0.97), ("op6_toxicity", "toxic", 0.93, 0.95)])
 def test_held_out(spark, query, label, auc, accuracy):
