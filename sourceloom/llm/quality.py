@@ -26,8 +26,8 @@ CLASS[IS_SPACE], CLASS[10], CLASS[97:123], CLASS[65:91], CLASS[48:58] = 0, 1, 2,
 CLASS[46], CLASS[44], CLASS[[33, 63]], CLASS[[34, 39, 40, 41, 91, 93]] = 5, 6, 7, 8
 CLASS[192:], CLASS[128:192] = 10, 11
 N_FEATURES = N_CLASSES**2 + 6
-#: Labelled documents that a fit sees at most, and passages of each: evenly spread ones of longer documents, in the fit alone.
-MAX_DOCS, MAX_PASSAGES = 6000, 64
+#: Labelled documents that a fit sees at most, each with all its passages.
+MAX_DOCS = 6000
 
 
 def passage_features(data: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -132,7 +132,7 @@ class AttentionModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS) -> AttentionModel:
-    """Fit on at most max_docs labelled documents, those whose ids have the least hashes; several labels of an id are averaged."""
+    """Fit on at most max_docs labelled documents, those whose ids have the least hashes, and on all their passages; several labels of an id are averaged."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     sample = F.broadcast(marked.orderBy(F.xxhash64("lid"), "lid").limit(max_docs))
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, F.col("id") == F.col("lid")).select("lid", "y", "text")
@@ -145,11 +145,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                     parts.setdefault(i + r, []).append(x[a : a + n].astype(np.float32))
             rows = sorted(parts)
             whole = [np.concatenate(parts[r]) for r in rows]
-            whole = [x if len(x) <= MAX_PASSAGES else x[np.linspace(0, len(x) - 1, MAX_PASSAGES).astype(int)] for x in whole]
             pick = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick).cast(pa.string()), batch.column(1).take(pick), pa.array([x.tobytes() for x in whole], pa.binary())], ["id", "y", "x"])
 
-    got = chosen.withColumn("lid", F.col("lid").cast("string")).mapInArrow(featurise, "id string, y int, x binary").collect()  # max_docs bags of bounded size
+    got = chosen.withColumn("lid", F.col("lid").cast("string")).mapInArrow(featurise, "id string, y int, x binary").collect()  # at most max_docs bags
     got.sort(key=lambda r: (r["id"], r["x"]))
     model = AttentionModel()
     if got:

@@ -195,6 +195,14 @@ def test_attention_gradient():
 DIR = "/root/testdata/sf0.1"
 
 
+def test_fit_sees_every_passage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.AttentionModel, "fit", lambda self, x, first, y: seen.append((len(x), len(first))))
+    df = spark.createDataFrame([(1, "long text " * 10_000), (2, "short")], "doc_id long, text string")
+    quality.fit_quality(df, df.select("doc_id", (F.col("doc_id") % 2).alias("quality")))
+    assert seen == [(-(-100_000 // quality.PASSAGE) + 1, 2)]
+
+
 def test_every_labelled_document_counts(spark):
     rng = random.Random(4)
     plain = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(300))
