@@ -114,9 +114,11 @@ def q_site_suffix(spark, sf_dir):
 
 
 SUFFIX_SQL = f"""
-WITH p AS (SELECT page_id, trim(regexp_replace({TEXT_SQL.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '{LEAD}', '')) AS s FROM pages)
-SELECT page_id, CASE WHEN page_id % 2 = 0 THEN s ELSE s || ' | Zzyzx Nowhere' END AS title FROM p
-WHERE s <> '' AND NOT regexp_matches(s, '\\s[|·:–—-]\\s') AND (page_id % 2 = 1 OR len(string_split_regex(s, '\\s+')) >= 3)
+WITH p AS (SELECT page_id, {HOST} AS host, trim(regexp_replace({TEXT_SQL.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '{LEAD}', '')) || ' | ' AS s FROM pages),
+f AS (SELECT page_id, s || CASE WHEN page_id % 2 = 0 THEN host ELSE 'Zzyzx Nowhere' END AS f, [regexp_replace(x, '[^a-z0-9]', '', 'g') FOR x IN list_append(string_split(host, '.')[:-2], host)] AS names FROM p),
+c AS (SELECT *, regexp_extract(f, '^(.*)\\s+[|·:–—-]\\s+(.*)$', 1) AS head, regexp_replace(lower(regexp_extract(f, '^(.*)\\s+[|·:–—-]\\s+(.*)$', 2)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS tail FROM f)
+SELECT page_id, CASE WHEN head <> '' AND tail <> '' AND len(string_split_regex(head, '\\s+')) >= 3
+    AND len([n FOR n IN names IF len(n) >= 3 AND (starts_with(tail, n) OR starts_with(n, tail))]) > 0 THEN head ELSE f END AS title FROM c
 """
 
 JUNK_TITLES = ["Access Denied", "404 not found | site", "Just a moment...", "error", "Errors in the wild", "Sign in - x", "login page", "Page Not Found: x"]
@@ -131,11 +133,25 @@ def q_junk_pages(spark, sf_dir):
     return p.where(normalize.is_junk_title(F.col("title"))).select("page_id", "title")
 
 
+def figures_sql(text: str) -> str:
+    """Amounts as 16m or 2.5b and thousands without separators. There is no look-around here: what follows an amount is put back, amounts
+    whose neighbour took their border come in a second pass, and separators are marked before those between thousands go."""
+    for words, unit in (("million|mn|mln|m", "m"), ("billion|bn|b", "b")):
+        text = f"regexp_replace({text}, '([0-9]+)[.,]([0-9]+)\\s*(?:{words})([^A-Za-z0-9_]|$)', ' \\1.\\2{unit} \\3', 'g')"
+        for _ in range(2):
+            text = f"regexp_replace({text}, '(^|[^0-9.,]|^[.,]|[^0-9][.,])([0-9]+)\\s*(?:{words})([^A-Za-z0-9_]|$)', '\\1 \\2{unit} \\3', 'g')"
+    text = f"regexp_replace({text}, '([.,])', chr(1) || '\\1', 'g')"
+    for sign, mark in ((",", "chr(2)"), ("[.]", "chr(3)")):
+        text = f"regexp_replace({text}, '{sign}([0-9]{{3}})([^A-Za-z0-9_]|$)', {mark} || '\\1\\2', 'g')"
+    text = f"regexp_replace({text}, '([0-9])' || chr(1) || '[' || chr(2) || chr(3) || ']', '\\1', 'g')"
+    return f"replace(translate({text}, chr(2) || chr(3), ',.'), chr(1), '')"
+
+
+LINE = "string_split(text, chr(10))[1]"
+PLAIN = f"strip_accents(lower({LINE}))"
 TOKENS = f"""list_distinct([CASE WHEN len(x) > 4 AND x LIKE '%s' AND x NOT LIKE '%ss' THEN x[:-2] ELSE x END FOR x IN
-  [regexp_replace(y, '^\\.+|\\.+$', '', 'g') FOR y IN string_split_regex(strip_accents(lower({{0}})), '[^\\p{{L}}\\p{{N}}.]+')] IF x <> '' AND x NOT IN {q(L.TITLE_STOPWORDS)}])"""
-LINE = "string_split(text, chr(10))[1][:160]"
-PLAIN_TITLE = "NOT regexp_matches({0}, '[0-9]')"
-TOKENS_SQL = f"SELECT doc_id, array_to_string(list_sort({TOKENS.replace("{0}", LINE)}), ' ') AS tokens FROM documents WHERE text IS NOT NULL AND {PLAIN_TITLE.format(LINE)}"
+  [regexp_replace(y, '^\\.+|\\.+$', '', 'g') FOR y IN string_split_regex({figures_sql(PLAIN)}, '[^\\p{{L}}\\p{{N}}.]+')] IF x <> '' AND x NOT IN {q(L.TITLE_STOPWORDS)}])"""
+TOKENS_SQL = f"SELECT doc_id, array_to_string(list_sort({TOKENS}), ' ') AS tokens FROM documents WHERE text IS NOT NULL"
 
 
 def q_title_tokens(spark, sf_dir):
@@ -246,15 +262,17 @@ def q_merge_stats(spark, sf_dir):
     return ingest.merge_stats(candidates(spark, sf_dir)).drop("research_id")
 
 
-SOURCES_CTE = f"""s AS (SELECT source AS rid, doc_id AS seq, CASE WHEN doc_id % 5 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days((doc_id % 30)::INT) END AS ts, {TOKENS.replace("{0}", LINE)} AS tk
-  FROM documents WHERE text IS NOT NULL AND {PLAIN_TITLE.format(LINE)})"""
-GENERIC_LIST = q(L.GENERIC_WORDS)
-PAIRS_CTE = f"""x AS (SELECT a.rid, a.seq AS a, b.seq AS b, abs(epoch_ms(a.ts) - epoch_ms(b.ts)) AS gap, len(list_intersect(a.tk, b.tk))::DOUBLE AS sh, len(a.tk) AS na, len(b.tk) AS nb
+SOURCES_CTE = f"""s AS (SELECT source AS rid, doc_id AS seq, CASE WHEN doc_id % 5 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days((doc_id % 30)::INT) END AS ts, {TOKENS} AS tk
+  FROM documents WHERE text IS NOT NULL)"""
+MONEY = "regexp_full_match(t, '[0-9]+(\\.[0-9]+)?[mb]')"
+PAIRS_CTE = f"""x AS (SELECT a.rid, a.seq AS a, b.seq AS b, abs(epoch_ms(a.ts) - epoch_ms(b.ts)) AS gap, list_intersect(a.tk, b.tk) AS common, len(common)::DOUBLE AS sh, len(a.tk) AS na, len(b.tk) AS nb
   FROM s a JOIN s b ON a.rid = b.rid AND a.seq < b.seq),
-y AS (SELECT *, sh / greatest(na + nb - sh, 1) AS j, sh / greatest(least(na, nb), 1) AS c FROM x),
-pairs AS (SELECT rid AS research_id, a, b, CASE WHEN sh >= 3 AND j >= 0.9 THEN 'same_title' ELSE 'similar_title' END AS reason,
-  floor((CASE WHEN sh >= 3 AND j >= 0.9 THEN j ELSE greatest(j, c * 0.85) END) * 100 + 0.5) / 100 AS similarity
-  FROM y WHERE (gap IS NULL OR gap <= 345600000) AND sh >= 3 AND (j >= 0.9 OR gap IS NOT NULL AND greatest(j, c * 0.85) >= 0.7))"""
+y AS (SELECT *, sh / greatest(na + nb - sh, 1) AS j, sh / greatest(least(na, nb), 1) AS c,
+  coalesce(gap <= 259200000, false) AND len([t FOR t IN common IF {MONEY}]) > 0 AND len([t FOR t IN common IF NOT {MONEY} AND t NOT IN {q(L.GENERIC_WORDS)} AND NOT regexp_full_match(t, '[0-9]+')]) > 0 AS figure FROM x WHERE sh > 0),
+z AS (SELECT *, CASE WHEN sh >= 3 AND j >= 0.9 THEN 'same_title' WHEN figure THEN 'same_figure' WHEN sh >= 3 AND gap IS NOT NULL AND greatest(j, c * 0.85) >= 0.7 THEN 'similar_title' END AS reason
+  FROM y WHERE gap IS NULL OR gap <= 345600000),
+pairs AS (SELECT rid AS research_id, a, b, reason, CASE reason WHEN 'same_figure' THEN 1.0 ELSE floor((CASE WHEN reason = 'same_title' THEN j ELSE greatest(j, c * 0.85) END) * 100 + 0.5) / 100 END::DOUBLE AS similarity
+  FROM z WHERE reason IS NOT NULL)"""
 PAIRS_SQL = f"WITH {SOURCES_CTE}, {PAIRS_CTE} SELECT * FROM pairs"
 
 
@@ -266,15 +284,16 @@ def q_story_pairs(spark, sf_dir):
     return stories.story_pairs(story_sources(spark, sf_dir))
 
 
-# without figures only primaries gather sources, so a source is a primary exactly if no earlier match is one
+# a source joins the earliest story whose primary it matches, or one of whose duplicates it matches by figure
 CLUSTERS_SQL = f"""
 WITH RECURSIVE {SOURCES_CTE}, {PAIRS_CTE},
 o AS (SELECT rid, seq, row_number() OVER (PARTITION BY rid ORDER BY seq) AS k FROM s),
-w AS (SELECT rid, k, seq, seq AS prim, [seq] AS prims FROM o WHERE k = 1
+w AS (SELECT rid, k, seq, seq AS prim, [seq] AS seqs, [seq] AS prims FROM o WHERE k = 1
   UNION ALL
-  SELECT o.rid, o.k, o.seq, coalesce((SELECT min(p.a) FROM pairs p WHERE p.research_id = o.rid AND p.b = o.seq AND list_contains(w.prims, p.a)), o.seq),
-    CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.research_id = o.rid AND p.b = o.seq AND list_contains(w.prims, p.a)) THEN w.prims ELSE list_append(w.prims, o.seq) END
-  FROM w JOIN o ON o.rid = w.rid AND o.k = w.k + 1)
+  SELECT rid, k, seq, prim, list_append(seqs, seq), list_append(prims, prim) FROM (
+    SELECT o.rid, o.k, o.seq, w.seqs, w.prims, coalesce((SELECT min(w.prims[list_position(w.seqs, p.a)]) FROM pairs p WHERE p.research_id = o.rid AND p.b = o.seq
+      AND (w.prims[list_position(w.seqs, p.a)] = p.a OR p.reason = 'same_figure')), o.seq) AS prim
+    FROM w JOIN o ON o.rid IS NOT DISTINCT FROM w.rid AND o.k = w.k + 1))
 SELECT rid AS research_id, seq, prim AS primary_seq FROM w
 """
 
@@ -301,7 +320,7 @@ def field_sql(word: str) -> str:
     return f"CASE WHEN regexp_matches(title, '{p}') THEN 1.0 WHEN regexp_matches(snippet, '{p}') THEN 0.6 WHEN regexp_matches(path, '{p}') THEN 0.4 ELSE 0.0 END::DOUBLE"
 
 
-RELEVANCE_CTE = f"""d AS (SELECT source AS research_id, doc_id AS seq, {LINE} AS title, text[:300] AS snippet, ' ' || lang || ' erst ' || doc_id AS path, doc_id % 3 AS fb,
+RELEVANCE_CTE = f"""d AS (SELECT source AS research_id, doc_id AS seq, {LINE} AS title, text AS snippet, ' ' || lang || ' erst ' || doc_id AS path, doc_id % 3 AS fb,
   (epoch_ms(TIMESTAMP '{LATER}') - epoch_ms(CASE WHEN doc_id % 5 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days((doc_id % 30)::INT) END)) / 31557600000.0 AS age FROM documents WHERE text IS NOT NULL),
 f AS (SELECT *, {field_sql(TOPIC[0])} AS t0, {field_sql(TOPIC[1])} AS t1, {field_sql(SIDE)} AS fo FROM d),
 g AS (SELECT *, greatest(0.0, least(1.0, (t0 + t1) / 2 + 0.1::DOUBLE * fo + CASE WHEN fb >= 2 THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN age > 2 THEN 0.15::DOUBLE ELSE 0 END)) AS raw FROM f),

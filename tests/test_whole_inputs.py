@@ -1,9 +1,11 @@
 """Registered queries over whole titles and texts, against the literal rules on small tables of our own."""
 
 import math
+import os
 import re
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,16 @@ def tokens(title):
     return list(dict.fromkeys(x[:-1] if len(x) > 4 and x.endswith("s") and not x.endswith("ss") else x for x in kept))
 
 
+def sql_rows(name, path):
+    """Rows of a query's SQL over the tables at path."""
+    con = duckdb.connect()
+    for table in os.listdir(path):
+        if table.endswith(".parquet"):
+            con.sql(f"CREATE VIEW {table[:-8]} AS SELECT * FROM '{path}/{table}/*.parquet'")
+    return sorted(con.sql(Q.ORACLES[name]).fetchall())
+
+
+
 def day(k):
     return datetime(2024, 1, 1) + timedelta(k % 30) if k % 5 else None
 
@@ -126,6 +138,7 @@ def test_relevance_of_whole_texts(spark, tables):
         best[k - k % 4] = max(s, best.get(k - k % 4, 0))
     assert {r.primary_seq: r.score for r in Q.q_best_member(spark, tables).collect()} == best
     assert sum(r.n for r in Q.q_reason_histogram(spark, tables).collect()) == sum(not rel for _, rel in want.values())
+    assert [(a, b) for a, b, *_ in sql_rows("keyword_relevance", tables)] == sorted((k, x) for k, (x, _) in want.items())
     (found,) = Q.candidates(spark, tables).collect()
     assert found.snippet.endswith("erst")
 
@@ -133,7 +146,7 @@ def test_relevance_of_whole_texts(spark, tables):
 def test_titles_with_figures(spark, tmp_path):
     texts = {
         11: "Exein raises $270 Million for chips", 13: "Italy's Exein hits unicorn status with $270m", 16: "Fresh Exein money: 270 mn confirmed yesterday", 17: "Other people got 270 million euro", 18: "A 1,500 strong crew won 2.5 bn and 16 million",
-        19: "Crew with 1500 people gets 2,5 billion", 21: "Model 7 of 2024 released early today", 22: "Model 7 of 2024 released early today\nbody",
+        19: "Crew with 1500 people gets 2,5 billion", 20: "Sums 1,500,000,000 or 1m 2m 3.5m of 1.000.000 and v.500 x,500 12,34m9", 21: "Model 7 of 2024 released early today", 22: "Model 7 of 2024 released early today\nbody",
     }
     docs = [(k, v, "en", "web", len(v)) for k, v in texts.items()]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
@@ -146,6 +159,9 @@ def test_titles_with_figures(spark, tmp_path):
     primary = literal_clusters(rows)
     assert {r.seq: r.primary_seq for r in Q.q_story_clusters(spark, str(tmp_path)).collect()} == primary
     assert primary[16] == 11  # through a duplicate
+    assert sql_rows("title_tokens", tmp_path) == sorted((k, " ".join(sorted(v))) for k, (v, _) in rows.items())
+    assert sql_rows("story_pairs", tmp_path) == sorted(("web", a, b, r, x) for (a, b), (r, x) in want.items())
+    assert sql_rows("story_clusters", tmp_path) == sorted(("web", a, b) for a, b in primary.items())
     sizes = {p: list(primary.values()).count(p) for p in primary.values()}
     assert {r.primary_seq: r.members for r in Q.q_story_sizes(spark, str(tmp_path)).collect()} == sizes
 
@@ -162,4 +178,5 @@ def test_site_suffix_of_all_pages(spark, tmp_path):
         site = any(tail.startswith(n) or n.startswith(tail) for n in ("acmecom", "acme"))
         want[k] = head if head and tail and site and len(head.split()) >= 3 else full
     assert {r.page_id: r.title for r in Q.q_site_suffix(spark, str(tmp_path)).collect()} == want
+    assert sql_rows("site_suffix", tmp_path) == sorted(want.items())
     assert want[2] == "One two three" and want[4] == "Short head | acme.com" and want[8] == "Head words here | Acme"
