@@ -5,6 +5,7 @@ import os
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +159,22 @@ def test_mix_follows_weights(spark):
     assert 2.5 < taken[1] / taken[0] < 3.5
 
 
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    """Copies of a row and rows without an id are drawn one by one, as the SQL draws them, and numbered in short runs."""
+    monkeypatch.setattr(mixing, "RUN_ROWS", 7)
+    rows = [(1, "one two three four", "a")] * 500 + [(None, "w " * (1 + i % 9), "b") for i in range(400)] + [(i, "x y " * (i % 40), "c") for i in range(2, 300)] + [(None, None, "b")] * 5 + [(1, "one two three four", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = df.toArrow()  # noqa: F841, read by DuckDB
+    want = sorted(map(str, duckdb.sql(mixing.MIX_SQL.format(docs="mixed")).fetchall()))
+    got = mixing.mix_sources(df, keep=("text",)).collect()
+    assert sorted(str((r.doc_id, r["size"], r.source_size, r.target, r.taken)) for r in got) == want
+    assert all(r.taken in (r["size"] * c for c in range(4)) and len((r.text or "").split()) == r["size"] for r in got)
+    for s in ("a", "b", "c", None):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own) / 2 + 1e-9
+    assert len({r.taken for r in got if r.source == "a"}) == 2
+
+
 def test_maximal_segments():
     def brute(s, at=0):
         best = max(((sum(s[i:j]), -(j - i), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0, 0), key=lambda x: (round(x[0], 9), x[1]))
