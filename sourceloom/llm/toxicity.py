@@ -3,8 +3,9 @@
 A word's units are itself and its byte n-grams (stems of compounds show there). Log-odds of units between toxic and
 other labelled documents, under an informative Dirichlet prior, give each word a score: positive where a unit is clearly
 toxic, else a small negative drift. All maximal scoring segments of a document are found in linear time. Segment scores
-are calibrated by extreme-value theory - lambda * S - ln(K N) has a Gumbel tail in clean text - and the best segment and
-the sum of the significant ones give the document's probability by a logistic fit.
+are calibrated by extreme-value theory - lambda * S - ln(K N) has a Gumbel tail in clean text, lambda from the scores of its
+words and K from the best segments and lengths of its documents - and the best segment and the sum of the significant
+ones give the document's probability by a logistic fit.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mod_crc32, staged
+from .common import labelled_sample, mod_crc32, staged
 from .textbytes import BYTE, FOLD, IS_LETTER, buffers, chunks, mix, powers, word_hashes
 
 BITS = 20
@@ -27,8 +28,11 @@ CHUNK_BYTES = 1 << 20
 RANGES = 64
 #: Labelled documents that a fit sees at most: those whose ids have the least hashes.
 MAX_DOCS = 40_000
-#: Standard errors from zero at which a unit counts, drift of a word without evidence, weight of the prior against all counts.
-Z, DRIFT, PRIOR = 2.5, 0.25, 0.1
+#: Bounds of a document's best normalised segment, and steps of evidence in which documents are counted for the logistic fit.
+BEST, EVIDENCE_STEP = (-10.0, 40.0), 0.02
+#: Standard errors from zero at which a unit counts and its least log-odds: with many documents, topics that toxic ones merely
+#: lean to are significant too. Then the drift of a word without evidence and the weight of the prior against all counts.
+Z, LEAST, DRIFT, PRIOR = 2.5, 1.0, 0.25, 0.1
 #: Probability below which a segment by itself is significant in a clean text of its length.
 ALPHA = 0.05
 
@@ -54,25 +58,35 @@ def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) by the linear-time algorithm of Ruzzo and Tompa."""
-    # each candidate: start, end, total before it, total at its end
-    stack: list[tuple[int, int, float, float]] = []
-    total = 0.0
+    """All maximal scoring segments (start, end, score) by the linear-time algorithm of Ruzzo and Tompa.
+
+    Each candidate keeps a link to the last one before it whose left total is lower. A search follows links, and what it
+    passes over lies behind the new candidate for ever, so all searches together take linear time.
+    """
+    # each candidate: start, end, total before it, total at its end, place of the last one that begins lower
+    stack: list[tuple[int, int, float, float, int]] = []
+    total = scores[0] * 0 if scores else 0.0
     for i, s in enumerate(scores):
+        before, total = total, total + s
         if s > 0:
-            new = (i, i + 1, total, total + s)
-            while stack:
-                # the last candidate that begins lower; those above it can't grow any more
-                j = len(stack) - 1
-                while j >= 0 and stack[j][2] >= new[2]:
-                    j -= 1
-                if j < 0 or stack[j][3] >= new[3]:
+            start, left = i, before
+            j = len(stack) - 1
+            while True:
+                while j >= 0 and stack[j][2] >= left:
+                    j = stack[j][4]
+                if j < 0 or stack[j][3] >= total:
                     break
-                new = (stack[j][0], new[1], stack[j][2], new[3])
-                del stack[j:]
-            stack.append(new)
-        total += s
-    return [(a, b, r - left) for a, b, left, r in stack]
+                # from that candidate on they are one; it begins where it began, and so does its own search
+                start, left, j = stack[j][0], stack[j][2], _cut(stack, j)
+            stack.append((start, i + 1, left, total, j))
+    return [(a, b, right - left) for a, b, left, right, _ in stack]
+
+
+def _cut(stack: list[tuple], j: int) -> int:
+    """Drop the candidates from j on; j's own link."""
+    link = stack[j][4]
+    del stack[j:]
+    return link
 
 
 def word_scores(owner: np.ndarray, bucket: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
@@ -103,7 +117,7 @@ def segments(words: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def log_odds(toxic: np.ndarray, other: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """Score of each bucket from numbers of documents: log-odds where at least Z standard errors from zero, else 0."""
+    """Score of each bucket from numbers of documents: log-odds where at least Z standard errors from zero and, if toxic, at least LEAST, else 0."""
     both = toxic + other
     prior = PRIOR * both
     a, b = toxic + prior, other + prior
@@ -112,7 +126,7 @@ def log_odds(toxic: np.ndarray, other: np.ndarray, n1: float, n0: float) -> np.n
         d = np.log(a / np.maximum(big1 - a, 0.5)) - np.log(b / np.maximum(big0 - b, 0.5))
         z = d / np.sqrt(1 / a + 1 / b)
     d = np.where(both > 0, d, 0.0)
-    return np.where(both > 0, np.where(z >= Z, d, np.where(z <= -Z, np.maximum(d, -1.0), 0.0)), 0.0)
+    return np.where(both > 0, np.where((z >= Z) & (d >= LEAST), d, np.where(z <= -Z, np.maximum(d, -1.0), 0.0)), 0.0)
 
 
 def gumbel_rate(values: np.ndarray, weights: np.ndarray) -> float:
@@ -130,6 +144,11 @@ def gumbel_rate(values: np.ndarray, weights: np.ndarray) -> float:
     return max(lo, 0.05)
 
 
+def gumbel_factor(n_seen: float, exposure: float) -> float:
+    """ln K: the most likely K is the number of clean documents with a segment over the sum of N exp(-lambda S) of all of them."""
+    return float(np.log(np.clip(n_seen / exposure, 1e-6, 1.0))) if n_seen > 0 and exposure > 0 else float(np.log(0.1))
+
+
 class ToxicModel:
     """Bucket scores, the extreme-value constants of clean text, and the logistic weights."""
 
@@ -138,38 +157,44 @@ class ToxicModel:
         self.rate, self.log_k = 1.0, np.log(0.1)
         self.weights = np.zeros(3)
 
+    def bits(self, found: list[float], n: int) -> np.ndarray:
+        """Normalised scores of the segments of a text of n words."""
+        return self.rate * np.array(found, float) - self.log_k - np.log(max(n, 1))
+
     def evidence(self, found: list[float], n: int) -> tuple[float, float]:
-        """(best normalised segment, sum of the significant ones), 0 where there is none."""
-        bits = self.rate * np.array(found) - self.log_k - np.log(max(n, 1))
+        """(best normalised segment between the bounds of BEST, the lower one where there is none; logarithm of one and the sum of the significant ones)."""
+        bits = self.bits(found, n)
         significant = bits[bits > -np.log(ALPHA)]
-        return float(max(bits.max(), 0.0)) if len(bits) else 0.0, float(significant.sum())
+        return float(np.clip(bits.max(), *BEST)) if len(bits) else BEST[0], float(np.log1p(significant.sum()))
 
     def probability(self, best: float, total: float) -> float:
-        x = self.weights @ np.array([1.0, np.log1p(best), np.log1p(total)])
         # documents without a significant segment keep an order by their best one; the logit is bounded
+        x = self.weights @ np.array([1.0, best, total])
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method for a ridge logistic regression; the slopes are kept at 0 or above."""
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
-        w = w - np.clip(np.linalg.solve(h, g), -2, 2)
-        w[1:] = np.maximum(w[1:], 0)
-    return w
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    """Newton's method for a ridge logistic regression on rows that count n times. More evidence never lowers the answer: a feature
+    whose slope would be below 0 is left out, the lowest first."""
+    w, used = np.zeros(x.shape[1]), np.arange(x.shape[1])
+    while True:
+        part, v = x[:, used], np.zeros(len(used))
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(part @ v, -30, 30)))
+            g = part.T @ (n * (p - y)) + ridge * v
+            h = (part * (n * (p * (1 - p) + 1e-6))[:, None]).T @ part + ridge * np.eye(len(v))
+            v = v - np.clip(np.linalg.solve(h, g), -2, 2)
+        if len(v) > 1 and v[1:].min() < 0:
+            used = np.delete(used, 1 + int(v[1:].argmin()))
+            continue
+        w[used] = v
+        return w
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> ToxicModel:
-    """Fit on at most max_docs labelled documents, those whose ids have the least hashes; each counts, copies too."""
+    """Fit on at most max_docs labelled documents with a text (see labelled_sample). The driver sees counts of fixed size alone."""
     model = ToxicModel()
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    sample = staged(marked.orderBy(F.xxhash64("lid"), "lid").limit(max_docs), "sample")
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text") != "")
-
-    chosen = own.join(F.broadcast(sample), F.col("id") == F.col("lid")).select("text", "y")
+    chosen = labelled_sample(docs, labels, id_col, text_col, label_col, max_docs).where("text <> ''").select("text", "y")
     width = (1 << BITS) // RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +209,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 counts[0] += np.bincount(seen[~toxic] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
                 counts[1] += np.bincount(seen[toxic] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
                 n += np.bincount(y[i:j], minlength=2)[:2]
-        rows = [(r, counts[:, r * width : (r + 1) * width].tobytes(), int(n[0]) * (r == 0), int(n[1]) * (r == 0)) for r in range(RANGES) if counts[:, r * width : (r + 1) * width].any()]
+        rows = [(r, counts[:, r * width : (r + 1) * width].tobytes(), int(n[0]) * (r == 0), int(n[1]) * (r == 0)) for r in range(RANGES) if r == 0 or counts[:, r * width : (r + 1) * width].any()]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["part", "counts", "n0", "n1"])
 
@@ -204,29 +229,48 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     model.table = table
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hist = np.zeros(64, np.int64)
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False)
             out = []
-            hist = np.zeros(64, np.int64)
             for i, words in scored_words(batch.column(0), table):
-                out.append((int(y[i]), len(words), np.array([s for _, _, s in segments(words)]).tobytes(), b""))
+                found = [s for _, _, s in segments(words)]
+                out.append((int(y[i]), len(words), max(found, default=0.0), np.array(found, float).tobytes(), b""))
                 if y[i] == 0:
                     hist += np.bincount(np.clip((words + 2) * 4, 0, 63).astype(int), minlength=64)
-            out.append((-1, 0, b"", hist.tobytes()))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["y", "n", "scores", "hist"])
+            yield measured_batch(out)
+        yield measured_batch([(-1, 0, 0.0, b"", hist.tobytes())])
 
-    rows = chosen.mapInArrow(measure, "y int, n long, scores binary, hist binary").collect()  # at most max_docs small rows
-    hist = sum((np.frombuffer(r["hist"], np.int64) for r in rows if r["y"] < 0), np.zeros(64, np.int64)).astype(float)
+    measured = staged(chosen.mapInArrow(measure, "y int, n long, top double, scores binary, hist binary"), "measured")
+    rows = measured.where("y < 0").select("hist").collect()  # a row of fixed size a task
+    hist = sum((np.frombuffer(r["hist"], np.int64) for r in rows), np.zeros(64, np.int64)).astype(float)
     values = np.arange(64) / 4 - 2 + 0.125
     hist += (values > 0) * 1e-9 * hist.sum()
     model.rate = gumbel_rate(values, hist)
-    rows = [r for r in rows if r["y"] >= 0]
-    x = np.array([[1.0, *np.log1p(model.evidence(np.frombuffer(r["scores"]).tolist(), r["n"]))] for r in rows])
-    model.weights = logistic(x, np.array([r["y"] for r in rows], float))
+    seen = measured.where("y = 0 AND n > 0").agg(F.count_if(F.col("top") > 0), F.sum(F.col("n") * F.exp(-model.rate * F.col("top")))).first()
+    model.log_k = gumbel_factor(float(seen[0] or 0), float(seen[1] or 0))
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, n, scores = (batch.column(i).to_pylist() for i in range(3))
+            x = np.array([model.evidence(np.frombuffer(s).tolist(), k) for s, k in zip(scores, n, strict=True)]).reshape(-1, 2)
+            cell = np.rint(x / EVIDENCE_STEP).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(cell[:, 0]), pa.array(cell[:, 1])], ["y", "best", "total"])
+
+    cells = measured.where("y >= 0").select("y", "n", "scores").mapInArrow(evidence, "y int, best long, total long")
+    rows = cells.groupBy("y", "best", "total").count().collect()  # bounded values in steps: cells that occur, a bounded number
+    at = np.array([[r["best"], r["total"]] for r in rows], float) * EVIDENCE_STEP
+    x = np.concatenate([np.ones((len(rows), 1)), at], axis=1)
+    model.weights = logistic(x, np.array([r["y"] for r in rows], float), np.array([r["count"] for r in rows], float))
     return model
 
 
+def measured_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    kinds = (pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["y", "n", "top", "scores", "hist"])
+
+
 def scored_words(column: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(row, word scores) of every text."""
     data, offsets = buffers(column)
@@ -256,7 +300,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
                 best, total = model.evidence([s for _, _, s in found], len(words))
                 out[i] = model.probability(best, total)
                 if found:
-                    bits = [model.rate * s - model.log_k - np.log(max(len(words), 1)) for _, _, s in found]
+                    bits = model.bits([s for _, _, s in found], len(words))
                     spans[i] = [{"s": a, "e": b, "bits": float(x)} for (a, b, _), x in zip(found, bits, strict=True) if x > -np.log(ALPHA)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out), pa.array(spans, kind)], schema.names)
 

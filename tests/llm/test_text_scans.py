@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourceloom.llm import mixing, pii, quality, secrets, token_counts, toxicity
+from sourceloom.llm.common import labelled_sample
 from sourceloom.llm.decontamination import contamination
 from sourceloom.llm.queries import QUERIES, tokenizer_path
 
@@ -191,6 +192,104 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in toxicity.segments(words)] == brute(s)
 
 
+class Counted(float):
+    """A number that counts how often it is compared or added."""
+
+    steps = 0
+
+    def _did(self, name, other):
+        Counted.steps += 1
+        out = getattr(float, name)(self, other)
+        return Counted(out) if name != "__ge__" else out
+
+    def __add__(self, other):
+        return self._did("__add__", other)
+
+    def __mul__(self, other):
+        return self._did("__mul__", other)
+
+    def __ge__(self, other):
+        return self._did("__ge__", other)
+
+
+def literal_segments(s):
+    """Ruzzo and Tompa's rules read literally: every search looks at all candidates from the last down."""
+    found, total = [], 0.0
+    for i, x in enumerate(s):
+        if x > 0:
+            new = [i, i + 1, total, total + x]
+            while True:
+                j = next((j for j in reversed(range(len(found))) if found[j][2] < new[2]), None)
+                if j is None or found[j][3] >= new[3]:
+                    found.append(new)
+                    break
+                new[0], new[2] = found[j][0], found[j][2]
+                del found[j:]
+        total += x
+    return [(a, b) for a, b, _, _ in found]
+
+
+def test_segments_in_linear_steps():
+    rng = random.Random(17)
+    shapes = {
+        "falling": lambda n: [1.0 if i % 2 else -1.5 for i in range(n)], "rising": lambda n: [2.0 if i % 2 else -1.0 for i in range(n)],
+        "level": lambda n: [1.0 if i % 2 else -1.0 for i in range(n)], "random": lambda n: [rng.choice([-2.5, -1.0, 0.5, 1.5]) + rng.random() for _ in range(n)],
+        "climb": lambda n: [-2.0 if i % 2 else 1.0 for i in range(n // 2)] + [1.9 if i % 2 else -0.2 for i in range(n // 2)],
+    }
+    for name, make in shapes.items():
+        for n in (300, 3000, 6000):
+            s = make(n)
+            Counted.steps = 0
+            got = [(a, b) for a, b, _ in toxicity.maximal_segments([Counted(x) for x in s])]
+            assert Counted.steps <= 8 * n, name
+            if n == 300:
+                assert got == literal_segments(s), name
+
+
+def test_extreme_value_factor():
+    rng = np.random.default_rng(3)
+    rate, k, n = 0.8, 0.05, rng.integers(50, 2000, 4000)
+    top = np.maximum((np.log(k * n) - np.log(-np.log(rng.random(4000)))) / rate, 0)
+    got = toxicity.gumbel_factor((top > 0).sum(), (n * np.exp(-rate * top)).sum())
+    assert abs(got - np.log(k)) < 0.06
+
+
+def test_toxicity_literally(spark):
+    """A fitted model's scores from words and segments computed one by one in plain Python."""
+    rng = random.Random(23)
+    plain, foul = ["tree", "house", "river", "stone", "green", "walked"], ["grumblat", "snorkfoul", "vexwort"]
+    text = lambda bad: " ".join(rng.choice(foul if bad and rng.random() < 0.3 else plain) for _ in range(rng.randint(5, 60)))
+    rows = [(i, text(i % 3 == 0)) for i in range(240)] + [(1000, ""), (1001, None), (1002, "Grumblat!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.fit_toxicity(df, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int"))
+
+    def score(t):
+        words = []
+        for w in re.findall(r"[a-z\x80-\U0010FFFF]+", (t or "").lower()):
+            data = np.frombuffer(w.encode(), np.uint8)
+            _, _, bucket = toxicity.units(data, np.array([0, len(data)]))
+            s = [float(model.table[b]) for b in bucket]
+            words.append(max(s) if max(s) > 0 else min(s) - toxicity.DRIFT)
+        best = [model.rate * sum(words[a:b]) - model.log_k - np.log(len(words)) for a, b in literal_segments(words)]
+        total = sum(x for x in best if x > -np.log(toxicity.ALPHA))
+        x = model.weights @ np.array([1, np.clip(max([-1e9, *best]), *toxicity.BEST), np.log1p(total)])
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, model).collect()}
+    assert max(abs(got[i] - score(t)) for i, t in rows) < 1e-3
+    assert got[1002] > got[1000] == got[1001] and np.mean([(got[i] >= 0.5) == (i % 3 == 0) for i in range(240)]) > 0.9
+
+
+def test_labelled_sample(spark):
+    """One row a labelled document and text; ids that repeat with many texts are thinned to about the bound."""
+    rows = [(1, "same")] * 50 + [(2, f"text {i}") for i in range(400)] + [(3, None), (4, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, y int")
+    got = labelled_sample(df, labels, "doc_id", "text", "y", 1000).collect()
+    assert len(got) == 402 and {(r.id, r.y) for r in got} == {("1", 1), ("2", 0), ("3", 1)}
+    assert 50 <= labelled_sample(df, labels, "doc_id", "text", "y", 100).count() <= 150
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(1)
     model = quality.AttentionModel(n_in=5, width=4, gate=3)
