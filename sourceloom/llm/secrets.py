@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,16 +52,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Weak candidates outside the base spans, by start. Bare strings need three kinds of characters and 3.5 bits each."""
-    starts = [s for s, _, _ in base]
-    longest = max((e - s for s, e, _ in base), default=0)
+    starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
 
     def free(s: int, e: int) -> bool:
-        k = bisect_left(starts, e) - 1
-        while k >= 0 and starts[k] > s - longest:
-            if base[k][1] > s:
-                return False
-            k -= 1
-        return True
+        """Whether no base span that starts before e ends behind s."""
+        k = bisect_left(starts, e)
+        return k == 0 or furthest[k - 1] <= s
 
     out = []
     for kind, pattern in WEAK.items():
@@ -120,7 +117,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     base: by start, then kind as listed. spans: these and the linked weak parts (kinds linked_identifier, linked_secret,
     linked_endpoint), by start, base first. Null texts count as empty; repeated rows are answered each; an empty table gives
-    no rows; other columns are not read. Work is linear in the text but for parts that crowd in one place.
+    no rows; other columns are not read. Work is linear in the text but for the sorting of its parts.
     """
     spans_type = T._parse_datatype_string(f"base {SPAN}, spans {SPAN}")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *spans_type.fields])
