@@ -1,10 +1,11 @@
 """Personal data by weak supervision, in DataFrame operations alone.
 
-Patterns propose spans. Three labelers (a strict shape, a gazetteer, words in the context) and the proposing pattern
-vote yes, no or nothing on each. Votes are counted by pattern of votes - a table whose size depends on the number of
-labelers and kinds only - and expectation-maximisation on these counts estimates each labeler's reliability and each
-pattern's posterior. A logistic span classifier over kind, votes and surface features is then trained on the posteriors
-and decides which proposed spans are reported. Spans of the base kinds are always reported.
+Patterns propose spans. Three labelers - a strict shape, a gazetteer, words in the context - vote yes, no or nothing on
+each. Votes are counted by pattern of votes - a table whose size depends on the number of labelers and kinds only - and
+expectation-maximisation on these counts estimates each labeler's reliability and each pattern's posterior. A logistic span
+classifier over kind, votes and what no labeler sees - length, shape, the characters beside the span, the place in its
+line - is then trained on the posteriors and decides which proposed spans are reported. Spans of the base kinds are always
+reported.
 """
 
 from __future__ import annotations
@@ -55,25 +56,65 @@ CONTEXT = {
     "tel": r"call|phone|tel|mobile|fax|llam|appel|ruf", "id": r"ssn|social|security|tax|passport", "iban": r"iban|bank|account|konto|compte|cuenta",
     "name": r"name|sign|contact|dear|regards|author|by\b|nombre|nom\b",
 }
+#: Words in the context that speak for another number or name.
+AGAINST = {
+    "email": r"example|pattern|regex", "ip": r"version|release|build|section|chapter|kapitel", "card": r"isbn|serial|order|tracking|invoice", "phone": r"isbn|serial|order|version",
+    "tel": r"isbn|serial|order|part|model|tracking", "id": r"isbn|part|model|order|invoice", "iban": r"serial|part|model|order|version", "name": r"street|avenue|school|saint|theorem|day\b",
+}
 CONTEXT_CHARS = 40
 LABELERS = ("v_strict", "v_gaz", "v_ctx")
+#: What the span classifier sees beside kind and votes; each has a few values, so patterns are counted.
+FEATURES = ("len", "shape", "left", "right", "starts")
+#: Matches that one step of the inner fold may copy.
+BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fold(rows: Column, state: dict[str, Column], step, item: str, done) -> Column:
+    """Go through an array with a running state and collect items: done(last state, items).
+
+    step(state, element) gives the new state by name and an array of items (of type `item`) to add. Items are collected in blocks that are
+    flattened once, so an array of many is not copied for each that joins it.
+    """
+    pack = lambda of, out: F.struct(*[of[n].alias(n) for n in state], out.alias("out"))
+
+    def inner(a: Column, x: Column) -> Column:
+        new, out = step(a, x)
+        return pack(new, F.concat(a["out"], out))
+
+    def outer(a: Column, part: Column) -> Column:
+        return let(F.aggregate(part, pack(a, F.array().cast(f"array<{item}>")), inner), lambda r: pack(r, F.concat(a["out"], F.array(r["out"]))))
+
+    last = lambda p: F.greatest(F.floor((F.size(p) - 1) / BLOCK), F.lit(0)).cast("int")
+    blocks = let(rows, lambda p: F.transform(F.sequence(F.lit(0), last(p)), lambda b: F.slice(p, b * BLOCK + 1, F.lit(BLOCK))))
+    return F.aggregate(blocks, pack(state, F.array().cast(f"array<array<{item}>>")), outer, lambda a: done(a, F.flatten(a["out"])))
 
 
 def matches(text: Column, kind: str) -> Column:
-    """array<struct<s, e, m>> of the leftmost non-overlapping matches, in code points, end exclusive."""
-    pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    """array<struct<s, e, m, before, after>> of the leftmost non-overlapping matches: code points, end exclusive, what was matched, at most
+    CONTEXT_CHARS characters before it and the one behind it."""
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.split(text, PATTERNS[kind], -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    row = "struct<s:int,e:int,m:string,before:string,after:string>"
 
-    def step(a: Column, z: Column) -> Column:
+    def step(a: Column, z: Column) -> tuple[dict[str, Column], Column]:
         s = a["at"] + F.length(z["g"])
         e = s + F.length(z["m"])
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m")))).alias("out"))
+        before = F.right(F.concat(a["tail"], z["g"]), F.lit(CONTEXT_CHARS))
+        new = F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m"), before.alias("before"), F.left(z["h"], F.lit(1)).alias("after"))
+        return {"at": e, "tail": F.right(F.concat(before, z["m"]), F.lit(CONTEXT_CHARS))}, F.array(new)
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    spans = F.aggregate(pairs, zero, step, lambda a: a["out"])
-    return F.when(NEEDS[kind](text), spans).otherwise(zero["out"])
+    def positions(f: Column, g: Column) -> Column:
+        pairs = F.zip_with(F.slice(g, F.lit(1), F.size(f)), f, lambda x, m: F.struct(x.alias("g"), m.alias("m")))
+        pairs = F.zip_with(pairs, F.slice(g, F.lit(2), F.size(f)), lambda x, h: F.struct(x["g"].alias("g"), x["m"].alias("m"), h.alias("h")))
+        return fold(pairs, {"at": F.lit(0), "tail": F.lit("")}, step, row, lambda a, out: out)
+
+    none = F.array().cast(f"array<{row}>")
+    return F.when(NEEDS[kind](text), let(F.struct(found.alias("f"), gaps.alias("g")), lambda x: F.when(F.size(x["f"]) > 0, positions(x["f"], x["g"])).otherwise(none))).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
@@ -104,17 +145,25 @@ def vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, F.lit(1)).otherwise(F.lit(0) if no is None else F.when(no, F.lit(-1)).otherwise(F.lit(0)))
 
 
+def char_class(c: Column) -> Column:
+    """A character's class: 0 none, 1 blank, 2 letter, 3 digit, 4 sign of a label or bracket, 5 other."""
+    return F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike(r"^\p{L}"), 2).when(c.rlike("^[0-9]"), 3).when(c.rlike(r"^[:=<>()\[\]\"']"), 4).otherwise(5)
+
+
 def proposals(text: Column, kind: str) -> Column:
-    """Valid matches of a kind with the labelers' votes: array<struct<kind, s, e, v_strict, v_gaz, v_ctx, len, ok>>."""
+    """Valid matches of a kind with the labelers' votes and the classifier's features: array<struct<kind, s, e, votes..., features...>>."""
     spans = F.filter(matches(text, kind), lambda x: valid(kind, x["m"])) if kind in BASE else matches(text, kind)
 
     def label(x: Column) -> Column:
-        start = F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0))
-        before = F.lower(F.substring(text, start + 1, x["s"] - start))
+        before = F.lower(x["before"])
+        digits = F.length(F.regexp_replace(x["m"], "[^0-9]", "")) * 2 >= F.length(x["m"])
+        signs = F.length(F.regexp_replace(x["m"], r"[\p{L}0-9]", ""))
         return F.struct(
             F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"),
             vote(x["m"].rlike(STRICT[kind]), F.lit(True)).alias("v_strict"), vote(x["m"].rlike(GAZETTEER[kind]), F.lit(True)).alias("v_gaz"),
-            vote(before.rlike(CONTEXT[kind])).alias("v_ctx"), F.least((x["e"] - x["s"]) / 8, F.lit(3)).cast("int").alias("len"))
+            vote(before.rlike(CONTEXT[kind]), before.rlike(AGAINST[kind])).alias("v_ctx"), F.least((x["e"] - x["s"]) / 8, F.lit(3)).cast("int").alias("len"),
+            (digits.cast("int") * 3 + F.least(signs, F.lit(2))).alias("shape"), char_class(F.right(x["before"], F.lit(1))).alias("left"), char_class(x["after"]).alias("right"),
+            x["before"].rlike(r"(^|\n)\s*$").cast("int").alias("starts"))
 
     return F.transform(spans, label)
 
@@ -146,9 +195,9 @@ def fit_reliabilities(counts: dict[tuple, int], rounds: int = 60) -> tuple[dict[
 def fit_classifier(patterns: dict[tuple, float], counts: dict[tuple, int], steps: int = 400) -> dict[tuple, float]:
     """Logistic regression on soft labels: weight by (feature name, value), ("bias",) included.
 
-    patterns: (kind, votes..., len) to the posterior of its votes; counts: how many spans have it.
+    patterns: (kind, votes..., features...) to the posterior of its votes; counts: how many spans have it.
     """
-    names = ("kind", *LABELERS, "len")
+    names = ("kind", *LABELERS, *FEATURES)
     keys = sorted(patterns)
     features = sorted({(names[i], k[i]) for k in keys for i in range(len(names))}, key=str)
     place = {f: i for i, f in enumerate(features)}
@@ -180,18 +229,20 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         F.concat(*[proposals(F.col("__text"), k) for k in ADDED]).alias("added"),
     )
     found = staged(found, "spans")
-    spans = found.select(F.explode(F.concat("base", "added")).alias("x")).groupBy("x.kind", *[f"x.{c}" for c in (*LABELERS, "len")])
-    rows = [tuple(r) for r in spans.count().collect()]  # at most kinds * 3 ** labelers * 4 rows
+    names = ("kind", *LABELERS, *FEATURES)
+    counted = found.select(F.explode(F.concat("base", "added")).alias("x")).groupBy(*[f"x.{c}" for c in names])
+    rows = [tuple(r) for r in counted.count().collect()]  # patterns that occur; their number depends on kinds, votes and feature values alone
     full = {r[:-1]: r[-1] for r in rows}
+    n_votes = 1 + len(LABELERS)
     by_votes: dict[tuple, int] = {}
     for key, c in full.items():
-        by_votes[key[:-1]] = by_votes.get(key[:-1], 0) + c
+        by_votes[key[:n_votes]] = by_votes.get(key[:n_votes], 0) + c
     posterior, _ = fit_reliabilities(by_votes)
-    weights = fit_classifier({k: posterior[k[:-1]] for k in full}, full)
+    weights = fit_classifier({k: posterior[k[:n_votes]] for k in full}, full)
 
     def accepted(x: Column) -> Column:
         score = F.lit(weights[("bias",)])
-        for name in ("kind", *LABELERS, "len"):
+        for name in names:
             cases = [(f[1], w) for f, w in weights.items() if f[0] == name]
             if cases:
                 part = F.lit(0.0)
@@ -200,12 +251,37 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
                 score = score + part
         return score > float(np.log(threshold / (1 - threshold)))
 
-    free = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     slim = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    return found.select(
-        id_col, *keep, slim("base").alias("base"),
-        slim(F.concat("base", F.filter("added", lambda x: accepted(x) & free(x)))).alias("spans"),
-    )
+    taken = slim(F.filter("added", accepted))
+    return found.select(id_col, *keep, slim("base").alias("base"), F.concat(slim("base"), apart(taken, slim("base"))).alias("spans"))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of spans (struct<kind, s, e>) that overlap none of others, in order.
+
+    Both are sorted together; a span is free if no other one before it ends behind its start, and none behind it starts before its end.
+    """
+    def caught(rows: Column, start: int, reach, meets) -> Column:
+        """Places in spans of what meets an other row before it in the order of rows."""
+
+        def step(a: Column, x: Column) -> tuple[dict[str, Column], Column]:
+            hit = (x["i"] >= 0) & meets(a["reach"], x)
+            return {"reach": F.when(x["i"] < 0, reach(a["reach"], x)).otherwise(a["reach"])}, F.when(hit, F.array(x["i"])).otherwise(F.array().cast("array<int>"))
+
+        return fold(rows, {"reach": F.lit(start)}, step, "int", lambda a, out: out)
+
+    def filtered(own: Column, other: Column) -> Column:
+        sides = (F.transform(other, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(-1).alias("i"))), F.transform(own, lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), i.alias("i"))))
+
+        def free(rows: Column) -> Column:
+            ahead = caught(rows, -1, lambda a, x: F.greatest(a, x["e"]), lambda a, x: a > x["s"])
+            behind = caught(F.reverse(rows), 2**31 - 1, lambda a, x: F.least(a, x["s"]), lambda a, x: a < x["e"])
+            return F.array_except(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), ahead), behind)
+
+        return F.transform(let(F.array_sort(F.concat(*sides)), free), lambda i: F.get(own, i))
+
+    both = F.struct(spans.alias("own"), others.alias("other"))
+    return let(both, lambda x: F.when((F.size(x["own"]) > 0) & (F.size(x["other"]) > 0), filtered(x["own"], x["other"])).otherwise(x["own"]))
 
 
 def span_list(spans: Column | str) -> Column:
@@ -213,16 +289,32 @@ def span_list(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
 
 
+PAGE = 1024
+
+
+def cut_out(pages: Column, a: Column, b: Column) -> Column:
+    """Characters a to b of a text that is given as pages of PAGE characters: it takes time for what is cut, not for what lies before."""
+    pa, pb = F.floor(a / PAGE).cast("int"), F.floor(b / PAGE).cast("int")
+    whole = F.substring(F.get(pages, pa), F.pmod(a, F.lit(PAGE)) + 1, b - a)
+    inner = F.array_join(F.slice(pages, pa + 2, F.greatest(pb - pa - 1, F.lit(0))), "")
+    first, last = F.substring(F.get(pages, pa), F.pmod(a, F.lit(PAGE)) + 1, F.lit(PAGE)), F.substring(F.get(pages, pb), F.lit(1), F.pmod(b, F.lit(PAGE)))
+    return F.coalesce(F.when(pa == pb, whole).otherwise(F.concat(first, inner, F.coalesce(last, F.lit("")))), F.lit(""))
+
+
 def masked(text: Column, spans: Column) -> Column:
     """text with every span replaced by its kind in angle brackets; overlapping spans are merged under the first one's kind."""
     order = F.array_sort(spans, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"]))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    length = F.length(text)
+
+    def step(a: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        gap = F.struct(a["at"].alias("a"), x["s"].alias("b"), x["kind"].alias("kind"))
+        new = F.when(x["s"] >= a["at"], F.array(gap)).otherwise(F.array().cast("array<struct<a:int,b:int,kind:string>>"))
+        return {"at": F.greatest(a["at"], x["e"])}, new
 
-    def step(a: Column, x: Column) -> Column:
-        piece = F.concat(F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        new = F.concat(a["out"], F.array(piece))
-        return F.when(x["s"] >= a["at"], F.struct(x["e"].alias("at"), new.alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
+    def joined(pages: Column) -> Column:
+        done = lambda a, gaps: F.concat(
+            F.array_join(F.transform(gaps, lambda g: F.concat(cut_out(pages, g["a"], g["b"]), F.lit("<"), F.upper(g["kind"]), F.lit(">"))), ""), cut_out(pages, a["at"], length))
+        return fold(order, {"at": F.lit(0)}, step, "struct<a:int,b:int,kind:string>", done)
 
-    done = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(order, zero, step, done)).otherwise(text)
+    pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, let(pages, joined)).otherwise(text)

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -213,6 +214,76 @@ class Counted(float):
         return self._did("__ge__", other)
 
 
+def literal_pii(texts):
+    """base and spans of each text: proposals, votes, features and the classifier's answer one by one in plain Python."""
+    java = lambda p: p.replace("\\p{L}", "[^\\W\\d_]").replace("\\p{Lu}", "[A-ZÀ-Ý]").replace("\\p{Ll}", "[a-zà-ÿ]").replace("\\G", "\\A") if p else p
+    kind_of = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isalpha() else 3 if c in "0123456789" else 4 if c in ":=<>()[]\"'" else 5
+    found = []
+    for t in texts:
+        own = []
+        for kind in (*pii.BASE, *pii.ADDED):
+            base = next((p for k, p, _ in PII if k == kind), None)
+            ok = next((f for k, _, f in PII if k == kind), lambda m: True)
+            for m in re.finditer(base or java(pii.PATTERNS[kind]), t, re.A if base else 0):
+                v = m[0]
+                if not ok(v):
+                    continue
+                before = t[max(0, m.start() - pii.CONTEXT_CHARS) : m.start()]
+                yes = lambda table, text, kind=kind: bool(re.search(java(table[kind]), text))
+                context = 1 if yes(pii.CONTEXT, before.lower()) else -1 if yes(pii.AGAINST, before.lower()) else 0
+                digits, signs = len(re.sub("[^0-9]", "", v)), len([c for c in v if not (c.isalpha() or c in "0123456789")])
+                key = (kind, 1 if yes(pii.STRICT, v) else -1, 1 if yes(pii.GAZETTEER, v) else -1, context, min((m.end() - m.start()) // 8, 3), (digits * 2 >= len(v)) * 3 + min(signs, 2),
+                       kind_of(before[-1:]), kind_of(t[m.end() : m.end() + 1]), int(bool(re.search(r"(^|\n)\s*$", before))))
+                own.append((m.start(), m.end(), key))
+        found.append(own)
+    counts = Counter(key for own in found for _, _, key in own)
+    votes = Counter(key[:4] for own in found for _, _, key in own)
+    posterior, _ = pii.fit_reliabilities(votes)
+    weights = pii.fit_classifier({k: posterior[k[:4]] for k in counts}, counts)
+    names = ("kind", *pii.LABELERS, *pii.FEATURES)
+    score = lambda key: weights[("bias",)] + sum(weights[n, v] for n, v in zip(names, key, strict=True))
+    out = []
+    for own in found:
+        base = [(s, e, k[0]) for s, e, k in own if k[0] in pii.BASE]
+        more = [(s, e, k[0]) for s, e, k in own if k[0] not in pii.BASE and score(k) > 0 and not any(a < e and s < b for a, b, _ in base)]
+        out.append((base, base + more))
+    return out, counts
+
+
+def test_added_spans_literally(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    rng = random.Random(29)
+    parts = ["(415) 555-0137", "call 212-555-0199", "555-01-2345", "ssn 123-45-6789", "order 123-45-6789", "DE89 3704 0044 0532 0130 00", "iban GB82WEST12345698765432", "Mr. Smith", "Anna Miller", "write to a@b.co", "version 1.2.3.4", "host 10.0.0.7",
+             "+1 415-555-0137", "4111 1111 1111 1111", "é日😀", "\n", "\n  ", "(", ": ", "x", "12", "street Paul Jones"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(0, 22))) for _ in range(400)] + ["", "plain"]
+    want, counts = literal_pii(texts)
+    assert len(counts) > 100 and sum(len(b) != len(s) for b, s in want) > 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pii.pii_spans(df, keep=("text",)).withColumn("masked", pii.masked(F.col("text"), F.col("spans"))).collect()}
+    for i, (base, spans) in enumerate(want):
+        rows = lambda x: [(s["s"], s["e"], s["kind"]) for s in x]
+        assert rows(got[i].base) == base and rows(got[i].spans) == spans, texts[i]
+        text, at = "", 0
+        for s, e, kind in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if s >= at:
+                text += texts[i][at:s] + f"<{kind.upper()}>"
+            at = max(at, e)
+        assert got[i].masked == text + texts[i][at:]
+
+
+def test_many_spans_in_one_text(spark):
+    """Positions stay right over many blocks and pages."""
+    text = " ".join(f"é user{i}@example.com or 555-010-{i % 10000:04d}" for i in range(5000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.pii_spans(df, keep=("text",)).withColumn("masked", pii.masked(F.col("text"), F.col("spans"))).first()
+    want = [(m.start(), m.end()) for m in re.finditer(r"user[0-9]+@example[.]com", text)]
+    assert [(x["s"], x["e"]) for x in row.base] == want
+    out, at = "", 0
+    for x in sorted(row.spans, key=lambda x: x["s"]):
+        out, at = f"{out}{text[at:x['s']]}<{x['kind'].upper()}>", x["e"]
+    assert row.masked == out + text[at:]
+
+
 def literal_links(text, reach):
     """Linked weak parts by looking at all pairs of parts."""
     base = secrets.base_spans(text)
