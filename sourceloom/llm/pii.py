@@ -31,13 +31,13 @@ PATTERNS = {
     "tel": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
-    "name": rf"(?<!\p{{L}})(?:(?:{TITLES})\.?\x20|(?:{FIRST_NAMES})\x20)\p{{Lu}}\p{{Ll}}++(?:\x20\p{{Lu}}\p{{Ll}}++)?",
+    "name": rf"(?=[A-Z])(?<!\p{{L}})(?:(?:{TITLES})\.?\x20|(?:{FIRST_NAMES})\x20)\p{{Lu}}\p{{Ll}}++(?:\x20\p{{Lu}}\p{{Ll}}++)?",
 }
 #: Cheap tests that a text must pass to hold a match at all.
 NEEDS = {
     "email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"),
     "phone": lambda t: t.contains("+"), "tel": lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), "id": lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-"),
-    "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"), "name": lambda t: t.rlike(rf"(?:{TITLES}|{FIRST_NAMES})[.\x20]"),
+    "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"), "name": lambda t: t.rlike(rf"(?=[A-Z])(?<!\p{{L}})(?:{TITLES}|{FIRST_NAMES})[.\x20]"),
 }
 STRICT = {
     "email": r"^[A-Za-z0-9][^@]*[A-Za-z0-9]@[^@]*\.[A-Za-z]{2,}$", "ip": r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
@@ -94,11 +94,9 @@ def fold(rows: Column, state: dict[str, Column], step, item: str, done) -> Colum
     return F.aggregate(blocks, pack(state, F.array().cast(f"array<array<{item}>>")), outer, lambda a: done(a, F.flatten(a["out"])))
 
 
-def matches(text: Column, kind: str) -> Column:
-    """array<struct<s, e, m, before, after>> of the leftmost non-overlapping matches: code points, end exclusive, what was matched, at most
-    CONTEXT_CHARS characters before it and the one behind it."""
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
+def matches(text: Column) -> Column:
+    """By kind as listed, an array<struct<s, e, m, before, after>> of the leftmost non-overlapping matches: code points, end exclusive, what was
+    matched, at most CONTEXT_CHARS characters before it and the one behind it. One expression serves all kinds."""
     row = "struct<s:int,e:int,m:string,before:string,after:string>"
 
     def step(a: Column, z: Column) -> tuple[dict[str, Column], Column]:
@@ -108,13 +106,20 @@ def matches(text: Column, kind: str) -> Column:
         new = F.struct(s.alias("s"), e.alias("e"), z["m"].alias("m"), before.alias("before"), F.left(z["h"], F.lit(1)).alias("after"))
         return {"at": e, "tail": F.right(F.concat(before, z["m"]), F.lit(CONTEXT_CHARS))}, F.array(new)
 
-    def positions(f: Column, g: Column) -> Column:
+    def positions(x: Column) -> Column:
+        f, g = x["f"], x["g"]
         pairs = F.zip_with(F.slice(g, F.lit(1), F.size(f)), f, lambda x, m: F.struct(x.alias("g"), m.alias("m")))
         pairs = F.zip_with(pairs, F.slice(g, F.lit(2), F.size(f)), lambda x, h: F.struct(x["g"].alias("g"), x["m"].alias("m"), h.alias("h")))
-        return fold(pairs, {"at": F.lit(0), "tail": F.lit("")}, step, row, lambda a, out: out)
+        folded = fold(pairs, {"at": F.lit(0), "tail": F.lit("")}, step, row, lambda a, out: out)
+        return F.when(F.size(f) > 0, folded).otherwise(F.array().cast(f"array<{row}>"))
 
-    none = F.array().cast(f"array<{row}>")
-    return F.when(NEEDS[kind](text), let(F.struct(found.alias("f"), gaps.alias("g")), lambda x: F.when(F.size(x["f"]) > 0, positions(x["f"], x["g"])).otherwise(none))).otherwise(none)
+    none = F.array().cast("array<string>")
+
+    def found(kind: str) -> Column:
+        able, pattern = NEEDS[kind](text), PATTERNS[kind]
+        return F.struct(F.when(able, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias("f"), F.when(able, F.split(text, pattern, -1)).otherwise(none).alias("g"))
+
+    return F.transform(F.array(*[found(k) for k in (*BASE, *ADDED)]), positions)
 
 
 def luhn(digits: Column) -> Column:
@@ -150,9 +155,9 @@ def char_class(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike(r"^\p{L}"), 2).when(c.rlike("^[0-9]"), 3).when(c.rlike(r"^[:=<>()\[\]\"']"), 4).otherwise(5)
 
 
-def proposals(text: Column, kind: str) -> Column:
-    """Valid matches of a kind with the labelers' votes and the classifier's features: array<struct<kind, s, e, votes..., features...>>."""
-    spans = F.filter(matches(text, kind), lambda x: valid(kind, x["m"])) if kind in BASE else matches(text, kind)
+def proposals(spans: Column, kind: str) -> Column:
+    """The valid ones of a kind's matches with the labelers' votes and the classifier's features: array<struct<kind, s, e, votes..., features...>>."""
+    spans = F.filter(spans, lambda x: valid(kind, x["m"])) if kind in BASE else spans
 
     def label(x: Column) -> Column:
         before = F.lower(x["before"])
@@ -222,12 +227,9 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     repeated rows are answered each; an empty table gives no rows. One pass reads the texts; models are fitted
     on counts over all documents.
     """
-    text = text_of(text_col)
-    found = docs.select(F.col(id_col), *keep, text.alias("__text"))
-    found = found.select(
-        id_col, *keep, F.concat(*[proposals(F.col("__text"), k) for k in BASE]).alias("base"),
-        F.concat(*[proposals(F.col("__text"), k) for k in ADDED]).alias("added"),
-    )
+    found = docs.select(F.col(id_col), *keep, matches(text_of(text_col)).alias("__m"))
+    of = {k: proposals(F.get("__m", F.lit(i)), k) for i, k in enumerate((*BASE, *ADDED))}
+    found = found.select(id_col, *keep, F.concat(*[of[k] for k in BASE]).alias("base"), F.concat(*[of[k] for k in ADDED]).alias("added"))
     found = staged(found, "spans")
     names = ("kind", *LABELERS, *FEATURES)
     counted = found.select(F.explode(F.concat("base", "added")).alias("x")).groupBy(*[f"x.{c}" for c in names])
