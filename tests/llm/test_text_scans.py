@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sourceloom.llm import mixing, pii, quality, secrets, token_counts, toxicity
+from sourceloom.llm import decontamination, mixing, pii, quality, secrets, token_counts, toxicity
 from sourceloom.llm.common import labelled_sample
 from sourceloom.llm.decontamination import contamination
 from sourceloom.llm.queries import QUERIES, tokenizer_path
@@ -137,6 +137,34 @@ def test_contamination(spark):
             assert got[i] == (len(ws), len(hit), sorted(found))
 
 
+def test_contamination_behind_a_shuffle(spark, monkeypatch):
+    """Without broadcasts the result is the same, and no shuffle of windows carries the words of a document."""
+    rng = random.Random(15)
+    words = lambda n: " ".join(rng.choice("ab cd ef gh 12".split()) for _ in range(n))
+    items = [(i, words(n)) for i, n in enumerate([3, 7, 9, 10, 12, 25, 25, 0, 1])] + [(20, None), (21, words(3))]
+    docs = [(i, words(rng.randint(0, 40)) + " " + (rng.choice(items)[1] or "") + " " + words(4)) for i in range(80)] + [(5, "ab cd"), (None, items[5][1]), (None, items[5][1]), (90, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted(map(str, contamination(d, b).collect()))
+    want, plans = rows(), []
+    stage = decontamination.staged
+
+    def spy(df, name):
+        if name == "hit-documents":
+            plans.append(df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return stage(df, name)
+
+    monkeypatch.setattr(decontamination, "staged", spy)
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_DOCS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows() == want and sum("hits=[Row" in r for r in want) > 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"\(\d+\) Exchange\s*\nInput \[\d+\]: \[([^\n]*)\]", plans[0])
+    assert any("at#" in x for x in moved) and not any("ws#" in x for x in moved)
+
+
 def test_mix(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(0, 60), "big" if i % 3 == 0 else rng.choice(["a", "b", "c", None])) for i in range(900)]
