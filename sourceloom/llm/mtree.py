@@ -2,16 +2,16 @@
 
 Inner products become a metric by one more coordinate: a vector v gets sqrt(M^2 - |v|^2), M the largest norm, and a query
 0; then distance^2 = |q|^2 + M^2 - 2 q.v, so the nearest are those of highest product. Vectors fall into cells around a few
-pivots, cells into shards by id, and a shard's vectors into an M-tree of pages: a page has a routing vector, a covering
-radius and its distance to the parent's routing vector; a leaf entry has its distance to the leaf's. The search of a block of
-queries takes the page with the least lower bound next and leaves out, per query, what the stored distances and the
+pivots, as many as keep a cell near the size of a shard, larger cells into shards by row, and a shard's vectors into an M-tree
+of pages: a page has a routing vector, a covering radius and its distance to the parent's routing vector; a leaf entry has
+its distance to the leaf's. Queries of one cell make blocks, as they reach the same cells; pages go only to blocks that reach
+their cell. The search of a block of queries takes the page with the least lower bound next and leaves out, per query, what the stored distances and the
 triangle inequality rule out before any distance is computed. Scores themselves are integers and exact.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Vectors in a leaf page, children of an inner page, vectors in a shard, pivots, vectors that give every query a first bound, queries in a block.
-LEAF, FAN, SHARD, PIVOTS, SEEDS, BLOCK = 128, 8, 8192, 64, 2048, 2048
-PAGES = "dim int, cell int, sub int, page int, parent int, leaf boolean, router binary, radius double, to_parent double, ids binary, vecs binary, dists binary"
+LEAF, FAN, SHARD, PIVOTS, SEEDS, BLOCK = 128, 8, 8192, 1024, 2048, 4096
+PAGES = "dim int, cell int, sub int, page int, parent int, leaf boolean, router binary, radius double, to_parent double, ids binary, rows binary, vecs binary, dists binary"
 
 
 def quantised(embedding: str | Column, scale: int = 256) -> Column:
@@ -52,8 +52,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0))
 
 
-def build_pages(ids: np.ndarray, vecs: np.ndarray, top: float) -> list[dict]:
-    """Pages of an M-tree over vecs, the root first."""
+def build_pages(ids: np.ndarray, rows: np.ndarray, vecs: np.ndarray, top: float) -> list[dict]:
+    """Pages of an M-tree over vecs, the root first; rows number the vectors, whose ids may repeat."""
     points = lift(vecs, top)
     pages: list[dict] = []
 
@@ -63,7 +63,7 @@ def build_pages(ids: np.ndarray, vecs: np.ndarray, top: float) -> list[dict]:
         to_parent = float(np.linalg.norm(points[router] - points[parent_router])) if parent >= 0 else 0.0
         leaf = len(members) <= LEAF
         page = {"page": len(pages), "parent": parent, "leaf": leaf, "router": vecs[router].tobytes(), "radius": float(d.max()), "to_parent": to_parent,
-                "ids": ids[members].tobytes() if leaf else b"", "vecs": vecs[members].tobytes() if leaf else b"", "dists": d.tobytes() if leaf else b""}
+                "ids": ids[members].tobytes() if leaf else b"", "rows": rows[members].tobytes() if leaf else b"", "vecs": vecs[members].tobytes() if leaf else b"", "dists": d.tobytes() if leaf else b""}
         pages.append(page)
         if leaf:
             return
@@ -88,8 +88,8 @@ def build_pages(ids: np.ndarray, vecs: np.ndarray, top: float) -> list[dict]:
     return pages
 
 
-def search_pages(pages: pd.DataFrame, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, top: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(scores, ids, filled) of each query's k best in a shard's pages; places not filled hold nothing.
+def search_pages(pages: pd.DataFrame, q_rows: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, top: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, ids, filled) of each query's k best in a shard's pages, its own row left out; places not filled hold nothing.
 
     floor: a score that each query's k-th best overall is known to reach.
     """
@@ -120,7 +120,7 @@ def search_pages(pages: pd.DataFrame, q_ids: np.ndarray, q: np.ndarray, floor: n
         if not len(of):
             continue
         if page.leaf:
-            ids, dists = np.frombuffer(page.ids, np.int64), np.frombuffer(page.dists, np.float64)
+            ids, rows, dists = np.frombuffer(page.ids, np.int64), np.frombuffer(page.rows, np.int64), np.frombuffer(page.dists, np.float64)
             vecs = np.frombuffer(page.vecs, np.int64).reshape(-1, dim)
             near = np.abs(d[:, None] - dists[None]) <= limit[:, None]  # the stored distance rules out the rest
             some = near.any(1)
@@ -129,7 +129,7 @@ def search_pages(pages: pd.DataFrame, q_ids: np.ndarray, q: np.ndarray, floor: n
             if not len(used):
                 continue
             s = products(q[of], vecs[used])
-            ok = near[:, used] & (ids[used][None] != q_ids[of][:, None]) & (s >= np.where(filled[of, -1], scores[of, -1], floor[of])[:, None])
+            ok = near[:, used] & (rows[used][None] != q_rows[of][:, None]) & (s >= np.where(filled[of, -1], scores[of, -1], floor[of])[:, None])
             row = np.flatnonzero(ok.any(1))
             if not len(row):
                 continue
@@ -156,65 +156,72 @@ def search_pages(pages: pd.DataFrame, q_ids: np.ndarray, q: np.ndarray, floor: n
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each query its k highest integer inner products, ties to the smaller id.
 
-    is_query tells which rows of vectors are queries; candidates are all rows with another id, all of them if fewer
-    than k. Vectors that are null or hold null or non-finite components, and rows without an id, take no part; a repeated row counts once; rows that share an id
-    but not a vector count each. Vectors of different lengths never meet. Other columns are not read; an empty table gives no rows.
-    Beside the pages, the driver sees at most SEEDS vectors and a row per cell.
+    is_query tells which rows of vectors are queries; candidates are all rows but the query's own, all of them if fewer
+    than k. Vectors that are null or hold null or non-finite components, and rows without an id, take no part; a repeated row is a row of
+    its own, as a query and as a candidate. Vectors of different lengths never meet. Other columns are not read; an empty table gives no rows.
+    Beside the pages, the driver sees at most SEEDS vectors and a row per cell, for each length.
     """
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), quantised(vector_col, scale).alias("v"))
-    rows = rows.where(F.col("v").isNotNull() & (F.size("v") > 0)).dropDuplicates(["id", "v"]).withColumn("dim", F.size("v"))
+    rows = rows.where(F.col("v").isNotNull() & (F.size("v") > 0)).withColumns({"dim": F.size("v"), "row": F.monotonically_increasing_id()})
     rows = staged(rows, "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    tops = {r[0]: (float(r[1]), r[2], r[3]) for r in rows.groupBy("dim").agg(F.max(norm), F.count(F.lit(1)), F.sum(F.col("is_query").cast("long"))).collect()}
+    tops = {r[0]: (float(r[1]), r[2]) for r in rows.groupBy("dim").agg(F.max(norm), F.count(F.lit(1))).collect()}
     seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in tops:
-        some = rows.where(F.col("dim") == dim).select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SEEDS).toArrow()
-        seeds[dim] = (np.array(some["id"].to_pylist(), np.int64), np.array(some["v"].to_pylist(), np.int64).reshape(-1, dim))
+        some = rows.where(F.col("dim") == dim).select("row", "v").orderBy(F.xxhash64("id", "row"), "row").limit(SEEDS).toArrow()
+        seeds[dim] = (np.array(some["row"].to_pylist(), np.int64), np.array(some["v"].to_pylist(), np.int64).reshape(-1, dim))
     pivots = {d: lift(s[1][: min(PIVOTS, -(-tops[d][1] // SHARD))], tops[d][0]) for d, s in seeds.items()}
     top_of = {d: t[0] for d, t in tops.items()}
 
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places, vectors) of a batch by length of its vectors, the last column."""
+        dims = batch.column(0).to_numpy(zero_copy_only=False)
+        column = batch.column(batch.num_columns - 1)
+        flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        for dim in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == dim)
+            yield dim, at, flat[offsets[at][:, None] + np.arange(dim)[None]].astype(np.int64)
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            flat, offsets = batch.column(2).values.to_numpy(zero_copy_only=False), batch.column(2).offsets.to_numpy()
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                v = flat[offsets[at][:, None] + np.arange(dim)[None]]
+            for dim, at, v in parts(batch):
                 d = distances(lift(v, top_of[dim]), pivots[dim])
                 cell = d.argmin(1)
+                pick = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(at)), cell]), pa.array(ids[at]), pa.array([x.tobytes() for x in v.astype(np.int64)], pa.binary())],
-                    ["dim", "cell", "d", "id", "vec"])
+                    [pa.array(np.full(len(at), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(at)), cell]), *[batch.column(i).take(pick) for i in (1, 2, 3)], pa.array([x.tobytes() for x in v], pa.binary())],
+                    ["dim", "cell", "d", "id", "row", "is_query", "vec"])
 
-    placed = staged(rows.select("id", "dim", "v").mapInArrow(assign, "dim int, cell int, d double, id long, vec binary"), "placed")
-    cells = {(r[0], r[1]): (-(-r[2] // SHARD), float(r[3])) for r in placed.groupBy("dim", "cell").agg(F.count(F.lit(1)), F.max("d")).collect()}  # PIVOTS rows a length
+    placed = staged(rows.select("dim", "id", "row", "is_query", "v").mapInArrow(assign, "dim int, cell int, d double, id long, row long, is_query boolean, vec binary"), "placed")
+    counts = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)), F.max("d"), F.sum(F.col("is_query").cast("long"))).collect()  # PIVOTS rows a length
+    cells = {(r[0], r[1]): (-(-r[2] // SHARD), float(r[3])) for r in counts}
     spark = vectors.sparkSession
     if not cells:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    subs = spark.createDataFrame([(d, c, n) for (d, c), (n, _) in cells.items()], "dim int, cell int, subs long")
-    placed = placed.join(F.broadcast(subs), ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id", F.lit(3)), F.col("subs")).cast("int"))
+    sizes = spark.createDataFrame([(r[0], r[1], -(-r[2] // SHARD), max(1, -(-r[4] // BLOCK))) for r in counts], "dim int, cell int, subs long, blocks long")
+    placed = placed.join(F.broadcast(sizes), ["dim", "cell"])
+    shards = placed.withColumn("sub", F.pmod(F.xxhash64("row", F.lit(3)), F.col("subs")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         dim = int(pdf["dim"].iloc[0])
-        pdf = pdf.sort_values(["d", "id"])
-        pages = build_pages(pdf["id"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["vec"]), np.int64).reshape(-1, dim), top_of[dim])
+        pdf = pdf.sort_values(["d", "id", "row"])
+        pages = build_pages(pdf["id"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["vec"]), np.int64).reshape(-1, dim), top_of[dim])
         return pd.DataFrame(pages).assign(dim=dim, cell=pdf["cell"].iloc[0], sub=pdf["sub"].iloc[0])[[c.split()[0] for c in PAGES.split(", ")]]
 
-    pages = staged(placed.groupBy("dim", "cell", "sub").applyInPandas(build, PAGES), "pages")
-
-    blocks = {d: max(1, -(-t[2] // BLOCK)) for d, t in tops.items()}
+    pages = staged(shards.select("dim", "cell", "sub", "d", "id", "row", "vec").groupBy("dim", "cell", "sub").applyInPandas(build, PAGES), "pages")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A query goes to the shards of every cell that its first bound, from the seeds, doesn't rule out."""
         for batch in batches:
-            ids, dims = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            flat, offsets, block = batch.column(2).values.to_numpy(zero_copy_only=False), batch.column(2).offsets.to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            ids, row, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            dims = batch.column(0).to_numpy(zero_copy_only=False)
+            vecs = batch.column(4)
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                v = flat[offsets[at][:, None] + np.arange(dim)[None]].astype(np.int64)
+                v = np.frombuffer(b"".join(vecs.take(pa.array(at)).to_pylist()), np.int64).reshape(-1, dim)
                 s = products(v, seeds[dim][1])
                 least = np.iinfo(np.int64).min
-                s[ids[at][:, None] == seeds[dim][0][None]] = least
+                s[row[at][:, None] == seeds[dim][0][None]] = least
                 first = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(at), least)
                 norm, top = (v.astype(np.float64) ** 2).sum(1), top_of[dim]
                 reach = np.sqrt(np.maximum(norm + top - 2 * first.astype(np.float64), 0)) + 1e-7 * (1 + np.sqrt(top) + np.sqrt(norm))
@@ -227,37 +234,36 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
                     for sub in range(n if len(go) else 0):
                         m = len(go)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(m, x, np.int32)) for x in (dim, cell, sub)] + [pa.array(block[at][go].astype(np.int32)), pa.array(ids[at][go]), pa.array(blob, pa.binary()), pa.array(first[go])],
-                            ["dim", "cell", "sub", "block", "id", "vec", "first"])
+                            [pa.array(np.full(m, x, np.int32)) for x in (dim, cell, sub)] + [pa.array(x[at][go]) for x in (block, ids, row)] + [pa.array(blob, pa.binary()), pa.array(first[go])],
+                            ["dim", "cell", "sub", "block", "id", "row", "vec", "first"])
 
-    n_blocks = F.coalesce(F.create_map(*[F.lit(x) for d, b in blocks.items() for x in (d, b)])[F.col("dim")], F.lit(1))
-    queries = rows.where("is_query").select("id", "dim", "v", F.pmod(F.xxhash64("id", F.lit(5)), n_blocks).cast("int").alias("block"))
-    routed = queries.mapInArrow(route, "dim int, cell int, sub int, block int, id long, vec binary, first long")
-    dealt = pages.withColumn("block", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
+    block = F.shiftleft(F.col("cell").cast("long"), 32) + F.pmod(F.xxhash64("row", F.lit(5)), F.col("blocks"))
+    queries = placed.where("is_query").select("dim", "id", "row", block.alias("block"), "vec")
+    routed = staged(queries.mapInArrow(route, "dim int, cell int, sub int, block long, id long, row long, vec binary, first long"), "routed")
     keys = ["dim", "cell", "sub", "block"]
+    dealt = pages.join(staged(routed.select(*keys).distinct(), "reached"), ["dim", "cell", "sub"])
 
     def look(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("query_id", "qkey", "vec_id", "score")})
+            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("query_id", "query_row", "vec_id", "score")})
         dim = int(q["dim"].iloc[0])
         v = np.frombuffer(b"".join(q["vec"]), np.int64).reshape(-1, dim)
-        ids = q["id"].to_numpy(np.int64)
-        scores, found, filled = search_pages(p, ids, v, q["first"].to_numpy(np.int64), k, top_of[dim])
-        row, col = np.nonzero(filled)
-        qkey = np.array([zlib.crc32(x) for x in q["vec"]], np.int64)
-        return pd.DataFrame({"query_id": ids[row], "qkey": qkey[row], "vec_id": found[row, col], "score": scores[row, col]})
-
-    hits = routed.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(look, "query_id long, qkey long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "qkey").orderBy(F.col("score").desc(), "vec_id")
+        own = q["row"].to_numpy(np.int64)
+        scores, found, filled = search_pages(p, own, v, q["first"].to_numpy(np.int64), k, top_of[dim])
+        at, col = np.nonzero(filled)
+        return pd.DataFrame({"query_id": q["id"].to_numpy(np.int64)[at], "query_row": own[at], "vec_id": found[at, col], "score": scores[at, col]})
+
+    hits = routed.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(look, "query_id long, query_row long, vec_id long, score long")
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB SQL for exact_top_k over {vectors}, queries by `vec_id % 50 = 0`, k = 5.
 TOP_K_SQL = r"""
-WITH e AS (SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM {vectors}
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM {vectors}
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.rid <> c.rid AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -174,13 +174,43 @@ def test_exact_top_k(spark, monkeypatch, leaf, shard):
         want += [(i, r + 1, j, int(q[i] @ q[j])) for r, j in enumerate(order)]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.exact_top_k(df, F.col("vec_id") % 50 == 0).collect())
     assert got == want
+    twice = df.unionByName(df.where("vec_id IN (0, 3, 200)"))  # each row is one of its own
+    ids, q = [*range(len(v)), 0, 3, 200], np.concatenate([q, q[[0, 3, 200]]])
+    want = []
+    for i in (x for x in range(len(ids)) if ids[x] % 50 == 0):
+        order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-int(q[i] @ q[j]), ids[j]))[:5]
+        want += [(ids[i], r + 1, ids[j], int(q[i] @ q[j])) for r, j in enumerate(order)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.exact_top_k(twice, F.col("vec_id") % 50 == 0).collect()) == sorted(want)
+
+
+def test_pages_go_to_blocks_that_reach_them(spark, monkeypatch):
+    """On clustered vectors what is dealt grows with the table, not with its square."""
+    for name, value in {"LEAF": 8, "SHARD": 64, "BLOCK": 16}.items():
+        monkeypatch.setattr(mtree, name, value)
+    dealt, search = {}, mtree.search_pages
+    rng = np.random.default_rng(8)
+    for n in (600, 1200, 2400):
+        centres = rng.normal(0, 4, (n // 60, 8))
+        centres *= 8 / np.linalg.norm(centres, axis=1)[:, None]
+        v = (centres[np.arange(n) % len(centres)] + rng.normal(0, 0.05, (n, 8))).astype(np.float32)
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+        count = spark.sparkContext.accumulator(0)
+
+        def counting(pages, *rest, count=count):
+            count.add(sum(map(len, pages["rows"])) // 8)
+            return search(pages, *rest)
+
+        monkeypatch.setattr(mtree, "search_pages", counting)
+        assert mtree.exact_top_k(df, F.col("vec_id") % 10 == 0).count() == n // 10 * 5
+        dealt[n] = count.value
+    assert all(0 < x < 5 * n for n, x in dealt.items()), dealt  # a block of 16 queries for each 160 rows would make it n * n / 160
 
 
 def test_pages_hold_their_vectors():
     rng = np.random.default_rng(3)
     v = rng.integers(-300, 300, (700, 5)).astype(np.int64)
     top = float((v.astype(float) ** 2).sum(1).max())
-    pages = mtree.build_pages(np.arange(700), v, top)
+    pages = mtree.build_pages(np.arange(700), np.arange(700) + 7, v, top)
     points = mtree.lift(v, top)
     children = {}
     for p in pages:
