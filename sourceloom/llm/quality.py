@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mod_crc32
+from .common import labelled_sample, mod_crc32
 from .textbytes import FOLD, IS_SPACE, buffers, chunks, word_hashes
 
 PASSAGE = 512
@@ -26,8 +26,8 @@ CLASS[IS_SPACE], CLASS[10], CLASS[97:123], CLASS[65:91], CLASS[48:58] = 0, 1, 2,
 CLASS[46], CLASS[44], CLASS[[33, 63]], CLASS[[34, 39, 40, 41, 91, 93]] = 5, 6, 7, 8
 CLASS[192:], CLASS[128:192] = 10, 11
 N_FEATURES = N_CLASSES**2 + 6
-#: Labelled documents that a fit sees at most, each with all its passages.
-MAX_DOCS = 6000
+#: Labelled documents that a fit sees at most, each with all its passages, and bytes of their texts: the driver holds some four times as much.
+MAX_DOCS, MAX_BYTES = 6000, 64_000_000
 
 
 def passage_features(data: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -99,43 +99,53 @@ class AttentionModel:
     def score(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z @ self.p["c"] + self.p["d"][0], -40, 40)))
 
+    def gradient(self, xs: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """(mean log loss over bags of scaled passages xs that start at `first`, its gradient by parameter)."""
+        p = self.p
+        bag = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(xs))))
+        h = np.tanh(xs @ p["W"] + p["b"])
+        tv, su = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-h @ p["U"]))
+        w, z = self.pool(h, (tv * su) @ p["a"], first)
+        score = self.score(z)
+        err = (score - y) / len(y)
+        by_bag = (err[:, None] * p["c"])[bag]
+        dw = (by_bag * h).sum(1)
+        dlogit = w * (dw - np.add.reduceat(w * dw, first)[bag])
+        dgate = dlogit[:, None] * p["a"]
+        dtv, dsu = dgate * su * (1 - tv**2), dgate * tv * su * (1 - su)
+        dh = (by_bag * w[:, None] + dtv @ p["V"].T + dsu @ p["U"].T) * (1 - h**2)
+        grad = {"W": xs.T @ dh, "b": dh.sum(0), "V": h.T @ dtv, "U": h.T @ dsu, "a": ((tv * su) * dlogit[:, None]).sum(0), "c": z.T @ err, "d": np.array([err.sum()])}
+        loss = -np.mean(y * np.log(score + 1e-12) + (1 - y) * np.log(1 - score + 1e-12))
+        return float(loss), grad
+
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.02, decay: float = 1e-4) -> AttentionModel:
         """Adam on the mean log loss over all bags at once; the same bags give the same model."""
         self.mean, self.scale = x.mean(0), x.std(0) + 0.05
-        count = np.diff(np.append(first, len(x)))
-        bag = np.repeat(np.arange(len(first)), count)
         xs = (x - self.mean) / self.scale
         share = y.mean()
         self.p["d"][0] = np.log((share + 0.01) / (1.01 - share))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         for t in range(1, steps + 1):
-            p = self.p
-            h = np.tanh(xs @ p["W"] + p["b"])
-            tv, su = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-h @ p["U"]))
-            w, z = self.pool(h, (tv * su) @ p["a"], first)
-            err = (self.score(z) - y) / len(y)
-            dz = err[:, None] * p["c"]
-            by_bag = dz[bag]
-            dw = (by_bag * h).sum(1)
-            dlogit = w * (dw - np.add.reduceat(w * dw, first)[bag])
-            dgate = dlogit[:, None] * p["a"]
-            dtv, dsu = dgate * su * (1 - tv**2), dgate * tv * su * (1 - su)
-            dh = (by_bag * w[:, None] + dtv @ p["V"].T + dsu @ p["U"].T) * (1 - h**2)
-            grad = {"W": xs.T @ dh, "b": dh.sum(0), "V": h.T @ dtv, "U": h.T @ dsu, "a": ((tv * su) * dlogit[:, None]).sum(0), "c": z.T @ err, "d": np.array([err.sum()])}
-            for k, g in grad.items():
-                g = g + decay * p[k]
+            for k, g in self.gradient(xs, first, y)[1].items():
+                g = g + decay * self.p[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 s[k] = 0.999 * s[k] + 0.001 * g * g
-                p[k] -= rate * m[k] / (1 - 0.9**t) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
+                self.p[k] -= rate * m[k] / (1 - 0.9**t) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
         return self
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS) -> AttentionModel:
-    """Fit on at most max_docs labelled documents, those whose ids have the least hashes, and on all their passages; several labels of an id are averaged."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    sample = F.broadcast(marked.orderBy(F.xxhash64("lid"), "lid").limit(max_docs))
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, F.col("id") == F.col("lid")).select("lid", "y", "text")
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> AttentionModel:
+    """Fit on at most max_docs labelled documents (see labelled_sample) and on all their passages.
+
+    Of these documents, in order of hashes, those stay whose texts together have at most max_bytes; the first one stays in any case.
+    """
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, max_docs)
+    # one task orders the sizes: max_docs rows of an id, a hash and a length
+    sizes = sample.select("id", F.xxhash64("id", "text").alias("h"), F.octet_length("text").cast("long").alias("size"))
+    sizes = sizes.withColumns({"so_far": F.sum("size").over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(Window.orderBy("h", "id"))})
+    within = sizes.where((F.col("so_far") <= max_bytes) | (F.col("place") == 1)).select("id", "h").distinct()
+    chosen = sample.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(within), ["id", "h"]).select("id", "y", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +158,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             pick = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick).cast(pa.string()), batch.column(1).take(pick), pa.array([x.tobytes() for x in whole], pa.binary())], ["id", "y", "x"])
 
-    got = chosen.withColumn("lid", F.col("lid").cast("string")).mapInArrow(featurise, "id string, y int, x binary").collect()  # at most max_docs bags
+    got = chosen.mapInArrow(featurise, "id string, y int, x binary").collect()  # at most max_docs bags of max_bytes of text
     got.sort(key=lambda r: (r["id"], r["x"]))
     model = AttentionModel()
     if got:
@@ -171,16 +181,19 @@ def score_quality(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            held: tuple[int, list, list] | None = None  # a text that comes in several items
+            # a text that comes in several items: its row, greatest logit, sum of weights and of weighted encodings so far
+            held: tuple[int, float, float, np.ndarray] | None = None
             for i, count, x in bags(batch.column(0)):
                 h, logit = model.encode(x)
                 if len(count) == 1:
+                    top = max(float(logit.max()), held[1] if held and held[0] == i else -np.inf)
+                    e = np.exp(logit - top)
+                    total, z = float(e.sum()), e @ h
                     if held and held[0] == i:
-                        held[1].append(h)
-                        held[2].append(logit)
-                    else:
-                        held = (i, [h], [logit])
-                    _, z = model.pool(np.concatenate(held[1]), np.concatenate(held[2]), np.zeros(1, np.int64))
+                        back = np.exp(held[1] - top)
+                        total, z = total + back * held[2], z + back * held[3]
+                    held = (i, top, total, z)
+                    z = (z / total)[None]
                 else:
                     _, z = model.pool(h, logit, np.cumsum(count) - count)
                 out[i : i + len(count)] = model.score(z)

@@ -441,21 +441,59 @@ def test_labelled_sample(spark):
 
 
 def test_attention_gradient():
+    """The gradient by every parameter against finite differences, and a fit that separates its bags."""
     rng = np.random.default_rng(1)
     model = quality.AttentionModel(n_in=5, width=4, gate=3)
     x, first, y = rng.normal(size=(30, 5)), np.array([0, 4, 5, 12, 20]), np.array([1.0, 0, 1, 0, 1])
-    model.p["c"] = rng.normal(size=4)
-
-    def loss():
-        h, logit = model.encode((x - model.mean) / 1.0)
-        p = model.score(model.pool(h, logit, first)[1])
-        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
-
-    before = loss()
+    model.p = {k: rng.normal(0, 0.5, v.shape) for k, v in model.p.items()}
+    _, grad = model.gradient(x, first, y)
+    for k, v in model.p.items():
+        for at in np.ndindex(v.shape):
+            kept, losses = v[at], []
+            for d in (1e-5, -1e-5):
+                v[at] = kept + d
+                losses.append(model.gradient(x, first, y)[0])
+            v[at] = kept
+            assert abs((losses[0] - losses[1]) / 2e-5 - grad[k][at]) < 1e-6, (k, at)
     fitted = quality.AttentionModel(n_in=5, width=4, gate=3).fit(x, first, y, steps=300)
     h, logit = fitted.encode(x)
     w, z = fitted.pool(h, logit, first)
-    assert np.allclose(np.add.reduceat(w, first), 1) and ((fitted.score(z) > 0.5) == (y > 0.5)).all() and before > 0
+    assert np.allclose(np.add.reduceat(w, first), 1) and ((fitted.score(z) > 0.5) == (y > 0.5)).all()
+
+
+def test_quality_literally(spark, monkeypatch):
+    """Scores of texts of any length from their passages one by one, also where a text comes in many chunks."""
+    rng = random.Random(9)
+    texts = ["", None, "a", "word " * 103, "".join(rng.choice("ab C9.,\n é") for _ in range(9000)), "x" * 5000, "y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.AttentionModel()
+    model.p["c"] = np.random.default_rng(2).normal(size=16)
+
+    def score(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        parts = [data[i : i + quality.PASSAGE] for i in range(0, max(len(data), 1), quality.PASSAGE)]
+        x = np.concatenate([quality.passage_features(part, np.zeros(len(part), np.int64), 1) for part in parts])
+        h = np.tanh((x - model.mean) / model.scale @ model.p["W"] + model.p["b"])
+        a = np.exp(np.array([np.sum(model.p["a"] * np.tanh(r @ model.p["V"]) / (1 + np.exp(-r @ model.p["U"]))) for r in h]))
+        return 1 / (1 + np.exp(-(a / a.sum()) @ h @ model.p["c"] - model.p["d"][0]))
+
+    for chunk in (quality.CHUNK_BYTES, 1024):
+        monkeypatch.setattr(quality, "CHUNK_BYTES", chunk)
+        got = {r.doc_id: r.score for r in quality.score_quality(df, model).collect()}
+        assert all(abs(got[i] - score(t)) < 1e-9 for i, t in enumerate(texts)), chunk
+
+
+def test_fit_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.AttentionModel, "fit", lambda self, x, first, y: seen.append(len(first)))
+    df = spark.createDataFrame([(i, "word " * 100) for i in range(40)], "doc_id long, text string")
+    df = df.unionByName(df)
+    labels = df.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    quality.fit_quality(df, labels)
+    quality.fit_quality(df, labels, max_bytes=5000)
+    quality.fit_quality(df, labels, max_bytes=1)
+    quality.fit_quality(df, labels, max_docs=7)
+    assert seen == [40, 10, 1, 7]
 
 
 DIR = "/root/testdata/sf0.1"
