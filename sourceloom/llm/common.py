@@ -68,6 +68,27 @@ def mod_crc32(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
+#: Rows of one key that a task takes along with others in any case.
+FEW_ROWS = 1000
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with a table of one row a key, whose column n (dropped) tells how many rows have the key.
+
+    A key with more rows than an average task is hot. There are fewer such keys than shuffle partitions, so their rows of the table
+    are broadcast and rows with them stay where they are; only the others are shuffled.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = table.agg(F.sum("n")).first()[0] or 0
+    bound = max(total // parts, FEW_ROWS)
+    hot = table.where(F.col("n") > bound).drop("n")
+    cold = table.where(F.col("n") <= bound).drop("n")
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    named = F.broadcast(hot.select(key))
+    return rows.join(named, key, "left_anti").join(cold, key).unionByName(rows.join(F.broadcast(hot), key))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_docs: int) -> DataFrame:
     """(id, y, text) of at most about max_docs labelled documents, staged: those whose ids have the least hashes.
 

@@ -2,7 +2,9 @@
 
 Two sets of sizes a and b have a Jaccard similarity of p/q or more exactly if they share T = ceil(p (a + b) / (p + q))
 shingles, so a document searches its shingles' inverted lists for documents that occur T times. The search (DivideSkip)
-merges the short lists, keeps what reaches T less the number of long lists, and probes the long lists by bisection.
+merges all but the L longest lists, keeps what reaches T - L there, and probes the long lists by bisection. L follows from T and
+the longest list. The merge is done for all short lists at once by sorting their concatenation, which gives what a heap over
+their heads gives, in compiled code; a test holds it against the heap.
 
 Around that search, three steps keep lists short and in memory, and lose no link:
 
@@ -20,6 +22,7 @@ batch, so no list grows with a hot passage.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import join_by_key, staged
 from .components import components
 from .textbytes import FOLD, IS_SPACE, buffers, chunks, mix, sliced, word_hashes
 
 CHUNK_BYTES = 1 << 21
 #: Shingles of one class count up to this; beyond, a shingle is heavy.
 HEAVY = 16
-#: Packed shingles that one task holds at a time.
-SHARD_SHINGLES = 1_500_000
+#: Packed shingles that one task holds at a time, and so few that a shard of its own is not worth it.
+SHARD_SHINGLES, LEAST_SHINGLES = 1_500_000, 50_000
+#: Cost of merging a list against probing it, the constant of DivideSkip's choice of L.
+MERGE_COST = 0.0085
 #: Classes that a broadcast may hold; beyond, texts are joined by a shuffle with Spark's own runtime filter.
 BROADCAST_CLASSES = 1_000_000
 NO_DOC = np.uint32(0xFFFFFFFF)
@@ -174,11 +179,17 @@ def gather(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, key, np.repeat(total, length)
 
 
-def divide_skip(sizes: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links (i, j) that connect exactly what all links of num/den or more connect, among sets given in order of size.
+def n_long(least: int, longest: int) -> int:
+    """How many of the longest lists are probed: fewer than the occurrences sought, the fewer the longer the longest one."""
+    return max(0, min(least - 1, int(least / (MERGE_COST * math.log2(max(longest, 2)) + 1))))
+
+
+def divide_skip(sizes: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, num: int, den: int, every: bool = False) -> list[tuple[int, int, int]]:
+    """(i, j, overlap) among sets given in order of size: links that connect exactly what all links of num/den or more connect.
 
     tokens[bounds[i]:bounds[i + 1]] are the shingles of set i that some other set may share. Each set searches the lists
-    of its shingles, up to itself; sets that are already connected to it are left out before long lists are probed.
+    of its shingles, up to itself; sets that are already connected to it are left out before long lists are probed, unless
+    `every` link is wanted.
     """
     n = len(sizes)
     of = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
@@ -201,9 +212,10 @@ def divide_skip(sizes: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, num:
             continue
         by_length = np.argsort(hi - lo, kind="stable")
         lo, hi = lo[by_length], hi[by_length]
-        n_short = len(lo) - (least - 1)  # L = T - 1 long lists: a partner is in one short list at least
+        n_short = len(lo) - n_long(least, int(hi[-1] - lo[-1]))  # a partner is in one short list at least
         merged = np.concatenate([lists[a:b] for a, b in zip(lo[:n_short].tolist(), hi[:n_short].tolist(), strict=True)])
-        merged = merged[(sizes[merged] >= smallest) & (label[merged] != label[x])]
+        able = sizes[merged] >= smallest
+        merged = merged[able if every else able & (label[merged] != label[x])]
         if not len(merged):
             continue
         merged.sort(kind="stable")  # the merge of sorted lists
@@ -218,10 +230,14 @@ def divide_skip(sizes: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, num:
                 break
             at = np.searchsorted(lists[a:b], found)
             occurs = occurs + (lists[a:b][np.minimum(at, b - a - 1)] == found)
-        for y in found[occurs >= need].tolist():
+        good = occurs >= need
+        for y, overlap in zip(found[good].tolist(), occurs[good].tolist(), strict=True):
+            if every:
+                links.append((x, y, overlap))
+                continue
             p, q = int(label[x]), int(label[y])
             if p != q:
-                links.append((x, y))
+                links.append((x, y, overlap))
                 mp, mq = members.pop(p, [p]), members.pop(q, [q])
                 if len(mp) < len(mq):
                     mp, mq, p = mq, mp, q
@@ -230,16 +246,14 @@ def divide_skip(sizes: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, num:
     return links
 
 
-def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sample: float = 0.25) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, component_key (null without shingles), text_hash (xxhash64).
+def n_shards(spark, shingles: int) -> int:
+    """Shards of bounded size, and more of them where tasks would be left without one."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-shingles // SHARD_SHINGLES), min(parts, -(-shingles // LEAST_SHINGLES)))
 
-    Words are runs of non-space characters with A-Z lowered; a set holds a text's distinct shingles of k words, or its
-    whole sequence if it has fewer. Two rows link if den * |intersection| >= num * |union|; component_id is the least id that links
-    lead to. A null, empty or blank text has no shingles, links with nothing and is its own component. Rows with the same
-    text are one class whatever their number; rows that repeat an id with different texts are judged by text, and a null
-    id never names a component unless all its ids are null. An empty table gives no rows; other columns are not read.
-    `sample` only moves work between steps; the result doesn't depend on it.
-    """
+
+def linked_classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, sample: float, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(about: id, n, key, low, th of every row; links: a, b, overlap between keys of different sets, as divide_skip gives them)."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     arrow_id = source.limit(0).toArrow().schema.field("id").type
@@ -260,7 +274,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
     n_low = int(total[1] or 0)
 
     # 1. who shares enough of the sampled shingles
-    shards = max(1, -(-n_low // SHARD_SHINGLES))
+    shards = n_shards(docs.sparkSession, n_low)
 
     def post_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -298,7 +312,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
     ids = plausible.select("id")
     ids = F.broadcast(ids) if size[0] <= BROADCAST_CLASSES else ids
     chosen = source.join(ids, F.equal_null(source["id"], ids["id"]), "left_semi") if size[0] else source.limit(0)
-    shards = max(1, -(-int(size[1] or 0) // SHARD_SHINGLES))
+    shards = n_shards(docs.sparkSession, int(size[1] or 0))
     packed = "key long, tokens binary, counts binary"
 
     def post_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,15 +358,16 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
 
     able = staged(by_class.select("key", "tokens", "counts", "n").mapInArrow(first_ones, "key long, n long, tokens binary, prefix array<long>"), "able")
     prefix = able.select("key", F.explode("prefix").alias("token"))
-    least = prefix.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("token", "least")
-    blocks = components(prefix.join(least, "token").select(F.col("key").alias("a"), F.col("least").alias("b")))
+    least = prefix.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    least = staged(least.select("token", "least", "n"), "least")
+    blocks = components(join_by_key(prefix, least, "token").select(F.col("key").alias("a"), F.col("least").alias("b")))
     blocks = staged(blocks, "blocks")
 
     # 3. search by shards
     members = able.drop("prefix").join(blocks.select(F.col("node").alias("key"), F.col("label").alias("block")), "key")
     weight = members.groupBy("block").agg(F.sum(F.length("tokens") / 8).cast("long").alias("weight"))
     n_packed = int(weight.agg(F.sum("weight")).first()[0] or 0)
-    packs = max(1, -(-n_packed // SHARD_SHINGLES))
+    packs = n_shards(docs.sparkSession, n_packed)
     members = members.join(weight, "block")
     small = F.col("weight") <= SHARD_SHINGLES
     alone = members.where(small).select(F.struct(F.pmod(F.xxhash64("block"), F.lit(packs)).alias("p"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")).alias("task"), "key", "n", "tokens")
@@ -377,11 +392,45 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
         pdf = pdf.sort_values(["n", "key"])
         keys, sizes = pdf["key"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         bounds = np.concatenate([[0], np.cumsum([len(t) // 8 for t in pdf["tokens"]])])
-        links = divide_skip(sizes, np.frombuffer(b"".join(pdf["tokens"]), np.uint64), bounds, num, den)
-        at = np.array(links, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": keys[at[:, 0]], "b": keys[at[:, 1]]})
+        links = divide_skip(sizes, np.frombuffer(b"".join(pdf["tokens"]), np.uint64), bounds, num, den, every)
+        at = np.array(links, np.int64).reshape(-1, 3)
+        a, b = keys[at[:, 0]], keys[at[:, 1]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "overlap": at[:, 2]})
+
+    return about, tasks.groupBy("task").applyInPandas(lambda pdf: search(pdf), "a long, b long, overlap long")
+
 
-    labels = components(tasks.groupBy("task").applyInPandas(lambda pdf: search(pdf), "a long, b long"))
+def jaccard_links(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sample: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """(membership, links): every link between different sets, none lost.
+
+    membership: id, class, n_shingles, rows (of the class), n_links of every row; links: a, b (classes, a < b), overlap. A class is all rows of
+    one set, null without shingles. n_links counts the other rows that a row is linked with: those of its class and those of linked
+    classes. A group of m different near copies has up to m (m - 1) / 2 links: jaccard_join gives components without them.
+    """
+    about, links = linked_classes(docs, k, num, den, id_col, text_col, sample, True)
+    links = staged(links.distinct(), "links")  # chunks of one component meet more than once
+    classes = staged(about.where("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "classes")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beyond = both.join(classes.select(F.col("key").alias("b"), "rows"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("rows").alias("beyond"))
+    per_class = classes.join(beyond, "key", "left").select("key", "rows", (F.col("rows") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.col("rows").alias("n"))
+    rows = about.where("key <> 0").select("id", "key", F.col("n").alias("n_shingles"))
+    own = join_by_key(rows, staged(per_class, "per-class"), "key").select(F.col("id").alias(id_col), F.col("key").alias("class"), "n_shingles", "rows", "n_links")
+    none = about.where("key = 0").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("class"), F.lit(0).cast("long").alias("n_shingles"), F.lit(1).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_links"))
+    return own.unionByName(none), links
+
+
+def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", sample: float = 0.25) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id, component_key (null without shingles), text_hash (xxhash64).
+
+    Words are runs of non-space characters with A-Z lowered; a set holds a text's distinct shingles of k words, or its
+    whole sequence if it has fewer. Two rows link if den * |intersection| >= num * |union|; component_id is the least id that links
+    lead to. A null, empty or blank text has no shingles, links with nothing and is its own component. Rows with the same
+    text are one class whatever their number; rows that repeat an id with different texts are judged by text, and a null
+    id never names a component unless all its ids are null. An empty table gives no rows; other columns are not read.
+    `sample` only moves work between steps; the result doesn't depend on it.
+    """
+    about, links = linked_classes(docs, k, num, den, id_col, text_col, sample, False)
+    labels = components(links.select("a", "b"))
     # a hot class or component never meets in a task: both tables are broadcast up to a checked number of rows
     labels = staged(labels.select(F.col("node").alias("key"), "label"), "labels")
     labels = F.broadcast(labels) if labels.count() <= BROADCAST_CLASSES else labels

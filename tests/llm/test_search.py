@@ -1,5 +1,7 @@
 """Joins, searches and sorts against brute force."""
 
+import bisect
+import heapq
 import random
 from collections import Counter
 
@@ -82,8 +84,8 @@ def test_divide_skip_links_what_all_pairs_link():
         bounds = np.cumsum([0] + [len(s) for s in sets])
         tokens = np.array([t for s in sets for t in sorted(s)], np.uint64)
         got = jj.divide_skip(np.array([len(s) for s in sets]), tokens, bounds, 60, 100)
-        for i, j in got:
-            assert 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])
+        for i, j, n in got:
+            assert 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j]) and n == len(sets[i] & sets[j])
 
         def classes(links):
             label = list(range(len(sets)))
@@ -93,7 +95,69 @@ def test_divide_skip_links_what_all_pairs_link():
             return label
 
         every = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])]
-        assert classes(got) == classes(every)
+        assert classes([x[:2] for x in got]) == classes(every)
+        found = sorted(jj.divide_skip(np.array([len(s) for s in sets]), tokens, bounds, 60, 100, every=True))
+        assert found == sorted((i, j, len(sets[i] & sets[j])) for i, j in every) == heap_search(sets, 60, 100)
+
+
+def heap_search(sets, num, den):
+    """DivideSkip with a heap over the heads of the short lists and bisection in the long ones."""
+    out, lists = [], {}
+    for x, own in enumerate(sets):
+        mine = sorted((lists[t] for t in own if t in lists), key=len)
+        smallest = -(-len(own) * num // den)
+        least = -(-num * (len(own) + smallest) // (num + den))
+        short = mine[: len(mine) - jj.n_long(least, len(mine[-1]))] if mine else []
+        longs = mine[len(short) :]
+        heap = [(own_list[0], i, 0) for i, own_list in enumerate(short)]
+        heapq.heapify(heap)
+        while heap:
+            y, n = heap[0][0], 0
+            while heap and heap[0][0] == y:
+                _, i, at = heapq.heappop(heap)
+                n += 1
+                if at + 1 < len(short[i]):
+                    heapq.heappush(heap, (short[i][at + 1], i, at + 1))
+            need = -(-num * (len(own) + len(sets[y])) // (num + den))
+            if n + len(longs) >= need and len(sets[y]) >= smallest:
+                n += sum((k := bisect.bisect_left(p, y)) < len(p) and p[k] == y for p in longs)
+                if n >= need:
+                    out.append((x, y, n))
+        for t in own:
+            lists.setdefault(t, []).append(x)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("shard", "heavy"), [(1_500_000, 16), (300, 3)])
+def test_every_link(spark, monkeypatch, shard, heavy):
+    """All links between different sets, and the number of rows that each row is linked with."""
+    monkeypatch.setattr(jj, "SHARD_SHINGLES", shard)
+    monkeypatch.setattr(jj, "HEAVY", heavy)
+    texts = corpus(random.Random(6))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    membership, links = jj.jaccard_links(df)
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))) if w else frozenset())
+    linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 85 * len(a | b)
+    got = {r.doc_id: r for r in membership.collect()}
+    assert {i: (r.n_shingles, r.n_links) for i, r in got.items()} == {i: (len(a), sum(linked(a, b) for j, b in enumerate(sets) if j != i)) for i, a in enumerate(sets)}
+    of = {r["class"]: sets[i] for i, r in got.items() if r["class"] is not None}
+    rows = [(frozenset((of[r.a], of[r.b])), r.overlap) for r in links.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(frozenset((a, b)), len(a & b)) for a in of.values() for b in of.values() if a != b and linked(a, b)}
+
+
+def test_hot_keys_stay_where_they_are(spark, monkeypatch):
+    from sourceloom.llm import common
+
+    monkeypatch.setattr(common, "FEW_ROWS", 5)
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 99, i) for i in range(300)], "k long, i long")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
+    got = common.join_by_key(rows, table, "k")
+    assert sorted(got.columns) == ["i", "k", "v"]
+    assert sorted((r.i, r.k, r.v) for r in got.collect()) == sorted((i, k := i % 7 if i % 3 else 99, 2 * k) for i in range(300))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
 
 
 def brute_starts(text, w):
