@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_by_key, staged
@@ -38,7 +38,7 @@ from .textbytes import FOLD, IS_SPACE, buffers, chunks, mix, sliced, word_hashes
 CHUNK_BYTES = 1 << 21
 #: Shingles of one class count up to this; beyond, a shingle is heavy.
 HEAVY = 16
-#: Packed shingles that one task holds at a time, and so few that a shard of its own is not worth it.
+#: Packed shingles that one task holds at a time, and so few that a pack of their own is not worth it.
 SHARD_SHINGLES, LEAST_SHINGLES = 1_500_000, 50_000
 #: Cost of merging a list against probing it, the constant of DivideSkip's choice of L.
 MERGE_COST = 0.0085
@@ -246,8 +246,8 @@ def divide_skip(sizes: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, num:
     return links
 
 
-def n_shards(spark, shingles: int) -> int:
-    """Shards of bounded size, and more of them where tasks would be left without one."""
+def n_packs(spark: SparkSession, shingles: int) -> int:
+    """Packs of whole components of bounded size, and more of them where tasks would be left without one."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(1, -(-shingles // SHARD_SHINGLES), min(parts, -(-shingles // LEAST_SHINGLES)))
 
@@ -274,7 +274,7 @@ def linked_classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, tex
     n_low = int(total[1] or 0)
 
     # 1. who shares enough of the sampled shingles
-    shards = n_shards(docs.sparkSession, n_low)
+    shards = max(1, -(-n_low // SHARD_SHINGLES))
 
     def post_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -312,7 +312,7 @@ def linked_classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, tex
     ids = plausible.select("id")
     ids = F.broadcast(ids) if size[0] <= BROADCAST_CLASSES else ids
     chosen = source.join(ids, F.equal_null(source["id"], ids["id"]), "left_semi") if size[0] else source.limit(0)
-    shards = n_shards(docs.sparkSession, int(size[1] or 0))
+    shards = max(1, -(-int(size[1] or 0) // SHARD_SHINGLES))
     packed = "key long, tokens binary, counts binary"
 
     def post_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +367,7 @@ def linked_classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, tex
     members = able.drop("prefix").join(blocks.select(F.col("node").alias("key"), F.col("label").alias("block")), "key")
     weight = members.groupBy("block").agg(F.sum(F.length("tokens") / 8).cast("long").alias("weight"))
     n_packed = int(weight.agg(F.sum("weight")).first()[0] or 0)
-    packs = n_shards(docs.sparkSession, n_packed)
+    packs = n_packs(docs.sparkSession, n_packed)
     members = members.join(weight, "block")
     small = F.col("weight") <= SHARD_SHINGLES
     alone = members.where(small).select(F.struct(F.pmod(F.xxhash64("block"), F.lit(packs)).alias("p"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")).alias("task"), "key", "n", "tokens")
