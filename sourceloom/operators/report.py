@@ -28,6 +28,12 @@ def group_stories(sources: DataFrame) -> DataFrame:
     return rows.withColumn("story_pos", F.min("pos").over(Window.partitionBy("research_id", "story_id")))
 
 
+def with_company(findings: DataFrame, entities: DataFrame) -> DataFrame:
+    """findings (research_id, entity_key, ...) with the name of the company they are about, null where there is none."""
+    names = entities.select("research_id", F.col("key").alias("entity_key"), F.col("name").alias("company"))
+    return findings.join(names, ["research_id", "entity_key"], "left")
+
+
 def citation_numbers(stories: DataFrame) -> DataFrame:
     """stories (research_id, story_id, label, story_pos) with number: direct, contextual, unclassified, each in order; the rest has none."""
     rank = F.create_map(*[F.lit(x) for kv in LABEL_RANK.items() for x in kv])

@@ -100,10 +100,10 @@ def violations(sources: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables as published versions in a folder: a save writes every table of a version aside, then names it in one pointer file.
+    """Tables as published versions in a folder: a save writes every table of a version aside, then names it in one numbered pointer.
 
-    Readers see all tables of a version or none. Two writers at once may both write; the last pointer wins - there is no lock as
-    a database has, so one writer per research is assumed.
+    Readers take the pointer of the greatest number and see all tables of its version or none; a pointer appears by one rename and
+    none is ever removed, so there is no moment without a version. Of two writers that publish the same number one fails.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -115,28 +115,57 @@ class Store:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _last(self) -> int:
+        fs, at = self._fs(), self._path("pointers")
+        return max((int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()), default=0) if fs.exists(at) else 0
+
     def version(self) -> str | None:
-        at = self._path("_current")
-        if not self._fs().exists(at):
-            return None
-        return self.spark.read.text(f"{self.root}/_current").first()[0]
+        last = self._last()
+        return self.spark.read.text(f"{self.root}/pointers/{last:09d}").first()[0] if last else None
+
+    def _publish(self, new: str, number: int) -> None:
+        jvm, fs = self.spark.sparkContext._jvm, self._fs()
+        fs.mkdirs(self._path("pointers"))
+        aside = self._path(f"{new}/_pointer")
+        out = fs.create(aside)
+        out.write(bytearray(new.encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(aside, self._path(f"pointers/{number:09d}"), options)  # fails if another writer was first
 
     def save(self, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None) -> str:
-        new = uuid.uuid4().hex
+        new, number = uuid.uuid4().hex, self._last() + 1
         for name, df in tables.items():
             writer = df.write.mode("errorifexists")
             if partition_by and name in partition_by:
                 writer = writer.partitionBy(partition_by[name])
             writer.parquet(f"{self.root}/{new}/{name}")
-        self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/_next")
-        fs = self._fs()
-        fs.delete(self._path("_current"), True)
-        fs.rename(self._path("_next"), self._path("_current"))
+        self._publish(new, number)
         return new
 
+    def has(self, name: str) -> bool:
+        version = self.version()
+        return version is not None and self._fs().exists(self._path(f"{version}/{name}"))
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.version()}/{name}")
 
+    def save_report(self, analysis: DataFrame, companies: DataFrame, sources: DataFrame) -> str:
+        """Publish the reports of researches in one step: entities, findings and those of their citations whose source belongs to the research.
+
+        A research that has a report already makes the save fail before anything is written.
+        """
+        payload = save_payload(analysis, companies)
+        payload["finding_sources"] = valid_links(payload["finding_sources"], sources)
+        payload["reports"] = analysis.select("research_id").unionByName(companies.select("research_id")).distinct()
+        if self.has("reports"):
+            again = payload["reports"].join(self.read("reports"), "research_id", "left_semi").limit(3).collect()
+            if again:
+                raise ValueError(f"a report is saved already: {', '.join(str(r.research_id) for r in again)}")
+        return self.save({name: self.read(name).unionByName(df) if self.has(name) else df for name, df in payload.items()})
+
 
 def claim(log: DataFrame, research_id: str, now: Column) -> DataFrame:
     """The log row that claims a pending research - no row if its latest status is another. Append it to the log."""

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sourceloom.operators import analysis, entities, ingest, relevance, report, store, stories
@@ -215,6 +216,30 @@ def test_run_and_store(spark, tmp_path):
     assert store.claim(log, "r", now()).count() == 1 and store.claim(log, "x", now()).count() == 0
 
 
+def test_report_is_saved_once(spark, tmp_path):
+    schema = "research_id string, section string, at int, n int, title string, summary string, company string, event_date string, ids array<string>"
+    analysis = spark.createDataFrame([("r", "developments", 0, 1, "D", "s", "ACME", "2024-01-01", ["a", "x"]), ("r", "trends", 1, 1, "T", "s", None, None, ["b"]), ("r", "companies", 2, 1, None, None, None, None, ["a"])], schema)
+    companies = spark.createDataFrame(
+        [("r", 0, "Acme Inc", ["Acme Inc", "Acme"], "acme.com", "fr", None, ["a"]), ("r", 1, "Other", ["Other"], "acme.com", None, None, ["b"])],
+        "research_id string, pos int, name string, names array<string>, domain string, country string, focus string, ids array<string>")
+    sources = spark.createDataFrame([("r", "a"), ("r", "b"), ("q", "x")], "research_id string, id string")
+    box = store.Store(spark, f"file://{tmp_path}/store")
+    first = box.save_report(analysis, companies, sources)
+    found = {r.title: r for r in report.with_company(box.read("findings"), box.read("entities")).collect()}
+    assert (found["D"].entity_key, found["D"].company, found["T"].company) == ("c0", "Acme Inc", None)  # any merged name, in either case
+    assert sorted((r.source_id) for r in box.read("finding_sources").collect()) == ["a", "b"]  # x belongs to another research
+    assert {r.name: r.domain for r in box.read("entities").collect()} == {"Acme Inc": "acme.com", "Other": None}  # the first one keeps a domain
+    with pytest.raises(ValueError, match="saved already: r"):
+        box.save_report(analysis, companies, sources)
+    assert box.version() == first
+    other = lambda df: df.withColumn("research_id", F.lit("q"))
+    second = box.save_report(other(analysis), other(companies), sources)
+    assert box.version() == second and box.read("findings").count() == 4 and sorted(r.source_id for r in box.read("finding_sources").collect()) == ["a", "b", "x"]
+    with pytest.raises(Exception, match="exist"):
+        box._publish(first, 2)  # another writer was first
+    assert box.version() == second
+
+
 def test_report(spark):
     s = spark.createDataFrame([("r", 1, None, 1), ("r", 2, 1, 2), ("r", 3, 9, 3)], "research_id string, id int, duplicate_of int, pos int")
     assert {r.id: r.story_id for r in report.group_stories(s).collect()} == {1: 1, 2: 1, 3: 3}
