@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
+
+__all__ = ["FEW_ROWS", "LOWER", "SPACES", "UPPER", "WORD", "ascii_lower", "join_by_key", "labelled_sample", "mod_crc32", "n_words", "staged", "table", "text_of", "word_array"]
+
 #: White space as the contracts define it: space and the five ASCII controls from tab to return.
 SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
@@ -18,31 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='sourceloom-')}"
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it again.
-
-    This cuts lineage: a lost executor costs at most a re-read. The folder goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/sourceloom-{uuid.uuid4().hex}-{name}"
-    schema = df.schema
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(schema).parquet(path)
-
-
 def text_of(text: str | Column) -> Column:
     """The text, a null one as the empty one."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
