@@ -4,8 +4,8 @@ Inner products become a metric by one more coordinate: a vector v gets sqrt(M^2
 0; then distance^2 = |q|^2 + M^2 - 2 q.v, so the nearest are those of highest product. Vectors fall into cells around a few
 pivots, as many as keep a cell near the size of a shard, larger cells into shards by row, and a shard's vectors into an M-tree
 of pages: a page has a routing vector, a covering radius and its distance to the parent's routing vector; a leaf entry has
-its distance to the leaf's. Queries of one cell make blocks, as they reach the same cells; pages go only to blocks that reach
-their cell. The search of a block of queries takes the page with the least lower bound next and leaves out, per query, what the stored distances and the
+its distance to the leaf's. Queries of neighbouring cells make blocks, as they reach the same cells; pages go only to blocks
+that reach their cell. The search of a block of queries takes the page with the least lower bound next and leaves out, per query, what the stored distances and the
 triangle inequality rule out before any distance is computed. Scores themselves are integers and exact.
 """
 
@@ -153,6 +153,21 @@ def search_pages(pages: pd.DataFrame, q_rows: np.ndarray, q: np.ndarray, floor:
     return scores, found, filled
 
 
+def query_blocks(queries: dict[tuple[int, int], int], pivots: dict[int, np.ndarray]) -> dict[tuple[int, int], tuple[int, int]]:
+    """(first block, number of blocks) of each cell (length, cell) from its number of queries: cells in order of distance from the first
+    pivot share a block while it has room, a cell of more queries than a block has blocks of its own."""
+    far = {d: distances(p[:1], p)[0] for d, p in pivots.items()}
+    out, at, held = {}, 0, 0
+    last = None
+    for d, c in sorted(queries, key=lambda k: (k[0], far[k[0]][k[1]], k[1])):
+        n = queries[d, c]
+        if last is not None and (d != last or held + n > BLOCK):
+            at, held = at + max(1, -(-held // BLOCK)), 0
+        out[d, c] = (at, max(1, -(-n // BLOCK)))
+        held, last = held + n, d
+    return out
+
+
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each query its k highest integer inner products, ties to the smaller id.
 
@@ -198,7 +213,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     spark = vectors.sparkSession
     if not cells:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sizes = spark.createDataFrame([(r[0], r[1], -(-r[2] // SHARD), max(1, -(-r[4] // BLOCK))) for r in counts], "dim int, cell int, subs long, blocks long")
+    blocks = query_blocks({(r[0], r[1]): r[4] for r in counts}, pivots)
+    sizes = spark.createDataFrame([(d, c, cells[d, c][0], *blocks[d, c]) for d, c in cells], "dim int, cell int, subs long, base long, blocks long")
     placed = placed.join(F.broadcast(sizes), ["dim", "cell"])
     shards = placed.withColumn("sub", F.pmod(F.xxhash64("row", F.lit(3)), F.col("subs")).cast("int"))
 
@@ -237,7 +253,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
                             [pa.array(np.full(m, x, np.int32)) for x in (dim, cell, sub)] + [pa.array(x[at][go]) for x in (block, ids, row)] + [pa.array(blob, pa.binary()), pa.array(first[go])],
                             ["dim", "cell", "sub", "block", "id", "row", "vec", "first"])
 
-    block = F.shiftleft(F.col("cell").cast("long"), 32) + F.pmod(F.xxhash64("row", F.lit(5)), F.col("blocks"))
+    block = F.col("base") + F.pmod(F.xxhash64("row", F.lit(5)), F.col("blocks"))
     queries = placed.where("is_query").select("dim", "id", "row", block.alias("block"), "vec")
     routed = staged(queries.mapInArrow(route, "dim int, cell int, sub int, block long, id long, row long, vec binary, first long"), "routed")
     keys = ["dim", "cell", "sub", "block"]
