@@ -39,8 +39,9 @@ def hashed_positions(docs: DataFrame, widths: list[int], kept: tuple[str, ...])
         w = widths[0]
         return at.where(F.col("at") <= F.size("ws") - w).select(*kept, "at", F.lit(w).alias("w"), window_hash(F.col("ws"), F.col("at"), w).alias("h"))
     fits = lambda w: F.col("at") <= F.size("ws") - w
-    each = F.array_compact(F.array(*[F.when(fits(w), F.struct(F.lit(w).alias("w"), window_hash(F.col("ws"), F.col("at"), w).alias("h"))) for w in widths]))
-    return at.select(*kept, "at", F.explode(each).alias("x")).select(*kept, "at", "x.w", "x.h")
+    # all in generated code: an expression outside of it would make the stage hold a copy of the word array for each word
+    each = F.array(*[F.when(fits(w), F.struct(F.lit(w).alias("w"), window_hash(F.col("ws"), F.col("at"), w).alias("h"))) for w in widths])
+    return at.select(*kept, "at", F.explode(each).alias("x")).where(F.col("x").isNotNull()).select(*kept, "at", "x.w", "x.h")
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
