@@ -66,13 +66,14 @@ def join_by_key(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_docs: int) -> DataFrame:
-    """(id, y, text) of at most about max_docs labelled documents, staged: those whose ids have the least hashes.
+    """(id, y, text) of at most about max_docs labelled documents, staged: of the labelled ids that docs hold, those of the least hashes.
 
     Several labels of an id are averaged. Rows that repeat an id and a text are one document; where ids repeat with so many
     different texts that there are more than max_docs rows, those of the least row hashes stay.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    sample = F.broadcast(marked.orderBy(F.xxhash64("lid"), "lid").limit(max_docs))
+    there = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("lid")).distinct()
+    sample = F.broadcast(marked.join(there, "lid", "left_semi").orderBy(F.xxhash64("lid"), "lid").limit(max_docs))
     rows = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col).cast("string")).alias("text")).join(sample, F.col("id") == F.col("lid"))
     rows = rows.select(F.col("lid").cast("string").alias("id"), "y", "text", F.xxhash64("lid", "text").alias("h")).dropDuplicates(["id", "h"])
     rows = staged(rows, "labelled")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,14 +138,19 @@ class AttentionModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> AttentionModel:
     """Fit on at most max_docs labelled documents (see labelled_sample) and on all their passages.
 
-    Of these documents, in order of hashes, those stay whose texts together have at most max_bytes; the first one stays in any case.
+    Of these documents, in order of hashes, each stays that still fits into max_bytes of text with those before it that stay; where none fits, the smallest does.
     """
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col, max_docs)
-    # one task orders the sizes: max_docs rows of an id, a hash and a length
-    sizes = sample.select("id", F.xxhash64("id", "text").alias("h"), F.octet_length("text").cast("long").alias("size"))
-    sizes = sizes.withColumns({"so_far": F.sum("size").over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(Window.orderBy("h", "id"))})
-    within = sizes.where((F.col("so_far") <= max_bytes) | (F.col("place") == 1)).select("id", "h").distinct()
-    chosen = sample.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(within), ["id", "h"]).select("id", "y", "text")
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, max_docs).withColumn("h", F.xxhash64("id", "text"))
+    within, left = [], max_bytes
+    # at most about max_docs rows of a hash and a length; repeated (id, text) rows are one already
+    sizes = sorted(sample.select("h", F.octet_length("text").alias("size")).collect())
+    for r in sizes:
+        if r["size"] <= left:
+            within.append((r["h"],))
+            left -= r["size"]
+    if sizes and not within:
+        within.append((min(sizes, key=lambda r: (r["size"], r["h"]))["h"],))
+    chosen = sample.join(F.broadcast(docs.sparkSession.createDataFrame(within, "h long")), "h", "left_semi").select("id", "y", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,15 +1,15 @@
 """Secret scans with multipart credential linking.
 
 Three base patterns find what is a secret by itself. Weak parts - access identifiers, bare high-entropy strings,
-endpoints - prove nothing alone: inside a scope (a paragraph), parts whose surrounding intervals meet are joined, and weak
-parts are reported only where complementary parts occur together.
+endpoints - prove nothing alone: inside a scope (a paragraph) they are joined by role, secrets with identifiers and endpoints whose
+intervals lie within reach of each other, and a weak part is reported only where the join finds it a partner.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -78,34 +78,31 @@ ROLE = {"assign": "secret", "access": "identifier", "hex": "secret"}
 
 
 def link(text: str, base: list[tuple[int, int, str]], reach: int = 200) -> list[tuple[int, int, str]]:
-    """The weak parts that complementary parts support.
+    """The weak parts that have a complementary part in their scope within reach: secrets need an identifier or endpoint, these need a secret.
 
-    Intervals are widened by half of reach on either side and joined by a sweep inside each scope; a run of
-    intervals that meet is a group. A group links if it holds a secret and an identifier or endpoint, at least one of them weak.
+    Distances are from the end of the one to the start of the other; parts that overlap are one string and don't support each other.
+    The other role's nearest end before a part and nearest start behind it decide, so the join is two look-ups a part.
     """
     weak = weak_parts(text, base)
     if not weak:
         return []
-    parts = sorted([(s, e, ROLE[k], False, k) for s, e, k in base] + [(s, e, k, True, k) for s, e, k in weak])
     cuts = [m.start() for m in SCOPE.finditer(text)]
-    out: list[tuple[int, int, str]] = []
-    group: list[tuple] = []
-
-    def close() -> None:
-        roles = {p[2] for p in group}
-        if "secret" in roles and len(roles) > 1:
-            out.extend((p[0], p[1], f"linked_{p[4]}") for p in group if p[3])
-
-    end = scope = -1
-    for p in parts:
-        at = bisect_left(cuts, p[0])
-        if group and (at != scope or p[0] - end > reach):
-            close()
-            group = []
-            end = -1
-        group.append(p)
-        end, scope = max(end, p[1]), at
-    close()
+    ends: dict[tuple[int, bool], list[int]] = {}
+    starts: dict[tuple[int, bool], list[int]] = {}
+    for s, e, role in [(s, e, ROLE[k]) for s, e, k in base] + weak:
+        key = bisect_left(cuts, s), role == "secret"
+        starts.setdefault(key, []).append(s)
+        ends.setdefault(key, []).append(e)
+    for lists in (starts, ends):
+        for x in lists.values():
+            x.sort()
+    out = []
+    for s, e, kind in weak:
+        other = bisect_left(cuts, s), kind != "secret"
+        before, behind = ends.get(other, []), starts.get(other, [])
+        k, j = bisect_right(before, s), bisect_left(behind, e)
+        if k and s - before[k - 1] <= reach or j < len(behind) and behind[j] - e <= reach:
+            out.append((s, e, f"linked_{kind}"))
     return out
 
 

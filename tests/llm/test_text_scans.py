@@ -325,17 +325,13 @@ def literal_links(text, reach):
                 weak.append((s, e, kind))
     parts = [(s, e, secrets.ROLE[k], k, False) for s, e, k in base] + [(s, e, k, k, True) for s, e, k in weak]
     scope = [sum(m.start() < p[0] for m in secrets.SCOPE.finditer(text)) for p in parts]
-    group = list(range(len(parts)))
+    out = []
     for i, p in enumerate(parts):
         for j, q in enumerate(parts):
-            if p[0] <= q[0] and q[0] - p[1] <= reach and scope[i] == scope[j] and group[i] != group[j]:
-                old, new = group[j], group[i]
-                group = [new if g == old else g for g in group]
-    out = []
-    for p, g in zip(parts, group, strict=True):
-        roles = {q[2] for q, h in zip(parts, group, strict=True) if g == h}
-        if p[4] and "secret" in roles and len(roles) > 1:
-            out.append((p[0], p[1], f"linked_{p[3]}"))
+            gap = max(q[0] - p[1], p[0] - q[1])
+            if p[4] and (p[2] == "secret") != (q[2] == "secret") and scope[i] == scope[j] and 0 <= gap <= reach:
+                out.append((p[0], p[1], f"linked_{p[3]}"))
+                break
     return sorted(out)
 
 
@@ -351,6 +347,16 @@ def test_linked_spans_against_all_pairs():
     assert linked > 100
 
 
+def test_weak_parts_of_one_role_do_not_chain():
+    """Bare strings in a row: the last one alone is near the endpoint."""
+    bare = [f"aB3dE5gH7jK9mN1pQ3s{c}" for c in "ABCDEFGHIJKL"]
+    text = "".join(x + " filler" * 18 + " " for x in bare) + "https://api.example.com/v1"
+    assert [k for _, _, k in secrets.link(text, [], 200)] == ["linked_secret", "linked_endpoint"]
+    assert text[secrets.link(text, [], 200)[0][0]:].startswith(bare[-1])
+    # one string that is an identifier's value and a bare secret at once isn't two parts
+    assert secrets.link("login=aB3dE5gH7jK9mN1pQ3sT", [], 200) == []
+
+
 def test_weak_parts_beside_a_long_run(monkeypatch):
     """Each weak part is looked up once, however long a base span is and however many there are."""
     looked = []
@@ -494,6 +500,21 @@ def test_fit_is_bounded(spark, monkeypatch):
     quality.fit_quality(df, labels, max_bytes=1)
     quality.fit_quality(df, labels, max_docs=7)
     assert seen == [40, 10, 1, 7]
+    # one text that doesn't fit goes, wherever its hash puts it; those behind it stay
+    for huge in range(0, 40, 3):
+        mixed = df.withColumn("text", F.when(F.col("doc_id") == huge, F.repeat("text", 100)).otherwise(F.col("text")))
+        seen.clear()
+        quality.fit_quality(mixed, labels, max_bytes=40_000)
+        assert seen == [39]
+
+
+def test_labels_of_other_documents_take_no_room(spark):
+    """A labels table much larger than the documents: every labelled document is in the sample of both classifiers."""
+    docs = spark.range(60).select((F.col("id") * 331).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"), (F.col("id") % 2).alias("toxic"))
+    for label, most in (("quality", 6000), ("quality", 100), ("toxic", 60)):
+        assert labelled_sample(docs, labels, "doc_id", "text", label, most).count() == 60
+    assert labelled_sample(docs, labels, "doc_id", "text", "quality", 20).count() == 20
 
 
 DIR = "/root/testdata/sf0.1"
