@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import CONTAMINATION_SQL, contamination
+from .importance import RESAMPLE_SQL, importance_resample
 from .jaccard_join import JACCARD_SQL, jaccard_join
 from .mixing import MIX_SQL, mix_sources
 from .mtree import TOP_K_SQL, exact_top_k
@@ -87,6 +88,10 @@ def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_repeat_removal": op10_repeat_removal,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 ORACLES: dict[str, str] = {
     "op3_mix_sources": MIX_SQL.format(docs="documents"),
@@ -105,4 +111,5 @@ ORACLES: dict[str, str] = {
     "op10_repeat_removal": REPEATS_SQL.format(docs="documents"),
     "op9_exact_top_k": TOP_K_SQL.format(vectors="embeddings"),
     "op7_decontamination": CONTAMINATION_SQL.format(docs="documents"),
+    "op11_importance_resampling": RESAMPLE_SQL.format(docs="documents"),
 }
