@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import CONTAMINATION_SQL, contamination
+from .hard_negatives import NEGATIVES_SQL, hard_negatives
 from .importance import RESAMPLE_SQL, importance_resample
 from .jaccard_join import JACCARD_SQL, jaccard_join
 from .mixing import MIX_SQL, mix_sources
@@ -92,6 +93,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_repeat_removal": op10_repeat_removal,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op3_mix_sources": MIX_SQL.format(docs="documents"),
@@ -112,4 +119,5 @@ ORACLES: dict[str, str] = {
     "op9_exact_top_k": TOP_K_SQL.format(vectors="embeddings"),
     "op7_decontamination": CONTAMINATION_SQL.format(docs="documents"),
     "op11_importance_resampling": RESAMPLE_SQL.format(docs="documents"),
+    "op13_hard_negatives": NEGATIVES_SQL.format(vectors="embeddings"),
 }
