@@ -20,6 +20,7 @@ from .quality import quality
 from .repeat_removal import REPEATS_SQL, repeat_removal
 from .secrets import BASE as SECRET_KINDS
 from .secrets import secret_spans
+from .sketch_join import SKETCH_SQL, sketch_join
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -93,6 +94,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_repeat_removal": op10_repeat_removal,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_minhash": op12_minhash,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
@@ -119,5 +125,6 @@ ORACLES: dict[str, str] = {
     "op9_exact_top_k": TOP_K_SQL.format(vectors="embeddings"),
     "op7_decontamination": CONTAMINATION_SQL.format(docs="documents"),
     "op11_importance_resampling": RESAMPLE_SQL.format(docs="documents"),
+    "op12_minhash": SKETCH_SQL.format(docs="documents"),
     "op13_hard_negatives": NEGATIVES_SQL.format(vectors="embeddings"),
 }
