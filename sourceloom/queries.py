@@ -19,7 +19,8 @@ from .functions.text import estimate_tokens, html_to_text, round2, search_keywor
 from .functions.url import canonical_url, display_host, domain_matches_name, registrable_domain
 from .operators import analysis, entities, ingest, normalize, relevance, report, store, stories
 from .plans.research import run_research
-from .sources import lookups
+from .sources import lookups, providers
+from .sources.scratch import staged_path
 
 NOW = "2024-02-01 00:00:00"
 #: Questions made of words that occur in the tables.
@@ -502,6 +503,62 @@ def q_search_plan(spark, sf_dir):
     return ingest.search_plan(c)
 
 
+PER_RESEARCH, SITES, FEED_MOST = 20, 3, 15
+# researches of 20 pages: search 0 asks the web, search 1 three sites; some answers are errors or of another shape
+PROVIDER_SQL = f"""
+WITH p AS (SELECT page_id // {PER_RESEARCH} AS r, page_id, url, page_id % {SITES} AS site, {HOST} AS host FROM pages),
+web AS (SELECT r, 0 AS search_no, 'web' AS provider, row_number() OVER (PARTITION BY r ORDER BY page_id) - 1 AS pos, url, 'Page ' || page_id AS title, host AS publisher, 'web' AS type, page_id % 9 / 8.0::DOUBLE AS score FROM p WHERE r % 5 < 3 AND page_id % 11 <> 0),
+items AS (SELECT *, row_number() OVER (PARTITION BY r, site ORDER BY page_id) AS k FROM p WHERE page_id % 11 <> 0 AND NOT (site = 2 AND r % 4 = 0) AND r % 7 <> 0),
+feed AS (SELECT r, 1 AS search_no, 'feeds' AS provider, row_number() OVER (PARTITION BY r ORDER BY site, page_id) - 1 AS pos, url, 'Page ' || page_id AS title, 'Site ' || site AS publisher, 'news' AS type, NULL::DOUBLE AS score FROM items WHERE k <= 6)
+SELECT CAST(r AS VARCHAR) AS research_id, search_no, provider, pos, url, title, publisher, type, score FROM web
+UNION ALL SELECT CAST(r AS VARCHAR), search_no, provider, pos, url, title, publisher, type, score FROM feed WHERE pos < {FEED_MOST}
+"""
+OUTCOME_SQL = f"""
+WITH p AS (SELECT DISTINCT page_id // {PER_RESEARCH} AS r, page_id % {SITES} AS site FROM pages),
+w AS (SELECT DISTINCT r, 0 AS search_no, 'web' AS provider, CASE WHEN r % 5 >= 3 THEN 1 ELSE 0 END AS failed, 1 AS total FROM p),
+f AS (SELECT r, 1 AS search_no, 'feeds' AS provider, count(*) FILTER (WHERE site = 2 AND r % 4 = 0 OR r % 7 = 0) AS failed, count(*) AS total FROM p GROUP BY 1)
+SELECT CAST(r AS VARCHAR) AS research_id, search_no, provider, failed, total, CASE provider WHEN 'web' THEN failed = 0 ELSE failed < total END AS ok,
+  CASE WHEN failed BETWEEN 1 AND total - 1 THEN 'Could not read ' || failed || ' of ' || total || ' news sites (Site 2: HTTP 503).' END AS warning FROM (SELECT * FROM w UNION ALL SELECT * FROM f)
+"""
+
+
+def recorded_answers(spark: SparkSession, sf_dir: str) -> str:
+    """pages as recorded answers of the web and the feed provider; where they lie."""
+    p = t(spark, sf_dir, "pages").withColumns({"r": F.floor(F.col("page_id") / PER_RESEARCH), "site": (F.col("page_id") % SITES).cast("int"), "title": F.concat(F.lit("Page "), "page_id")})
+    has_url = F.col("page_id") % 11 != 0
+    ordered = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("page_id", x.alias("x")))), lambda y: y["x"])
+    results = ordered(F.struct(F.when(has_url, F.col("url")).alias("url"), "title", (F.col("page_id") % 9 / 8.0).alias("score")))
+    r = F.col("r")
+    body = F.when(r % 5 == 3, '{"results": "none"}').otherwise(F.to_json(F.struct(results.alias("results"))))
+    none = F.lit(None).cast("string")
+    common = [F.lit("q").alias("query")]
+    web = p.groupBy("r").agg(body.alias("body")).select(
+        r.cast("string").alias("research_id"), F.lit(0).alias("search_no"), F.lit("web").alias("provider"), *common, F.lit("web").alias("type"), F.lit(0).alias("part"), none.alias("part_name"),
+        F.when(r % 5 == 4, 432).otherwise(200).alias("status"), none.alias("error"), "body")
+    item = F.concat(F.lit("<item><title>"), "title", F.lit("</title>"), F.when(has_url, F.concat(F.lit("<link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link>"))).otherwise(""), F.lit("</item>"))
+    xml = F.concat(F.lit("<rss><channel>"), F.array_join(ordered(item), ""), F.lit("</channel></rss>"))
+    down, lost = (F.col("site") == 2) & (r % 4 == 0), r % 7 == 0
+    feeds = p.groupBy("r", "site").agg(xml.alias("body")).select(
+        r.cast("string").alias("research_id"), F.lit(1).alias("search_no"), F.lit("feeds").alias("provider"), *common, F.lit("news").alias("type"), F.col("site").alias("part"), F.concat(F.lit("Site "), "site").alias("part_name"),
+        F.when(down, 503).when(~lost, 200).alias("status"), F.when(lost & ~down, "timeout").alias("error"), "body")
+    return staged_path(web.unionByName(feeds), "answers")
+
+
+def collected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r = t(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / PER_RESEARCH).alias("research_id")).distinct()
+    task = lambda i, p, n: F.struct(F.lit(i).alias("pos"), F.lit(p).alias("provider"), F.lit(n).alias("max_results"))
+    plan = r.select("research_id", F.inline(F.array(task(0, "web", 10), task(1, "feeds", FEED_MOST), task(2, "unknown", 5))))
+    return providers.collect(spark, plan, recorded_answers(spark, sf_dir), {"SEARCH_KEY": "set"})
+
+
+def q_provider_candidates(spark, sf_dir):
+    return collected(spark, sf_dir)[0].select("research_id", "search_no", "provider", "pos", "url", "title", "publisher", "type", "score")
+
+
+def q_provider_outcomes(spark, sf_dir):
+    return collected(spark, sf_dir)[1]
+
+
 FALLBACK_CHAIN_SQL = "SELECT user_id, arg_min(event_type, event_id) FILTER (WHERE value > 5) AS provider, count(*) FILTER (WHERE NOT value > 5) AS failed FROM events WHERE value IS NOT NULL GROUP BY 1"
 
 
@@ -905,7 +962,7 @@ _PAIRS: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] =
     ("fallback_labels", q_fallback_labels, FALLBACK_SQL), ("best_member", q_best_member, BEST_SQL), ("promote_top_stories", q_promote_top_stories, PROMOTE_SQL), ("reason_histogram", q_reason_histogram, HISTOGRAM_SQL),
     ("off_purpose", q_off_purpose, OFF_SQL), ("label_display", q_label_display, DISPLAY_SQL), ("prompt_budget_prefix", q_prompt_budget_prefix, BUDGET_SQL), ("model_batches", q_model_batches, BATCH_SQL),
     ("top_n_per_source", q_top_n_per_source, TOP_SQL), ("prompt_lines", q_prompt_lines, LINES_SQL), ("valid_citations", q_valid_citations, CITATION_SQL), ("parse_analysis", q_parse_analysis, ANSWER_SQL),
-    ("parse_relevance", q_parse_relevance, LABELLED_SQL), ("search_plan", q_search_plan, PLAN_SQL), ("first_success", q_first_success, FALLBACK_CHAIN_SQL), ("candidate_scores", q_candidate_scores, CANDIDATE_SQL),
+    ("parse_relevance", q_parse_relevance, LABELLED_SQL), ("search_plan", q_search_plan, PLAN_SQL), ("first_success", q_first_success, FALLBACK_CHAIN_SQL), ("provider_candidates", q_provider_candidates, PROVIDER_SQL), ("provider_outcomes", q_provider_outcomes, OUTCOME_SQL), ("candidate_scores", q_candidate_scores, CANDIDATE_SQL),
     ("resolution_status", q_resolution_status, RESOLUTION_SQL), ("domain_suggestion", q_domain_suggestion, SUGGEST_SQL), ("verification_confidence", q_verification_confidence, VERIFY_SQL), ("company_ranking", q_company_ranking, RANK_SQL),
     ("history_summary", q_history_summary, HISTORY_SQL), ("findings_with_sources", q_findings_with_sources, FINDINGS_SQL), ("citation_numbers", q_citation_numbers, NUMBERS_SQL), ("insert_ignore", q_insert_ignore, INSERT_SQL),
     ("cache_latest_fresh", q_cache_latest_fresh, CACHE_SQL), ("rolling_hour_limit", q_rolling_hour_limit, HOUR_SQL), ("latest_status", q_latest_status, STATUS_SQL), ("stale_runs", q_stale_runs, STALE_SQL),

@@ -40,10 +40,18 @@ def website_query(name: Column, hint: Column) -> Column:
 
 
 def prune_plan(plan: DataFrame, configured: DataFrame) -> DataFrame:
-    """Tasks whose provider is configured; a research left without a task can't run. configured: a row per provider, a handful."""
+    """Tasks whose provider is configured; see plan_gaps for what is left out. configured: a row per provider, a handful."""
     return plan.join(F.broadcast(configured.select("provider").distinct()), "provider", "left_semi")
 
 
+def plan_gaps(plan: DataFrame, configured: DataFrame) -> DataFrame:
+    """(research_id, runnable, skipped, failure): how many tasks can run, which providers aren't configured, and why a research can't run at all."""
+    known = F.broadcast(configured.select("provider").distinct().withColumn("known", F.lit(True)))
+    rows = plan.join(known, "provider", "left").groupBy("research_id").agg(
+        F.count("known").alias("runnable"), F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("provider")))).alias("skipped"))
+    return rows.withColumn("failure", F.when(F.col("runnable") == 0, "No data sources are configured on this deployment."))
+
+
 def feed_outcome(sites: DataFrame) -> DataFrame:
     """(research_id, failed, total, ok, warning) of feed requests (research_id, name, reason - null where it was read): all failed is a failure, some a warning."""
     bad = F.sort_array(F.collect_list(F.when(F.col("reason").isNotNull(), F.concat("name", F.lit(": "), "reason"))))
@@ -52,8 +60,17 @@ def feed_outcome(sites: DataFrame) -> DataFrame:
     return rows.select("research_id", "failed", "total", (F.col("failed") < F.col("total")).alias("ok"), F.when((F.col("failed") > 0) & (F.col("failed") < F.col("total")), text).alias("warning"))
 
 
-def error_kind(status: Column) -> Column:
-    return F.when(status == 429, "rate_limited").when(status.isin(401, 403), "unauthorized").when(status >= 400, "http")
+def error_kind(status: Column, error: Column | None = None, quota: tuple[int, ...] = ()) -> Column:
+    """Why a request failed, null where it didn't: timeout or network by `error` (no answer came), else by status. quota: statuses of a used-up plan."""
+    spent = status.isin(*quota) if quota else F.lit(False)
+    kind = F.when(spent, "quota_exceeded").when(status == 429, "rate_limited").when(status.isin(401, 403), "unauthorized").when(~status.between(200, 299), "http")
+    return kind if error is None else F.when(error.isNotNull(), F.when(error == "timeout", "timeout").otherwise("network")).otherwise(kind)
+
+
+def failure_text(kind: Column, status: Column) -> Column:
+    """A failure in words fit to show."""
+    told = F.when(kind == "timeout", "timed out").when(kind == "network", "unreachable").when(kind == "malformed", "not a readable feed").when(kind == "rate_limited", "rate-limited")
+    return F.when(kind.isNotNull(), told.when(status.isNotNull(), F.format_string("HTTP %d", status)).otherwise(kind))
 
 
 def retry_wait_ms(status: Column, attempt: Column, retry_after_s: Column) -> Column:

@@ -22,15 +22,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it again.
-
-    A lost executor then costs at most a re-read. The folder goes when the application ends.
-    """
+def staged_path(df: DataFrame, name: str) -> str:
+    """Write df to the shared folder as Parquet; where it lies. The folder goes when the application ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sourceloom-{uuid.uuid4().hex}-{name}"
-    schema = df.schema
     df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again. A lost executor then costs at most a re-read."""
+    schema = df.schema
+    return df.sparkSession.read.schema(schema).parquet(staged_path(df, name))
