@@ -17,7 +17,7 @@ from .functions import lexicon as L
 from .functions.format import show_duration, show_relative
 from .functions.text import estimate_tokens, html_to_text, round2, search_keywords, squash_ascii, stable_key, title_tokens
 from .functions.url import canonical_url, display_host, domain_matches_name, registrable_domain
-from .operators import analysis, entities, ingest, normalize, relevance, report, store, stories
+from .operators import analysis, entities, fallback, ingest, normalize, relevance, report, store, stories
 from .plans.research import run_research
 from .sources import lookups, providers
 from .sources.scratch import staged_path
@@ -569,6 +569,43 @@ def q_first_success(spark, sf_dir):
     return first_success(e, ("user_id",)).select("user_id", "provider", "failed")
 
 
+# the first model is rate-limited, cut short, blocked, of another shape or without a summary by the key; the third isn't configured
+GENERATE_SQL = """
+WITH a AS (SELECT o_orderkey AS k, CASE k % 7 WHEN 0 THEN 'rate_limited, HTTP 429' WHEN 1 THEN 'malformed: generation stopped early (MAX_TOKENS)' WHEN 2 THEN 'output had no overview summary' WHEN 3 THEN 'malformed: prompt blocked (SAFETY)' WHEN 4 THEN 'output was not valid JSON' END AS e1,
+  CASE k % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'output was not an object' WHEN 2 THEN 'malformed: empty response' END AS e2, CASE k % 2 WHEN 0 THEN 'network' END AS e3 FROM orders)
+SELECT CAST(k AS VARCHAR) AS research_id, CASE WHEN e1 IS NULL THEN 'Summary 1 of ' || k WHEN e2 IS NULL THEN 'Summary 2 of ' || k WHEN e3 IS NULL THEN 'Summary 3 of ' || k END AS summary,
+  CASE WHEN e1 IS NULL THEN 'large' WHEN e2 IS NULL THEN 'small' WHEN e3 IS NULL THEN 'last' END AS model, CASE WHEN e1 IS NULL OR e2 IS NULL OR e3 IS NULL THEN k % 100 END AS input_tokens,
+  concat_ws('; ', 'first/large: ' || e1, CASE WHEN e1 IS NOT NULL THEN 'second/small: ' || e2 END, CASE WHEN e1 IS NOT NULL AND e2 IS NOT NULL THEN 'first/last: ' || e3 END) AS failed,
+  CASE WHEN e1 IS NOT NULL AND e2 IS NOT NULL AND e3 IS NOT NULL THEN 'All AI providers failed: first (' || e1 || '); second (' || e2 || '); first (' || e3 || ')' END AS error FROM a
+"""
+
+
+def q_staged_fallback(spark, sf_dir):
+    """Analyses of orders as researches, each asked of one model after the other until an answer can be used."""
+    k = F.col("o_orderkey")
+    requests = t(spark, sf_dir, "orders").select(k.cast("string").alias("research_id"), "o_orderkey")
+    of = lambda n: F.to_json(F.struct(F.struct(F.concat(F.lit(f"Summary {n} of "), k).alias("summary")).alias("overview")))
+    parts = lambda text, stop: F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.left(text, F.lit(9)).alias("text")), F.struct(F.substr(text, F.lit(10)).alias("text"))).alias("parts")).alias("content"), stop.alias("finishReason"))).alias("candidates"), F.struct((k % 100).alias("promptTokenCount")).alias("usageMetadata")))
+    choice = lambda text: F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"), F.struct((k % 100).alias("prompt_tokens")).alias("usage")))
+    stop, none = F.lit("STOP"), F.lit(None).cast("string")
+    text = F.when(k % 7 == 2, '{"overview": {"summary": "  "}}').when(k % 7 == 4, '{"overview": {').otherwise(of(1))
+    recorded = {
+        "large": (F.when(k % 7 == 0, 429).otherwise(200), none, F.when(k % 7 == 3, '{"promptFeedback": {"blockReason": "SAFETY"}}').otherwise(parts(text, F.when(k % 7 == 1, "MAX_TOKENS").otherwise(stop)))),
+        "small": (F.when(k % 5 != 0, 200), F.when(k % 5 == 0, "timeout"), choice(F.when(k % 5 == 1, "[1]").when(k % 5 == 2, "").otherwise(of(2)))),
+        "last": (F.lit(200), none, parts(of(3), stop)),
+    }
+
+    def ask(model, asked):
+        status, error, body = recorded[model.model]
+        # the last one never hears of every other request
+        return (asked.where("o_orderkey % 2 = 1") if model.model == "last" else asked).select("research_id", status.alias("status"), error.alias("error"), body.alias("body"))
+
+    models = [fallback.Model("first", "large", fallback.parts_answer, 30_000, "KEY"), fallback.Model("third", "off", fallback.choice_answer, 4_000, "OTHER"), fallback.Model("second", "small", fallback.choice_answer, 4_000), fallback.Model("first", "last", fallback.parts_answer, 30_000, "KEY")]
+    got = fallback.generate(requests, models, ask, lambda m, left: (left, fallback.analysis_parser()), {"KEY": "set"})
+    tried = F.array_join(F.transform("failed", lambda x: F.concat(x["provider"], F.lit("/"), x["model"], F.lit(": "), x["error"])), "; ")
+    return got.select("research_id", F.col("value.overview.summary").alias("summary"), "model", "input_tokens", tried.alias("failed"), "error")
+
+
 # --- organisations --------------------------------------------------------------------------------------------------------------
 
 CANDIDATE_SQL = """
@@ -962,7 +999,7 @@ _PAIRS: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] =
     ("fallback_labels", q_fallback_labels, FALLBACK_SQL), ("best_member", q_best_member, BEST_SQL), ("promote_top_stories", q_promote_top_stories, PROMOTE_SQL), ("reason_histogram", q_reason_histogram, HISTOGRAM_SQL),
     ("off_purpose", q_off_purpose, OFF_SQL), ("label_display", q_label_display, DISPLAY_SQL), ("prompt_budget_prefix", q_prompt_budget_prefix, BUDGET_SQL), ("model_batches", q_model_batches, BATCH_SQL),
     ("top_n_per_source", q_top_n_per_source, TOP_SQL), ("prompt_lines", q_prompt_lines, LINES_SQL), ("valid_citations", q_valid_citations, CITATION_SQL), ("parse_analysis", q_parse_analysis, ANSWER_SQL),
-    ("parse_relevance", q_parse_relevance, LABELLED_SQL), ("search_plan", q_search_plan, PLAN_SQL), ("first_success", q_first_success, FALLBACK_CHAIN_SQL), ("provider_candidates", q_provider_candidates, PROVIDER_SQL), ("provider_outcomes", q_provider_outcomes, OUTCOME_SQL), ("candidate_scores", q_candidate_scores, CANDIDATE_SQL),
+    ("parse_relevance", q_parse_relevance, LABELLED_SQL), ("search_plan", q_search_plan, PLAN_SQL), ("first_success", q_first_success, FALLBACK_CHAIN_SQL), ("staged_fallback", q_staged_fallback, GENERATE_SQL), ("provider_candidates", q_provider_candidates, PROVIDER_SQL), ("provider_outcomes", q_provider_outcomes, OUTCOME_SQL), ("candidate_scores", q_candidate_scores, CANDIDATE_SQL),
     ("resolution_status", q_resolution_status, RESOLUTION_SQL), ("domain_suggestion", q_domain_suggestion, SUGGEST_SQL), ("verification_confidence", q_verification_confidence, VERIFY_SQL), ("company_ranking", q_company_ranking, RANK_SQL),
     ("history_summary", q_history_summary, HISTORY_SQL), ("findings_with_sources", q_findings_with_sources, FINDINGS_SQL), ("citation_numbers", q_citation_numbers, NUMBERS_SQL), ("insert_ignore", q_insert_ignore, INSERT_SQL),
     ("cache_latest_fresh", q_cache_latest_fresh, CACHE_SQL), ("rolling_hour_limit", q_rolling_hour_limit, HOUR_SQL), ("latest_status", q_latest_status, STATUS_SQL), ("stale_runs", q_stale_runs, STALE_SQL),
