@@ -1,22 +1,33 @@
 """Stories: which sources report the same one.
 
-Pairs come from an inverted index, not from all pairs. A pair that matches by title shares at least 0.7 of the smaller
-title's tokens, so one of the smaller title's rarest floor(0.3 n) + 1 tokens is in the other: these are probed against the
-titles that are as large or larger. A pair that matches by figure shares an amount of money, a second index.
+Pairs come from inverted indexes, not from all pairs. Titles' tokens are ordered from the rarest on, in one order for all titles of a research.
+
+* Equal titles have a Jaccard similarity of 0.9: the rarest floor(n / 10) + 1 tokens of both hold a common one, whatever the dates.
+* Similar titles share at least 14 / 17 of the smaller one's tokens and are dated within four days of each other: one of its rarest floor(3 n / 17) + 1
+  tokens is in the larger title, among those of the same days.
+* Titles that match by figure share an amount, a subject and three days: one index of all three.
+
+Clusters are greedy in the sources' order. Researches of few matches are folded, match by match; those of many are settled in rounds
+of joins: a source is settled as soon as what is still open can't lead it to an earlier story.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import is_money, round2, title_tokens
+from ..sources.scratch import staged
 
 DAY_MS = 24 * 60 * 60 * 1000
 #: Shared tokens, Jaccard of equal titles, weight of containment, similarity, days apart by veto and for figures.
 MIN_SHARED, SAME, CONTAINMENT, SIMILAR, VETO_DAYS, FIGURE_DAYS = 3, 0.9, 0.85, 0.7, 4, 3
+#: Matches of a research that one task folds; researches of more are settled in rounds.
+FOLD_EDGES = 100_000
 
 
 def with_tokens(sources: DataFrame, title: str = "title", ignore: str | None = None) -> DataFrame:
@@ -25,6 +36,11 @@ def with_tokens(sources: DataFrame, title: str = "title", ignore: str | None = N
     return out.withColumn("tokens", F.array_except("all_tokens", F.coalesce(F.col(ignore), F.array().cast("array<string>"))) if ignore else F.col("all_tokens"))
 
 
+def is_subject(t: Column) -> Column:
+    """Whether a token says what a title is about: no amount, no number, no word of all such titles."""
+    return ~is_money(t) & ~t.isin(L.GENERIC_WORDS) & ~t.rlike(r"^\d+$")
+
+
 def match(a: str, b: str) -> Column:
     """struct<reason, similarity> of two sources' structs (tokens, all_tokens, published_at), null if they don't match."""
     c = lambda x: F.col(x)
@@ -34,8 +50,7 @@ def match(a: str, b: str) -> Column:
     jaccard = shared / F.greatest(F.size(F.array_union(at, bt)), F.lit(1))
     held = shared / F.greatest(F.least(F.size(at), F.size(bt)), F.lit(1))
     both = F.array_intersect(f"{a}.all_tokens", f"{b}.all_tokens")
-    subject = F.exists(both, lambda t: ~is_money(t) & ~t.isin(L.GENERIC_WORDS) & ~t.rlike(r"^\d+$"))
-    figure = (gap <= FIGURE_DAYS * DAY_MS) & F.exists(both, is_money) & subject
+    figure = (gap <= FIGURE_DAYS * DAY_MS) & F.exists(both, is_money) & F.exists(both, is_subject)
     similarity = F.greatest(jaccard, held * CONTAINMENT)
     row = lambda r, s: F.struct(F.lit(r).alias("reason"), s.alias("similarity"))
     return (
@@ -46,28 +61,52 @@ def match(a: str, b: str) -> Column:
     )
 
 
+def _bucket(days: int, step: int = 0) -> Column:
+    return F.floor(F.col("ms") / (days * DAY_MS)) + step
+
+
+def title_candidates(rows: DataFrame) -> DataFrame:
+    """(research_id, ps, seq): pairs that may match by title, from rows research_id, seq, n, ms, tokens."""
+    posted = rows.where(F.col("n") >= MIN_SHARED).select("research_id", "seq", "n", "ms", F.explode("tokens").alias("token"))
+    df = posted.groupBy("research_id", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # tokens of one title alone are the rarest and lead nowhere: they use up their places
+    order = Window.partitionBy("research_id", "seq").orderBy("df", "token")
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("research_id", "seq"))
+    shared = posted.join(df, ["research_id", "token"]).withColumn("r", F.row_number().over(order) + alone)
+    shared = staged(shared.select("research_id", "token", "seq", "n", "ms", "r"), "postings")
+    probe = lambda cols, most: shared.where(F.col("r") <= most).select("research_id", "token", F.col("seq").alias("ps"), F.col("n").alias("pn"), F.col("ms").alias("pms"), *cols)
+    larger = (F.col("n") > F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("seq") > F.col("ps")))
+    near = lambda days: F.abs(F.col("ms") - F.col("pms")) <= days * DAY_MS
+    first = F.floor(F.col("n") / 10) + 1
+    same = probe([], first).join(shared.where(F.col("r") <= first), ["research_id", "token"])
+    same = same.where(larger & (10 * F.col("pn") >= 9 * F.col("n")) & F.coalesce(near(VETO_DAYS), F.lit(True)))
+    dated = shared.where("ms IS NOT NULL").withColumn("days", _bucket(VETO_DAYS))
+    around = F.explode(F.array(*[_bucket(VETO_DAYS, i) for i in (-1, 0, 1)])).alias("days")
+    similar = probe([around], F.floor(F.col("n") * 3 / 17) + 1).where("pms IS NOT NULL").join(dated, ["research_id", "token", "days"]).where(larger & near(VETO_DAYS))
+    return same.select("research_id", "ps", "seq").unionByName(similar.select("research_id", "ps", "seq"))
+
+
+def figure_candidates(rows: DataFrame) -> DataFrame:
+    """(research_id, ps, seq): pairs within three days that share an amount and a subject. Each row stands in two of the stretches of six days that begin every three."""
+    money = rows.where("ms IS NOT NULL").select("research_id", "seq", "ms", "all_tokens", F.explode(F.filter("all_tokens", is_money)).alias("money"))
+    keyed = money.select("research_id", "seq", "ms", "money", F.explode(F.filter("all_tokens", is_subject)).alias("subject"))
+    keyed = keyed.withColumn("days", F.explode(F.array(_bucket(FIGURE_DAYS), _bucket(FIGURE_DAYS, 1))))
+    keys = ["research_id", "money", "subject", "days"]
+    # what one source alone has leads nowhere
+    keyed = keyed.join(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), keys, "left_semi")
+    other = keyed.select(*keys, F.col("seq").alias("ps"), F.col("ms").alias("pms"))
+    return keyed.join(other, keys).where((F.col("ps") < F.col("seq")) & (F.abs(F.col("ms") - F.col("pms")) <= FIGURE_DAYS * DAY_MS)).select("research_id", "ps", "seq")
+
+
 def story_pairs(sources: DataFrame) -> DataFrame:
     """(research_id, a, b, reason, similarity) with a < b by seq, from rows research_id, seq, tokens, all_tokens, published_at.
 
     Rows without tokens match nothing. Every matching pair is found once.
     """
     rows = sources.where(F.size("all_tokens") > 0).select("research_id", "seq", "tokens", "all_tokens", "published_at")
-    rows = rows.withColumn("n", F.size("tokens"))
-    posted = rows.select("research_id", "seq", "n", F.explode("tokens").alias("token"))
-    df = posted.groupBy("research_id", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = posted.join(df, ["research_id", "token"])
-    # tokens of one title alone are the rarest and lead nowhere: what is left of the probe's length goes to the next rarest
-    rare = Window.partitionBy("research_id", "seq").orderBy("df", "token")
-    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("research_id", "seq"))
-    probes = shared.withColumn("r", F.row_number().over(rare) + alone).where(F.col("r") <= F.floor(F.col("n") * 0.3) + 1)
-    probes = probes.select("research_id", "token", F.col("seq").alias("ps"), F.col("n").alias("pn"))
-    larger = (F.col("n") > F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("seq") > F.col("ps")))
-    by_title = probes.join(shared.select("research_id", "token", "seq", "n"), ["research_id", "token"]).where(larger)
-    money = rows.select("research_id", "seq", F.explode(F.filter("all_tokens", is_money)).alias("token"))
-    other = money.select("research_id", "token", F.col("seq").alias("ps"))
-    by_figure = money.join(other, ["research_id", "token"]).where("ps < seq")
-    pair = lambda d: d.select("research_id", F.least("ps", "seq").alias("a"), F.greatest("ps", "seq").alias("b"))
-    pairs = pair(by_title).unionByName(pair(by_figure)).distinct()
+    rows = staged(rows.withColumns({"n": F.size("tokens"), "ms": F.unix_millis("published_at")}), "titles")
+    found = title_candidates(rows).unionByName(figure_candidates(rows))
+    pairs = found.select("research_id", F.least("ps", "seq").alias("a"), F.greatest("ps", "seq").alias("b")).distinct()
     side = lambda k: rows.select("research_id", F.col("seq").alias(k), F.struct("tokens", "all_tokens", "published_at").alias(f"r{k}"))
     judged = pairs.join(side("a"), ["research_id", "a"]).join(side("b"), ["research_id", "b"]).withColumn("m", match("ra", "rb"))
     return judged.where("m IS NOT NULL").select("research_id", "a", "b", "m.reason", "m.similarity")
@@ -96,23 +135,86 @@ def fold_stories(seqs: list[int], edges: dict[int, list[tuple[int, str, float]]]
     return out
 
 
-def story_clusters(sources: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(research_id, seq, primary_seq, reason, similarity) for every source, in a group per research that holds only ids and matches."""
-    pairs = story_pairs(sources) if pairs is None else pairs
-    ids = sources.select(F.col("research_id").cast("string").alias("research_id"), F.col("seq").cast("long").alias("seq"))
-    edges = pairs.select(F.col("research_id").cast("string").alias("rid"), F.col("b").cast("long").alias("later"), F.col("a").cast("long").alias("m"), "reason", "similarity")
-    rows = ids.join(edges, (ids["research_id"] == edges["rid"]) & (ids["seq"] == edges["later"]), "left").drop("rid", "later")
+def fold_edges(edges: DataFrame) -> DataFrame:
+    """CLUSTER rows of the sources that have an earlier match, a research in a group: its matches alone, FOLD_EDGES at most."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = pdf[pdf["m"].notna()]
-        edges: dict[int, list] = {}
-        for s, m, r, x in zip(found["seq"], found["m"].astype(int), found["reason"], found["similarity"], strict=True):
-            edges.setdefault(int(s), []).append((int(m), r, float(x)))
-        out = pd.DataFrame(fold_stories(sorted(int(x) for x in set(pdf["seq"])), edges), columns=["seq", "primary_seq", "reason", "similarity"])
+        own: dict[int, list] = {}
+        for s, m, r, x in zip(pdf["s"], pdf["m"], pdf["reason"], pdf["similarity"], strict=True):
+            own.setdefault(int(s), []).append((int(m), r, float(x)))
+        later = set(own)
+        out = fold_stories(sorted(later | {int(m) for m in pdf["m"]}), own)
+        out = pd.DataFrame([r for r in out if r[0] in later], columns=["seq", "primary_seq", "reason", "similarity"])
         out.insert(0, "research_id", pdf["research_id"].iloc[0])
         return out
 
-    return rows.groupBy("research_id").applyInPandas(lambda pdf: fold(pdf), CLUSTER)
+    return edges.groupBy("research_id").applyInPandas(lambda pdf: fold(pdf), CLUSTER)
+
+
+def least_of_component(edges: DataFrame) -> DataFrame:
+    """(research_id, m, least): the first source that a chain of matches leads to; labels move on until none changes."""
+    one = lambda x, y: edges.select("research_id", F.col(x).alias("m"), F.col(y).alias("o"))
+    both = staged(one("s", "m").unionByName(one("m", "s")), "neighbours")
+    labels = staged(both.groupBy("research_id", "m").agg(F.least("m", F.min("o")).alias("least")), "labels")
+    while True:
+        other = labels.select("research_id", F.col("m").alias("o"), F.col("least").alias("far"))
+        far = both.join(other, ["research_id", "o"]).groupBy("research_id", "m").agg(F.min("far").alias("far"))
+        moved = labels.join(far, ["research_id", "m"]).select("research_id", "m", F.least("least", "far").alias("least"), (F.col("far") < F.col("least")).alias("changed"))
+        moved = staged(moved, "labels")
+        labels = moved.drop("changed")
+        if moved.where("changed").isEmpty():
+            return labels
+
+
+def settle_in_rounds(edges: DataFrame) -> DataFrame:
+    """fold_edges' rows by rounds of joins; no group holds more than the earlier matches of one source.
+
+    A settled earlier match leads to its story if it is the story's primary or the match is by figure. A source is settled when no open match can lead
+    to an earlier story than the best one so far: an open match by title leads to itself at best, one by figure to the first source of
+    its component.
+    """
+    figure = F.col("reason") == "same_figure"
+    bounds = edges.withColumn("far", F.col("m"))
+    if not edges.where(figure).isEmpty():
+        bounds = edges.join(least_of_component(edges), ["research_id", "m"]).withColumn("far", F.when(figure, F.col("least")).otherwise(F.col("m"))).drop("least")
+    later = edges.select("research_id", F.col("s").alias("m")).distinct().withColumn("waits", F.lit(True))
+    open_ = bounds.join(later, ["research_id", "m"], "left").withColumn("prim", F.when(F.col("waits").isNull(), F.col("m"))).drop("waits")
+    done: list[DataFrame] = []
+    while True:
+        open_ = staged(open_, "open-matches")
+        leads = F.when((F.col("prim") == F.col("m")) | figure, F.struct("prim", (F.col("prim") != F.col("m")).alias("via"), "m", "reason", "similarity"))
+        state = open_.groupBy("research_id", "s").agg(F.min(leads).alias("b"), F.min(F.when(F.col("prim").isNull(), F.col("far"))).alias("hope"))
+        ready = state.where(F.col("hope").isNull() | (F.col("hope") >= F.col("b.prim")))
+        ready = staged(ready.select("research_id", F.col("s").alias("seq"), F.coalesce("b.prim", "s").alias("primary_seq"), "b.reason", "b.similarity"), "settled")
+        if ready.isEmpty():
+            break
+        done.append(ready)
+        open_ = open_.join(ready.select("research_id", F.col("seq").alias("s")), ["research_id", "s"], "left_anti")
+        now = ready.select("research_id", F.col("seq").alias("m"), F.col("primary_seq").alias("p"))
+        open_ = open_.join(now, ["research_id", "m"], "left").withColumn("prim", F.coalesce("prim", "p")).drop("p")
+    return reduce(DataFrame.unionByName, done).select(*[c.split()[0] for c in CLUSTER.split(", ")]) if done else edges.sparkSession.createDataFrame([], CLUSTER)
+
+
+def story_clusters(sources: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(research_id, seq, primary_seq, reason, similarity) for every source (research_id, seq; seq once a research).
+
+    What is gathered by research are matches, where there are few; sources without an earlier match are primaries and take no part.
+    """
+    pairs = story_pairs(sources) if pairs is None else pairs
+    edges = pairs.select(F.col("research_id").cast("string").alias("research_id"), F.col("b").cast("long").alias("s"), F.col("a").cast("long").alias("m"), "reason", F.col("similarity").cast("double").alias("similarity"))
+    edges = staged(edges, "matches")
+    many = staged(edges.groupBy("research_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FOLD_EDGES).select("research_id"), "large")
+    if many.isEmpty():
+        joined = fold_edges(edges)
+    else:
+        # a null research has an id of its own in joins below
+        held = F.col("research_id").eqNullSafe(F.col("large"))
+        named = many.withColumnRenamed("research_id", "large")
+        few, lots = edges.join(named, held, "left_anti"), edges.join(named, held, "left_semi")
+        joined = fold_edges(few).unionByName(settle_in_rounds(lots))
+    ids = sources.select(F.col("research_id").cast("string").alias("rid"), F.col("seq").cast("long").alias("own"))
+    rows = ids.join(joined, (F.col("rid").eqNullSafe(F.col("research_id"))) & (F.col("own") == F.col("seq")), "left")
+    return rows.select(F.col("rid").alias("research_id"), F.col("own").alias("seq"), F.coalesce("primary_seq", "own").alias("primary_seq"), "reason", "similarity")
 
 
 def story_sizes(clusters: DataFrame) -> DataFrame:

@@ -124,7 +124,9 @@ class AnswersReader(DataSourceReader):
                 out.append(Stretch(f.path, tuple(held)))
         return out
 
-    def read(self, partition: Stretch):
+    def read(self, partition: Stretch | None):
+        if partition is None:  # what Spark passes where there are no partitions
+            return
         ds, files, _, test = self.opened()
         part = ds.ParquetFileFormat().make_fragment(partition.path, files, row_groups=list(partition.groups))
         for batch in part.to_batches(columns=self.names, filter=test, use_threads=False):
