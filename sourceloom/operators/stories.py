@@ -182,7 +182,7 @@ def settle_in_rounds(edges: DataFrame) -> DataFrame:
     done: list[DataFrame] = []
     while True:
         open_ = staged(open_, "open-matches")
-        leads = F.when((F.col("prim") == F.col("m")) | figure, F.struct("prim", (F.col("prim") != F.col("m")).alias("via"), "m", "reason", "similarity"))
+        leads = F.when(F.col("prim").isNotNull() & ((F.col("prim") == F.col("m")) | figure), F.struct("prim", (F.col("prim") != F.col("m")).alias("via"), "m", "reason", "similarity"))
         state = open_.groupBy("research_id", "s").agg(F.min(leads).alias("b"), F.min(F.when(F.col("prim").isNull(), F.col("far"))).alias("hope"))
         ready = state.where(F.col("hope").isNull() | (F.col("hope") >= F.col("b.prim")))
         ready = staged(ready.select("research_id", F.col("s").alias("seq"), F.coalesce("b.prim", "s").alias("primary_seq"), "b.reason", "b.similarity"), "settled")
