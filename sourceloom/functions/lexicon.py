@@ -96,22 +96,23 @@ CITIES = {
     "poland": ["warsaw", "krakow", "kraków"], "austria": ["vienna"], "belgium": ["brussels", "antwerp"], "south africa": ["cape town", "johannesburg"],
 }
 
-# Words for regions, and the countries in them.
-REGION_WORDS = {
-    "europe": ["europe", "european", "eu", "emea"], "africa": ["africa", "african"], "latin america": ["latin america", "latam", "latin american"],
-    "asia": ["asia", "asian", "apac"], "middle east": ["middle east", "mena", "gulf"],
-}
-REGION_COUNTRIES = {
-    "europe": [
-        "germany", "france", "italy", "spain", "netherlands", "sweden", "denmark", "norway", "finland", "ireland", "switzerland",
-        "austria", "belgium", "poland", "estonia", "portugal", "united kingdom", "czechia", "slovakia", "romania", "ukraine",
-        "hungary", "lithuania", "latvia", "greece", "bulgaria", "croatia", "serbia", "luxembourg",
-    ],
-    "africa": ["nigeria", "kenya", "egypt", "south africa"],
-    "latin america": ["brazil", "mexico", "argentina", "colombia", "chile"],
-    "asia": ["india", "japan", "china", "singapore", "south korea", "indonesia"],
-    "middle east": ["united arab emirates", "saudi arabia", "israel", "egypt", "turkey"],
+# Regions, each with the words for it and the countries in it.
+REGIONS = {
+    "europe": {
+        "words": ["europe", "european", "eu", "emea"],
+        "countries": [
+            "germany", "france", "italy", "spain", "netherlands", "sweden", "denmark", "norway", "finland", "ireland", "switzerland",
+            "austria", "belgium", "poland", "estonia", "portugal", "united kingdom", "czechia", "slovakia", "romania", "ukraine",
+            "hungary", "lithuania", "latvia", "greece", "bulgaria", "croatia", "serbia", "luxembourg",
+        ],
+    },
+    "africa": {"words": ["africa", "african"], "countries": ["nigeria", "kenya", "egypt", "south africa"]},
+    "latin america": {"words": ["latin america", "latam", "latin american"], "countries": ["brazil", "mexico", "argentina", "colombia", "chile"]},
+    "asia": {"words": ["asia", "asian", "apac"], "countries": ["india", "japan", "china", "singapore", "south korea", "indonesia"]},
+    "middle east": {"words": ["middle east", "mena", "gulf"], "countries": ["united arab emirates", "saudi arabia", "israel", "egypt", "turkey"]},
 }
+REGION_WORDS = {name: region["words"] for name, region in REGIONS.items()}
+REGION_COUNTRIES = {name: region["countries"] for name, region in REGIONS.items()}
 
 # News sites that are searched by their feeds (id, name, base address).
 FEED_SITES = (

@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import lexicon as L
-from ..functions.geo import norm_country
+from ..functions.phrases import PhraseSet
 from ..functions.text import round2
 from ..functions.url import display_host, url_path_words
 
@@ -24,10 +25,9 @@ _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # Phrases of job listings and of pages that aren't articles.
 JOBS = rf"(?i){_B}(jobs? (in|at|for)|job openings|open roles|(now|we'?re|actively) hiring|hiring (in|now)|to work for|best places to work|careers at|vacanc(y|ies)|salar(y|ies) (in|at|for)){_E}|&\s*hiring{_E}"
 NO_ARTICLE = rf"(?i)^(log ?in|sign ?in|sign ?up){_E}|{_B}(coupon|promo code)s?{_E}"
-CONTEXT = (
-    "research_id string, topic array<string>, focus_topic array<string>, topic_patterns array<array<string>>, focus_patterns array<array<string>>, "
-    "place_patterns array<string>, place_names array<string>, place_keys array<string>"
-)
+CONTEXT = "research_id string, topic array<string>, focus_topic array<string>, place_names array<string>, place_keys array<string>"
+#: Sets of phrases that a worker keeps.
+KEPT_SETS = 1000
 
 
 def stem(w: str) -> str:
@@ -41,10 +41,9 @@ def topic_terms(text: str, place_words: set[str]) -> list[str]:
     return list(dict.fromkeys(map(stem, kept)))
 
 
-def term_patterns(term: str) -> list[str]:
-    """Regexes of which one finds the term, its plural or a variant; acronyms also in capitals."""
-    forms = [term, f"{term}s", *L.VARIANTS.get(term, [])]
-    return geo.phrase_patterns(list(dict.fromkeys(forms + [f.upper() for f in forms if f in L.ACRONYMS])))
+def term_forms(term: str) -> list[str]:
+    """Phrases of which one stands for the term: itself, its plural, its variants."""
+    return [term, f"{term}s", *L.VARIANTS.get(term, [])]
 
 
 def context_row(query: str, focus: str | None) -> dict:
@@ -54,14 +53,11 @@ def context_row(query: str, focus: str | None) -> dict:
     place_words = {w for p in [*places, *phrases, *(x for p in places for x in L.REGION_WORDS.get(p, []))] for w in p.split()}
     topic = topic_terms(query, place_words)
     focus_topic = [t for t in topic_terms(focus or "", place_words) if t not in topic]
-    return {
-        "topic": topic, "focus_topic": focus_topic, "topic_patterns": [term_patterns(t) for t in topic], "focus_patterns": [term_patterns(t) for t in focus_topic],
-        "place_patterns": geo.phrase_patterns(phrases), "place_names": places, "place_keys": [geo.norm_place(p) for p in places],
-    }
+    return {"topic": topic, "focus_topic": focus_topic, "place_names": places, "place_keys": [geo.norm_place(p) for p in places]}
 
 
 def contexts(researches: DataFrame) -> DataFrame:
-    """A context row per research from research_id, query, focus; one small row each, joined by research_id."""
+    """A context row per research from research_id, query, focus; one small row each, joined by research_id. The phrases follow from it."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -81,22 +77,52 @@ def _shown(terms: Column) -> Column:
     return F.array_join(F.transform(terms, lambda t: F.when(t.isin(L.ACRONYMS), F.upper(t)).otherwise(t)), ", ")
 
 
+FOUND = "struct<topic:array<double>,focus:array<double>,place:double>"
+
+
+def field_scores(title: Column, snippet: Column, path: Column) -> Column:
+    """FOUND: the weight of the best field that mentions each topic term, each focus term, and any of the places.
+
+    From the columns topic, focus_topic and place_names; fields are read in order of their weights, for what isn't found yet.
+    """
+    sets: dict[tuple, tuple[PhraseSet, int, int]] = {}
+
+    def made(topic: tuple, focus: tuple, places: tuple) -> tuple[PhraseSet, int, int]:
+        key = (topic, focus, places)
+        if key not in sets:
+            if len(sets) >= KEPT_SETS:
+                sets.clear()
+            groups = [term_forms(t) for t in (*topic, *focus)] + [[x for p in places for x in geo.place_phrases(p)]]
+            sets[key] = (PhraseSet(groups), len(topic), len(focus))
+        return sets[key]
+
+    @F.arrow_udf(FOUND)
+    def found(title: pa.Array, snippet: pa.Array, path: pa.Array, topic: pa.Array, focus: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for *texts, t, f, p in zip(*[c.to_pylist() for c in (title, snippet, path, topic, focus, places)], strict=True):
+            phrases, n, m = made(tuple(t or ()), tuple(f or ()), tuple(p or ()))
+            scores, left = [0.0] * (n + m + 1), phrases.every
+            for text, weight in zip(texts, (TITLE, SNIPPET, PATH), strict=True):
+                hit = phrases.mentioned(text, left)
+                left &= ~hit
+                while hit:
+                    low = hit & -hit
+                    scores[low.bit_length() - 1] = weight
+                    hit ^= low
+            out.append({"topic": scores[:n], "focus": scores[n : n + m], "place": scores[-1]})
+        return pa.array(out, pa.struct([("topic", pa.list_(pa.float64())), ("focus", pa.list_(pa.float64())), ("place", pa.float64())]))
+
+    return found(title, snippet, path, F.col("topic"), F.col("focus_topic"), F.col("place_names"))
+
+
 def score_relevance(sources: DataFrame, context: DataFrame, now: Column) -> DataFrame:
     """sources (research_id, title, snippet, url, published_at, found_by_count) with score, relevant and reasons.
 
-    context comes from contexts(); it is joined by research_id.
+    context comes from contexts(); it is joined by research_id. Each field is read once, by an automaton of all phrases of its question.
     """
     rows = sources.join(context, "research_id")
-    fields = [(F.coalesce("title", F.lit("")), TITLE), (F.coalesce("snippet", F.lit("")), SNIPPET), (url_path_words(F.col("url")), PATH)]
-
-    def field_score(patterns: Column) -> Column:
-        out = F.lit(0.0)
-        for text, weight in reversed(fields):
-            out = F.when(_any(text, patterns), F.lit(weight)).otherwise(out)
-        return out
-
-    topic_scores = F.transform("topic_patterns", field_score)
-    rows = rows.withColumn("__ts", topic_scores).withColumn("__fs", F.transform("focus_patterns", field_score))
+    rows = rows.withColumn("__found", field_scores(F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")), url_path_words(F.col("url"))))
+    rows = rows.withColumns({"__ts": F.col("__found.topic"), "__fs": F.col("__found.focus")})
     total = F.aggregate("__ts", F.lit(0.0), lambda a, x: a + x)
     topic = F.when(F.size("__ts") > 0, total / F.size("__ts")).otherwise(F.lit(1.0))
     focus = F.coalesce(F.array_max("__fs"), F.lit(0.0))
@@ -105,8 +131,8 @@ def score_relevance(sources: DataFrame, context: DataFrame, now: Column) -> Data
     home = F.try_element_at(homes, display_host(F.col("url")))
     near = F.exists("place_keys", lambda q: (q == home) | F.coalesce(F.array_contains(F.try_element_at(inside, home), q), F.lit(False)))
     outlet = F.when(F.coalesce(near, F.lit(False)), OUTLET).otherwise(0.0)
-    placed = F.size("place_patterns") > 0
-    place = F.when(placed, F.greatest(field_score(F.col("place_patterns")), outlet)).otherwise(F.lit(1.0))
+    placed = F.size("place_names") > 0
+    place = F.when(placed, F.greatest(F.col("__found.place"), outlet)).otherwise(F.lit(1.0))
     rows = rows.withColumns({"__topic": topic, "__place": place, "__off": off_purpose(F.col("title"), F.col("url"))})
     age = (F.unix_millis(now) - F.unix_millis("published_at")) / YEAR_MS
     old = F.when(age > 5, 0.3).when(age > 2, 0.15).otherwise(0.0)
@@ -124,11 +150,7 @@ def score_relevance(sources: DataFrame, context: DataFrame, now: Column) -> Data
         F.when(age > 2, F.format_string("published %d years ago", F.floor(age))),
     )
     rows = rows.withColumns({"score": round2(score), "relevant": score >= THRESHOLD, "reasons": F.array_compact(reasons)})
-    return rows.drop("__ts", "__fs", "__topic", "__place", "__off", *[c.split()[0] for c in CONTEXT.split(", ")[1:]])
-
-
-def _any(text: Column, patterns: Column) -> Column:
-    return F.exists(patterns, lambda p: F.rlike(text, p))
+    return rows.drop("__found", "__ts", "__fs", "__topic", "__place", "__off", *[c.split()[0] for c in CONTEXT.split(", ")[1:]])
 
 
 def judge_stories(members: DataFrame) -> DataFrame:

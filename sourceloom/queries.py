@@ -342,6 +342,49 @@ def q_keyword_relevance(spark, sf_dir):
     return scored_docs(spark, sf_dir).select("seq", "score", "relevant", F.array_join("reasons", "; ").alias("reasons"))
 
 
+# two questions by the length of the research's name, one about a country, one about a region: place words in titles, texts and paths, outlets of the region, job pages
+PLACES = ("germany", "europe")
+PLACE_TAILS = (" in Germany", " by BERLIN firms", " Jobs in Munich", "", " from the EU", "")
+PLACE_HOSTS = ("tech.eu", "inc42.com", "glassdoor.com", "uktech.news", "news.example.org")
+PLACE_PATHS = ("erst", "munich-erst", "paris")
+
+
+def place_sql(field: str) -> str:
+    """Whether a field mentions the question's place."""
+    one = lambda p: " OR ".join(f"regexp_matches({field}, '{x.replace('(?iu)', '(?i)')}')" for x in geo.phrase_patterns(geo.place_phrases(p)))
+    return f"CASE WHEN far THEN {one(PLACES[1])} ELSE {one(PLACES[0])} END"
+
+
+def by_key(values: tuple[str, ...], n: int) -> str:
+    return "CASE " + " ".join(f"WHEN doc_id % {n} = {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+PLACE_SQL = f"""
+WITH d AS (SELECT source AS research_id, doc_id AS seq, len(source) % 2 = 1 AS far, {LINE} || {by_key(PLACE_TAILS, len(PLACE_TAILS))} AS title, text || CASE WHEN doc_id % 8 = 3 THEN ' German' ELSE '' END AS snippet,
+  ' ' || {by_key(PLACE_PATHS, len(PLACE_PATHS)).replace("munich-erst", "munich erst")} || ' ' || doc_id AS path, doc_id % 5 AS h, doc_id % 6 = 2 AS jobs, doc_id % 3 AS fb FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, {field_sql(TOPIC[0])} AS t0, {field_sql(TOPIC[1])} AS t1, {field_sql(SIDE)} AS fo,
+  greatest(CASE WHEN {place_sql("title")} THEN 1.0 WHEN {place_sql("snippet")} THEN 0.6 WHEN {place_sql("path")} THEN 0.4 ELSE 0.0 END, CASE WHEN h = 0 THEN 0.6 ELSE 0.0 END)::DOUBLE AS pl, jobs OR h = 2 AS off FROM d),
+g AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.65::DOUBLE * ((t0 + t1) / 2) + 0.35::DOUBLE * pl + 0.1::DOUBLE * fo + CASE WHEN fb >= 2 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)) AS r0 FROM f),
+r AS (SELECT *, CASE WHEN off THEN least(CASE WHEN pl = 0 THEN least(r0, {0.45 - 0.05!r}::DOUBLE) ELSE r0 END, 0.2::DOUBLE) WHEN pl = 0 THEN least(r0, {0.45 - 0.05!r}::DOUBLE) ELSE r0 END AS raw FROM g)
+SELECT seq, floor(raw * 100 + 0.5) / 100 AS score, raw >= 0.45 AS relevant, array_to_string(list_filter([CASE WHEN t0 = 0 OR t1 = 0 THEN 'does not mention ' || concat_ws(', ', CASE WHEN t0 = 0 THEN '{TOPIC[0]}' END, CASE WHEN t1 = 0 THEN '{TOPIC[1]}' END) END,
+  CASE WHEN pl = 0 THEN 'not about ' || CASE WHEN far THEN 'Europe' ELSE 'Germany' END END, CASE WHEN fb >= 2 THEN 'found by ' || fb || ' searches' END, CASE WHEN off THEN 'job listing' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM r
+"""
+
+
+def q_place_relevance(spark, sf_dir):
+    """Sources against questions about a place: its words in each field, its outlets, its region, and pages that answer no question."""
+    k = F.col("doc_id")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (k % n).cast("int"))
+    d = t(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = d.select(
+        F.col("source").alias("research_id"), k.alias("seq"), F.concat(first_line(), pick(PLACE_TAILS, len(PLACE_TAILS))).alias("title"), F.concat("text", F.when(k % 8 == 3, " German").otherwise("")).alias("snippet"),
+        F.concat(F.lit("https://www."), pick(PLACE_HOSTS, len(PLACE_HOSTS)), F.lit("/"), pick(PLACE_PATHS, len(PLACE_PATHS)), F.lit("/"), k).alias("url"), F.lit(None).cast("timestamp").alias("published_at"), (k % 3).alias("found_by_count"))
+    place = F.when(F.length("research_id") % 2 == 1, "across Europe").otherwise("in Germany")
+    researches = d.select("research_id").distinct().withColumns({"query": F.concat(F.lit(f"research the {TOPIC[0]} {TOPIC[1]} of startups "), place), "focus": F.lit(SIDE)})
+    scored = relevance.score_relevance(d, relevance.contexts(researches), F.lit(LATER).cast("timestamp"))
+    return scored.select("seq", "score", "relevant", F.array_join("reasons", "; ").alias("reasons"))
+
+
 FUNNEL_SQL = f"WITH {RELEVANCE_CTE} SELECT research_id, count(*) AS collected, count(*) AS stories, count(*) FILTER (WHERE relevant AND score >= 0.7) AS direct, count(*) FILTER (WHERE relevant AND score < 0.7) AS contextual, count(*) FILTER (WHERE NOT relevant) AS filtered FROM scored GROUP BY 1"
 
 
@@ -995,7 +1038,7 @@ _PAIRS: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] =
     ("site_suffix", q_site_suffix, SUFFIX_SQL), ("junk_pages", q_junk_pages, JUNK_SQL), ("title_tokens", q_title_tokens, TOKENS_SQL), ("search_keywords", q_search_keywords, KEYWORDS_SQL),
     ("country_norm", q_country_norm, NORM_SQL), ("phrase_mentions", q_phrase_mentions, MENTION_SQL), ("domain_matches_name", q_domain_matches_name, MATCH_SQL), ("valid_event_dates", q_valid_event_dates, DATES_SQL),
     ("cache_key", q_cache_key, KEY_SQL), ("merge_exact_sources", q_merge_exact_sources, MERGE_SQL), ("merge_stats", q_merge_stats, STATS_SQL), ("story_pairs", q_story_pairs, PAIRS_SQL),
-    ("story_clusters", q_story_clusters, CLUSTERS_SQL), ("story_sizes", q_story_sizes, SIZES_SQL), ("keyword_relevance", q_keyword_relevance, RELEVANCE_SQL), ("relevance_funnel", q_relevance_funnel, FUNNEL_SQL),
+    ("story_clusters", q_story_clusters, CLUSTERS_SQL), ("story_sizes", q_story_sizes, SIZES_SQL), ("keyword_relevance", q_keyword_relevance, RELEVANCE_SQL), ("place_relevance", q_place_relevance, PLACE_SQL), ("relevance_funnel", q_relevance_funnel, FUNNEL_SQL),
     ("fallback_labels", q_fallback_labels, FALLBACK_SQL), ("best_member", q_best_member, BEST_SQL), ("promote_top_stories", q_promote_top_stories, PROMOTE_SQL), ("reason_histogram", q_reason_histogram, HISTOGRAM_SQL),
     ("off_purpose", q_off_purpose, OFF_SQL), ("label_display", q_label_display, DISPLAY_SQL), ("prompt_budget_prefix", q_prompt_budget_prefix, BUDGET_SQL), ("model_batches", q_model_batches, BATCH_SQL),
     ("top_n_per_source", q_top_n_per_source, TOP_SQL), ("prompt_lines", q_prompt_lines, LINES_SQL), ("valid_citations", q_valid_citations, CITATION_SQL), ("parse_analysis", q_parse_analysis, ANSWER_SQL),
