@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..sources import versions
 
 STALE_MS = 6 * 60 * 1000
 TERMINAL = ("completed", "failed")
@@ -62,6 +61,46 @@ def cache_fresh(entries: DataFrame, now: Column) -> DataFrame:
     return last.where(F.col("expires_at") > now)
 
 
+def through_cache(requests: DataFrame, entries: DataFrame, fetched: DataFrame, now: Column, ttl_seconds: Column) -> tuple[DataFrame, DataFrame]:
+    """(answers: provider, cache_key, response, from_cache; rows to append to entries) of requests (provider, cache_key).
+
+    A fresh entry answers at once; for the others fetched (provider, cache_key, response) has what the provider said, and a request without either has no answer.
+    Repeated requests are asked once.
+    """
+    keys = ["provider", "cache_key"]
+    fresh = cache_fresh(entries, now).select(*keys, F.col("response").alias("held"), F.lit(True).alias("hit"))
+    asked = requests.select(*keys).distinct().join(fresh, keys, "left").join(fetched.select(*keys, "response").dropDuplicates(keys), keys, "left")
+    answers = asked.select(*keys, F.coalesce("held", F.when(F.col("hit").isNull(), F.col("response"))).alias("response"), F.coalesce("hit", F.lit(False)).alias("from_cache")).where("response IS NOT NULL")
+    expires = F.timestamp_millis(F.unix_millis(now) + 1000 * ttl_seconds)
+    return answers, answers.where("NOT from_cache").select(*keys, "response", now.alias("fetched_at"), expires.alias("expires_at"))
+
+
+RUN_FIELDS = ("status", "constraints", "error_message", "completed_at")
+
+
+def run_update(research: DataFrame, now: Column, **fields: Column) -> DataFrame:
+    """A row of the run log for each research (research_id, seq of its last row): what has changed, null for the rest."""
+    unknown = set(fields) - set(RUN_FIELDS)
+    if unknown:
+        raise KeyError(f"no such field of a run: {', '.join(sorted(unknown))}")
+    none = {f: F.lit(None).cast("timestamp" if f == "completed_at" else "string") for f in RUN_FIELDS}
+    return research.select("research_id", (F.col("seq") + 1).alias("seq"), now.alias("updated_at"), *[fields.get(f, none[f]).alias(f) for f in RUN_FIELDS])
+
+
+def failed(research: DataFrame, now: Column, message: Column) -> DataFrame:
+    return run_update(research, now, status=F.lit("failed"), error_message=message, completed_at=now)
+
+
+def completed(research: DataFrame, now: Column) -> DataFrame:
+    return run_update(research, now, status=F.lit("completed"), completed_at=now)
+
+
+def run_state(log: DataFrame) -> DataFrame:
+    """(research_id, seq, updated_at, RUN_FIELDS): the last known value of each field, in one partial aggregation."""
+    known = lambda f: F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f)
+    return log.groupBy("research_id").agg(F.max("seq").alias("seq"), F.max_by("updated_at", "seq").alias("updated_at"), *[known(f) for f in RUN_FIELDS])
+
+
 def cache_sweep(entries: DataFrame, now: Column) -> DataFrame:
     return entries.where(F.col("expires_at") >= now)
 
@@ -99,72 +138,26 @@ def violations(sources: DataFrame, entities: DataFrame) -> DataFrame:
     return out
 
 
-class Store:
-    """Tables as published versions in a folder: a save writes every table of a version aside, then names it in one numbered pointer.
-
-    Readers take the pointer of the greatest number and see all tables of its version or none; a pointer appears by one rename and
-    none is ever removed, so there is no moment without a version. Of two writers that publish the same number one fails.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _fs(self):
-        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _last(self) -> int:
-        fs, at = self._fs(), self._path("pointers")
-        return max((int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()), default=0) if fs.exists(at) else 0
-
-    def version(self) -> str | None:
-        last = self._last()
-        return self.spark.read.text(f"{self.root}/pointers/{last:09d}").first()[0] if last else None
-
-    def _publish(self, new: str, number: int) -> None:
-        jvm, fs = self.spark.sparkContext._jvm, self._fs()
-        fs.mkdirs(self._path("pointers"))
-        aside = self._path(f"{new}/_pointer")
-        out = fs.create(aside)
-        out.write(bytearray(new.encode()))
-        out.close()
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(aside, self._path(f"pointers/{number:09d}"), options)  # fails if another writer was first
-
-    def save(self, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None) -> str:
-        new, number = uuid.uuid4().hex, self._last() + 1
-        for name, df in tables.items():
-            writer = df.write.mode("errorifexists")
-            if partition_by and name in partition_by:
-                writer = writer.partitionBy(partition_by[name])
-            writer.parquet(f"{self.root}/{new}/{name}")
-        self._publish(new, number)
-        return new
-
-    def has(self, name: str) -> bool:
-        version = self.version()
-        return version is not None and self._fs().exists(self._path(f"{version}/{name}"))
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.version()}/{name}")
+class Store(versions.Store):
+    """Published versions of the library's tables."""
 
     def save_report(self, analysis: DataFrame, companies: DataFrame, sources: DataFrame) -> str:
         """Publish the reports of researches in one step: entities, findings and those of their citations whose source belongs to the research.
 
-        A research that has a report already makes the save fail before anything is written.
+        A research has one report: where one of these has it in the version that the save is based on, nothing is published. The version is taken
+        before it is looked at, so of two writers of a research one is refused, and writers of others lose nothing.
         """
         payload = save_payload(analysis, companies)
         payload["finding_sources"] = valid_links(payload["finding_sources"], sources)
         payload["reports"] = analysis.select("research_id").unionByName(companies.select("research_id")).distinct()
-        if self.has("reports"):
-            again = payload["reports"].join(self.read("reports"), "research_id", "left_semi").limit(3).collect()
-            if again:
-                raise ValueError(f"a report is saved already: {', '.join(str(r.research_id) for r in again)}")
-        return self.save({name: self.read(name).unionByName(df) if self.has(name) else df for name, df in payload.items()})
+
+        def once(at: versions.Version) -> None:
+            if self.has("reports", at):
+                again = payload["reports"].join(self.read("reports", at), "research_id", "left_semi").limit(3).collect()
+                if again:
+                    raise ValueError(f"a report is saved already: {', '.join(str(r.research_id) for r in again)}")
+
+        return self.append(payload, once)
 
 
 def claim(log: DataFrame, research_id: str, now: Column) -> DataFrame:

@@ -649,6 +649,44 @@ def q_staged_fallback(spark, sf_dir):
     return got.select("research_id", F.col("value.overview.summary").alias("summary"), "model", "input_tokens", tried.alias("failed"), "error")
 
 
+RUN_SQL = """
+WITH e AS (SELECT user_id AS research_id, event_id AS seq, ts, event_id % 4 AS k FROM events WHERE user_id IS NOT NULL)
+SELECT research_id, max(seq) AS seq, arg_max(CASE k WHEN 0 THEN 'collecting' WHEN 1 THEN 'failed' WHEN 2 THEN 'completed' END, seq) FILTER (WHERE k < 3) AS status, arg_max('constraints ' || seq, seq) FILTER (WHERE k = 3) AS constraints,
+  arg_max('message ' || seq, seq) FILTER (WHERE k = 1) AS error_message, count(*) FILTER (WHERE k IN (1, 2)) > 0 AS ended FROM e GROUP BY 1
+"""
+
+
+def q_run_state(spark, sf_dir):
+    """Events as updates of runs: a status, a failure, a completion or constraints."""
+    k = F.col("event_id") % 4
+    e = t(spark, sf_dir, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("research_id"), (F.col("event_id") - 1).alias("seq"), "ts", k.alias("k"))
+    at, text = F.col("ts"), lambda word: F.concat(F.lit(word), F.col("seq") + 1)
+    log = store.run_update(e.where("k = 0"), at, status=F.lit("collecting")).unionByName(store.failed(e.where("k = 1"), at, text("message "))).unionByName(store.completed(e.where("k = 2"), at))
+    state = store.run_state(log.unionByName(store.run_update(e.where("k = 3"), at, constraints=text("constraints "))))
+    return state.select("research_id", "seq", "status", "constraints", "error_message", F.col("completed_at").isNotNull().alias("ended"))
+
+
+THROUGH_SQL = f"""
+WITH n AS (SELECT event_type AS provider, user_id AS k, arg_max(event_id, event_id) AS last FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND event_id % 3 = 0 GROUP BY 1, 2),
+r AS (SELECT DISTINCT event_type AS provider, user_id AS k FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL),
+a AS (SELECT provider, k, CASE WHEN last % 2 = 0 THEN 'old ' || last WHEN k % 5 > 0 THEN 'new ' || k END AS response, coalesce(last % 2 = 0, false) AS from_cache FROM r LEFT JOIN n USING (provider, k))
+SELECT provider, CAST(k AS VARCHAR) AS cache_key, response, from_cache, CASE WHEN NOT from_cache THEN TIMESTAMP '{NOW}' + INTERVAL 6 HOURS END AS expires_at FROM a WHERE response IS NOT NULL
+"""
+
+
+def q_cache_through(spark, sf_dir):
+    """Requests answered by fresh entries or anew; the entries that are to be appended."""
+    k, key = F.col("event_id"), F.col("user_id").cast("string").alias("cache_key")
+    e = t(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL")
+    provider = F.col("event_type").alias("provider")
+    # entries in order of their ids; even ones are fresh
+    entries = e.where("event_id % 3 = 0").select(provider, key, F.concat(F.lit("old "), k).alias("response"), F.timestamp_seconds(k).alias("fetched_at"), F.when(k % 2 == 0, now() + F.expr("INTERVAL 1 HOUR")).otherwise(now()).alias("expires_at"))
+    requests = e.select(provider, key)
+    fetched = e.where("user_id % 5 > 0").select(provider, key, F.concat(F.lit("new "), "user_id").alias("response"))
+    answers, added = store.through_cache(requests, entries, fetched, now(), F.lit(6 * 60 * 60))
+    return answers.join(added.select("provider", "cache_key", "expires_at"), ["provider", "cache_key"], "left").select("provider", "cache_key", "response", "from_cache", "expires_at")
+
+
 # --- organisations --------------------------------------------------------------------------------------------------------------
 
 CANDIDATE_SQL = """
@@ -1042,7 +1080,7 @@ _PAIRS: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] =
     ("fallback_labels", q_fallback_labels, FALLBACK_SQL), ("best_member", q_best_member, BEST_SQL), ("promote_top_stories", q_promote_top_stories, PROMOTE_SQL), ("reason_histogram", q_reason_histogram, HISTOGRAM_SQL),
     ("off_purpose", q_off_purpose, OFF_SQL), ("label_display", q_label_display, DISPLAY_SQL), ("prompt_budget_prefix", q_prompt_budget_prefix, BUDGET_SQL), ("model_batches", q_model_batches, BATCH_SQL),
     ("top_n_per_source", q_top_n_per_source, TOP_SQL), ("prompt_lines", q_prompt_lines, LINES_SQL), ("valid_citations", q_valid_citations, CITATION_SQL), ("parse_analysis", q_parse_analysis, ANSWER_SQL),
-    ("parse_relevance", q_parse_relevance, LABELLED_SQL), ("search_plan", q_search_plan, PLAN_SQL), ("first_success", q_first_success, FALLBACK_CHAIN_SQL), ("staged_fallback", q_staged_fallback, GENERATE_SQL), ("provider_candidates", q_provider_candidates, PROVIDER_SQL), ("provider_outcomes", q_provider_outcomes, OUTCOME_SQL), ("candidate_scores", q_candidate_scores, CANDIDATE_SQL),
+    ("parse_relevance", q_parse_relevance, LABELLED_SQL), ("search_plan", q_search_plan, PLAN_SQL), ("first_success", q_first_success, FALLBACK_CHAIN_SQL), ("staged_fallback", q_staged_fallback, GENERATE_SQL), ("run_state", q_run_state, RUN_SQL), ("cache_through", q_cache_through, THROUGH_SQL), ("provider_candidates", q_provider_candidates, PROVIDER_SQL), ("provider_outcomes", q_provider_outcomes, OUTCOME_SQL), ("candidate_scores", q_candidate_scores, CANDIDATE_SQL),
     ("resolution_status", q_resolution_status, RESOLUTION_SQL), ("domain_suggestion", q_domain_suggestion, SUGGEST_SQL), ("verification_confidence", q_verification_confidence, VERIFY_SQL), ("company_ranking", q_company_ranking, RANK_SQL),
     ("history_summary", q_history_summary, HISTORY_SQL), ("findings_with_sources", q_findings_with_sources, FINDINGS_SQL), ("citation_numbers", q_citation_numbers, NUMBERS_SQL), ("insert_ignore", q_insert_ignore, INSERT_SQL),
     ("cache_latest_fresh", q_cache_latest_fresh, CACHE_SQL), ("rolling_hour_limit", q_rolling_hour_limit, HOUR_SQL), ("latest_status", q_latest_status, STATUS_SQL), ("stale_runs", q_stale_runs, STALE_SQL),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.operators import analysis, entities, ingest, relevance, report, store, stories
 from sourceloom.plans.research import run_research
-from sourceloom.sources import feeds
+from sourceloom.sources import feeds, versions
 from sourceloom.streaming import events
 
 
@@ -235,9 +235,9 @@ def test_report_is_saved_once(spark, tmp_path):
     other = lambda df: df.withColumn("research_id", F.lit("q"))
     second = box.save_report(other(analysis), other(companies), sources)
     assert box.version() == second and box.read("findings").count() == 4 and sorted(r.source_id for r in box.read("finding_sources").collect()) == ["a", "b", "x"]
-    with pytest.raises(Exception, match="exist"):
-        box._publish(first, 2)  # another writer was first
-    assert box.version() == second
+    with pytest.raises(versions.Conflict):
+        box.publish(versions.Version(1, first, {}), {})  # another writer was first
+    assert box.version() == second and len(box.last().tables["findings"]) == 2  # a save adds a segment
 
 
 def test_report(spark):
