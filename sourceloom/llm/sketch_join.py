@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 from math import comb
 
 import numpy as np
@@ -39,7 +38,6 @@ SKETCH, RISK = 128, 1e-12
 SHARD_VALUES = 1_500_000
 
 
-@cache
 def least_shared(size: int, num: int, den: int) -> int:
     """The greatest c for which `size` draws that each agree with chance num/den fall below c with a chance of at most RISK."""
     p, below = num / den, 0.0
@@ -90,7 +88,7 @@ def sketch_links(tokens: list[np.ndarray], size: int, num: int, den: int, seen:
     head, place = np.empty(len(values), np.int64), np.empty(len(values), np.int64)
     head[order], place[order] = np.repeat(start, count), np.arange(len(values))
     edges = np.concatenate([[0], np.cumsum(np.minimum(length, size))])
-    need = bound(length, size, num, den)
+    need, floor = bound(length, size, num, den), least_shared(size, num, den)
     label, members, links = np.arange(n), {}, []
     for x in range(n):
         mine = slice(edges[x], edges[x + 1])
@@ -107,7 +105,7 @@ def sketch_links(tokens: list[np.ndarray], size: int, num: int, den: int, seen:
             y, found = int(found[0]), found[1:]
             seen["estimates"] += 1
             agree, kept = union_share(sketches[x], sketches[y], size)
-            if agree < (-(-kept * num // den) if kept < size else least_shared(size, num, den)):
+            if agree < (-(-kept * num // den) if kept < size else floor):
                 continue
             seen["compared"] += 1
             i = overlap(tokens[y], tokens[x])
@@ -180,12 +178,12 @@ def sketch_join(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, size
 
     def rarest_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, id_, n, values, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            out, musts = [], bound(batch.column(2).to_numpy(), size, num, den).tolist()
+            for key, id_, n, values, counts, must in zip(*[c.to_pylist() for c in batch.columns], musts, strict=True):
                 value, count = np.frombuffer(b"".join(values), np.uint64), np.frombuffer(b"".join(counts), np.uint8)
                 value, at = np.unique(value, return_index=True)
                 retained = min(n, size)
-                room = retained - int(bound(n, size, num, den)) + 1 - (retained - len(value))
+                room = retained - must + 1 - (retained - len(value))
                 if room > 0:
                     out.append((key, id_, n, value[np.lexsort((value, count[at]))[:room]].astype(np.int64).tolist()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
