@@ -23,7 +23,7 @@ WS = r"[\s\x{00A0}\x{FEFF}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{30
 
 
 def strip_marks(c: Column) -> Column:
-    """NFKD without the marks U+0300-036F, inside the JVM: Spark has no normalisation of its own. Hangul stays composed."""
+    """NFKD without the marks U+0300-036F, inside the JVM: Spark has no normalisation of its own. Hangul stays composed, see split_hangul."""
     single = F.regexp_replace(F.translate(c, "".join(_ONE), "".join(_ONE.values())), "[\\x{0300}-\\x{036F}]", "")
     keys, values = F.lit("".join(_MANY)), F.split(F.lit("\n".join(_MANY.values())), "\n")
     one = lambda x: F.when(F.instr(keys, x) > 0, F.get(values, F.instr(keys, x) - 1)).otherwise(x)
@@ -32,6 +32,21 @@ def strip_marks(c: Column) -> Column:
     return F.when(c.rlike("[^\\x00-\\x7F]"), several).otherwise(c)
 
 
+#: Parts of Hangul syllables by their numbers: 19 leading, 21 vowels, 28 trailing of which the first is none.
+_JAMO = tuple([chr(first + i) if first + i != 0x11A7 else "" for i in range(n)] for first, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28)))
+
+
+def split_hangul(c: Column) -> Column:
+    """Hangul syllables as their two or three parts: a syllable's number is (leading * 21 + vowel) * 28 + trailing."""
+    lead, vowel, trail = (F.array(*map(F.lit, part)) for part in _JAMO)
+    place = lambda x: F.ascii(x) - 0xAC00
+    whole = lambda a, b: F.floor(a / b).cast("int")
+    parts = lambda x: F.concat(F.get(lead, whole(place(x), 588)), F.get(vowel, whole(place(x) % 588, 28)), F.get(trail, place(x) % 28))
+    each = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i, F.lit(1)))
+    spread = F.array_join(F.transform(each, lambda x: F.when(x.rlike("[\\x{AC00}-\\x{D7A3}]"), parts(x)).otherwise(x)), "")
+    return F.when(c.rlike("[\\x{AC00}-\\x{D7A3}]"), spread).otherwise(c)
+
+
 def squash(c: Column) -> Column:
     """Letters and digits only, without marks, lower case."""
     return F.regexp_replace(F.lower(strip_marks(c)), r"[^\p{L}\p{N}]+", "")
@@ -79,7 +94,7 @@ def html_to_text(c: Column) -> Column:
 
 def title_tokens(title: Column) -> Column:
     """Distinct comparable tokens of a title in order: marks and case gone, amounts as 16m or 2b, plural s gone, stopwords out."""
-    t = F.lower(strip_marks(title))
+    t = F.lower(split_hangul(strip_marks(title)))
     for words, unit in (("million|mn|mln|m", "m"), ("billion|bn|b", "b")):
         t = F.regexp_replace(t, rf"(\d+)[.,](\d+)\s*(?:{words})(?![A-Za-z0-9_])", rf" $1.$2{unit} ")
         t = F.regexp_replace(t, rf"(?<![\d][.,])(?<!\d)(\d+)\s*(?:{words})(?![A-Za-z0-9_])", rf" $1{unit} ")

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
+from .hosts import ascii_host
 from .text import squash_ascii
 
 _SPLIT = r"^(?i)(https?):[/\\]{2,}([^/?#\\]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -55,12 +56,12 @@ def _path(raw: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """The form that equal documents share; null for anything but an absolute http(s) URL.
 
-    https; host lower without www. and a trailing dot; no credentials, fragment, port 80 or 443, tracking parameters or trailing
+    https; host lower, in ASCII, without www. and a trailing dot; no credentials, fragment, port 80 or 443, tracking parameters or trailing
     slashes; parameters by name and value in dictionary order. The case of the path stays.
     """
     authority = F.regexp_replace(_part(url, 2), "^.*@", "")
     port = F.regexp_extract(authority, r":0*(\d*)$", 1)
-    name = F.regexp_replace(F.regexp_replace(host(url), r"^www\.", ""), r"\.$", "")
+    name = ascii_host(F.regexp_replace(F.regexp_replace(host(url), r"^www\.", ""), r"\.$", ""))
     path = _path(_part(url, 3))
     path = F.when(F.length(path) > 1, F.coalesce(F.nullif(F.regexp_replace(path, "/+$", ""), F.lit("")), F.lit("/"))).otherwise(path)
     pairs = F.transform(F.filter(F.split(_part(url, 4), "&"), lambda x: x != ""), lambda x: F.struct(
@@ -87,15 +88,27 @@ def url_path_words(url: Column) -> Column:
     return F.regexp_replace(F.coalesce(F.try_url_decode(F.regexp_replace(_path(_part(url, 3)), r"\+", "%2B")), F.lit("")), "[-_/]+", " ")
 
 
-def registrable_domain(host_or_url: Column) -> Column:
-    """The last two labels of a host, three under a known second level; null for hosts without a dot and IPv4."""
-    h = display_host(F.when(host_or_url.rlike(r"^(?i)[a-z]+://"), host_or_url).otherwise(F.concat(F.lit("https://"), host_or_url)))
+def _site_host(host_or_url: Column) -> Column:
+    return display_host(F.when(host_or_url.rlike(r"^(?i)[a-z]+://"), host_or_url).otherwise(F.concat(F.lit("https://"), host_or_url)))
+
+
+def _domain_of(h: Column) -> Column:
     labels = F.split(h, r"\.")
     two = F.array_join(F.slice(labels, -2, 2), ".")
     three = two.isin(L.SECOND_LEVEL) & (F.size(labels) >= 3)
     return F.when(h.contains(".") & ~h.rlike(r"^\d+(\.\d+){3}$"), F.when(three, F.array_join(F.slice(labels, -3, 3), ".")).otherwise(two))
 
 
+def registrable_domain(host_or_url: Column) -> Column:
+    """The last two labels of a host, three under a known second level; null for hosts without a dot and IPv4."""
+    return _domain_of(_site_host(host_or_url))
+
+
+def registrable_domains(hosts_or_urls: Column) -> Column:
+    """registrable_domain of each element. In two steps, as nothing is computed once for several uses inside a lambda."""
+    return F.transform(F.transform(hosts_or_urls, _site_host), _domain_of)
+
+
 def _without(name: Column, words: list[str]) -> Column:
     return F.regexp_replace(name, r"(?<![A-Za-z0-9_])(?:" + "|".join(words) + r")(?![A-Za-z0-9_])", " ")
 
@@ -106,10 +119,20 @@ def name_keys(name: Column, words: list[str] = L.NAME_SUFFIX_WORDS) -> Column:
     return F.array_remove(F.array_distinct(F.array(squash_ascii(plain), squash_ascii(_without(plain, words)))), "")
 
 
+def affix_names(name: Column) -> Column:
+    """What a domain's label may say of a name: its keys of three characters or more."""
+    return F.filter(name_keys(name, L.DOMAIN_SUFFIX_WORDS), lambda n: F.length(n) >= 3)
+
+
 def domain_matches_name(domain: Column, name: Column) -> Column:
     """Whether the domain's first label is the name, with or without corporate words, but for one listed affix."""
-    label = squash_ascii(F.split_part(registrable_domain(domain), F.lit("."), F.lit(1)))
-    names = F.filter(name_keys(name, L.DOMAIN_SUFFIX_WORDS), lambda n: F.length(n) >= 3)
-    affixes = F.array(*[F.lit(a) for a in L.DOMAIN_AFFIXES])
-    same = lambda n: (label == n) | F.exists(affixes, lambda a: (label == F.concat(n, a)) | (label == F.concat(a, n)))
-    return F.coalesce((F.length(label) >= 3) & F.exists(names, same), F.lit(False))
+    return label_matches_names(registrable_domain(domain), affix_names(name))
+
+
+def label_matches_names(domain: Column, names: Column) -> Column:
+    """domain_matches_name of a registrable domain and affix_names."""
+    label = squash_ascii(F.split_part(domain, F.lit("."), F.lit(1)))
+    front = lambda lab, n: lab.startswith(n) & F.substr(lab, F.length(n) + 1).isin(L.DOMAIN_AFFIXES)
+    back = lambda lab, n: lab.endswith(n) & F.left(lab, F.length(lab) - F.length(n)).isin(L.DOMAIN_AFFIXES)
+    same = lambda lab: (F.length(lab) >= 3) & F.exists(names, lambda n: (lab == n) | front(lab, n) | back(lab, n))
+    return F.coalesce(F.exists(F.array(label), same), F.lit(False))  # an array of one binds the label, which is used often

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.text import WS, estimate_tokens, round2
 from ..functions.url import display_host
+from ..sources.scratch import staged
 
 #: Sources in a prompt, characters of a snippet by size of the budget, items by section, stories per batch.
 MAX_SOURCES, SNIPPET, SHORT_SNIPPET, SHORT_BUDGET, OVERHEAD, BATCH, BATCH_SNIPPET, REASON = 60, 300, 140, 8000, 1500, 30, 160, 140
@@ -139,6 +140,31 @@ def mentions_host(text: Column, host: Column) -> Column:
     return F.rlike(text, F.concat(F.lit("(?i)(^|[^a-z0-9-])"), quoted, F.lit("($|[^a-z0-9-])")))
 
 
+#: Hosts that are made of nothing but labels of ASCII letters, digits and hyphens.
+PLAIN_HOST = r"^[a-z0-9-]+(\.[a-z0-9-]+)*$"
+
+
+def hosts_seen(asked: DataFrame, seen: DataFrame) -> DataFrame:
+    """(research_id, host): those of asked that some text of the research names as mentions_host has it. asked: distinct (research_id, host); seen: research_id, text.
+
+    Each text is cut once into its runs of labels, and every stretch of a run as long as some host that is asked for is looked up by a join; no text of a research
+    is joined to another. Hosts of other characters are sought text by text.
+    """
+    plain = F.col("host").rlike(PLAIN_HOST)
+    lengths = [r[0] for r in asked.where(plain).select(F.size(F.split("host", r"\."))).distinct().collect()]  # as many as hosts have labels
+    runs = seen.select("research_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9.-]+"))).alias("run"))
+    if lengths and min(lengths) > 1:
+        runs = runs.where(F.contains("run", F.lit(".")))
+    labels = runs.distinct().select("research_id", F.split("run", r"\.").alias("labels"))
+    # stretches of every length asked for, from every label on
+    stretch = lambda n: F.transform(F.sequence(F.lit(1), F.size("labels") - (n - 1)), lambda i: F.array_join(F.slice("labels", i, n), "."))
+    every = F.flatten(F.array(*[F.when(F.size("labels") >= n, stretch(n)).otherwise(F.array().cast("array<string>")) for n in lengths])) if lengths else F.array().cast("array<string>")
+    named = labels.select("research_id", F.explode(every).alias("host")).distinct()
+    found = asked.where(plain).join(named, ["research_id", "host"], "left_semi")
+    odd = asked.where(~plain).join(seen, "research_id").where(mentions_host(F.lower("text"), F.col("host"))).select("research_id", "host").distinct()
+    return found.unionByName(odd)
+
+
 def parse_analysis(outputs: DataFrame, aliases: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
     """Supported items of model answers: research_id, section, at, n (place in its section), title, summary, name, entity_type, type_evidence,
     country, focus, domain, event_date, company, ids.
@@ -147,18 +173,21 @@ def parse_analysis(outputs: DataFrame, aliases: DataFrame, seen: DataFrame, now:
     sources. Answers without an overview give nothing. An item needs a known citation and its main text, a trend two citations; of companies
     with a name in either case the first supported one counts; a website must occur in what was seen; sections have limits.
     """
-    answer = outputs.select("research_id", F.from_json("text", ANALYSIS).alias("d")).where(F.nullif(F.trim(F.col("d.overview.summary")), F.lit("")).isNotNull())
-    text = lambda f: F.nullif(F.trim(F.col(f)), F.lit("")) if f else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
     fields = ("title", "summary", "name", "entity_type", "type_evidence", "country", "focus", "website", "date", "company")
 
-    def section(part: str, path: str, **have: str) -> DataFrame:
-        rows = answer.select("research_id", F.posexplode(F.col(path)).alias("at", "x")).where("x IS NOT NULL")
-        return rows.select("research_id", F.lit(part).alias("section"), "at", *[text(f"x.{have[f]}" if f in have else "").alias(f) for f in fields], F.col("x.source_ids").alias("source_ids"))
+    def section(part: str, path: str, **have: str) -> Column:
+        text = lambda x, f: F.nullif(F.trim(x[have[f]]), F.lit("")) if f in have else none
+        row = lambda x, i: F.when(x.isNotNull(), F.struct(F.lit(part).alias("section"), i.alias("at"), *[text(x, f).alias(f) for f in fields], x["source_ids"].alias("source_ids")))
+        return F.transform(F.coalesce(F.col(path), F.array()), row)
 
-    items = section("key_findings", "d.overview.key_findings", title="text")
-    items = items.unionByName(section("companies", "d.companies", **{f: f for f in ("name", "entity_type", "type_evidence", "country", "focus", "website")}))
-    items = items.unionByName(section("developments", "d.recent_developments", title="title", summary="summary", date="date", company="company"))
-    items = items.unionByName(section("trends", "d.emerging_trends", title="title", summary="summary"))
+    # an answer is read once; its four lists become one of tagged items
+    answer = outputs.select("research_id", F.from_json("text", ANALYSIS).alias("d")).where(F.nullif(F.trim(F.col("d.overview.summary")), F.lit("")).isNotNull())
+    lists = F.concat(
+        section("key_findings", "d.overview.key_findings", title="text"), section("companies", "d.companies", **{f: f for f in ("name", "entity_type", "type_evidence", "country", "focus", "website")}),
+        section("developments", "d.recent_developments", title="title", summary="summary", date="date", company="company"), section("trends", "d.emerging_trends", title="title", summary="summary"),
+    )
+    items = staged(answer.select("research_id", F.explode(lists).alias("x")).where("x IS NOT NULL").select("research_id", "x.*"), "items")
     rows = cited(items, aliases)
     need = F.when(F.col("section") == "trends", 2).otherwise(1)
     rows = rows.where((F.size("ids") >= need) & F.coalesce("name", "title").isNotNull())
@@ -168,10 +197,11 @@ def parse_analysis(outputs: DataFrame, aliases: DataFrame, seen: DataFrame, now:
     limits = F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv])
     rows = rows.where(F.col("n") <= limits[F.col("section")])
     host = display_host(F.when(F.col("website").rlike("^(?i)https?://"), F.col("website")).otherwise(F.concat(F.lit("https://"), "website")))
-    words = seen.groupBy("research_id").agg(F.array_join(F.collect_list(F.lower("text")), "\n").alias("seen"))
-    rows = rows.withColumn("host", host).join(words, "research_id", "left")
+    rows = rows.withColumn("host", host)
+    asked = staged(items.where("website IS NOT NULL").select("research_id", host.alias("host")).where("host IS NOT NULL").distinct(), "asked-hosts")
+    rows = rows.join(hosts_seen(asked, seen).withColumn("known", F.lit(True)), ["research_id", "host"], "left")
     kind = F.when(F.col("section") == "companies", F.when(F.col("entity_type").isin(L.ENTITY_TYPES), F.col("entity_type")).otherwise("other"))
     return rows.select(
         "research_id", "section", "at", "n", "title", "summary", "name", kind.alias("entity_type"), "type_evidence", "country", "focus",
-        F.when(mentions_host(F.col("seen"), F.col("host")), F.col("host")).alias("domain"), valid_date(F.col("date"), now).alias("event_date"), "company", "ids",
+        F.when(F.col("known"), F.col("host")).alias("domain"), valid_date(F.col("date"), now).alias("event_date"), "company", "ids",
     )

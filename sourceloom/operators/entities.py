@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.geo import norm_country
-from ..functions.url import domain_matches_name, name_keys, registrable_domain
+from ..functions.url import affix_names, domain_matches_name, label_matches_names, name_keys, registrable_domain, registrable_domains
 
 _WB, _WE = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # Words of organisations, in descriptions and in labels of classes.
@@ -25,7 +25,7 @@ def _empty(c: str | Column) -> Column:
 
 def official_domain(urls: Column, name: Column) -> Column:
     """The first URL's registrable domain that is nobody else's and fits the name."""
-    domains = F.transform(_empty(urls), registrable_domain)
+    domains = registrable_domains(_empty(urls))
     return F.try_element_at(F.filter(domains, lambda d: d.isNotNull() & ~d.isin(L.NOT_OFFICIAL) & domain_matches_name(d, name)), F.lit(1))
 
 
@@ -64,38 +64,39 @@ def with_labels(entities: DataFrame, labels: DataFrame) -> DataFrame:
 def score_candidates(pairs: DataFrame) -> DataFrame:
     """pairs of a company (name, country, focus, domain, context) and an entity (label, aliases, description, instance_of, country_labels,
     class_labels, websites) with score, signals, matched_country and rejected; score is null where rejected."""
-    keys = name_keys(F.col("name"))
-    names = F.filter(F.concat(F.array("label"), _empty("aliases")), lambda n: F.coalesce(n, F.lit("")) != "")
-    named = F.exists(names, lambda n: F.arrays_overlap(name_keys(n), keys))
+    col, n = F.col, lambda c, k: F.when(c, k).otherwise(0)
+    # what several rules use is a column of its own, and a pair that is rejected goes no further
+    names = F.filter(F.concat(F.array("label"), _empty("aliases")), lambda x: F.coalesce(x, F.lit("")) != "")
+    rows = pairs.withColumns({"__keys": name_keys(col("name")), "__names": names})
+    rows = rows.withColumn("__named", F.exists("__names", lambda x: F.arrays_overlap(name_keys(x), col("__keys"))))
     about = F.coalesce("description", F.lit(""))
     is_org = F.arrays_overlap(_empty("instance_of"), F.array(*map(F.lit, L.ORG_CLASSES))) | F.exists(_empty("class_labels"), lambda x: x.rlike(CLASS_WORDS)) | about.rlike(ORG_WORDS)
-    wanted, countries = norm_country(F.col("country")), F.transform(_empty("country_labels"), norm_country)
+    rows = rows.withColumns({"__org": F.when(col("__named"), is_org), "__wanted": norm_country(col("country")), "__countries": F.when(col("__named"), F.transform(_empty("country_labels"), norm_country)), "__about": about})
     patterns = F.create_map(*[y for c, ds in L.DEMONYMS.items() for y in (F.lit(c), F.lit("(^|[^a-z])(" + "|".join(d.replace(".", r"\.") for d in ds) + ")([^a-z]|$)"))])
-    said = F.coalesce(F.rlike(F.lower(about), F.try_element_at(patterns, wanted)), F.lit(False))
-    known = F.col("country").isNotNull() & (F.col("country") != "")
-    agrees = known & (F.array_contains(countries, wanted) | said)
-    differs = known & ~agrees & (F.size(countries) > 0)
-    domains = F.filter(F.transform(_empty("websites"), registrable_domain), lambda d: d.isNotNull())
-    own = registrable_domain(F.col("domain"))
-    have = F.col("domain").isNotNull() & (F.size(domains) > 0)
-    same_site, other_site = have & F.coalesce(F.array_contains(domains, own), F.lit(False)), have & ~F.coalesce(F.array_contains(domains, own), F.lit(False))
-    like_name = ~have & F.exists(domains, lambda d: domain_matches_name(d, F.col("name")))
+    said = F.coalesce(F.rlike(F.lower("__about"), F.try_element_at(patterns, col("__wanted"))), F.lit(False))
+    known = col("country").isNotNull() & (col("country") != "")
+    rows = rows.withColumn("__agrees", F.when(col("__org"), known & (F.array_contains("__countries", col("__wanted")) | said)))
+    differs = known & ~col("__agrees") & (F.size("__countries") > 0)
+    rejected = F.when(~col("__named"), F.lit("name differs")).when(~col("__org"), F.lit("not an organization")).when(differs, F.concat(F.lit("country differs ("), F.array_join("__countries", ", "), F.lit(")")))
+    rows = rows.withColumn("rejected", rejected)
+    stays = col("rejected").isNull()
+    domains = F.filter(registrable_domains(_empty("websites")), lambda d: d.isNotNull())
     ctx = context_words(F.concat_ws(" ", F.coalesce("context", F.lit("")), F.coalesce("focus", F.lit(""))))
-    overlap = F.arrays_overlap(context_words(about), ctx)
+    rows = rows.withColumns({"__domains": F.when(stays, domains), "__own": F.when(stays, registrable_domain(col("domain"))), "__ctx": F.when(stays, ctx), "__labels": F.when(stays, affix_names(col("name")))})
+    have = col("domain").isNotNull() & (F.size("__domains") > 0)
+    held = F.coalesce(F.array_contains("__domains", col("__own")), F.lit(False))
+    like_name = ~have & F.exists("__domains", lambda d: label_matches_names(d, col("__labels")))
     demonyms = F.array(*[F.struct(F.lit(c).alias("c"), F.array(*map(F.lit, ds)).alias("d")) for c, ds in L.DEMONYMS.items()])
-    place = ~known & F.exists(demonyms, lambda x: F.array_contains(ctx, x["c"]) & F.exists(x["d"], lambda d: F.contains(F.lower(about), d)))
-    fits = overlap | place
-    n = lambda c, k: F.when(c, k).otherwise(0)
-    score = F.lit(1) + n(agrees, 2) + n(same_site, 4) - n(other_site, 3) + n(like_name, 1) + n(fits, 1)
+    place = ~known & F.exists(demonyms, lambda x: F.array_contains("__ctx", x["c"]) & F.exists(x["d"], lambda d: F.contains(F.lower("__about"), d)))
+    fits = F.arrays_overlap(context_words(col("__about")), col("__ctx")) | place
+    rows = rows.withColumns({"__same": have & held, "__other": have & ~held, "__like": F.when(stays, like_name), "__fits": F.when(stays, fits)})
+    score = F.lit(1) + n(col("__agrees"), 2) + n(col("__same"), 4) - n(col("__other"), 3) + n(col("__like"), 1) + n(col("__fits"), 1)
     signals = F.array_compact(F.array(
-        F.lit("organization"), F.when(agrees, "country matches"), F.when(same_site, "website matches sources"), F.when(other_site, "website differs from sources"),
-        F.when(like_name, "website matches name"), F.when(fits, "description fits the research")))
-    rejected = F.when(~named, F.lit("name differs")).when(~is_org, F.lit("not an organization")).when(differs, F.concat(F.lit("country differs ("), F.array_join(countries, ", "), F.lit(")")))
-    spelled = F.try_element_at(F.filter(_empty("country_labels"), lambda c: norm_country(c) == wanted), F.lit(1))
-    return pairs.withColumns({
-        "rejected": rejected, "score": F.when(rejected.isNull(), score), "signals": F.when(rejected.isNull(), signals),
-        "matched_country": F.when(rejected.isNull() & agrees, F.coalesce(spelled, F.col("country"))),
-    })
+        F.lit("organization"), F.when(col("__agrees"), "country matches"), F.when(col("__same"), "website matches sources"), F.when(col("__other"), "website differs from sources"),
+        F.when(col("__like"), "website matches name"), F.when(col("__fits"), "description fits the research")))
+    spelled = F.try_element_at(F.filter(_empty("country_labels"), lambda c: norm_country(c) == col("__wanted")), F.lit(1))
+    out = rows.withColumns({"score": F.when(stays, score), "signals": F.when(stays, signals), "matched_country": F.when(stays & col("__agrees"), F.coalesce(spelled, col("country")))})
+    return out.select(*pairs.columns, "rejected", "score", "signals", "matched_country")
 
 
 def resolve(scored: DataFrame, keys: tuple[str, ...] = ("research_id", "company_no"), order: str = "pos") -> DataFrame:
