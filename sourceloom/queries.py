@@ -21,6 +21,7 @@ from .operators import analysis, entities, fallback, ingest, normalize, relevanc
 from .plans.research import run_research
 from .sources import lookups, providers
 from .sources.scratch import staged_path
+from .streaming.events import stage_rank
 
 NOW = "2024-02-01 00:00:00"
 #: Questions made of words that occur in the tables.
@@ -1071,6 +1072,213 @@ def q_company_filter(spark, sf_dir):
     return report.filter_companies(c, " Nation_1", True).select("s_suppkey")
 
 
+# --- reports and what stands around them ------------------------------------------------------------------------------------------
+
+HOSTS_ASKED = ("example.com", "www.example.org", "ample.com", "ththre.example.com", "example", "com", "example.com.au")
+SEEN_SQL = f"""
+WITH p AS (SELECT page_id % 50 AS r, lower(url || ' ' || html) AS t FROM pages), a AS (SELECT DISTINCT page_id % 50 AS r, unnest([{", ".join(f"'{h}'" for h in HOSTS_ASKED)}]) AS host FROM pages)
+SELECT CAST(r AS VARCHAR) AS research_id, host FROM a WHERE EXISTS (SELECT 1 FROM p WHERE p.r = a.r AND regexp_matches(t, '(^|[^a-z0-9-])' || replace(host, '.', '[.]') || '($|[^a-z0-9-])'))
+"""
+
+
+def q_hosts_seen(spark, sf_dir):
+    """Which domains the pages of a research name, whole texts as what was seen."""
+    p = t(spark, sf_dir, "pages").select((F.col("page_id") % 50).cast("string").alias("research_id"), F.concat_ws(" ", "url", "html").alias("text"))
+    asked = p.select("research_id").distinct().withColumn("host", F.explode(F.array(*map(F.lit, HOSTS_ASKED))))
+    return analysis.hosts_seen(asked, p)
+
+
+SITE_ROWS = [(f"site{i}", f"https://site{i}.example.org") for i in range(3)]
+FEEDS_SQL = f"""
+SELECT c_custkey AS research_id, 2 AS pos, 'site' || i AS site_id, 'https://site' || i || '.example.org/?s=solar+panels' || CASE WHEN c_custkey >= 100 THEN '+' || c_custkey ELSE '' END || '&feed=rss2' AS feed_url FROM customer, range({len(SITE_ROWS)}) s(i) WHERE c_custkey % 5 > 0
+"""
+
+
+def q_feed_requests(spark, sf_dir):
+    k = F.col("c_custkey")
+    asked = t(spark, sf_dir, "customer").select(k.alias("research_id"), F.when(k % 5 == 0, "the a of").otherwise(F.concat(F.lit("the solar panels "), k)).alias("query"), F.lit(None).cast("string").alias("focus"))
+    return ingest.feed_requests(ingest.search_plan(asked), spark.createDataFrame(SITE_ROWS, "site_id string, base_url string"))
+
+
+ENTITY_LABEL_SQL = """
+WITH p AS (SELECT p_partkey AS id, [p_partkey % 40, p_partkey % 7] AS c, CASE WHEN p_partkey % 3 = 0 THEN [] ELSE [p_partkey % 25] END AS i FROM part),
+f AS (SELECT id, unnest(c) AS n, generate_subscripts(c, 1) AS k, 'c' AS kind FROM p UNION ALL SELECT id, unnest(i), generate_subscripts(i, 1), 'i' FROM p),
+l AS (SELECT id, kind, string_agg(n_name, ',' ORDER BY k) AS names FROM f JOIN nation ON n = n_nationkey GROUP BY 1, 2)
+SELECT p.id, coalesce(c.names, '') AS countries, coalesce(i.names, '') AS classes FROM p LEFT JOIN l c ON c.id = p.id AND c.kind = 'c' LEFT JOIN l i ON i.id = p.id AND i.kind = 'i'
+"""
+
+
+def q_entity_labels(spark, sf_dir):
+    k = F.col("p_partkey")
+    e = t(spark, sf_dir, "part").select(k.alias("id"), F.array(k % 40, k % 7).alias("country_ids"), F.when(k % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(k % 25)).alias("instance_of"))
+    got = entities.with_labels(e, t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label")))
+    return got.select("id", F.array_join("country_labels", ",").alias("countries"), F.array_join("class_labels", ",").alias("classes"))
+
+
+MERGED_SQL = """
+WITH RECURSIVE c AS (SELECT s_nationkey AS r, s_suppkey AS pos, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'Q' || s_suppkey % 7 END AS kb, CASE WHEN s_suppkey % 2 = 0 THEN 'd' || s_suppkey % 5 || '.com' END AS dom, CASE WHEN s_suppkey % 4 = 0 THEN 'Germany' END AS country,
+  row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier),
+w AS (SELECT r, k, pos, pos AS home, [pos] AS kp, [coalesce(kb, '')] AS kk, [coalesce(dom, '')] AS kd FROM c WHERE k = 1
+  UNION ALL SELECT r, k, pos, coalesce(h, pos), CASE WHEN h IS NULL THEN list_append(kp, pos) ELSE kp END, CASE WHEN h IS NULL THEN list_append(kk, kb) ELSE kk END, CASE WHEN h IS NULL THEN list_append(kd, dom) ELSE kd END FROM (
+    SELECT c.r, c.k, c.pos, coalesce(c.kb, '') AS kb, coalesce(c.dom, '') AS dom, kp, kk, kd, list_min([kp[i] FOR i IN range(1, len(kp) + 1) IF kk[i] <> '' AND kk[i] = c.kb OR kd[i] <> '' AND kd[i] = c.dom]) AS h FROM w JOIN c ON c.r = w.r AND c.k = w.k + 1))
+SELECT CAST(m.r AS VARCHAR) AS research_id, m.home AS pos, string_agg(c.name, '|' ORDER BY c.pos) AS names, max(c.kb) FILTER (WHERE c.pos = m.home) AS kb_id, max(c.dom) FILTER (WHERE c.pos = m.home) AS domain, max(c.country) AS country, string_agg(CAST(c.pos AS VARCHAR), ',' ORDER BY c.pos) AS ids
+FROM w m JOIN c ON c.r = m.r AND c.pos = m.pos GROUP BY m.r, m.home
+"""
+
+ASIDE_SQL = f"""WITH {RELEVANCE_CTE}
+SELECT seq, coalesce(CASE WHEN seq % 4 = 0 THEN 'stored ' || seq END, CASE WHEN seq % 4 = 1 THEN 'off topic' END, nullif(array_to_string([x FOR x IN reasons IF NOT starts_with(x, 'found by')], '; '), ''), 'weak match for the question') AS reason FROM scored"""
+
+
+def q_set_aside_reason(spark, sf_dir):
+    k = F.col("seq")
+    s = scored_docs(spark, sf_dir)
+    return s.select("seq", report.set_aside_reason(F.when(k % 4 == 0, F.concat(F.lit("stored "), k)), k % 4 == 1, F.col("reasons")).alias("reason"))
+
+
+GRADES_SQL = "SELECT s_nationkey AS research_id, count(*) FILTER (WHERE s_suppkey % 4 = 0) AS high, count(*) FILTER (WHERE s_suppkey % 4 = 1) AS medium, count(*) FILTER (WHERE s_suppkey % 4 = 2) AS low FROM supplier GROUP BY 1"
+
+
+def q_evidence_histogram(spark, sf_dir):
+    grade = F.get(F.array(*map(F.lit, ["high", "medium", "low", None])), (F.col("s_suppkey") % 4).cast("int"))
+    return report.evidence_histogram(t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("research_id"), grade.alias("confidence")))
+
+
+# the sources of a research in order of ids, 60 at most, as long as their lines fit what the question leaves of the budget
+ANALYSIS_SQL = f"""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE text <> ''),
+l AS (SELECT source, doc_id, n, '[S' || n || '] ' || CASE WHEN doc_id % 2 = 1 THEN '[context] ' ELSE '' END || coalesce({LINE}, '(untitled)') || ' | ' || source || ' | ' || source || '.example.org' || CASE WHEN doc_id % 3 > 0 THEN ' | also reported by ' || doc_id % 3 || ' other outlets' ELSE '' END
+  || chr(10) || '   ' || regexp_replace(text, '\\s+', ' ', 'g')[:140] AS line FROM d WHERE n <= 60),
+s AS (SELECT *, sum(ceil(len(line) / 3.5)::BIGINT) OVER (PARTITION BY source ORDER BY n)::BIGINT AS spent FROM l)
+SELECT source AS research_id, n AS pos, 'S' || n AS alias, doc_id AS id, line, spent FROM s WHERE spent <= 4000 - 1500 - ceil(len('what about ' || source) / 3.5)
+"""
+
+
+def q_analysis_prompt(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").where("text <> ''")
+    rows = d.select(
+        F.col("source").alias("research_id"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), first_line().alias("title"), F.col("source").alias("publisher"), F.concat(F.lit("https://www."), "source", F.lit(".example.org/")).alias("url"),
+        F.lit(None).cast("timestamp").alias("published_at"), F.col("text").alias("snippet"), F.when(F.col("doc_id") % 2 == 1, "contextual").otherwise("direct").alias("label"), (F.col("doc_id") % 3).alias("also_reported_by"))
+    asked = rows.select("research_id").distinct().select("research_id", F.concat(F.lit("what about "), "research_id").alias("query"), F.lit(None).cast("string").alias("focus"))
+    return analysis.analysis_prompt(rows, asked, 4000)
+
+
+ORDERS_SQL = """
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate END DESC NULLS LAST, o_orderkey) AS source_no,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END DESC NULLS LAST, o_orderkey) AS finding_no FROM orders
+"""
+
+
+def q_report_orders(spark, sf_dir):
+    """Places of sources and findings in their lists, undated ones last."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    o = t(spark, sf_dir, "orders").withColumns({"published_at": F.when(k % 4 > 0, day), "created_at": k, "occurred_at": F.when(k % 3 > 0, day), "ordinal": k})
+    place = lambda order: F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order))
+    return o.select("o_orderkey", place(report.sources_order()).alias("source_no"), place(report.findings_order()).alias("finding_no"))
+
+
+BY_NAME_SQL = "SELECT row_number() OVER (ORDER BY CASE WHEN s_suppkey % 5 > 0 THEN s_name END NULLS LAST, s_suppkey) AS place, s_suppkey FROM supplier QUALIFY place <= 40"
+
+
+def q_companies_by_name(spark, sf_dir):
+    """The first 40 in dictionary order; the place is that of the list shown."""
+    k = F.col("s_suppkey")
+    s = report.by_name(t(spark, sf_dir, "supplier").select(k, F.when(k % 5 > 0, F.col("s_name")).alias("name"), k.alias("pos"))).limit(40)
+    return s.select(F.row_number().over(Window.orderBy(F.col("name").asc_nulls_last(), "pos")).alias("place"), "s_suppkey")
+
+
+QUERY_TEXT_SQL = "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name || ' robots official website' WHEN 1 THEN s_name || ' official website' ELSE s_name || ' official website' END AS text FROM supplier"
+
+
+def q_website_query(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return t(spark, sf_dir, "supplier").select(k, lookups.website_query(F.concat(F.lit(" "), "s_name", F.lit("\n")), F.when(k % 3 == 0, " robots ").when(k % 3 == 1, "")).alias("text"))
+
+
+COMPANY_SQL = """
+SELECT s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'Startup' WHEN 1 THEN 'Established company' END AS type_label, CASE s_suppkey % 3 WHEN 0 THEN 'Website from the collected sources' WHEN 1 THEN 'Website from Wikidata' END AS website_label,
+  concat_ws(chr(10), CASE WHEN s_suppkey % 2 = 0 THEN 'Evidence: a; b' END, CASE WHEN s_suppkey % 5 = 0 THEN 'Wikidata Q' || s_suppkey || ' (' || s_name || '): about' END) AS evidence, CASE WHEN s_suppkey % 5 = 0 THEN 'https://www.wikidata.org/wiki/Q' || s_suppkey END AS kb_link FROM supplier
+"""
+
+
+def q_company_rows(spark, sf_dir):
+    k = F.col("s_suppkey")
+    pick = lambda m, *v: F.get(F.array(*map(F.lit, v)), (k % m).cast("int"))
+    e = t(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("name"), pick(4, "startup", "established_company", "other", None).alias("entity_type"), F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("domain"),
+        pick(3, "sources", "wikidata", None).alias("website_source"), F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("signals"), F.when(k % 5 == 0, "resolved").otherwise("ambiguous").alias("status"),
+        F.concat(F.lit("Q"), k).alias("kb_id"), F.col("s_name").alias("kb_label"), F.lit("about").alias("kb_description"))
+    return report.company_rows(e).select("name", "type_label", "website_label", "evidence", "kb_link")
+
+
+SUMMARY_SQL = """
+WITH e AS (SELECT user_id AS r, arg_min(event_id * 2, event_id) FILTER (WHERE event_id % 3 = 0) AS received, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1)
+SELECT r AS research_id, coalesce(received, n) AS collected, nullif(concat_ws(' · ', CASE WHEN r % 2 = 0 THEN '40s' END, CASE WHEN r % 4 > 1 THEN r % 4 || ' sources analyzed' END, CASE r % 3 WHEN 0 THEN 'Gemini' WHEN 1 THEN 'other' END), '') AS summary FROM e
+"""
+
+
+def q_run_summary(spark, sf_dir):
+    e = t(spark, sf_dir, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("research_id"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "processing").otherwise("collecting").alias("stage"), (F.col("event_id") * 2).alias("received"))
+    rows = report.results_collected(e, e.groupBy("research_id").agg(F.count(F.lit(1)).alias("n")))
+    k = F.col("research_id")
+    line = report.run_summary(F.when(k % 2 == 0, "40s"), F.when(k % 4 > 1, k % 4).otherwise(0), F.when(k % 3 == 0, "gemini").when(k % 3 == 1, "other"))
+    return rows.select("research_id", "collected", line.alias("summary"))
+
+
+LANDING_SQL = "SELECT research_id FROM (SELECT o_orderkey AS research_id, o_orderdate AS d FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 12) WHERE research_id % 2 = 0 ORDER BY d DESC, research_id LIMIT 4"
+
+
+def q_landing(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = t(spark, sf_dir, "orders").select(k.alias("research_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"), F.when(k % 2 == 0, "text").alias("overview"))
+    return report.landing(o).select("research_id")
+
+
+JUNK_COUNT_SQL = f"SELECT page_id % 20 AS research_id, count(*) FILTER (WHERE page_id IN (SELECT page_id FROM ({JUNK_SQL}))) AS junk FROM pages GROUP BY 1"
+
+
+def q_junk_count(spark, sf_dir):
+    title = F.when(F.col("page_id") % 10 < len(JUNK_TITLES), F.get(F.array(*map(F.lit, JUNK_TITLES)), (F.col("page_id") % 10).cast("int"))).otherwise(page_title())
+    return normalize.junk_count(t(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("research_id"), title.alias("title")))
+
+
+COUNTRY_SQL = "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'matched' WHEN s_suppkey % 3 = 0 THEN 'kb' WHEN s_suppkey % 5 = 0 THEN 'said' WHEN s_suppkey % 7 = 0 THEN 'named' END AS country FROM supplier"
+
+
+def q_country_chain(spark, sf_dir):
+    k = F.col("s_suppkey")
+    none = F.array().cast("array<string>")
+    kb = F.when(k % 3 == 0, F.array(F.lit("kb"), F.lit("x"))).otherwise(none)
+    named = F.when(k % 7 == 0, F.array(F.lit("named"))).when(k % 11 == 0, F.array(F.lit("two"), F.lit("countries"))).otherwise(none)
+    return t(spark, sf_dir, "supplier").select("s_suppkey", entities.country_chain(F.when(k % 2 == 0, "matched"), kb, F.when(k % 5 == 0, "said").otherwise(""), named).alias("country"))
+
+
+STAGE_SQL = f"SELECT event_id, coalesce(list_position({q(L.STATUSES).replace('(', '[', 1)[:-1]}], CASE WHEN event_id % 9 < 8 THEN {q(L.STATUSES).replace('(', '[', 1)[:-1]}][event_id % 9 + 1] ELSE 'odd' END), 0) AS place FROM events"
+
+
+def q_stage_rank(spark, sf_dir):
+    status = F.get(F.array(*map(F.lit, [*L.STATUSES, "odd"])), (F.col("event_id") % 9).cast("int"))
+    return t(spark, sf_dir, "events").select("event_id", stage_rank(status).alias("place"))
+
+
+SWEEP_SQL = f"SELECT event_type, count(*) AS n FROM events WHERE ts + INTERVAL 20 DAYS >= TIMESTAMP '{NOW}' GROUP BY 1"
+
+
+def q_cache_sweep(spark, sf_dir):
+    e = t(spark, sf_dir, "events").withColumn("expires_at", F.col("ts") + F.expr("INTERVAL 20 DAYS"))
+    return store.cache_sweep(e, now()).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+GAPS_SQL = "SELECT c_custkey AS research_id, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS runnable, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 1 THEN 'No data sources are configured on this deployment.' END AS failure FROM customer"
+
+
+def q_plan_gaps(spark, sf_dir):
+    """Plans of a web search that is configured for two in three, and of feeds for every other research."""
+    k = F.col("c_custkey")
+    plan = t(spark, sf_dir, "customer").select(k.alias("research_id"), F.explode(F.array(F.when(k % 3 == 0, "off").otherwise("web"), F.when(k % 2 == 0, "feeds").otherwise("off"))).alias("provider"))
+    known = spark.createDataFrame([("web",), ("feeds",)], "provider string")
+    return lookups.plan_gaps(plan, known).select("research_id", F.col("runnable").cast("int").alias("runnable"), "failure")
+
+
 _PAIRS: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = [
     ("canonical_url", q_canonical_url, CANON_SQL), ("registrable_domain_counts", q_registrable_domain, DOMAIN_SQL), ("html_to_text", q_html_to_text, HTML_SQL), ("clean_title", q_clean_title, TITLE_SQL),
     ("site_suffix", q_site_suffix, SUFFIX_SQL), ("junk_pages", q_junk_pages, JUNK_SQL), ("title_tokens", q_title_tokens, TOKENS_SQL), ("search_keywords", q_search_keywords, KEYWORDS_SQL),
@@ -1084,11 +1292,15 @@ _PAIRS: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] =
     ("resolution_status", q_resolution_status, RESOLUTION_SQL), ("domain_suggestion", q_domain_suggestion, SUGGEST_SQL), ("verification_confidence", q_verification_confidence, VERIFY_SQL), ("company_ranking", q_company_ranking, RANK_SQL),
     ("history_summary", q_history_summary, HISTORY_SQL), ("findings_with_sources", q_findings_with_sources, FINDINGS_SQL), ("citation_numbers", q_citation_numbers, NUMBERS_SQL), ("insert_ignore", q_insert_ignore, INSERT_SQL),
     ("cache_latest_fresh", q_cache_latest_fresh, CACHE_SQL), ("rolling_hour_limit", q_rolling_hour_limit, HOUR_SQL), ("latest_status", q_latest_status, STATUS_SQL), ("stale_runs", q_stale_runs, STALE_SQL),
-    ("event_log", q_event_log, LOG_SQL), ("rate_per_hour", q_rate_per_hour, RATE_SQL), ("merge_companies", q_merge_companies, None), ("research_run", q_research_run, None),
+    ("event_log", q_event_log, LOG_SQL), ("rate_per_hour", q_rate_per_hour, RATE_SQL), ("merge_companies", q_merge_companies, MERGED_SQL), ("research_run", q_research_run, None),
     ("relative_times", q_relative_times, RELATIVE_SQL), ("durations", q_durations, DURATION_SQL), ("kb_candidates", q_kb_candidates, KB_SQL), ("entity_batches", q_entity_batches, ENTITY_SQL), ("official_domain", q_official_domain, OFFICIAL_SQL),
     ("paid_lookups", q_paid_lookups, PAID_SQL), ("website_chain", q_website_chain, CHAIN_SQL), ("classification_overlay", q_classification_overlay, OVERLAY_SQL), ("parse_constraints", q_parse_constraints, CONSTRAINT_SQL),
     ("fallback_constraints", q_fallback_constraints, FALLBACK_TYPE_SQL), ("input_validation", q_input_validation, INPUT_SQL), ("citation_chips", q_citation_chips, CHIPS_SQL), ("story_evidence", q_story_evidence, EVIDENCE_SQL),
     ("resolution_stats", q_resolution_stats, RESOLVED_SQL), ("feed_outcome", q_feed_outcome, FEED_SQL), ("retry_waits", q_retry_waits, RETRY_SQL), ("company_filter", q_company_filter, FILTER_SQL),
+    ("hosts_seen", q_hosts_seen, SEEN_SQL), ("feed_requests", q_feed_requests, FEEDS_SQL), ("entity_labels", q_entity_labels, ENTITY_LABEL_SQL), ("set_aside_reason", q_set_aside_reason, ASIDE_SQL),
+    ("evidence_histogram", q_evidence_histogram, GRADES_SQL), ("analysis_prompt", q_analysis_prompt, ANALYSIS_SQL), ("report_orders", q_report_orders, ORDERS_SQL), ("companies_by_name", q_companies_by_name, BY_NAME_SQL),
+    ("website_query", q_website_query, QUERY_TEXT_SQL), ("company_rows", q_company_rows, COMPANY_SQL), ("run_summary", q_run_summary, SUMMARY_SQL), ("landing", q_landing, LANDING_SQL), ("junk_count", q_junk_count, JUNK_COUNT_SQL),
+    ("country_chain", q_country_chain, COUNTRY_SQL), ("stage_rank", q_stage_rank, STAGE_SQL), ("cache_sweep", q_cache_sweep, SWEEP_SQL), ("plan_gaps", q_plan_gaps, GAPS_SQL),
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f, _ in _PAIRS}
 ORACLES: dict[str, str] = {name: sql for name, _, sql in _PAIRS if sql}
