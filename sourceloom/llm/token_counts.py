@@ -6,54 +6,74 @@ pre-tokenizer always splits, so the sum of the pieces' counts is the count of th
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A single blank between an ASCII letter or digit before it and one behind it. Byte-level and word-end BPE start a
 #: pre-token there, and so does a piece model that doesn't merge across white space.
-SAFE = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
+SAFE = r"(?<=[0-9A-Za-z])(?= [0-9A-Za-z])"
+#: Where a run of letters or of digits ends: pre-tokenizers by the usual byte-level pattern always begin a pre-token there, in any script.
+SAFE_BYTE_LEVEL = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})"
 
 
-def pieces(text: str, most: int, drop_blank: bool = False) -> list[str]:
-    """text cut at safe places into pieces of about `most` characters; a stretch without a safe place stays whole."""
-    out, start, n = [], 0, len(text)
-    while n - start > most:
-        cut = SAFE.search(text, start + most - 1)
-        if not cut:
+def pieces(text: str, most: int, safe: regex.Pattern, drop_blank: bool = False, whole: tuple[str, ...] = ()) -> Iterator[str]:
+    """text cut at safe places into pieces of about `most` bytes; a stretch without a safe place stays whole, and so does a string of `whole`.
+
+    A cut is sought by characters, as many as `most` bytes hold at the text's average.
+    """
+    start, n, step = 0, len(text), max(1, most * len(text) // max(len(text.encode()), 1))
+    while n - start > step:
+        found = None
+        for cut in safe.finditer(text, start + step):
+            at = cut.start()
+            if not any(text.find(w, max(at - len(w) + 1, 0), at + len(w) - 1) >= 0 for w in whole):
+                found = at
+                break
+        if found is None:
             break
-        out.append(text[start : cut.start()])
-        start = cut.start() + drop_blank
-    out.append(text[start:])
-    return out
+        yield text[start:found]
+        start = found + drop_blank
+    yield text[start:]
+
 
+class Encoder:
+    """The library that a tokenizer's file is for: token counts of texts, and where texts may be cut."""
 
-def counter(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
-    """(function from texts to token counts, whether a cut drops the blank) of the library that the file is for."""
-    if path.endswith(".model"):
-        import sentencepiece
+    def __init__(self, path: str) -> None:
+        self.whole: tuple[str, ...] = ()
+        self.safe, self.drop_blank = regex.compile(SAFE), path.endswith(".model")
+        if path.endswith(".model"):
+            import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]), True
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.lengths = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+            return
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return (lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]), False
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.lengths = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        about = json.loads(tokenizer.to_str())
+        before = about.get("pre_tokenizer") or {}
+        if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not about.get("normalizer"):
+            self.safe = regex.compile(SAFE_BYTE_LEVEL)
+            self.whole = tuple(t["content"] for t in about.get("added_tokens") or ())  # these are sought before any pre-token
 
 
 def token_counts(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-    limit: int = 1024, piece_chars: int = 16_384, batch_bytes: int = 1 << 20,
+    limit: int = 1024, piece_bytes: int = 16_384, batch_bytes: int = 1 << 20,
 ) -> DataFrame:
     """One row per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
@@ -66,14 +86,16 @@ def token_counts(
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, drop_blank = counter(tokenizer)
+        encoder = Encoder(tokenizer)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             total, load, owners, size = np.zeros(len(texts), np.int64), [], [], 0
+            n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            sizes = n_bytes.to_numpy()
 
             def flush() -> None:
                 if load:
-                    np.add.at(total, owners, lengths(load))
+                    np.add.at(total, owners, encoder.lengths(load))
                     load.clear()
                     owners.clear()
 
@@ -81,15 +103,15 @@ def token_counts(
                 text = text.as_py()
                 if not text:
                     continue
-                for piece in pieces(text, piece_chars, drop_blank) if len(text) > piece_chars else (text,):
+                n = int(sizes[i])
+                for piece in pieces(text, piece_bytes, encoder.safe, encoder.drop_blank, encoder.whole) if n > piece_bytes else (text,):
                     load.append(piece)
                     owners.append(i)
-                    size += len(piece)
+                    size += n if piece is text else len(piece.encode())
                     if size >= batch_bytes:
                         flush()
                         size = 0
             flush()
-            n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(total)], [id_col, "n_bytes", "n_tokens"])
 
     counted = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(count, schema)

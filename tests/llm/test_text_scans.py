@@ -103,16 +103,27 @@ def test_long_parts_are_whole():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts(spark, name):
     rng = random.Random(3)
-    word = lambda: rng.choice(["the", "Straße", "don't", "x1", "日本語", "…", "A", "é", "<|endoftext|>", "12,5", "😀"])
-    texts = ["".join(word() + rng.choice([" ", "  ", "\n", "", " "]) for _ in range(rng.randint(0, 400))) for _ in range(40)] + ["", None, "a" * 3000, " " * 500]
+    word = lambda: rng.choice(["the", "Straße", "don't", "x1", "日本語", "…", "A", "é", "<|endoftext|>", "12,5", "😀", "中文，", "한국", "'s", "९९", "²", "e\u0301"])
+    texts = ["".join(word() + rng.choice([" ", "  ", "\n", "", " "]) for _ in range(rng.randint(0, 400))) for _ in range(40)] + ["", None, "a" * 3000, " " * 500, "中文没有空格，但是有标点。" * 300, "日本語12" * 200]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in token_counts.token_counts(df, tokenizer_path(name), piece_chars=50, batch_bytes=200).collect()}
-    count, _ = token_counts.counter(tokenizer_path(name))
+    got = {r.doc_id: r for r in token_counts.token_counts(df, tokenizer_path(name), piece_bytes=50, batch_bytes=200).collect()}
+    count = token_counts.Encoder(tokenizer_path(name)).lengths
     for i, t in enumerate(texts):
         assert (got[i].n_bytes, got[i].n_tokens) == (len((t or "").encode()), count([t])[0] if t else 0)
         assert got[i].over_limit == (got[i].n_tokens > 1024)
 
 
+def test_long_texts_are_cut_by_bytes():
+    """Pieces in any script are of about the bytes asked for, cut at the ends of runs; a special string stays whole."""
+    encoder = token_counts.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    for text in ("中文没有空格，但是有标点。" * 4000, "plain words of one kind " * 5000, "Ж7" * 30_000, "a,b<|endoftext|>" * 5000):
+        cut = list(token_counts.pieces(text, 1000, encoder.safe, encoder.drop_blank, encoder.whole))
+        sizes = [len(x.encode()) for x in cut]
+        assert "".join(cut) == text and max(sizes) <= 1100 and min(sizes[:-1]) >= 800
+        assert sum(encoder.lengths(cut)) == encoder.lengths([text])[0]
+        assert not any("<|endoftext|>".startswith(x[i:]) for x in cut[:-1] for i in range(-12, 0) if len(x) + i >= 0 and x[i:].startswith("<"))
+
+
 def test_contamination(spark):
     rng = random.Random(5)
     words = lambda n: [rng.choice("ab cd ef gh éx 12".split()) for _ in range(n)]
