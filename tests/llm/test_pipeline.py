@@ -68,7 +68,7 @@ def test_repeated_rows_leave_one(spark, folder):
 
 
 def test_names():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 DIR = "/root/testdata/sf0.001"
