@@ -92,12 +92,16 @@ def html_to_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(collapse(decode_entities(bare)), r"\s*The post .{1,300}? appeared first on .{1,100}?\.?$", ""))
 
 
-def title_tokens(title: Column) -> Column:
-    """Distinct comparable tokens of a title in order: marks and case gone, amounts as 16m or 2b, plural s gone, stopwords out."""
+def title_tokens(title: Column, passes: int = 1) -> Column:
+    """Distinct comparable tokens of a title in order: marks and case gone, amounts as 16m or 2b, plural s gone, stopwords out.
+
+    passes: how often whole amounts are set apart; a second pass finds one that the first has laid bare, as the 8b of x8b5b.
+    """
     t = F.lower(split_hangul(strip_marks(title)))
     for words, unit in (("million|mn|mln|m", "m"), ("billion|bn|b", "b")):
         t = F.regexp_replace(t, rf"(\d+)[.,](\d+)\s*(?:{words})(?![A-Za-z0-9_])", rf" $1.$2{unit} ")
-        t = F.regexp_replace(t, rf"(?<![\d][.,])(?<!\d)(\d+)\s*(?:{words})(?![A-Za-z0-9_])", rf" $1{unit} ")
+        for _ in range(passes):
+            t = F.regexp_replace(t, rf"(?<![\d][.,])(?<!\d)(\d+)\s*(?:{words})(?![A-Za-z0-9_])", rf" $1{unit} ")
     t = F.regexp_replace(t, r"(\d)[.,](?=\d{3}(?![A-Za-z0-9_]))", "$1")
     raw = F.transform(F.split(t, r"[^\p{L}\p{N}.]+"), lambda x: F.regexp_replace(x, r"^\.+|\.+$", ""))
     kept = F.filter(raw, lambda x: (x != "") & ~x.isin(L.TITLE_STOPWORDS))

@@ -30,9 +30,9 @@ MIN_SHARED, SAME, CONTAINMENT, SIMILAR, VETO_DAYS, FIGURE_DAYS = 3, 0.9, 0.85, 0
 FOLD_EDGES = 100_000
 
 
-def with_tokens(sources: DataFrame, title: str = "title", ignore: str | None = None) -> DataFrame:
+def with_tokens(sources: DataFrame, title: str = "title", ignore: str | None = None, passes: int = 1) -> DataFrame:
     """sources with all_tokens and tokens (those not in the array column `ignore`)."""
-    out = sources.withColumn("all_tokens", F.coalesce(title_tokens(F.col(title)), F.array().cast("array<string>")))
+    out = sources.withColumn("all_tokens", F.coalesce(title_tokens(F.col(title), passes), F.array().cast("array<string>")))
     return out.withColumn("tokens", F.array_except("all_tokens", F.coalesce(F.col(ignore), F.array().cast("array<string>"))) if ignore else F.col("all_tokens"))
 
 

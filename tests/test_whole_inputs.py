@@ -198,3 +198,12 @@ def test_site_suffix_behind_a_separator_at_the_end(spark, tmp_path):
     want = {**titles, 1: "One two three | | Zzyzx Nowhere"}
     assert {r.page_id: r.title for r in Q.q_site_suffix(spark, str(tmp_path)).collect()} == want
     assert sql_rows("site_suffix", tmp_path) == sorted(want.items())
+
+
+def test_amounts_that_touch(spark, tmp_path):
+    texts = {1: "password 1053b640f4974d8b5b today", 2: "token 4fd40b1b", 3: "x1b2b3b and 1m2m", 4: "1 million 2 million 3 mn 4m 5m", 5: "7m8b of 2.5m3b"}
+    docs = [(k, v, "en", "web", len(v)) for k, v in texts.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.tokens for r in Q.q_title_tokens(spark, str(tmp_path)).collect()}
+    assert got[1] == "1053b640f4974d 5b 8b password today" and got[2] == "1b 40b 4fd token"
+    assert sql_rows("title_tokens", tmp_path) == sorted(got.items())
