@@ -98,20 +98,85 @@ def figure_candidates(rows: DataFrame) -> DataFrame:
     return keyed.join(other, keys).where((F.col("ps") < F.col("seq")) & (F.abs(F.col("ms") - F.col("pms")) <= FIGURE_DAYS * DAY_MS)).select("research_id", "ps", "seq")
 
 
-def story_pairs(sources: DataFrame) -> DataFrame:
-    """(research_id, a, b, reason, similarity) with a < b by seq, from rows research_id, seq, tokens, all_tokens, published_at.
+def title_classes(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, classes) of the titles that have tokens. Rows of one research with the same tokens and time are a class, named by its first row.
 
-    Rows without tokens match nothing. Every matching pair is found once.
+    members: research_id, seq, cls. classes: research_id, seq, tokens, all_tokens, published_at, n, ms, a row a class.
     """
-    rows = sources.where(F.size("all_tokens") > 0).select("research_id", "seq", "tokens", "all_tokens", "published_at")
-    rows = staged(rows.withColumns({"n": F.size("tokens"), "ms": F.unix_millis("published_at")}), "titles")
-    found = title_candidates(rows).unionByName(figure_candidates(rows))
-    pairs = found.select("research_id", F.least("ps", "seq").alias("a"), F.greatest("ps", "seq").alias("b")).distinct()
-    side = lambda k: rows.select("research_id", F.col("seq").alias(k), F.struct("tokens", "all_tokens", "published_at").alias(f"r{k}"))
+    rows = sources.where((F.size("all_tokens") > 0) & F.col("research_id").isNotNull()).select("research_id", "seq", "tokens", "all_tokens", "published_at")
+    rows = rows.withColumns({"n": F.size("tokens"), "ms": F.unix_millis("published_at")})
+    key = F.sha2(F.to_json(F.struct(F.array_sort("tokens").alias("t"), F.array_sort("all_tokens").alias("a"), "ms")), 256)
+    rows = staged(rows.withColumn("key", key), "titles")
+    first = rows.groupBy("research_id", "key").agg(F.min("seq").alias("cls"))
+    members = staged(rows.select("research_id", "seq", "key").join(first, ["research_id", "key"]).drop("key"), "members")
+    return members, staged(rows.drop("key").join(members.where("seq = cls").drop("cls"), ["research_id", "seq"]), "classes")
+
+
+def class_pairs(classes: DataFrame) -> DataFrame:
+    """(research_id, a, b, reason, similarity) of matching classes, a < b by their first rows; every pair once."""
+    found = title_candidates(classes).unionByName(figure_candidates(classes))
+    pairs = found.select("research_id", F.least("ps", "seq").alias("a"), F.greatest("ps", "seq").alias("b"))
+    # dealt by pair first: a task's set of pairs is then its share of them, not what one common token makes
+    pairs = pairs.repartition("research_id", "a", "b").distinct()
+    side = lambda k: classes.select("research_id", F.col("seq").alias(k), F.struct("tokens", "all_tokens", "published_at").alias(f"r{k}"))
     judged = pairs.join(side("a"), ["research_id", "a"]).join(side("b"), ["research_id", "b"]).withColumn("m", match("ra", "rb"))
     return judged.where("m IS NOT NULL").select("research_id", "a", "b", "m.reason", "m.similarity")
 
 
+def own_pairs(classes: DataFrame) -> DataFrame:
+    """class_pairs' rows of classes whose rows match each other. A class without such a match matches nothing else either."""
+    row = F.struct("tokens", "all_tokens", "published_at")
+    same = classes.select("research_id", F.col("seq").alias("a"), F.col("seq").alias("b"), row.alias("ra"), row.alias("rb")).withColumn("m", match("ra", "rb"))
+    return same.where("m IS NOT NULL").select("research_id", "a", "b", "m.reason", "m.similarity")
+
+
+#: Rows of a class that stand in one list while pairs of classes become pairs of rows.
+LIST = 1000
+
+
+def story_pairs(sources: DataFrame) -> DataFrame:
+    """(research_id, a, b, reason, similarity) with a < b by seq, from rows research_id, seq, tokens, all_tokens, published_at.
+
+    Rows without tokens match nothing. Every matching pair is found once: classes of copies are compared, and their pairs spread over lists of their rows.
+    """
+    members, classes = title_classes(sources)
+    place = F.row_number().over(Window.partitionBy("research_id", "cls").orderBy("seq"))
+    lists = members.withColumn("part", F.floor((place - 1) / LIST)).groupBy("research_id", "cls", "part").agg(F.collect_list("seq").alias("seqs"))
+    lists = staged(lists, "lists")
+    side = lambda k: lists.select("research_id", F.col("cls").alias(k), F.col("seqs").alias(f"s{k}"))
+    both = class_pairs(classes).unionByName(own_pairs(classes)).join(side("a"), ["research_id", "a"]).join(side("b"), ["research_id", "b"])
+    rows = both.withColumn("x", F.explode("sa")).withColumn("y", F.explode("sb")).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return rows.select("research_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "reason", "similarity")
+
+
+def deciding_matches(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, followers): the matches that decide where a source goes, and the copies that go where the first of their class goes.
+
+    Only the first row of a class can be a primary, as a later one has all matches of those before it; so matches by title lead to first rows. Primaries don't rise
+    along a class; so of the matches by figure with a class, the latest earlier row holds the best (the first is kept, which settles most at once). Classes
+    without an amount, a subject or a time match by title alone: their later rows go with the first.
+    edges: research_id, s, m, reason, similarity. followers: research_id, seq, cls.
+    """
+    figured = F.exists("all_tokens", is_money) & F.exists("all_tokens", is_subject) & F.col("ms").isNotNull()
+    kinds = classes.select("research_id", F.col("seq").alias("cls"), figured.alias("figured"), F.col("n"))
+    named = staged(members.join(kinds, ["research_id", "cls"]), "kinds")
+    acting = named.where("figured OR seq = cls").select("research_id", "cls", "seq")
+    pairs = staged(class_pairs(classes).unionByName(own_pairs(classes.where(figured))), "class-pairs")
+    title, figure = pairs.where("reason <> 'same_figure'"), pairs.where("reason = 'same_figure'")
+    to = lambda x, y: title.select("research_id", F.col(x).alias("cls"), F.col(y).alias("m"), "reason", "similarity")
+    # own pairs once
+    by_title = to("b", "a").unionByName(to("a", "b").where("cls <> m")).join(acting, ["research_id", "cls"]).where("m < seq")
+    by_title = by_title.select("research_id", F.col("seq").alias("s"), "m", "reason", "similarity")
+    rows = lambda x, side: figure.select("research_id", "a", "b", F.col(x).alias("cls")).join(acting, ["research_id", "cls"]).select("research_id", "a", "b", "seq", F.lit(side).alias("side"))
+    before = Window.partitionBy("research_id", "a", "b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    other = lambda side: (F.col("a") == F.col("b")) | (F.col("side") != side)
+    held = rows("a", 0).unionByName(rows("b", 1).where("a <> b"))
+    one = lambda f, **k: F.when(other(0), f(F.when(other(1), F.col("seq")), **k).over(before)).otherwise(f(F.when(other(0), F.col("seq")), **k).over(before))
+    held = held.select("research_id", F.col("seq").alias("s"), one(F.min).alias("first"), one(F.max).alias("latest"))
+    by_figure = held.where("first IS NOT NULL").select("research_id", "s", F.explode(F.array_distinct(F.array("first", "latest"))).alias("m"), F.lit("same_figure").alias("reason"), F.lit(1.0).alias("similarity"))
+    return by_title.unionByName(by_figure), named.where(f"NOT figured AND seq <> cls AND n >= {MIN_SHARED}").select("research_id", "seq", "cls")
+
+
 CLUSTER = "research_id string, seq long, primary_seq long, reason string, similarity double"
 
 
@@ -195,23 +260,32 @@ def settle_in_rounds(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done).select(*[c.split()[0] for c in CLUSTER.split(", ")]) if done else edges.sparkSession.createDataFrame([], CLUSTER)
 
 
+def settle(edges: DataFrame) -> DataFrame:
+    """CLUSTER rows of the sources that have an earlier match: researches of few matches folded, larger ones in rounds."""
+    edges = staged(edges.select(F.col("research_id").cast("string").alias("research_id"), F.col("s").cast("long").alias("s"), F.col("m").cast("long").alias("m"), "reason", F.col("similarity").cast("double").alias("similarity")), "matches")
+    many = staged(edges.groupBy("research_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FOLD_EDGES).select("research_id"), "large")
+    if many.isEmpty():
+        return fold_edges(edges)
+    # a null research has an id of its own in joins below
+    held = F.col("research_id").eqNullSafe(F.col("large"))
+    named = many.withColumnRenamed("research_id", "large")
+    few, lots = edges.join(named, held, "left_anti"), edges.join(named, held, "left_semi")
+    return fold_edges(few).unionByName(settle_in_rounds(lots))
+
+
 def story_clusters(sources: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(research_id, seq, primary_seq, reason, similarity) for every source (research_id, seq; seq once a research).
 
-    What is gathered by research are matches, where there are few; sources without an earlier match are primaries and take no part.
+    What is gathered by research are the matches that decide, where there are few; sources without an earlier match are primaries and take no part.
     """
-    pairs = story_pairs(sources) if pairs is None else pairs
-    edges = pairs.select(F.col("research_id").cast("string").alias("research_id"), F.col("b").cast("long").alias("s"), F.col("a").cast("long").alias("m"), "reason", F.col("similarity").cast("double").alias("similarity"))
-    edges = staged(edges, "matches")
-    many = staged(edges.groupBy("research_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FOLD_EDGES).select("research_id"), "large")
-    if many.isEmpty():
-        joined = fold_edges(edges)
+    if pairs is not None:
+        joined = settle(pairs.select("research_id", F.col("b").alias("s"), F.col("a").alias("m"), "reason", "similarity"))
     else:
-        # a null research has an id of its own in joins below
-        held = F.col("research_id").eqNullSafe(F.col("large"))
-        named = many.withColumnRenamed("research_id", "large")
-        few, lots = edges.join(named, held, "left_anti"), edges.join(named, held, "left_semi")
-        joined = fold_edges(few).unionByName(settle_in_rounds(lots))
+        edges, followers = deciding_matches(*title_classes(sources))
+        joined = staged(settle(edges), "settled-firsts")
+        copies = followers.select(F.col("research_id").cast("string").alias("research_id"), F.col("seq").cast("long").alias("own"), F.col("cls").cast("long").alias("seq")).join(joined, ["research_id", "seq"], "left")
+        copies = copies.select("research_id", F.col("own").alias("seq"), F.coalesce("primary_seq", "seq").alias("primary_seq"), F.coalesce("reason", F.lit("same_title")).alias("reason"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+        joined = joined.unionByName(copies)
     ids = sources.select(F.col("research_id").cast("string").alias("rid"), F.col("seq").cast("long").alias("own"))
     rows = ids.join(joined, (F.col("rid").eqNullSafe(F.col("research_id"))) & (F.col("own") == F.col("seq")), "left")
     return rows.select(F.col("rid").alias("research_id"), F.col("own").alias("seq"), F.coalesce("primary_seq", "own").alias("primary_seq"), "reason", "similarity")

@@ -83,3 +83,27 @@ def test_similar_titles_meet_on_near_days_alone(spark):
     rows = {i: (["one", "two", "three", "four", f"x{i}"], day(5 * i)) for i in range(200)}
     made = stories.title_candidates(frame(spark, {"r": rows}).withColumns({"n": F.size("tokens"), "ms": F.unix_millis("published_at")}))
     assert made.count() == 0 and literal_pairs(rows) == {}
+
+
+def test_copies_against_the_loop(spark, monkeypatch):
+    """Many copies of few titles, with and without figures: primaries and recorded matches are those of all pairs, and compared are classes alone."""
+    rng = random.Random(4)
+    some = list(titles(rng, 14).values()) + [(["5m", "acme"], datetime(2024, 1, 2)), (["5m", "acme", "ipo"], datetime(2024, 1, 3)), (["one", "two"], datetime(2024, 1, 2)), (["alpha", "bravo", "charlie"], None)]
+    cases = {r: dict(enumerate(rng.choices(some, k=80))) for r in ("r0", "r1", "r2")}
+    rows = frame(spark, cases)
+    pairs = stories.story_pairs(rows)
+    assert {(r.research_id, r.a, r.b): (r.reason, r.similarity) for r in pairs.collect()} == {(r, a, b): m for r, of in cases.items() for (a, b), m in literal_pairs(of).items()}
+    want = sorted(map(tuple, stories.story_clusters(rows, pairs).collect()), key=repr)
+    assert {(r, s): p for r, s, p, *_ in want} == {(r, s): p for r, of in cases.items() for s, p in literal_clusters(of).items()}
+    for most in (stories.FOLD_EDGES, 0):
+        monkeypatch.setattr(stories, "FOLD_EDGES", most)
+        assert sorted(map(tuple, stories.story_clusters(rows).collect()), key=repr) == want
+
+
+def test_copies_make_no_square(spark):
+    """300 copies of a title: a class without candidates, and no match that decides."""
+    copies = {i: (["one", "two", "three", "four"], None) for i in range(300)}
+    members, classes = stories.title_classes(frame(spark, {"r": copies}))
+    edges, followers = stories.deciding_matches(members, classes)
+    assert (classes.count(), edges.count(), followers.count()) == (1, 0, 299)
+    assert {r.primary_seq for r in stories.story_clusters(frame(spark, {"r": copies})).collect()} == {0}
