@@ -30,20 +30,34 @@ def _answer(text: Column, stop: Column, finish: str, blocked: Column, used: Colu
     return F.struct(text.alias("text"), problem.alias("problem"), used.cast("bigint").alias("input_tokens"), made.cast("bigint").alias("output_tokens"))
 
 
+def once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule of a value that is worked out once however often the rule names it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
+def _of(v: Column, path: str, kind: str = "string") -> Column:
+    found = F.try_variant_get(v, path, kind)
+    return F.nullif(found, F.lit("")) if kind == "string" else found
+
+
 def parts_answer(body: Column) -> Column:
     """Answers whose text comes in parts of a first candidate."""
-    v = F.try_parse_json(body)
-    of = lambda path, kind="string": F.nullif(F.try_variant_get(v, path, kind), F.lit("")) if kind == "string" else F.try_variant_get(v, path, kind)
-    parts = F.coalesce(F.try_variant_get(v, "$.candidates[0].content.parts", "array<variant>"), F.array().cast("array<variant>"))
-    text = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))), "")
-    return _answer(text, of("$.candidates[0].finishReason"), "STOP", of("$.promptFeedback.blockReason"), of("$.usageMetadata.promptTokenCount", "bigint"), of("$.usageMetadata.candidatesTokenCount", "bigint"))
+
+    def read(v: Column) -> Column:
+        parts = F.coalesce(F.try_variant_get(v, "$.candidates[0].content.parts", "array<variant>"), F.array().cast("array<variant>"))
+        text = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))), "")
+        return once(text, lambda x: _answer(x, _of(v, "$.candidates[0].finishReason"), "STOP", _of(v, "$.promptFeedback.blockReason"), _of(v, "$.usageMetadata.promptTokenCount", "bigint"), _of(v, "$.usageMetadata.candidatesTokenCount", "bigint")))
+
+    return once(F.try_parse_json(body), read)
 
 
 def choice_answer(body: Column) -> Column:
     """Answers whose text is the message of a first choice."""
-    v = F.try_parse_json(body)
-    of = lambda path, kind="string": F.nullif(F.try_variant_get(v, path, kind), F.lit("")) if kind == "string" else F.try_variant_get(v, path, kind)
-    return _answer(of("$.choices[0].message.content"), of("$.choices[0].finish_reason"), "stop", F.lit(None).cast("string"), of("$.usage.prompt_tokens", "bigint"), of("$.usage.completion_tokens", "bigint"))
+
+    def read(v: Column) -> Column:
+        return _answer(_of(v, "$.choices[0].message.content"), _of(v, "$.choices[0].finish_reason"), "stop", F.lit(None).cast("string"), _of(v, "$.usage.prompt_tokens", "bigint"), _of(v, "$.usage.completion_tokens", "bigint"))
+
+    return once(F.try_parse_json(body), read)
 
 
 @dataclass(frozen=True)
@@ -61,26 +75,37 @@ class Model:
 Parse = Callable[[DataFrame], DataFrame]
 
 
-def by_rule(value: Column, *problems: tuple[Column, str]) -> Parse:
-    """A parser from columns over text: the first problem whose condition holds rejects the answer."""
-    what = F.coalesce(*[F.when(test, text) for test, text in problems])
-    return lambda answers: answers.withColumn("problem", what).withColumn("value", F.when(F.col("problem").isNull(), value))
+def by_rule(value: Column, *problems: tuple[Column, str] | Column) -> Parse:
+    """A parser from columns over text: the first problem whose condition holds, or that isn't null, rejects the answer. Problems may name the column value, which is read once."""
+    what = F.coalesce(*[F.when(*p) if isinstance(p, tuple) else p for p in problems])
+
+    def parse(answers: DataFrame) -> DataFrame:
+        rows = answers.withColumn("value", value).withColumn("problem", what)
+        return rows.withColumn("value", F.when(F.col("problem").isNull(), F.col("value")))
+
+    return parse
+
+
+def _shape(*problems: Callable[[Column], tuple[Column, str]]) -> Column:
+    """What is wrong with the text as JSON, which is read once: null for an object without the further problems."""
 
+    def wrong(json: Column) -> Column:
+        found = F.when(json.isNull(), "output was not valid JSON").when(~F.schema_of_variant(json).startswith("OBJECT"), "output was not an object")
+        for p in problems:
+            found = found.when(*p(json))
+        return found
 
-def _no_json(json: Column) -> tuple[tuple[Column, str], ...]:
-    return (json.isNull(), "output was not valid JSON"), (~F.schema_of_variant(json).startswith("OBJECT"), "output was not an object")
+    return once(F.try_parse_json("text"), wrong)
 
 
 def analysis_parser() -> Parse:
     """Answers of the analysis: an object with an overview's summary."""
-    value = F.from_json("text", ANALYSIS)
-    return by_rule(value, *_no_json(F.try_parse_json("text")), (F.coalesce(F.trim(value["overview"]["summary"]), F.lit("")) == "", "output had no overview summary"))
+    return by_rule(F.from_json("text", ANALYSIS), _shape(), F.when(F.coalesce(F.trim("value.overview.summary"), F.lit("")) == "", "output had no overview summary"))
 
 
 def relevance_parser(aliases: DataFrame, keys: tuple[str, ...], labels: tuple[str, ...]) -> Parse:
     """Answers of the classification: a list of sources of which one at least has a known alias and label. aliases: keys, alias."""
-    json, value = F.try_parse_json("text"), F.from_json("text", CLASSIFICATION)
-    shape = by_rule(value, *_no_json(json), (F.try_variant_get(json, "$.sources", "array<variant>").isNull(), "output had no sources array"))
+    shape = by_rule(F.from_json("text", CLASSIFICATION), _shape(lambda json: (F.try_variant_get(json, "$.sources", "array<variant>").isNull(), "output had no sources array")))
 
     def parse(answers: DataFrame) -> DataFrame:
         from .analysis import norm_alias
@@ -111,15 +136,19 @@ def generate(
         if m.needs and not settings.get(m.needs):
             continue
         asked, parse = prepare(m, left)
-        answers = ask(m, asked).select(*keys, F.col("status").cast("int").alias("status"), F.col("error").cast("string").alias("error"), "body").dropDuplicates(list(keys))
+        answers = ask(m, asked).select(*keys, F.col("status").cast("int").alias("status"), F.col("error").cast("string").alias("error"), "body")
+        # dealt out before repeated answers go, so that they are sorted once
+        answers = answers.repartition(*keys).dropDuplicates(list(keys))
         kind = F.when(F.col("there").isNull(), "network").otherwise(error_kind(F.col("status"), F.col("error")))
         got = left.join(answers.withColumn("there", F.lit(True)), list(keys), "left").withColumn("kind", kind)
         got = got.withColumn("a", F.when(F.col("kind").isNull(), m.read(F.col("body")))).withColumn("text", F.when(F.col("a.problem").isNull(), F.col("a.text")))
         got = parse(got)
         why = F.when(F.col("kind").isNotNull(), F.concat_ws(", HTTP ", "kind", F.when(F.col("error").isNull(), F.col("status")).cast("string")))
         why = why.when(F.col("a.problem").isNotNull(), F.concat(F.lit("malformed: "), F.col("a.problem"))).otherwise(F.col("problem"))
-        got = staged(got.withColumn("why", why), "attempts")
-        done.append(got.where("why IS NULL").select(*keys, "value", F.lit(m.provider).alias("provider"), F.lit(m.model).alias("model"), "a.input_tokens", "a.output_tokens", "failed"))
+        # what later rounds and results read, not the answers' texts
+        got = got.select(*left.columns, why.alias("why"), "value", "a.input_tokens", "a.output_tokens")
+        got = staged(got.select(*left.columns, "why", F.when(F.col("why").isNull(), F.struct("value", "input_tokens", "output_tokens")).alias("got")), "attempts")
+        done.append(got.where("why IS NULL").select(*keys, "got.value", F.lit(m.provider).alias("provider"), F.lit(m.model).alias("model"), "got.input_tokens", "got.output_tokens", "failed"))
         again = F.struct(F.lit(m.provider).alias("provider"), F.lit(m.model).alias("model"), F.col("why").alias("error"))
         left = got.where("why IS NOT NULL").withColumn("failed", F.concat("failed", F.array(again))).select(*left.columns)
         if left.isEmpty():

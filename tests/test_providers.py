@@ -173,3 +173,21 @@ def test_classifications_need_a_usable_source(spark):
     rows = [("a", '{"sources": [{"id": "source_1", "label": "direct"}, {"id": "S9", "label": "direct"}]}'), ("b", '{"sources": [{"id": "S1", "label": "odd"}]}'), ("c", '{"sources": [{"id": "S1", "label": "direct"}]}'), ("d", '{"sources": 3}'), ("e", "[]"), ("f", "no"), ("g", None)]
     got = {r.research_id: r.problem for r in parse(spark.createDataFrame(rows, "research_id string, text string")).collect()}
     assert got == {"a": None, "b": "no usable classifications", "c": "no usable classifications", "d": "output had no sources array", "e": "output was not an object", "f": "output was not valid JSON", "g": "output was not valid JSON"}
+
+
+def test_an_answer_is_read_once_and_not_kept(spark, monkeypatch):
+    kept = []
+
+    def staged(df, name, write=fallback.staged):
+        kept.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(fallback, "staged", staged)
+    body = '{"candidates": [{"content": {"parts": [{"text": "{\\"overview\\": {\\"summary\\": \\"s\\"}}"}]}, "finishReason": "STOP"}], "usageMetadata": {"promptTokenCount": 3}}'
+    ask = lambda m, rows: rows.select("research_id", F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"), F.concat(F.lit(body), F.left("research_id", F.lit(0))).alias("body"))
+    requests = spark.createDataFrame([("a",), ("b",)], "research_id string")
+    (a, b) = fallback.generate(requests, [FIRST], ask, lambda m, rows: (rows, fallback.analysis_parser()), {}).collect()
+    assert {a.research_id, b.research_id} == {"a", "b"} and a.value.overview.summary == "s" and (a.input_tokens, a.model, a.error) == (3, "m1", None)
+    ((columns, plan),) = kept
+    assert columns == ["research_id", "failed", "why", "got"]
+    assert plan.count("parseJson") == 2 and plan.count("from_json(") == 1  # the body and its text, and the text by its schema
