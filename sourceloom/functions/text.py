@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +48,11 @@ def split_hangul(c: Column) -> Column:
     return F.when(c.rlike("[\\x{AC00}-\\x{D7A3}]"), spread).otherwise(c)
 
 
+def once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule of a value that is worked out once however often the rule names it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
 def squash(c: Column) -> Column:
     """Letters and digits only, without marks, lower case."""
     return F.regexp_replace(F.lower(strip_marks(c)), r"[^\p{L}\p{N}]+", "")
@@ -89,7 +95,7 @@ def decode_entities(c: Column) -> Column:
 def html_to_text(c: Column) -> Column:
     """Script and style blocks and tags become blanks, references are decoded, and a syndication footer goes."""
     bare = F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[\s\S]*?</\1>", " "), "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(collapse(decode_entities(bare)), r"\s*The post .{1,300}? appeared first on .{1,100}?\.?$", ""))
+    return F.trim(F.regexp_replace(collapse(once(bare, decode_entities)), r"\s*The post .{1,300}? appeared first on .{1,100}?\.?$", ""))
 
 
 def title_tokens(title: Column, passes: int = 1) -> Column:

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..sources.lookups import error_kind
 from ..sources.scratch import staged
 from .analysis import ANALYSIS, CLASSIFICATION
@@ -30,11 +31,6 @@ def _answer(text: Column, stop: Column, finish: str, blocked: Column, used: Colu
     return F.struct(text.alias("text"), problem.alias("problem"), used.cast("bigint").alias("input_tokens"), made.cast("bigint").alias("output_tokens"))
 
 
-def once(value: Column, rule: Callable[[Column], Column]) -> Column:
-    """rule of a value that is worked out once however often the rule names it."""
-    return F.get(F.transform(F.array(value), rule), F.lit(0))
-
-
 def _of(v: Column, path: str, kind: str = "string") -> Column:
     found = F.try_variant_get(v, path, kind)
     return F.nullif(found, F.lit("")) if kind == "string" else found

@@ -115,12 +115,23 @@ def field_scores(title: Column, snippet: Column, path: Column) -> Column:
     return found(title, snippet, path, F.col("topic"), F.col("focus_topic"), F.col("place_names"))
 
 
+#: Parts into which the sources of one research are dealt where they meet its one row.
+PARTS = 64
+
+
+def join_research(sources: DataFrame, researches: DataFrame, how: str = "inner") -> DataFrame:
+    """sources with the columns of their research's one row, which is repeated for each of PARTS parts: no task holds all sources of a research."""
+    dealt = sources.withColumn("__part", F.pmod(F.xxhash64("url"), F.lit(PARTS)))
+    every = researches.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return dealt.join(every, ["research_id", "__part"], how).drop("__part")
+
+
 def score_relevance(sources: DataFrame, context: DataFrame, now: Column) -> DataFrame:
     """sources (research_id, title, snippet, url, published_at, found_by_count) with score, relevant and reasons.
 
     context comes from contexts(); it is joined by research_id. Each field is read once, by an automaton of all phrases of its question.
     """
-    rows = sources.join(context, "research_id")
+    rows = join_research(sources, context)
     rows = rows.withColumn("__found", field_scores(F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")), url_path_words(F.col("url"))))
     rows = rows.withColumns({"__ts": F.col("__found.topic"), "__fs": F.col("__found.focus")})
     total = F.aggregate("__ts", F.lit(0.0), lambda a, x: a + x)

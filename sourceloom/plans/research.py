@@ -10,16 +10,25 @@ from ..functions.text import title_tokens
 from ..operators.analysis import overlay
 from ..operators.ingest import merge_candidates
 from ..operators.normalize import normalize_sources
-from ..operators.relevance import contexts, fallback_label, hard_rule, judge_stories, score_relevance
+from ..operators.relevance import contexts, fallback_label, hard_rule, join_research, judge_stories, score_relevance
 from ..operators.stories import story_clusters, with_tokens
 from ..operators.store import source_rows
 from ..sources.scratch import staged
 
 
 def primary_first(sources: DataFrame) -> DataFrame:
-    """sources with seq: most searches, dated, with a snippet, news, then arrival."""
-    order = [F.size("found_by").desc(), F.col("published_at").isNotNull().desc(), F.col("snippet").isNotNull().desc(), (F.col("type") == "news").desc(), F.col("arrival").asc()]
-    return sources.withColumn("seq", F.row_number().over(W.partitionBy("research_id").orderBy(*order)).cast("long"))
+    """sources (canonical_url once a research) with seq: most searches, dated, with a snippet, news, then arrival.
+
+    Ranks come from what decides alone, sorted by range; a stretch's first rank is what lies before it in the research. No task holds all sources of one.
+    """
+    keys = sources.select("research_id", "canonical_url", (-F.size("found_by")).alias("k1"), F.col("published_at").isNull().alias("k2"), F.col("snippet").isNull().alias("k3"), (F.col("type") != "news").alias("k4"), F.col("arrival").alias("k5"))
+    named = ["k1", "k2", "k3", "k4", "k5"]
+    dealt = staged(keys.repartitionByRange("research_id", *named).withColumn("part", F.spark_partition_id()), "order")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("research_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = dealt.groupBy("research_id", "part").agg(F.count(F.lit(1)).alias("n")).select("research_id", "part", before.alias("before"))
+    place = dealt.withColumn("place", F.row_number().over(W.partitionBy("research_id", "part").orderBy(*named)))
+    ranks = place.join(starts, ["research_id", "part"]).select("research_id", "canonical_url", (F.col("before") + F.col("place")).cast("long").alias("seq"))
+    return sources.join(ranks, ["research_id", "canonical_url"])
 
 
 def run_research(researches: DataFrame, candidates: DataFrame, now: Column, classified: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -30,9 +39,9 @@ def run_research(researches: DataFrame, candidates: DataFrame, now: Column, clas
     """
     researches = researches.withColumn("research_id", F.col("research_id").cast("string"))
     merged = merge_candidates(candidates.withColumn("research_id", F.col("research_id").cast("string"))).withColumnRenamed("seq", "arrival")
-    sources = staged(primary_first(normalize_sources(staged(merged, "merged"), now)), "sources")
+    sources = staged(primary_first(staged(normalize_sources(staged(merged, "merged"), now), "normalized")), "sources")
     asked = researches.select("research_id", title_tokens(F.concat_ws(" ", "query", F.coalesce("focus", F.lit("")))).alias("asked"))
-    tokens = staged(with_tokens(sources.join(asked, "research_id", "left"), "title", "asked"), "tokens")
+    tokens = staged(with_tokens(join_research(sources, asked, "left"), "title", "asked"), "tokens")
     clusters = staged(story_clusters(tokens), "clusters")
     scored = score_relevance(sources.withColumn("found_by_count", F.size("found_by")), contexts(researches), now)
     scored = staged(scored, "scored")
