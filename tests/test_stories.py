@@ -107,3 +107,14 @@ def test_copies_make_no_square(spark):
     edges, followers = stories.deciding_matches(members, classes)
     assert (classes.count(), edges.count(), followers.count()) == (1, 0, 299)
     assert {r.primary_seq for r in stories.story_clusters(frame(spark, {"r": copies})).collect()} == {0}
+
+
+def test_pairs_of_copies_come_from_lists(spark, monkeypatch):
+    """250 copies over lists of 40 rows and a near copy: every pair once, though one pair of classes was found."""
+    monkeypatch.setattr(stories, "LIST", 40)
+    rows = {i: (["one", "two", "three", "four"], None) for i in range(250)} | {250: (["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"], None)} | {251: (["five", "six", "seven", "eight", "nine", "ten", "one", "two", "three", "four", "eleven"], None)}
+    df = frame(spark, {"r": rows})
+    members, classes = stories.title_classes(df)
+    assert stories.class_pairs(classes).count() == 1 and members.count() == 252
+    got = [(r.a, r.b) for r in stories.story_pairs(df).collect()]
+    assert len(got) == len(set(got)) == 250 * 249 // 2 + 1 and (250, 251) in got
