@@ -7,6 +7,9 @@ Pairs come from inverted indexes, not from all pairs. Titles' tokens are ordered
   tokens is in the larger title, among those of the same days.
 * Titles that match by figure share an amount, a subject and three days: one index of all three.
 
+A common token still makes pairs by the square of its titles. So each posting has its title's set of token hashes, a few machine words: a pair goes on only
+if the bits that the larger title lacks leave the smaller one enough tokens to match. What is shuffled with whole titles are then about the matches.
+
 Clusters are greedy in the sources' order. Researches of few matches are folded, match by match; those of many are settled in rounds
 of joins: a source is settled as soon as what is still open can't lead it to an earlier story.
 """
@@ -26,6 +29,8 @@ from ..sources.scratch import staged
 DAY_MS = 24 * 60 * 60 * 1000
 #: Shared tokens, Jaccard of equal titles, weight of containment, similarity, days apart by veto and for figures.
 MIN_SHARED, SAME, CONTAINMENT, SIMILAR, VETO_DAYS, FIGURE_DAYS = 3, 0.9, 0.85, 0.7, 4, 3
+#: Machine words of a title's set of token hashes.
+SET_WORDS = 4
 #: Matches of a research that one task folds; researches of more are settled in rounds.
 FOLD_EDGES = 100_000
 
@@ -71,18 +76,25 @@ def title_candidates(rows: DataFrame) -> DataFrame:
     df = posted.groupBy("research_id", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # tokens of one title alone are the rarest and lead nowhere: they use up their places
     order = Window.partitionBy("research_id", "seq").orderBy("df", "token")
-    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("research_id", "seq"))
-    shared = posted.join(df, ["research_id", "token"]).withColumn("r", F.row_number().over(order) + alone)
-    shared = staged(shared.select("research_id", "token", "seq", "n", "ms", "r"), "postings")
-    probe = lambda cols, most: shared.where(F.col("r") <= most).select("research_id", "token", F.col("seq").alias("ps"), F.col("n").alias("pn"), F.col("ms").alias("pms"), *cols)
+    whole = Window.partitionBy("research_id", "seq")
+    alone = F.col("n") - F.count(F.lit(1)).over(whole)
+    sets = [f"set{k}" for k in range(SET_WORDS)]
+    bit = F.pmod(F.xxhash64("token"), F.lit(64 * SET_WORDS))
+    word = lambda k: F.bit_or(F.expr(f"IF(bit DIV 64 = {k}, shiftleft(1L, CAST(bit % 64 AS INT)), 0L)")).over(whole)
+    shared = posted.join(df, ["research_id", "token"]).withColumn("bit", bit).withColumns({"r": F.row_number().over(order) + alone, "alone": alone} | {x: word(k) for k, x in enumerate(sets)})
+    shared = staged(shared.select("research_id", "token", "seq", "n", "ms", "r", "alone", *sets), "postings")
+    own = [F.col("seq").alias("ps"), F.col("n").alias("pn"), F.col("ms").alias("pms"), F.col("alone").alias("palone"), *[F.col(x).alias(f"p{x}") for x in sets]]
+    probe = lambda cols, most: shared.where(F.col("r") <= most).select("research_id", "token", *own, *cols)
+    # at least so many tokens of the smaller title aren't in the larger one
+    lacks = reduce(Column.__add__, [F.bit_count(F.col(f"p{x}").bitwiseAND(F.bitwise_not(x))) for x in sets], F.col("palone"))
     larger = (F.col("n") > F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("seq") > F.col("ps")))
     near = lambda days: F.abs(F.col("ms") - F.col("pms")) <= days * DAY_MS
     first = F.floor(F.col("n") / 10) + 1
     same = probe([], first).join(shared.where(F.col("r") <= first), ["research_id", "token"])
-    same = same.where(larger & (10 * F.col("pn") >= 9 * F.col("n")) & F.coalesce(near(VETO_DAYS), F.lit(True)))
+    same = same.where(larger & (10 * F.col("pn") >= 9 * F.col("n")) & F.coalesce(near(VETO_DAYS), F.lit(True)) & (10 * lacks <= F.col("pn")))
     dated = shared.where("ms IS NOT NULL").withColumn("days", _bucket(VETO_DAYS))
     around = F.explode(F.array(*[_bucket(VETO_DAYS, i) for i in (-1, 0, 1)])).alias("days")
-    similar = probe([around], F.floor(F.col("n") * 3 / 17) + 1).where("pms IS NOT NULL").join(dated, ["research_id", "token", "days"]).where(larger & near(VETO_DAYS))
+    similar = probe([around], F.floor(F.col("n") * 3 / 17) + 1).where("pms IS NOT NULL").join(dated, ["research_id", "token", "days"]).where(larger & near(VETO_DAYS) & (17 * lacks <= 3 * F.col("pn")))
     return same.select("research_id", "ps", "seq").unionByName(similar.select("research_id", "ps", "seq"))
 
 

@@ -118,3 +118,14 @@ def test_pairs_of_copies_come_from_lists(spark, monkeypatch):
     assert stories.class_pairs(classes).count() == 1 and members.count() == 252
     got = [(r.a, r.b) for r in stories.story_pairs(df).collect()]
     assert len(got) == len(set(got)) == 250 * 249 // 2 + 1 and (250, 251) in got
+
+
+def test_common_words_make_few_candidates(spark):
+    """400 titles of one day and 60 words: each rare word leads to dozens of titles, of which those that may match go on."""
+    rng = random.Random(7)
+    rows = {i: (rng.sample([f"word{k}" for k in range(60)], rng.choice([8, 10, 12])), datetime(2024, 1, 1)) for i in range(400)}
+    rows |= {400 + i: (rows[i][0] + [f"word{60 + i}"], datetime(2024, 1, 2)) for i in range(20)}
+    made = stories.title_candidates(frame(spark, {"r": rows}).withColumns({"n": F.size("tokens"), "ms": F.unix_millis("published_at")}))
+    made = {(min(r.ps, r.seq), max(r.ps, r.seq)) for r in made.collect()}
+    want = set(literal_pairs(rows))
+    assert len(want) >= 20 and want <= made and len(made) <= 3 * len(want)
