@@ -129,3 +129,24 @@ def test_common_words_make_few_candidates(spark):
     made = {(min(r.ps, r.seq), max(r.ps, r.seq)) for r in made.collect()}
     want = set(literal_pairs(rows))
     assert len(want) >= 20 and want <= made and len(made) <= 3 * len(want)
+
+
+def test_sizes_of_copies_grow_with_the_rows(spark, monkeypatch):
+    """Copies of few titles with amounts: what is written on the way to the sizes of stories grows with the copies, not with their square."""
+    written = []
+
+    def counted(df, name, staged=stories.staged):
+        out = staged(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(stories, "staged", counted)
+    some = [(["one", "two", "three", "four"], None), (["alpha", "bravo", "charlie", "delta"], datetime(2024, 1, 2)), (["5m", "acme", "ipo"], datetime(2024, 1, 3))]
+
+    def most(copies):
+        written.clear()
+        got = stories.story_sizes(stories.story_clusters(frame(spark, {"r": {i: some[i % 3] for i in range(3 * copies)}}))).collect()
+        assert {(r.primary_seq, r.members, r.also_reported_by) for r in got} == {(i, copies, copies - 1) for i in range(3)}
+        return max(written)
+
+    assert most(120) <= 4.4 * most(30)
