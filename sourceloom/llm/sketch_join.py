@@ -13,13 +13,14 @@ Lists are kept short and in memory as follows:
    components of that relation are searched apart.
 3. Components are packed into shards; a larger component is cut into chunks by size class and hash, and each pair of chunks whose sizes
    allow a link is a shard. Inside a shard a set meets the earlier ones, the most promising first, and passes over those that are already
-   connected with it: components need no more, so a group of m near copies costs about m comparisons, not m squared.
+   connected with it: components need no more, so a group of m near copies costs about m comparisons, not m squared. Sets that stay just
+   below the threshold must all be compared: they are, by batches of array operations. A shard tells each set's least connected one.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import comb
 
 import numpy as np
@@ -36,6 +37,8 @@ from .jaccard_join import BROADCAST_CLASSES, HEAVY, POSTED, SHARD_SHINGLES, all_
 SKETCH, RISK = 128, 1e-12
 #: Shingles and retained values that a shard holds, so many that a chunk of a component holds.
 SHARD_VALUES = 1_500_000
+#: Candidates that are compared at once, and shingles of theirs.
+BATCH, BATCH_SHINGLES = 1024, 1 << 20
 
 
 def least_shared(size: int, num: int, den: int) -> int:
@@ -54,42 +57,49 @@ def bound(n: int | np.ndarray, size: int, num: int, den: int) -> np.ndarray:
     return np.where(n * den <= size * num, -(-n * num // den), least_shared(size, num, den))
 
 
-def union_share(a: np.ndarray, b: np.ndarray, size: int) -> tuple[int, int]:
-    """(shared, kept) in the sketch of the union, from the sorted sketches of both sets."""
-    both = np.concatenate([a, b])
-    both.sort()
-    same = both[1:] == both[:-1]
-    union = both[np.concatenate([[True], ~same])]
-    kept = min(size, len(union))
-    return int((both[1:][same] <= union[kept - 1]).sum()), kept
+def union_shares(places: np.ndarray, retained: int, others: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shared, kept) in the sketch of the union of one set, which retains `retained` values, and each of several others.
+
+    places: a row for each other set, for its retained values in order their place in the one set's sketch, -1 if it doesn't retain them.
+    A shared value's place in the union is the sum of its places in both less the shared values before it.
+    """
+    same = places >= 0
+    before = np.cumsum(same, axis=1, dtype=np.int32)
+    kept = np.minimum(size, retained + others - before[:, -1])
+    inside = places + np.arange(places.shape[1], dtype=np.int32) - (before - 1) < kept[:, None]
+    return (same & inside).sum(axis=1), kept
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+def union_share(a: np.ndarray, b: np.ndarray, size: int) -> tuple[int, int]:
+    """(shared, kept) in the sketch of the union, from the sorted sketches of both sets."""
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    agree, kept = union_shares(np.where(a[at] == b, at, -1)[None], len(a), np.array([len(b)]), size)
+    return int(agree[0]), int(kept[0])
 
 
 def sketch_links(tokens: list[np.ndarray], size: int, num: int, den: int, seen: Counter | None = None) -> list[tuple[int, int]]:
     """(i, j) among sorted sets in order of length: verified links that connect exactly what the sketches' candidates and their links connect.
 
-    seen, if given, counts the candidates, estimates and comparisons.
+    A set's candidates are estimated and compared in batches that double from one on, as near copies connect at once and sets below the
+    threshold don't. seen, if given, counts the candidates, estimates, comparisons and batches.
     """
     seen, n = Counter() if seen is None else seen, len(tokens)
     length = np.array([len(t) for t in tokens], np.int64)
-    sketches = [t[:size] for t in tokens]
-    of = np.repeat(np.arange(n, dtype=np.int32), np.minimum(length, size))
-    values = np.concatenate(sketches) if n else np.zeros(0, np.uint64)
-    order = np.argsort(values, kind="stable")  # by value, then by set
+    retained = np.minimum(length, size)
+    values, ids = np.unique(np.concatenate(tokens) if n else np.zeros(0, np.uint64), return_inverse=True)  # numbers keep the order of values
+    ids, ends = ids.astype(np.int32), np.concatenate([[0], np.cumsum(length)])
+    edges = np.concatenate([[0], np.cumsum(retained)])
+    of, at = np.repeat(np.arange(n, dtype=np.int32), retained), np.arange(edges[-1]) - np.repeat(edges[:-1], retained)
+    sketches = np.full((n, size), len(values), np.int32)
+    sketches[of, at] = ids[ends[of] + at]
+    order = np.argsort(sketches[of, at], kind="stable")  # by value, then by set
     lists = of[order]
-    start, count = runs(values[order])
-    head, place = np.empty(len(values), np.int64), np.empty(len(values), np.int64)
-    head[order], place[order] = np.repeat(start, count), np.arange(len(values))
-    edges = np.concatenate([[0], np.cumsum(np.minimum(length, size))])
+    start, count = runs(sketches[of, at][order])
+    head, place = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
+    head[order], place[order] = np.repeat(start, count), np.arange(len(of))
     need, floor = bound(length, size, num, den), least_shared(size, num, den)
     label, members, links = np.arange(n), {}, []
+    own_place, own = np.full(len(values) + 1, -1, np.int32), np.zeros(len(values), np.uint8)  # of the values of one set at a time
     for x in range(n):
         mine = slice(edges[x], edges[x + 1])
         lo, hi = head[mine], place[mine]
@@ -101,26 +111,53 @@ def sketch_links(tokens: list[np.ndarray], size: int, num: int, den: int, seen:
         found = found[(den * length[found] >= num * length[x]) & (count[found] >= need[found])]
         found = found[np.argsort(-count[found], kind="stable")]
         seen["candidates"] += len(found)
+        all_x = ids[ends[x] : ends[x + 1]]
+        own_place[all_x[:size]], own[all_x] = np.arange(retained[x]), 1
+        step, most = 1, max(1, min(BATCH, BATCH_SHINGLES // int(length[x])))  # candidates are no longer than x
         while len(found):
-            y, found = int(found[0]), found[1:]
-            seen["estimates"] += 1
-            agree, kept = union_share(sketches[x], sketches[y], size)
-            if agree < (-(-kept * num // den) if kept < size else floor):
+            batch, found, step = found[:step], found[step:], min(2 * step, most)
+            seen["batches"] += 1
+            seen["estimates"] += len(batch)
+            agree, kept = union_shares(own_place[sketches[batch]], int(retained[x]), retained[batch], size)
+            batch = batch[agree >= np.where(kept < size, -(-kept * num // den), floor)]
+            seen["compared"] += len(batch)
+            if not len(batch):
                 continue
-            seen["compared"] += 1
-            i = overlap(tokens[y], tokens[x])
-            if den * i >= num * (length[x] + length[y] - i):
-                links.append((x, y))
+            theirs = np.concatenate([ids[a:b] for a, b in zip(ends[batch].tolist(), ends[batch + 1].tolist(), strict=True)])
+            i = np.add.reduceat(own[theirs], np.cumsum(length[batch]) - length[batch], dtype=np.int64)
+            linked = batch[den * i >= num * (length[x] + length[batch] - i)]
+            for y in linked.tolist():
                 p, q = int(label[x]), int(label[y])
+                if p == q:
+                    continue
+                links.append((x, y))
                 mp, mq = members.pop(p, [p]), members.pop(q, [q])
                 if len(mp) < len(mq):
                     mp, mq, p = mq, mp, q
                 label[mq] = p
                 members[p] = mp + mq
-                found = found[label[found] != p]
+            if len(linked):
+                found = found[label[found] != label[x]]
+        own_place[all_x[:size]], own[all_x] = -1, 0
     return links
 
 
+def stars(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, least node that links connect it with) of all nodes but the least ones: the same components, one step deep."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return [(x, top(x)) for x in root if top(x) != x]
+
+
 def sketch_join(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, size: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept, text_hash (xxhash64).
 
@@ -239,7 +276,7 @@ def sketch_join(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, size
         pdf = pdf.assign(n=pdf["tokens"].str.len()).sort_values(["n", "key"])
         keys = pdf["key"].to_numpy(np.int64)
         found = np.array(sketch_links([np.frombuffer(t, np.uint64) for t in pdf["tokens"]], size, num, den), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": keys[found[:, 0]], "b": keys[found[:, 1]]})
+        return pd.DataFrame(stars(keys[found].tolist()), columns=["a", "b"], dtype=np.int64)
 
     links = work.groupBy("task").applyInPandas(lambda pdf: search(pdf), "a long, b long")
     labels = staged(components(links).select(F.col("node").alias("key"), "label"), "labels")

@@ -157,6 +157,28 @@ def test_near_copies_cost_one_comparison_each():
     assert len(links) == 199 == seen["compared"] == seen["estimates"]
 
 
+def test_sets_below_the_threshold_are_compared_in_batches():
+    """A large group of sets just below the threshold is compared whole, in few array operations a set, and what links among them is found."""
+    rng = np.random.default_rng(3)
+    base = rng.choice(2**62, 500, replace=False).astype(np.uint64)
+    own = lambda n: np.sort(np.concatenate([rng.choice(base, 500 - n, replace=False) if n % 2 else base[n:], rng.choice(2**62, n).astype(np.uint64)]))
+    sets = [own(int(n)) for n in rng.choice([60, 64, 45, 57], 400, p=[0.6, 0.3, 0.05, 0.05])]
+    sets = sorted([*sets, *[x[5:] for x in sets[::50]], *[x[:-5] for x in sets[::50]]], key=len)
+    seen = Counter()
+    links = sketch_join.sketch_links(sets, 128, 80, 100, seen)
+    assert seen["compared"] > 40_000 and 0 < seen["batches"] <= 12 * len(sets)
+    whole = [set(x.tolist()) for x in sets]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (both := len(whole[i] & whole[j])) >= 80 * (len(whole[i]) + len(whole[j]) - both)]
+    assert set(links) <= set(near) and 8 <= len(links) < len(near)
+    assert sorted(sketch_join.stars(links)) == sorted(sketch_join.stars(near))
+
+
+def test_a_shard_names_the_least_connected():
+    chain = [(i, i + 1) for i in range(0, 60, 2)] + [(i + 1, i) for i in range(59, 0, -2)] + [(103, 101), (102, 103)]
+    assert sorted(sketch_join.stars(chain)) == [(i, 0) for i in range(1, 61)] + [(102, 101), (103, 101)]
+    assert sketch_join.stars([]) == []
+
+
 def literal_negatives(rows, anchor=lambda i: i % 10 == 0, k=5):
     rows = [(i, y, [math.floor(256 * x) for x in v]) for i, v, y in rows if i is not None and y is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     dot = lambda a, b: sum(x * z for x, z in zip(a, b, strict=True))
