@@ -1,13 +1,15 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts are dealt into encoder calls by bytes, and a long text is split at places where the tokenizer's own
-pre-tokenizer always splits, so the sum of the pieces' counts is the count of the whole text.
+pre-tokenizer always splits, so the sum of the pieces' counts is the count of the whole text. Where the file's pre-tokenizer
+splits before every blank behind a word, texts are split there, and a batch encodes each of its different words once.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,11 @@ from pyspark.sql import types as T
 #: A single blank between an ASCII letter or digit before it and one behind it. Byte-level and word-end BPE start a
 #: pre-token there, and so does a piece model that doesn't merge across white space.
 SAFE = r"(?<=[0-9A-Za-z])(?= [0-9A-Za-z])"
+#: Before a blank that follows anything but white space: the byte-level pattern takes a blank only as the first character of a pre-token or
+#: among white space. What Python calls white space includes all that the pattern does.
+WORDS = r"(?<=\S)(?= )"
+#: Characters of a word whose count is kept for later batches, and words that a task keeps.
+WORD_CHARS, KEPT_WORDS = 32, 1 << 18
 #: Where a run of letters or of digits ends: pre-tokenizers by the usual byte-level pattern always begin a pre-token there, in any script.
 SAFE_BYTE_LEVEL = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})"
 
@@ -50,6 +57,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.whole: tuple[str, ...] = ()
+        self.words: re.Pattern | None = None
         self.safe, self.drop_blank = regex.compile(SAFE), path.endswith(".model")
         if path.endswith(".model"):
             import sentencepiece
@@ -68,7 +76,24 @@ class Encoder:
         before = about.get("pre_tokenizer") or {}
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not about.get("normalizer"):
             self.safe = regex.compile(SAFE_BYTE_LEVEL)
-            self.whole = tuple(t["content"] for t in about.get("added_tokens") or ())  # these are sought before any pre-token
+            added = about.get("added_tokens") or ()
+            self.whole = tuple(t["content"] for t in added)  # these are sought before any pre-token
+            if not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in added) and not about["model"].get("dropout"):
+                self.words = re.compile(WORDS)
+
+
+def word_counts(texts: list[str], encoder: Encoder, known: dict[str, int]) -> list[int]:
+    """Tokens of each text, the sum of its words' counts. The words that known lacks are encoded, each once; known keeps the short ones."""
+    split = [encoder.words.split(text) for text in texts]
+    new = [*set().union(*split).difference(known)]
+    known.update(zip(new, encoder.lengths(new) if new else (), strict=True))
+    counts = [sum(map(known.__getitem__, words)) for words in split]
+    for word in new:
+        if len(word) > WORD_CHARS:
+            del known[word]
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    return counts
 
 
 def token_counts(
@@ -87,6 +112,7 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
+        known: dict[str, int] = {}
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             total, load, owners, size = np.zeros(len(texts), np.int64), [], [], 0
@@ -95,7 +121,7 @@ def token_counts(
 
             def flush() -> None:
                 if load:
-                    np.add.at(total, owners, encoder.lengths(load))
+                    np.add.at(total, owners, word_counts(load, encoder, known) if encoder.words else encoder.lengths(load))
                     load.clear()
                     owners.clear()
 

@@ -113,6 +113,24 @@ def test_token_counts(spark, name):
         assert got[i].over_limit == (got[i].n_tokens > 1024)
 
 
+def test_words_are_encoded_once(spark):
+    """Words that come again cost no encoder call, and their sums are the counts of whole texts, whatever stands around the blanks."""
+    encoder = token_counts.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    whole, given = encoder.lengths, []
+    encoder.lengths = lambda texts: given.extend(texts) or whole(texts)
+    rng, known = random.Random(4), {}
+    marks = ["don't", "'s", "it's", "Ab1", "12,5", "<|endoftext|>", "<|endof", "text|>", "é", "e\u0301", "日本語", "😀", "\u200b", "_", "--", "\x00", "\ud7ff", "x" * 50]
+    gaps = [" ", " ", " ", "  ", "   ", "\n", " \n", "\n ", "\t ", "\r\n", "\xa0", " \xa0 ", "\u3000 ", "\x1c ", "\x1f", "\x85 ", "\u180e ", "\u2028", "\ufeff ", ""]
+    texts = ["".join(rng.choice(gaps) + rng.choice(marks) for _ in range(rng.randint(1, 60))) + rng.choice(gaps) for _ in range(1500)]
+    assert token_counts.word_counts(texts, encoder, known) == whole(texts)
+    assert len(given) == len(set(given)) and all(len(word) <= token_counts.WORD_CHARS for word in known)
+    plain = [" ".join(rng.choice(["some", "plain", "words", "again"]) for _ in range(50)) for _ in range(40)]
+    token_counts.word_counts(plain, encoder, known)
+    given.clear()
+    assert token_counts.word_counts(plain, encoder, known) == whole(plain) and given == []
+    assert token_counts.Encoder(tokenizer_path("word_bpe_49k.json")).words is None and token_counts.Encoder(tokenizer_path("piece_bpe_32k.model")).words is None
+
+
 def test_long_texts_are_cut_by_bytes():
     """Pieces in any script are of about the bytes asked for, cut at the ends of runs; a special string stays whole."""
     encoder = token_counts.Encoder(tokenizer_path("byte_bpe_50k.json"))
